@@ -1,0 +1,18 @@
+"""Quality measures over fixtures, artifacts and output tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def drift_accuracy(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Expected against detected drift per repository."""
+    detected = found.groupBy("repo_id").agg(F.count_if(F.col("status") == "drifted").alias("detected"))
+    both = detected.join(expected, "repo_id", "left").fillna(0, ["expected"])
+    gap = F.col("detected") - F.col("expected")
+    return both.select(
+        "repo_id", "expected", "detected",
+        F.greatest(gap, F.lit(0)).alias("false_positives"),
+        F.greatest(-gap, F.lit(0)).alias("false_negatives"),
+    )
