@@ -56,8 +56,9 @@ def _lines(*parts: str) -> str:
     return "concat(" + ", chr(10), ".join(parts) + ", chr(10))"
 
 
-K = f"({'cast(floor(o_custkey / 20.0) as bigint)'} % 40)"
-V = "(o_custkey % 5)"
+GROUP = "cast(floor(o_custkey / 20.0) as bigint)"
+K = f"({GROUP} % 40)"
+V = f"({GROUP} % 5)"
 DASH = "—"
 
 
@@ -112,8 +113,8 @@ SELECT o_orderkey AS ordinal, o_custkey % 20 AS repo_no,
   CASE o_orderstatus WHEN 'P' THEN 'dev' ELSE 'main' END AS branch,
   {content} AS content,
   {_case('(o_orderkey % 8)', _quoted('validated-command', 'environment-prerequisite', 'always-on-rule', 'scoped-rule', 'permission-restriction', 'module-boundary', 'skill-playbook', 'conflict'))} AS claim_type,
-  {_case('((o_orderkey + o_custkey) % 8)', _quoted('human-override', 'declared-reviewed', 'executable-config', 'ci-observed', 'declared-imported-unreviewed', 'checked-in-docs', 'inferred-high', 'inferred-low'))} AS source_authority,
-  {_case('((o_orderkey + o_custkey) % 8)', ['10', '20', '30', '30', '35', '40', '50', '60'])} AS authority_level,
+  {_case(f'((o_orderkey + {GROUP}) % 8)', _quoted('human-override', 'declared-reviewed', 'executable-config', 'ci-observed', 'declared-imported-unreviewed', 'checked-in-docs', 'inferred-high', 'inferred-low'))} AS source_authority,
+  {_case(f'((o_orderkey + {GROUP}) % 8)', ['10', '20', '30', '30', '35', '40', '50', '60'])} AS authority_level,
   CASE WHEN o_custkey % 3 = 0 THEN '**' ELSE concat('src/m', {K}) END AS scope,
   {_case('((o_orderkey + o_custkey) % 6)', [d.arr('all'), d.arr('test'), d.arr('ci', 'release'), d.arr('all', 'lint'), d.arr('onboarding'), d.arr()])} AS applicability,
   {_case('(o_orderkey % 3)', _quoted('public', 'team-only', 'local-only'))} AS sensitivity,
@@ -432,6 +433,12 @@ def with_views(body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores; larger inputs pass through."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy frames over the tables of one folder."""
 
@@ -449,7 +456,7 @@ class Tables:
 
     def _raw(self, name: str) -> DataFrame:
         if name not in self._frames:
-            self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._frames[name] = spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
         return self._frames[name]
 
     def _view(self, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("claims", "governance")
+AREAS = ("claims", "governance", "text")
 
 for _area in AREAS:
     import_module(f"attesta.catalog.{_area}")

@@ -111,8 +111,8 @@ def _(t):
 
 @query("freshness_report", f"""
 WITH {FRESH} SELECT f.repo_id, count(*) AS total, count(trigger) AS stale, count(*) - count(trigger) AS fresh,
-  count(*) FILTER (trigger = 'time-expired') AS time_expired, count(*) FILTER (trigger = 'branch-changed') AS branch_changed_claims,
-  count(*) FILTER (trigger = 'evidence-deleted') AS evidence_deleted, count(*) FILTER (trigger = 'evidence-changed') AS evidence_changed,
+  count(*) FILTER (trigger = 'time-expired') AS n_time_expired, count(*) FILTER (trigger = 'branch-changed') AS n_branch_changed,
+  count(*) FILTER (trigger = 'evidence-deleted') AS n_evidence_deleted, count(*) FILTER (trigger = 'evidence-changed') AS n_evidence_changed,
   any_value(branch_at_index <> branch_now) AS branch_changed, any_value(head_at_index <> head_now) AS head_changed
 FROM fresh f JOIN repos_v r ON r.repo_id = f.repo_id GROUP BY f.repo_id""")
 def _(t):

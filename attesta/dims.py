@@ -241,15 +241,31 @@ DIRECTIVE_LINE = (
     r"(?i)^\s*[-*]?\s*(?:always|never|do not|don't|must|should|prefer|avoid|use|ensure|make sure"
     r"|require|keep|maintain)\s+"
 )
-IMPORT_TAGS = (
-    (("test", "pytest", "jest", "vitest", "mocha"), "test"),
-    (("lint", "ruff", "eslint", "flake8"), "lint"),
-    (("format", "prettier", "black"), "format"),
-    (("build", "compile", "webpack", "vite build"), "build"),
-    (("typecheck", "pyright", "mypy", "tsc"), "lint"),
-    (("deploy", "release", "publish"), "release"),
-    (("install", "setup"), "setup"),
-)
+IMPORT_TAGS = {
+    "agents-md": (
+        (("test", "pytest", "jest", "vitest", "mocha"), "test"),
+        (("lint", "ruff", "eslint", "flake8"), "lint"),
+        (("format", "prettier", "black"), "format"),
+        (("build", "compile", "webpack", "vite build"), "build"),
+        (("typecheck", "pyright", "mypy", "tsc"), "lint"),
+        (("deploy", "release", "publish"), "release"),
+        (("install", "setup"), "setup"),
+    ),
+    "claude-md": (
+        (("test", "pytest", "jest", "vitest", "mocha"), "test"),
+        (("lint", "ruff", "eslint", "flake8"), "lint"),
+        (("format", "prettier", "black"), "format"),
+        (("build", "compile", "webpack"), "build"),
+        (("deploy", "release", "publish"), "release"),
+    ),
+    "copilot-instructions": (
+        (("test", "pytest", "jest"), "test"),
+        (("lint", "eslint", "ruff"), "lint"),
+        (("format", "prettier"), "format"),
+        (("build", "compile"), "build"),
+        (("install", "setup", "pip install", "npm install"), "setup"),
+    ),
+}
 SHELL_LANGS = ("bash", "shell", "sh", "zsh", "console", "")
 DOCS_RUNTIME_PATTERNS = (
     r"(?i)(?:requires?|needs?)\s+Python\s+(\d+\.\d+\+?)",

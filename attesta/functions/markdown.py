@@ -15,7 +15,7 @@ from attesta.functions.base import contains_any, first_match
 # a block that closes on a bare fence, or a fence that never closes
 _CLOSED = r"^[ \t]*```[^\n]*\n(?:[\s\S]*?\n)??[ \t]*```[ \t\r]*$"
 _OPEN = r"^[ \t]*```[\s\S]*\z"
-_HEADING = r"^#{1,6}\s+[^\n]+$"
+_HEADING = r"^#{1,6}[ \t]+[^\n]+$"
 DOC_SEGMENTS = rf"(?m){_CLOSED}|{_OPEN}|{_HEADING}|^[^\n]+$"
 # import rules: any fence closes an open block
 FENCED_BLOCK = r"(?m)^[ \t]*```[^\n]*\n(?:[\s\S]*?\n)??[ \t]*```[^\n]*$"

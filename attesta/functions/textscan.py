@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FENCE_LINE = r"^\s*```"
@@ -12,34 +12,43 @@ def newline_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def regex_hits(text: Column, pattern: Column, group: Column) -> Column:
-    """array<struct<start, stop, line, match, value>> of every match of a pattern.
+def explode_hits(df: DataFrame, text: Column, pattern: Column, group: Column, out: str = "_h") -> DataFrame:
+    """One row per match, as a struct ``start, stop, line, match, value`` in ``out``.
 
-    Positions come from the pieces between the matches, so the whole text is
-    used and nothing but built-in functions runs.
+    Positions come from the pieces between the matches, so the whole text is used and
+    nothing but built-in functions runs. The arrays are columns of their own first:
+    an array used inside a lambda would be computed again for every element.
     """
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    values = F.regexp_extract_all(text, pattern, group)
-    pieces = F.split(text, pattern, -1)
-    gap_size = F.transform(pieces, lambda p: F.length(p))
-    gap_lines = F.transform(pieces, newline_count)
-    hit_size = F.transform(found, lambda m: F.length(m))
-    hit_lines = F.transform(found, newline_count)
-
-    def total(values: Column, count: Column) -> Column:
+    cut = df.select(
+        "*",
+        F.regexp_extract_all(text, pattern, F.lit(0)).alias("_found"),
+        F.regexp_extract_all(text, pattern, group).alias("_values"),
+        F.split(text, pattern, -1).alias("_pieces"),
+    ).filter(F.size("_found") > 0)
+    sized = cut.select(
+        *[c for c in cut.columns if c != "_pieces"],
+        F.transform("_pieces", lambda p: F.length(p)).alias("_gap_size"),
+        F.transform("_pieces", newline_count).alias("_gap_lines"),
+        F.transform("_found", lambda m: F.length(m)).alias("_hit_size"),
+        F.transform("_found", newline_count).alias("_hit_lines"),
+    )
+
+    def total(values: str, count: Column) -> Column:
         return F.aggregate(F.slice(values, F.lit(1), count), F.lit(0), lambda a, v: a + v)
 
     def locate(match: Column, i: Column) -> Column:
-        start = total(gap_size, i + 1) + total(hit_size, i)
+        start = total("_gap_size", i + 1) + total("_hit_size", i)
         return F.struct(
             start.alias("start"),
             (start + F.length(match)).alias("stop"),
-            (total(gap_lines, i + 1) + total(hit_lines, i) + 1).alias("line"),
+            (total("_gap_lines", i + 1) + total("_hit_lines", i) + 1).alias("line"),
             match.alias("match"),
-            F.get(values, i).alias("value"),
+            F.get("_values", i).alias("value"),
         )
 
-    return F.transform(found, locate)
+    return sized.withColumn(out, F.explode(F.transform("_found", locate))).drop(
+        "_found", "_values", "_gap_size", "_gap_lines", "_hit_size", "_hit_lines"
+    )
 
 
 def line_at(text: Column, line: Column) -> Column:

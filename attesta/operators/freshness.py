@@ -95,7 +95,7 @@ def freshness_report(freshness: DataFrame, repos: DataFrame) -> DataFrame:
     counts = freshness.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("stale").alias("stale"),
-        *[F.count_if(F.col("trigger") == t).alias(t.replace("-", "_")) for t in triggers],
+        *[F.count_if(F.col("trigger") == t).alias("n_" + t.replace("-", "_")) for t in triggers],
     )
     heads = repos.select(
         "repo_id",
