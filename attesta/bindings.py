@@ -356,7 +356,7 @@ P_REPO = "concat('repo-', p_partkey % 20)"
 def python_code_v(d: Dialect) -> str:
     word = "replace(p_name, ' ', '_')"
     body = _lines(
-        "'\"\"\"Generated module.\"\"\"'", f"concat('import shop.', {BRAND})", f"concat('from shop.', {BRAND}, '.', {KIND}, ' import f', p_size)",
+        "'\"\"\"Generated module.\"\"\"'", "concat('import shop.brand', p_size % 25 + 1)", f"concat('from shop.', {BRAND}, '.', {KIND}, ' import f', p_size)",
         "CASE WHEN p_size > 25 THEN 'from . import base' ELSE 'from ..core import base' END", "'import os'",
         "concat('LIMIT = ', p_size)", "''", f"concat('def make_', {word}, '(a: int, b=2) -> int:')", "'    \"\"\"Doc.\"\"\"'", "'    return a'", "''",
         f"concat('class Box', p_size, ':')", "'    def run(self, x):'", "'        return x'", "''",
@@ -364,7 +364,7 @@ def python_code_v(d: Dialect) -> str:
         "CASE WHEN p_retailprice > 1090 THEN 'def broken(:' ELSE '' END",
     )
     stem = "CASE WHEN p_size % 3 = 0 THEN 'test_' ELSE 'f' END"
-    folder = f"CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'tests' ELSE concat('src/shop/', {BRAND}, '/', {KIND}) END"
+    folder = f"CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'tests' WHEN p_size > 40 THEN concat('src/shop/', {BRAND}) ELSE concat('src/shop/', {BRAND}, '/', {KIND}) END"
     return f"SELECT {P_REPO} AS repo_id, concat({folder}, '/', {stem}, CASE WHEN p_size % 3 = 0 THEN {KIND} ELSE cast(p_partkey as {'string' if d.spark else 'varchar'}) END, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 1 THEN concat('_', p_partkey) ELSE '' END, '.py') AS path, p_partkey, {body} AS content FROM part"
 
 

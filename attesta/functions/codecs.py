@@ -11,6 +11,7 @@ import tomllib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 try:
     import yaml
@@ -80,17 +81,17 @@ def _python(text: str | None) -> str:
     return json.dumps({"errors": False, "rows": rows})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _toml_udf(texts: pd.Series) -> pd.Series:
     return texts.map(_toml)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _yaml_udf(texts: pd.Series) -> pd.Series:
     return texts.map(_yaml)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _python_udf(texts: pd.Series) -> pd.Series:
     return texts.map(_python)
 

@@ -56,7 +56,7 @@ def runtime_hint(image: Column) -> Column:
     name = F.lower(F.split_part(last, F.lit(":"), F.lit(1)))
     runtime = first_match((name.contains(k), F.lit(v)) for k, v in dims.IMAGE_RUNTIMES)
     tag = F.when(image.contains(":"), F.element_at(F.split(image, ":"), -1)).otherwise("latest")
-    return F.when(tag == "latest", runtime).otherwise(F.concat_ws(":", runtime, tag))
+    return F.when(tag == "latest", runtime).otherwise(F.concat(runtime, F.lit(":"), tag))
 
 
 def resolve_matrix(value: Column, matrix: Column) -> Column:

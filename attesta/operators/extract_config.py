@@ -35,20 +35,24 @@ def _map(text: Column, path: str) -> Column:
     return F.from_json(_json(text, path), STRING_MAP)
 
 
-def _is_string(parsed: Column, path: str, key: Column) -> Column:
-    members = F.try_variant_get(parsed, path, "map<string,variant>")
-    return F.coalesce(F.schema_of_variant(F.try_element_at(members, key)) == "STRING", F.lit(False))
-
-
 def _string_members(rows: DataFrame, text: str, path: str) -> DataFrame:
-    """One row per string member of an object: ordinal, name, value."""
-    parsed = rows.withColumn("_doc", F.try_parse_json(text)).filter("_doc IS NOT NULL")
-    out = parsed.select("*", F.posexplode(F.map_entries(_map(F.col(text), path))).alias("ordinal", "_e"))
+    """One row per string member of an object: ordinal, name, value.
+
+    The text is parsed inside a list, because the parser alone overlooks what follows a
+    complete document; a malformed text gives no rows.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]")))
+    parsed = rows.withColumn("_doc", listed).filter(
+        F.col("_doc").isNotNull() & F.try_variant_get("_doc", "$[1]", "string").isNull()
+    )
+    members = parsed.withColumn("_types", F.try_variant_get("_doc", "$[0]" + path[1:], "map<string,variant>")).drop("_doc")
+    out = members.select("*", F.posexplode(F.map_entries(_map(F.col(text), path))).alias("ordinal", "_e"))
+    kind = F.schema_of_variant(F.try_element_at("_types", F.col("_e.key")))
     return (
         out.withColumn("name", F.col("_e.key"))
         .withColumn("value", F.col("_e.value"))
-        .filter(_is_string(F.col("_doc"), path, F.col("name")))
-        .drop("_e", "_doc")
+        .filter(kind == "STRING")
+        .drop("_e", "_types")
     )
 
 
@@ -160,10 +164,12 @@ def dockerfile_facts(files: DataFrame) -> DataFrame:
         "port": ports,
         "workdir": F.slice(F.transform("dirs", lambda d: F.trim(d)), F.lit(-1), F.lit(1)),
     }
-    arrays = [
-        F.transform(values, lambda v, i, kind=kind: F.struct(F.lit(kind).alias("kind"), i.alias("position"), v.alias("value")))
-        for kind, values in lists.items()
-    ]
+    def facts(kind: str, values: Column) -> Column:
+        return F.transform(
+            values, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("position"), v.alias("value"))
+        )
+
+    arrays = [facts(kind, values) for kind, values in lists.items()]
     # a negative slice of an empty list is an error, hence the guard on workdir
     arrays[-1] = F.when(F.size("dirs") > 0, arrays[-1])
     arrays[-1] = F.coalesce(arrays[-1], F.array().cast("array<struct<kind:string,position:int,value:string>>"))

@@ -105,11 +105,11 @@ def command_claims(commands: DataFrame) -> DataFrame:
 def ci_claims(matched: DataFrame, ci: DataFrame, config: DataFrame) -> DataFrame:
     """Matched commands upgraded to the better confidence; unmatched ones as CI-observed claims.
 
-    ``matched`` comes from :func:`ci_match`; ``ci`` has the confidence of every CI line in
-    its normal form, the first sighting counting.
+    ``matched`` comes from :func:`ci_match`; ``ci`` has the raw text and the confidence of
+    every CI line beside its normal form, the first sighting counting.
     """
     sighted = matched.join(ci, ["repo_id", "ci_command"])
-    upgraded = sighted.filter("ordinal IS NOT NULL").join(
+    upgraded = sighted.filter("ordinal IS NOT NULL").drop("command").join(
         config.select("repo_id", "ordinal", "command", "risk_class", F.col("confidence").alias("own")), ["repo_id", "ordinal"]
     ).select(
         "repo_id", F.col("command").alias("content"), F.lit("executable-config").alias("source_authority"),
@@ -118,7 +118,7 @@ def ci_claims(matched: DataFrame, ci: DataFrame, config: DataFrame) -> DataFrame
     upgraded = upgraded.groupBy("repo_id", "content", "source_authority", "risk_class").agg(F.max("confidence").alias("confidence"))
     fresh = sighted.filter("ordinal IS NULL").select(
         "repo_id", F.col("ci_command").alias("content"), F.lit("ci-observed").alias("source_authority"),
-        risk_of_ci_command(F.col("ci_command")).alias("risk_class"), "confidence",
+        risk_of_ci_command(F.col("command")).alias("risk_class"), "confidence",
     )
     return upgraded.unionByName(fresh).withColumn("evidence_level", F.lit("ci-evidenced"))
 
