@@ -9,6 +9,7 @@ from attesta.catalog.registry import query
 from attesta.functions.base import content_hash
 from attesta.operators import filters, freshness, maintenance
 from attesta.plans import projection, quality
+from attesta.session import checkpointed
 
 AS_OF = "2001-08-01T00:00:00Z"
 KEY = ["repo_id", "claim_id"]
@@ -36,6 +37,10 @@ def _routed(t):
     return projection.route_claims(_gated(t))
 
 
+def _files(t):
+    return projection.project(_gated(t), AS_OF)
+
+
 @query("route_claims", f"WITH {ROUTED} SELECT repo_id, claim_id, host, section, destination FROM routed")
 def _(t):
     return _routed(t).select(*KEY, "host", "section", "destination")
@@ -49,7 +54,9 @@ c AS (SELECT *, octet_length(encode(content)) + CASE s WHEN 0 THEN 5 ELSE 3 END
   + CASE WHEN row_number() OVER (PARTITION BY repo_id, s ORDER BY n) = 1 THEN CASE s WHEN 0 THEN 12 ELSE 16 END ELSE 0 END AS cost FROM o)
 SELECT repo_id, claim_id, section, 100 + sum(cost) OVER (PARTITION BY repo_id ORDER BY n) <= 1500 AS included FROM c""")
 def _(t):
-    return projection.budget_prefix(_routed(t), header_bytes=100, budget=1500).select(*KEY, "section", "included")
+    routed = _routed(t)
+    kept = projection.budget_prefix(routed, header_bytes=100, budget=1500)
+    return projection.with_verdict(routed.filter("host = 'agents-md'"), kept, KEY).select(*KEY, "section", "included")
 
 
 def _greedy(source: str, keys: str, order: str, size: str, extra: str, budget: int, start: int, state: str) -> str:
@@ -126,7 +133,7 @@ hd AS (SELECT DISTINCT repo_id, s, -1 AS grp, 0 AS k, 0 AS authority_level, '' A
 
 @query("always_on_lines", f"WITH {ROUTED}, {AGENT_LINES} SELECT repo_id, s AS section_no, grp AS group_no, text FROM (SELECT * FROM al UNION ALL SELECT * FROM hd) AS x")
 def _(t):
-    shared = projection.budget_prefix(_routed(t)).filter("included")
+    shared = projection.budget_prefix(_routed(t))
     return projection.always_on_lines(shared).select("repo_id", "section_no", "group_no", "text")
 
 
@@ -134,7 +141,7 @@ def _(t):
 WITH {ROUTED}, {AGENT_LINES} SELECT repo_id, 'AGENTS.md' AS path, concat('<!-- Generated from claims | repo: ', repo_id, ' | timestamp: {AS_OF} | DO NOT EDIT -->', chr(10), chr(10), string_agg(text, chr(10) ORDER BY s, grp, k, authority_level, scope, claim_type, claim_id), chr(10)) AS text
 FROM (SELECT * FROM al UNION ALL SELECT * FROM hd) AS x GROUP BY repo_id""")
 def _(t):
-    shared = projection.budget_prefix(_routed(t)).filter("included")
+    shared = projection.budget_prefix(_routed(t))
     return projection.assemble(projection.always_on_lines(shared), AS_OF).select("repo_id", "path", "text")
 
 
@@ -235,28 +242,27 @@ def _(t):
 
 @query("format_check")
 def _(t):
-    return quality.format_check(projection.project(_gated(t), AS_OF))
+    return quality.format_check(_files(t))
 
 
 @query("budget_check")
 def _(t):
-    return quality.budget_check(projection.project(_gated(t), AS_OF))
+    return quality.budget_check(_files(t))
 
 
 @query("leakage_check")
 def _(t):
-    claims = maintenance.dedup_first(t.claims)
-    return quality.leakage_check(claims, quality.file_lines(projection.project(_gated(t), AS_OF)))
+    return quality.leakage_check(maintenance.dedup_first(t.claims), quality.file_lines(_files(t)))
 
 
 @query("conformance_score")
 def _(t):
-    return quality.conformance(maintenance.dedup_first(t.claims), projection.project(_gated(t), AS_OF))
+    return quality.conformance(maintenance.dedup_first(t.claims), checkpointed(_files(t)))
 
 
 @query("promotion_assessment")
 def _(t):
-    claims, files = maintenance.dedup_first(t.claims), projection.project(_gated(t), AS_OF)
+    claims, files = maintenance.dedup_first(t.claims), checkpointed(_files(t))
     scores = quality.conformance(claims, files)
     leaks = quality.leakage_check(claims, quality.file_lines(files))
     disk = t.disk.select("repo_id", "path", content_hash(F.col("text")).alias("disk_hash"))

@@ -24,6 +24,7 @@ from attesta.functions.scopes import (
     skill_name,
 )
 from attesta.operators.ordering import STABLE, top_k
+from attesta.session import checkpointed
 
 CLAIM_KEY = ["repo_id", "claim_id"]
 RULES = ("always-on-rule", "scoped-rule")
@@ -104,7 +105,7 @@ def budget_prefix(routed: DataFrame, header_bytes: int = 0, budget: int = dims.H
     """Longest prefix (commands, then rules, each in stable order) whose rendered bytes fit.
 
     A section or risk heading is paid by its first line. Every line costs at least four
-    bytes, so rows beyond ``budget / 4`` cannot fit and are marked without being summed.
+    bytes, so rows beyond ``budget / 4`` cannot fit and are cut before the shuffle.
     """
     most = budget // 4
     section = F.when(F.col("section") == "commands", 0).otherwise(1)
@@ -122,14 +123,18 @@ def budget_prefix(routed: DataFrame, header_bytes: int = 0, budget: int = dims.H
     )
     running = Window.partitionBy("repo_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fit = head.withColumn("cost", line + heading).withColumn("used", F.sum("cost").over(running) + header_bytes)
-    included = fit.filter(F.col("used") <= budget).select("repo_id", "claim_id", "used")
-    return rows.drop("_sec", "_risk").join(included, CLAIM_KEY, "left").withColumn("included", F.col("used").isNotNull())
+    return fit.filter(F.col("used") <= budget).drop("_sec", "_risk", "_n", "cost", "used")
+
+
+def with_verdict(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows with ``included``, for reports on what a budget left out."""
+    flags = kept.select(*keys).withColumn("_in", F.lit(True))
+    return rows.join(flags, keys, "left").withColumn("included", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
 def greedy_fill(
     items: DataFrame,
     keys: list[str],
-    item_id: str,
     size: str,
     order: list[str],
     budget: int,
@@ -137,7 +142,7 @@ def greedy_fill(
     section: str | None = None,
     section_cost: int = 0,
 ) -> DataFrame:
-    """Ids that fit when items are tried in order and misfits are skipped.
+    """Rows that fit when items are tried in order and misfits are skipped.
 
     Of equal-sized items (in one section) only the first ``budget / size`` can ever fit:
     room never grows, so once one of them is refused the later ones are too. That bound
@@ -148,71 +153,82 @@ def greedy_fill(
     nth = F.row_number().over(Window.partitionBy(*same).orderBy(*order))
     able = items.filter((F.col(size) > 0) & (F.col(size) <= room)).withColumn("_n", nth)
     # the literal bound is cut before the shuffle, the exact one after it
-    able = able.filter(F.col("_n") <= room).filter(F.col("_n") * F.col(size) <= room)
+    able = able.filter(F.col("_n") <= room).filter(F.col("_n") * F.col(size) <= room).drop("_n")
+    rest = [c for c in items.columns if c not in keys and c not in order]
     part = F.col(section) if section else F.lit("")
-    packed = able.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("_size"), part.alias("_section"), F.col(item_id).alias("_id")))).alias("_items")
-    )
+    item = F.struct(*order, part.alias("_section"), F.struct(*order, *rest).alias("_row"))
+    packed = able.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     state = F.struct(
         F.lit(start).cast("bigint").alias("used"),
         F.array().cast("array<string>").alias("sections"),
-        F.array().cast("array<string>").alias("kept"),
+        F.array().cast("array<boolean>").alias("flags"),
     )
 
     def step(acc: Column, item: Column) -> Column:
         extra = F.when(F.array_contains(acc.sections, item._section), 0).otherwise(section_cost)
-        after = acc.used + item._size + extra
-        taken = F.struct(
-            after.cast("bigint").alias("used"),
-            F.array_union(acc.sections, F.array(item._section)).alias("sections"),
-            F.concat(acc.kept, F.array(item._id)).alias("kept"),
+        after = acc.used + item._row[size] + extra
+        fits = after <= budget
+        return F.struct(
+            F.when(fits, after).otherwise(acc.used).cast("bigint").alias("used"),
+            F.when(fits, F.array_union(acc.sections, F.array(item._section))).otherwise(acc.sections).alias("sections"),
+            F.concat(acc.flags, F.array(fits)).alias("flags"),
         )
-        return F.when(after <= budget, taken).otherwise(acc)
 
-    folded = packed.select(*keys, F.aggregate("_items", state, step).alias("_state"))
-    return folded.select(*keys, F.explode("_state.kept").alias(item_id))
+    folded = packed.select(*keys, "_items", F.aggregate("_items", state, step, lambda acc: acc.flags).alias("_flags"))
+    taken = F.filter(F.arrays_zip("_items", "_flags"), lambda z: z["_flags"])
+    return folded.select(*keys, F.explode(taken).alias("_z")).select(*keys, "_z._items._row.*")
+
+
+def _sized(routed: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
+    rows = routed.filter(F.col("host").isin(*hosts) & (F.col("section") != "excluded"))
+    return rows.withColumn("bytes", utf8_bytes(F.col("content"))).withColumn("worth", -F.col("confidence"))
 
 
 def budget_greedy(routed: DataFrame, budget: int, hosts: tuple[str, ...] = ("windsurf",)) -> DataFrame:
-    """Claims in (authority, confidence) order that fit a byte budget; misfits are skipped."""
-    rows = routed.filter(F.col("host").isin(*hosts) & ~F.col("section").isin("excluded"))
-    items = rows.withColumn("bytes", utf8_bytes(F.col("content"))).withColumn("worth", -F.col("confidence"))
-    kept = greedy_fill(items, ["repo_id", "host"], "claim_id", "bytes", ["authority_level", "worth", "claim_id"], budget)
-    flagged = kept.withColumn("included", F.lit(True))
-    return items.join(flagged, ["repo_id", "host", "claim_id"], "left").withColumn("included", F.coalesce("included", F.lit(False))).withColumn(
+    """Claims in (authority, confidence) order against a byte budget; misfits are skipped."""
+    items = _sized(routed, hosts)
+    kept = greedy_fill(items, ["repo_id", "host"], "bytes", ["authority_level", "worth", "claim_id"], budget)
+    return with_verdict(items, kept, ["repo_id", "host", "claim_id"]).withColumn(
         "budget_reason", F.when(F.col("included"), "within budget").otherwise("exceeded hard budget")
     )
 
 
-def line_budget_overflow(routed: DataFrame, soft_lines: int = 200, reserve: int = 15, first_lines: int = 3) -> DataFrame:
-    """Always-on lines within the soft budget; the others overflow to skills.
-
-    A section costs three more lines when its first claim goes in.
-    """
+def _always_on(routed: DataFrame) -> DataFrame:
     rows = routed.filter("host = 'claude' AND section IN ('commands', 'conventions', 'guardrails')")
-    items = rows.withColumn("section_no", lookup(F.col("section"), SECTION_ORDER)).withColumn(
+    return rows.withColumn("section_rank", lookup(F.col("section"), SECTION_ORDER)).withColumn(
         "lines", F.size(F.split("content", "\n")) + 1
     )
-    kept = greedy_fill(
-        items, ["repo_id"], "claim_id", "lines", ["section_no", *STABLE], soft_lines - reserve, first_lines, "section", 3
-    ).withColumn("_in", F.lit(True))
-    out = items.join(kept, CLAIM_KEY, "left")
-    return out.withColumn("included", F.coalesce("_in", F.lit(False))).withColumn(
-        "destination", F.when(F.col("_in"), F.col("destination")).otherwise("skills")
-    ).withColumn("reason", F.when(F.col("_in"), F.col("reason")).otherwise("budget overflow from always-on file")).drop("_in")
 
 
-def workspace_budget(files: DataFrame, per_file: int = dims.FILE_LIMIT_CHARS, total: int = dims.WORKSPACE_LIMIT_CHARS) -> DataFrame:
+def line_budget(routed: DataFrame, soft_lines: int = 200, reserve: int = 15, first_lines: int = 3) -> DataFrame:
+    """Always-on rows within the soft line budget; a section costs three more lines at first."""
+    return greedy_fill(
+        _always_on(routed), ["repo_id"], "lines", ["section_rank", *STABLE], soft_lines - reserve, first_lines, "section", 3
+    ).drop("section_rank", "lines")
+
+
+def line_budget_overflow(routed: DataFrame, soft_lines: int = 200) -> DataFrame:
+    """Every always-on row with its final destination: rows past the budget go to skills."""
+    out = with_verdict(_always_on(routed), line_budget(routed, soft_lines), CLAIM_KEY)
+    return out.withColumn("destination", F.when(F.col("included"), F.col("destination")).otherwise("skills")).withColumn(
+        "reason", F.when(F.col("included"), F.col("reason")).otherwise("budget overflow from always-on file")
+    )
+
+
+def workspace_fit(files: DataFrame, per_file: int = dims.FILE_LIMIT_CHARS, total: int = dims.WORKSPACE_LIMIT_CHARS) -> DataFrame:
     """Whole files in priority order, each and together within their limits; misfits are skipped.
 
     ``files`` has (repo_id, path, priority, chars): sizes, not texts.
     """
-    small = files.filter(F.col("chars") <= per_file)
-    kept = greedy_fill(small, ["repo_id"], "path", "chars", ["priority", "path"], total).withColumn("_in", F.lit(True))
+    return greedy_fill(files.filter(F.col("chars") <= per_file), ["repo_id"], "chars", ["priority", "path"], total)
+
+
+def workspace_budget(files: DataFrame, per_file: int = dims.FILE_LIMIT_CHARS, total: int = dims.WORKSPACE_LIMIT_CHARS) -> DataFrame:
+    out = with_verdict(files, workspace_fit(files, per_file, total), ["repo_id", "path"])
     reason = (
-        F.when(F.col("_in"), "included").when(F.col("chars") > per_file, "file exceeds per-file limit").otherwise("workspace budget exceeded")
+        F.when(F.col("included"), "included").when(F.col("chars") > per_file, "file exceeds per-file limit").otherwise("workspace budget exceeded")
     )
-    return files.join(kept, ["repo_id", "path"], "left").withColumn("reason", reason).withColumn("included", F.coalesce("_in", F.lit(False))).drop("_in")
+    return out.withColumn("reason", reason)
 
 
 def overflow_report(decided: DataFrame) -> DataFrame:
@@ -233,72 +249,76 @@ def without_shared(routed: DataFrame, shared: DataFrame) -> DataFrame:
 # ---- lines -----------------------------------------------------------------------------
 
 
-def _lines(rows: DataFrame, path: Column, section: int | Column, group: Column, text: Column) -> DataFrame:
-    """Claim lines: the sort key is (section, group, level, scope, type, id)."""
-    number = section if isinstance(section, Column) else F.lit(section)
-    return rows.select(
-        "repo_id", "host", path.alias("path"), number.alias("section_no"), group.cast("int").alias("group_no"),
-        F.lit(1).alias("kind_no"), "authority_level", "scope", "claim_type", "claim_id", text.alias("text"),
-    )
+def _head(section: int | Column, group: int | Column, kind: int, text: str | Column) -> Column:
+    """A line that belongs to a file, section or group rather than to one claim."""
+    def column(value: object) -> Column:
+        return value if isinstance(value, Column) else F.lit(value)
 
-
-def _headings(lines: DataFrame, by: list[str], kind_no: int, group_no: Column, text: Column) -> DataFrame:
-    """One heading row in front of each group of lines that exists."""
-    found = lines.select("repo_id", "host", "path", *by).distinct()
-    return found.select(
-        "repo_id", "host", "path", "section_no", group_no.cast("int").alias("group_no"), F.lit(kind_no).alias("kind_no"),
-        F.lit(0).alias("authority_level"), F.lit("").alias("scope"), F.lit("").alias("claim_type"), F.lit("").alias("claim_id"), text.alias("text"),
+    return F.struct(
+        column(section).cast("int").alias("section_no"), column(group).cast("int").alias("group_no"), F.lit(kind).alias("kind_no"),
+        F.lit(0).alias("authority_level"), F.lit("").alias("scope"), F.lit("").alias("claim_type"), F.lit("").alias("claim_id"),
+        column(text).alias("text"),
     )
 
 
-def commands_by_risk(rows: DataFrame, path: Column) -> DataFrame:
-    """Command lines under one heading per risk."""
-    risk = F.coalesce("risk_class", F.lit("build"))
-    order = lookup(risk, dims.RISK_ORDER, 99)
-    lines = _lines(rows.filter("section = 'commands'"), path, 0, order, command_line(F.col("content")))
-    names = {i: dims.RISK_LABEL[r] for r, i in dims.RISK_ORDER.items()}
-    label = F.concat(F.lit("### "), lookup(F.col("group_no"), names, "Other"))
-    top = _headings(lines, ["section_no"], 0, F.lit(-1), F.lit("## Commands"))
-    return lines.unionByName(top).unionByName(_headings(lines, ["section_no", "group_no"], 0, F.col("group_no"), label))
+def _lines(rows: DataFrame, path: Column, section: int, group: Column, text: Column, heads: list[Column]) -> DataFrame:
+    """Claim lines and the heading lines they need, in one pass.
+
+    The sort key is (section, group, kind, level, scope, type, id). Headings repeat per
+    claim here and are folded by :func:`_folded` before anything is moved.
+    """
+    own = F.struct(
+        F.lit(section).alias("section_no"), group.cast("int").alias("group_no"), F.lit(1).alias("kind_no"),
+        "authority_level", "scope", "claim_type", "claim_id", text.alias("text"),
+    )
+    line = F.explode(F.array(own, *heads)).alias("l")
+    return rows.select("repo_id", "host", path.alias("path"), line).select("repo_id", "host", "path", "l.*").filter("text IS NOT NULL")
 
 
-def section_lines(rows: DataFrame, section: str, title: str, path: Column, no: int) -> DataFrame:
-    lines = _lines(rows.filter(F.col("section") == section), path, no, F.lit(0), plain_line(F.col("content")))
-    return lines.unionByName(_headings(lines, ["section_no"], 0, F.lit(-1), F.lit(f"## {title}")))
+def _folded(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def always_on_lines(decided: DataFrame) -> DataFrame:
-    """Lines of the shared file and of the first host, from rows already within budget."""
+    """Lines of the shared file and of the first host, from rows already within budget.
+
+    Commands stand under one heading per risk.
+    """
     path = lookup(F.col("host"), {"agents-md": "AGENTS.md", "claude": "CLAUDE.md"})
-    parts = [
-        commands_by_risk(decided, path),
-        section_lines(decided, "conventions", "Conventions", path, 1),
-        section_lines(decided, "guardrails", "Guardrails", path, 2),
+    order = lookup(F.coalesce("risk_class", F.lit("build")), dims.RISK_ORDER, 99)
+    label = F.concat(F.lit("### "), lookup(F.coalesce("risk_class", F.lit("build")), dims.RISK_LABEL, "Other"))
+    command = _lines(
+        decided.filter("section = 'commands'"), path, 0, order, command_line(F.col("content")),
+        [_head(0, -1, 0, "## Commands"), _head(0, order, 0, label)],
+    )
+    plain = [
+        _lines(decided.filter(F.col("section") == name), path, no, F.lit(0), plain_line(F.col("content")), [_head(no, -1, 0, f"## {title}")])
+        for no, name, title in ((1, "conventions", "Conventions"), (2, "guardrails", "Guardrails"))
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return _folded([command, *plain])
 
 
 def thin_lines(routed: DataFrame) -> DataFrame:
     """Thin always-on file: restrictions (destructive first), key commands, ten rules, five notes."""
     rows = routed.filter("host = 'copilot'")
-    path = F.lit(".github/copilot-instructions.md")
+    path, none = F.lit(".github/copilot-instructions.md"), F.lit(0)
     destructive = F.lower("content").contains("destructive")
-    guard = rows.filter("section = 'guardrails'")
     warn = F.when(destructive, F.concat(F.lit("- **WARNING**: "), "content")).otherwise(plain_line(F.col("content")))
-    guards = _lines(guard, path, 0, F.when(destructive, 0).otherwise(1), warn)
     key = F.col("risk_class").isin("test-execution", "safe-readonly") | F.arrays_overlap("applicability", F.array(*map(F.lit, ("test", "lint", "build"))))
-    commands = _lines(rows.filter(F.col("section") == "commands").filter(F.coalesce(key, F.lit(False))), path, 1, F.lit(0), command_line(F.col("content")))
     stable = [F.col(c) for c in STABLE]
     rules = top_k(rows.filter("section = 'conventions'"), ["repo_id"], stable, 10)
     notes = top_k(rows.filter("section = 'setup'"), ["repo_id"], stable, 5)
-    parts = [
-        (guards, "## Restrictions"),
-        (commands, "## Key Commands"),
-        (_lines(rules, path, 2, F.lit(0), plain_line(F.col("content"))), "## Critical Conventions"),
-        (_lines(notes, path, 3, F.lit(0), plain_line(F.col("content"))), "## Environment"),
-    ]
-    out = [lines.unionByName(_headings(lines, ["section_no"], 0, F.lit(-1), F.lit(title))) for lines, title in parts]
-    return reduce(DataFrame.unionByName, out)
+    plain = plain_line(F.col("content"))
+    return _folded([
+        _lines(rows.filter("section = 'guardrails'"), path, 0, F.when(destructive, 0).otherwise(1), warn, [_head(0, -1, 0, "## Restrictions")]),
+        _lines(rows.filter("section = 'commands'").filter(F.coalesce(key, F.lit(False))), path, 1, none, command_line(F.col("content")), [_head(1, -1, 0, "## Key Commands")]),
+        _lines(rules, path, 2, none, plain, [_head(2, -1, 0, "## Critical Conventions")]),
+        _lines(notes, path, 3, none, plain, [_head(3, -1, 0, "## Environment")]),
+    ])
+
+
+def _front(trigger: Column) -> list[Column]:
+    return [_head(0, -2, 0, "---"), _head(0, -1, 0, trigger), _head(0, 9, 2, "---")]
 
 
 def scoped_lines(routed: DataFrame) -> DataFrame:
@@ -311,23 +331,15 @@ def scoped_lines(routed: DataFrame) -> DataFrame:
         .when(host == "cursor", F.concat(F.lit(f".cursor/rules/{PREFIX}-"), "_key", F.lit(".md")))
         .otherwise(F.concat(F.lit(f".windsurf/rules/{PREFIX}-"), "_key", F.lit(".md")))
     )
-    lines = _lines(rows, path, 1, F.lit(0), plain_line(F.col("content")))
     field = (
         F.when(host == "claude", F.concat(F.lit("  - "), "scope"))
         .when(host == "copilot", F.concat(F.lit("applyTo: "), "scope"))
         .when(host == "cursor", F.concat(F.lit("globs: "), scope_glob(F.col("scope"))))
         .otherwise(F.concat(F.lit("glob: "), scope_glob(F.col("scope"))))
     )
-    # one front line per distinct scope that shares the key
-    front = rows.select("repo_id", "host", path.alias("path"), "scope", field.alias("text")).distinct().select(
-        "repo_id", "host", "path", F.lit(0).alias("section_no"), F.lit(0).alias("group_no"), F.lit(1).alias("kind_no"),
-        F.lit(0).alias("authority_level"), "scope", F.lit("").alias("claim_type"), F.lit("").alias("claim_id"), "text",
-    )
-    trigger = F.when(host == "windsurf", "trigger: glob").when(host == "cursor", "alwaysApply: false").when(host == "claude", "paths:").otherwise("")
-    opening = _headings(lines, ["section_no"], 0, F.lit(-2), F.lit("---")).withColumn("section_no", F.lit(0))
-    named = _headings(lines, ["section_no"], 0, F.lit(-1), trigger).withColumn("section_no", F.lit(0)).filter("text <> ''")
-    closing = _headings(lines, ["section_no"], 2, F.lit(9), F.lit("---")).withColumn("section_no", F.lit(0))
-    return reduce(DataFrame.unionByName, [lines, front, opening, named, closing])
+    trigger = F.when(host == "windsurf", "trigger: glob").when(host == "cursor", "alwaysApply: false").when(host == "claude", "paths:")
+    heads = [*_front(trigger), _head(0, 0, 1, field)]
+    return _folded([_lines(rows, path, 1, F.lit(0), plain_line(F.col("content")), heads)])
 
 
 # ---- skills ----------------------------------------------------------------------------
@@ -455,17 +467,15 @@ def assemble(lines: DataFrame, as_of: str, limit_bytes: int = dims.MAX_FILE_BYTE
 
 
 def project(claims: DataFrame, as_of: str) -> DataFrame:
-    """All files of all hosts for claims that passed the output gate."""
-    routed = route_claims(claims)
-    shared = budget_prefix(routed).filter("included").drop("used", "included")
-    first = line_budget_overflow(routed).filter("included").drop("section_no", "lines", "included")
-    lines = [
-        always_on_lines(shared.unionByName(first)),
-        thin_lines(routed),
-        scoped_lines(routed),
-        rule_file_lines(routed),
-    ]
-    return assemble(reduce(DataFrame.unionByName, lines), as_of)
+    """All files of all hosts for claims that passed the output gate.
+
+    The routed claims feed four renderers and the lines are read twice, so both are
+    written once instead of being computed again.
+    """
+    routed = checkpointed(route_claims(claims))
+    first = budget_prefix(routed).unionByName(line_budget(routed))
+    parts = [always_on_lines(first), thin_lines(routed), scoped_lines(routed), rule_file_lines(routed)]
+    return assemble(checkpointed(reduce(DataFrame.unionByName, parts)), as_of)
 
 
 def rule_files(routed: DataFrame) -> DataFrame:
@@ -486,15 +496,10 @@ def rule_file_sizes(rows: DataFrame) -> DataFrame:
 def rule_file_lines(routed: DataFrame) -> DataFrame:
     rows = rule_files(routed)
     sizes = rule_file_sizes(rows)
-    fits = workspace_budget(sizes.filter("host = 'windsurf'").drop("host")).filter("included").select("repo_id", "path", F.lit("windsurf").alias("host"))
-    free = sizes.filter("host = 'cursor'").select("repo_id", "path", "host")
-    kept = rows.join(fits.unionByName(free), ["repo_id", "path", "host"], "left_semi")
-    lines = _lines(kept, F.col("path"), F.lit(1), F.lit(0), F.col("line"))
+    fits = workspace_fit(sizes.filter("host = 'windsurf'")).select("repo_id", "path")
+    kept = rows.filter("host = 'cursor'").unionByName(rows.filter("host = 'windsurf'").join(fits, ["repo_id", "path"], "left_semi"))
     trigger = F.when(F.col("host") == "windsurf", "trigger: always_on").otherwise("alwaysApply: true")
-    opening = _headings(lines, ["section_no"], 0, F.lit(-2), F.lit("---")).withColumn("section_no", F.lit(0))
-    named = _headings(lines, ["section_no"], 0, F.lit(-1), trigger).withColumn("section_no", F.lit(0))
-    closing = _headings(lines, ["section_no"], 2, F.lit(9), F.lit("---")).withColumn("section_no", F.lit(0))
-    return reduce(DataFrame.unionByName, [lines, opening, named, closing])
+    return _folded([_lines(kept, F.col("path"), 1, F.lit(0), F.col("line"), _front(trigger))])
 
 
 def plan_apply(files: DataFrame, disk: DataFrame, managed: DataFrame) -> DataFrame:
