@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("claims", "governance", "text", "config", "code", "projection")
+AREAS = ("claims", "governance", "text", "config", "code", "projection", "flows")
 
 for _area in AREAS:
     import_module(f"attesta.catalog.{_area}")

@@ -66,13 +66,13 @@ def max_injection_severity(findings: DataFrame, keys: list[str]) -> DataFrame:
     return findings.groupBy(*keys).agg(F.min_by("severity", rank).alias("worst"), F.count(F.lit(1)).alias("findings"))
 
 
-def scan_secrets(
+def secret_hits(
     df: DataFrame,
     keys: list[str],
     text: str = "text",
     patterns: tuple[tuple[str, str, int], ...] = dims.SECRET_PATTERNS,
 ) -> DataFrame:
-    """Secret findings: known shapes, then quoted high-entropy assignments, one per span."""
+    """Known shapes and quoted high-entropy assignments, a span possibly under several labels."""
     hits = _hits(df, text, [*patterns, (dims.ASSIGNED_VALUE, dims.ENTROPY_LABEL, 1)])
     generic = F.col("label") == dims.ENTROPY_LABEL
     noisy = (
@@ -81,14 +81,22 @@ def scan_secrets(
         & (textscan.shannon_entropy(F.col("value")) > dims.ENTROPY_LIMIT)
     )
     kept = hits.filter(~generic | noisy)
-    line = textscan.line_at(F.col(text), F.col("line"))
-    redacted = textscan.redact(line, F.array("value"))
-    rows = kept.select(*keys, "no", "label", "start", "stop", "line", "value", redacted.alias("redacted_context"))
-    return first_by(rows, [*keys, "start", "stop"], [F.col("no").asc()]).withColumnRenamed(
-        "label", "pattern_type"
+    redacted = textscan.redact(textscan.line_at(F.col(text), F.col("line")), F.array("value"))
+    return kept.select(
+        *keys, "no", F.col("label").alias("pattern_type"), "start", "stop", "line", "value", redacted.alias("redacted_context")
     )
 
 
+def scan_secrets(
+    df: DataFrame,
+    keys: list[str],
+    text: str = "text",
+    patterns: tuple[tuple[str, str, int], ...] = dims.SECRET_PATTERNS,
+) -> DataFrame:
+    """Secret findings, one per span: the first pattern in scan order names it."""
+    return first_by(secret_hits(df, keys, text, patterns), [*keys, "start", "stop"], [F.col("no").asc()])
+
+
 def security_warnings(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Finding counts per text."""
     injections = scan_injection(df, text).select(*keys, F.lit("injection").alias("kind"))

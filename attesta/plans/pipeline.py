@@ -1,0 +1,171 @@
+"""Whole runs: files to claims, instruction files to claims, claims to conflict claims."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from attesta import dims
+from attesta.functions.base import authority_level, claim_id
+from attesta.functions.commands import normalize_ci_command, tags_for_risk
+from attesta.functions.scopes import host_from_source
+from attesta.functions.scopes import artifact_type as artifact_kind
+from attesta.operators import conflicts, conventions, extract_code, extract_docs, prerequisites
+from attesta.operators import extract_config as config
+from attesta.operators.maintenance import dedup_first, first_by
+from attesta.operators.security import security_scan_claims
+from attesta.session import checkpointed
+from attesta.sources.files import discover_instruction_files, prune_paths, route_files
+
+OUT = [
+    "repo_id", "claim_type", "content", "scope", "source_authority", "evidence_level", "risk_class", "applicability",
+    "confidence", "sensitivity", "review_state", "phase", "ordinal",
+]
+_registered: dict[str, tuple[str, object]] = {}
+
+
+def register_extractor(name: str, role: str, fn) -> None:
+    """Add an extractor: files of one role to rows with (repo_id, claim_type, content, confidence)."""
+    _registered[name] = (role, fn)
+
+
+def _claims(rows: DataFrame, phase: int, **given: object) -> DataFrame:
+    """Extractor output in the claims schema; what a source does not know gets its default."""
+    defaults = {
+        "scope": F.lit("**"), "evidence_level": F.lit("discovered"), "risk_class": F.lit(None).cast("string"),
+        "applicability": F.array(F.lit("all")), "sensitivity": F.lit("public"), "review_state": F.lit("unreviewed"),
+        "ordinal": F.lit(0), "source_authority": F.lit("executable-config"), "confidence": F.lit(1.0),
+    }
+    cols = []
+    for name in OUT:
+        if name == "phase":
+            cols.append(F.lit(phase).alias(name))
+        elif name in given:
+            value = given[name]
+            cols.append((F.lit(value) if isinstance(value, str | int | float) else value).alias(name))
+        elif name in rows.columns:
+            cols.append(F.col(name))
+        else:
+            cols.append(defaults[name].alias(name))
+    return rows.select(*cols)
+
+
+def run_extraction(files: DataFrame, excluded: tuple[str, ...] = dims.EXCLUDED_DIRS) -> DataFrame:
+    """Claims of every repository from its files, deduplicated, scanned and with their ids."""
+    routed = route_files(prune_paths(files, excluded))
+
+    def of(role: str) -> DataFrame:
+        return routed.filter(F.col("role") == role).select("repo_id", "path", "content")
+
+    # parsed once each: configuration is needed by several extractors
+    pyproject = config.pyproject_documents(of("pyproject"))
+    jobs_doc = config.workflow_documents(of("workflow"))
+    jobs = config.workflow_jobs(jobs_doc)
+    steps = config.workflow_steps(jobs)
+    docker = config.dockerfile_facts(of("dockerfile"))
+    compose = config.compose_services(of("compose"))
+    cols = ["repo_id", "path", "ordinal", "name", "command", "risk_class", "confidence"]
+    commands = checkpointed(
+        config.pyproject_commands(pyproject).withColumn("ordinal", F.col("part") * 100_000 + F.col("ordinal")).select(*cols)
+        .unionByName(config.package_json_commands(of("package_json")).withColumn("ordinal", F.col("ordinal") + 1_000_000).select(*cols))
+        .unionByName(config.makefile_targets(of("makefile")).withColumn("ordinal", F.col("ordinal") + 2_000_000).select(*cols))
+    )
+    lines = config.ci_commands(steps).withColumn("ci_command", normalize_ci_command(F.col("command")))
+    first = first_by(lines, ["repo_id", "ci_command"], [F.col("job_no"), F.col("step_no"), F.col("line_no")])
+    ci = prerequisites.ci_claims(config.ci_match(lines, commands), first.select("repo_id", "ci_command", "command", "confidence"), commands)
+    # a CI sighting raises evidence and confidence of the command it matches, so it goes first
+    tags = tags_for_risk(F.col("risk_class"))
+    text = F.col("command")
+    docs = extract_docs.docs_commands(of("docs"))
+    parts = [
+        _claims(ci, 0, claim_type="validated-command", applicability=tags),
+        _claims(commands, 1, claim_type="validated-command", content=text, applicability=tags),
+        _claims(config.docs_new_commands(docs, commands), 2, claim_type="validated-command", content=text, source_authority="checked-in-docs"),
+        _claims(prerequisites.runtime_prereqs(
+            config.pyproject_facts(pyproject), config.package_json_engines(of("package_json")), config.version_files(of("version_file")),
+            config.ci_runtimes(steps), docker), 3, applicability=F.array("tag")),
+        _claims(prerequisites.service_prereqs(compose, config.ci_services(jobs)), 4, applicability=F.array("tag")),
+        _claims(prerequisites.env_prereqs(config.ci_env_names(jobs_doc, jobs, steps), docker, compose), 5, applicability=F.array("tag")),
+        _claims(prerequisites.os_prereqs(jobs), 6, applicability=F.array("tag")),
+        _claims(extract_docs.docs_prereq_claims(extract_docs.docs_prerequisites(of("docs"))), 7),
+        *_code_claims(of, routed),
+    ]
+    for name in sorted(_registered):
+        role, fn = _registered[name]
+        parts.append(_claims(fn(of(role)), 20))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return _finished(whole)
+
+
+def _code_claims(of, routed: DataFrame) -> list[DataFrame]:
+    """Conventions and module boundaries."""
+    symbols = checkpointed(extract_code.python_symbols(of("python")).select("repo_id", "path", "kind", "name", "line", "returns", "params", "annotated", "doc", "level", "is_test"))
+    functions = symbols.filter("kind = 'function'")
+    named = symbols.filter("kind IN ('function', 'class') AND NOT is_test").withColumn("seen", F.coalesce("line", F.lit(0)))
+    tag = F.array("tag")
+    modules = extract_code.distinct_modules(extract_code.py_modules(routed), extract_code.js_modules(routed))
+    tests = functions.filter("is_test").select("repo_id", "path").distinct()
+    return [
+        _claims(conventions.naming_conventions(conventions.naming_stats(named, ["repo_id", "kind"], ["path", "seen"])), 8, applicability=tag),
+        _claims(conventions.placement_claims(conventions.test_placement(tests)), 9, applicability=tag),
+        _claims(conventions.import_style_claims(conventions.import_style(symbols.filter("kind = 'import'"))), 10, applicability=tag),
+        _claims(conventions.annotation_claims(conventions.annotation_ratios(functions)), 11, applicability=tag),
+        _claims(conventions.docstring_claims(conventions.docstring_ratios(symbols)), 12, applicability=tag),
+        _claims(conventions.typescript_claims(conventions.typescript_share(routed)), 13, applicability=tag),
+        _claims(extract_code.boundary_claims(modules), 14, source_authority="inferred-high"),
+    ]
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    """Ids, first sighting per id, security scan, authority level."""
+    named = rows.withColumn("claim_id", claim_id(F.col("claim_type"), F.col("scope"), F.col("content")))
+    unique = checkpointed(dedup_first(named))
+    scanned = security_scan_claims(unique, ["repo_id", "claim_id"])
+    return scanned.withColumn("authority_level", authority_level(F.col("source_authority"))).drop("phase", "ordinal")
+
+
+def run_import(files: DataFrame) -> DataFrame:
+    """Claims of hand-written instruction files, unreviewed and scanned."""
+    found = extract_docs.instruction_claims(discover_instruction_files(files).select("repo_id", "path", "content"))
+    rows = _claims(
+        found, 0, content=F.col("claim_text"), scope=F.col("claim_scope"), source_authority="declared-imported-unreviewed",
+        ordinal=F.abs(F.hash("path", "claim_text", "confidence")),
+    )
+    return _finished(rows)
+
+
+def imported_artifacts(files: DataFrame) -> DataFrame:
+    """Instruction files registered as human owned, with the hash they were read at."""
+    from attesta.functions.base import content_hash
+
+    found = discover_instruction_files(files).filter("source_kind <> 'copilot-setup-steps'")
+    return found.select(
+        "repo_id", "path", artifact_kind(F.col("path")).alias("artifact_type"), host_from_source(F.col("source_kind")).alias("target_host"),
+        content_hash(F.col("content")).alias("expected_hash"), F.lit("imported-human-owned").alias("ownership_mode"),
+    )
+
+
+def conflict_claims(claims: DataFrame) -> DataFrame:
+    """All conflict kinds as claims that need a declaration; one row per disagreeing claim."""
+    content = F.col("content")
+    versus = F.concat(F.initcap("runtime"), F.lit(" version conflict: '"), content, F.lit("' vs '"), "rival", F.lit("'"))
+    imported = F.concat(F.lit("Imported instruction says '"), content, F.lit("' but extracted evidence shows '"), "rival", F.lit("'"))
+    missing = F.concat(F.lit("README references '"), content, F.lit("' but no test command found in package.json scripts"))
+    stale = F.concat(F.lit("Stale instruction: imported file references '"), content, F.lit("' but no matching command found in config files"))
+    parts = [
+        (conflicts.version_conflicts(claims), versus, 1.0),
+        (conflicts.import_conflicts(claims), imported, 1.0),
+        (conflicts.docs_command_conflicts(claims), missing, 1.0),
+        (conflicts.stale_import_conflicts(claims), stale, 0.8),
+        (conflicts.topic_conflicts(claims).withColumn("conflict_type", F.lit("convention")), content, 1.0),
+    ]
+    rows = None
+    for df, text, confidence in parts:
+        part = df.select("repo_id", text.alias("content"), "conflict_type", F.lit(confidence).alias("confidence")).distinct()
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.select(
+        "repo_id", claim_id(F.lit("conflict"), F.lit("**"), F.col("content")).alias("claim_id"), F.lit("conflict").alias("claim_type"),
+        F.lit("**").alias("scope"), "content", "conflict_type", "confidence", F.lit("needs-declaration").alias("review_state"),
+    )

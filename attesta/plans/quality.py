@@ -124,16 +124,17 @@ def promotion(scores: DataFrame, leaks: DataFrame, drift: DataFrame) -> DataFram
     leaked = leaks.groupBy("host").agg(F.sum("leaks").alias("leaks"))
     misses = drift.agg(F.coalesce(F.sum(F.col("false_positives") + F.col("false_negatives")), F.lit(0))).scalar()
     main = F.col("host").isin("agents-md", "claude")
+    judged = per_host.join(leaked, "host", "left").withColumn("leaks", F.coalesce("leaks", F.lit(0))).withColumn("misses", misses)
     checks = [
         F.when(main & (F.col("score") < 0.95), F.lit("conformance below 0.95")),
-        F.when(main & (F.coalesce("leaks", F.lit(0)) > 0), F.lit("leakage")),
-        F.when(main & (misses > 0), F.lit("drift tests failed")),
+        F.when(main & (F.col("leaks") > 0), F.lit("leakage")),
+        F.when(main & (F.col("misses") > 0), F.lit("drift tests failed")),
         F.when(~main & ~F.col("valid"), F.lit("invalid format")),
     ]
     gaps = F.filter(F.array(*checks), lambda x: x.isNotNull())
     earned = F.when(main, "GA").when(F.col("host") == "copilot", "Beta").otherwise("Alpha")
-    return per_host.join(leaked, "host", "left").select(
-        "host", "score", F.coalesce("leaks", F.lit(0)).alias("leaks"), F.array_join(gaps, "; ").alias("gaps"),
+    return judged.select(
+        "host", "score", "leaks", F.array_join(gaps, "; ").alias("gaps"),
         F.when(F.size(gaps) == 0, earned).otherwise("Preview").alias("maturity"),
     )
 

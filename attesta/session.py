@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +26,18 @@ def build_session(app: str = "attesta", cpus: int | str = 8, shuffle: int = 8) -
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster names; a temporary one only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{name}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
+    """Reliable checkpoint in that folder: survives a lost executor and cuts the lineage."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)

@@ -22,15 +22,15 @@ def scan_files(
     )
     tail = F.regexp_extract("path", "^.*?" + quoted(root.rstrip("/")) + "/(.*)$", 1)
     text = F.try_validate_utf8(F.col("content"))
-    small = F.col("length") <= limit_bytes
-    rows = raw.select(
-        F.regexp_extract(tail, "^([^/]+)/", 1).alias("repo_id"),
-        F.regexp_extract(tail, "^[^/]+/(.*)$", 1).alias("path"),
+    named = [
+        F.when(tail.contains("/"), F.regexp_extract(tail, "^([^/]+)/", 1)).otherwise("").alias("repo_id"),
+        F.regexp_extract(tail, "^(?:[^/]+/)?(.*)$", 1).alias("path"),
         F.col("length").alias("size"),
-        F.when(small, text).alias("content"),
-        F.when(~small, "too large").when(text.isNull(), "not text").alias("error"),
-    )
-    return rows.withColumn("blob_hash", blob_id(F.col("content")))
+    ]
+    # the size test is a filter, so the bytes of a large file are never read
+    small = raw.filter(F.col("length") <= limit_bytes).select(*named, text.alias("content"), F.when(text.isNull(), "not text").alias("error"))
+    large = raw.filter(F.col("length") > limit_bytes).select(*named, F.lit(None).cast("string").alias("content"), F.lit("too large").alias("error"))
+    return small.unionByName(large).withColumn("blob_hash", blob_id(F.col("content")))
 
 
 def quoted(text: str) -> str:
