@@ -9,6 +9,7 @@ from attesta.catalog.text import STYLE
 from attesta.functions.base import percent_text
 from attesta.functions.scopes import dotted_module, import_candidate
 from attesta.operators import conventions, extract_code, graph
+from attesta.session import checkpointed
 
 KIND = "CASE WHEN regexp_matches(name, '^[a-z]') THEN 'function' ELSE 'class' END"
 PERCENT = "concat(CAST(round_even({x} * 100, 0) AS BIGINT), '%')"
@@ -284,8 +285,13 @@ EDGE_SQL = f"{MODULES}, {OWNERS}, {PY_RESOLVED}, {JS_RESOLVED}, {IMPORTS}"
 
 
 def _imports(t):
-    both = _py_resolved(t).select("repo_id", "path", "target").unionByName(_js_resolved(t).select("repo_id", "path", "target"))
-    return graph.import_edges(both, _owners(t))
+    # the module table is small next to the files and read three times
+    modules = checkpointed(_modules(t))
+    py = graph.resolve_py_imports(_symbols(t).filter("kind = 'import'"), modules)
+    js = graph.resolve_js_imports(_js(t).filter("kind = 'import'"), modules)
+    both = py.select("repo_id", "path", "target").unionByName(js.select("repo_id", "path", "target"))
+    paths = t.python_code.select("repo_id", "path").unionByName(t.js_code.select("repo_id", "path"))
+    return graph.import_edges(both, graph.path_to_module(paths, modules))
 
 
 @query("import_edges", f"WITH {EDGE_SQL} SELECT *, 'imports' AS edge_type FROM imp")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.catalog.registry import query
 from attesta.operators import extract_docs, graph
-from attesta.plans import pipeline
+from attesta.plans import runs
 from attesta.session import shared_folder
 from attesta.sources import files, tables
 from attesta.streaming import jobs
@@ -126,19 +126,19 @@ def _corpus(t):
 
 @query("run_extraction")
 def _(t):
-    return pipeline.run_extraction(_corpus(t)).withColumn("applicability", F.array_join("applicability", "|"))
+    return runs.run_extraction(_corpus(t)).withColumn("applicability", F.array_join("applicability", "|"))
 
 
 @query("run_extraction_code")
 def _(t):
     corpus = t.python_code.drop("p_partkey").unionByName(t.init_files.withColumn("content", F.lit(""))).unionByName(t.js_code.drop("p_partkey"))
-    return pipeline.run_extraction(corpus.withColumn("size", F.length("content").cast("bigint"))).withColumn("applicability", F.array_join("applicability", "|"))
+    return runs.run_extraction(corpus.withColumn("size", F.length("content").cast("bigint"))).withColumn("applicability", F.array_join("applicability", "|"))
 
 
 @query("run_import")
 def _(t):
     corpus = t.markdown.withColumn("repo_id", F.concat_ws("#", "repo_id", "doc_id")).select("repo_id", "path", "content")
-    return pipeline.run_import(corpus).withColumn("applicability", F.array_join("applicability", "|"))
+    return runs.run_import(corpus).withColumn("applicability", F.array_join("applicability", "|"))
 
 
 @query("imported_artifacts", """
@@ -146,14 +146,14 @@ SELECT DISTINCT concat(repo_id, '#', doc_id) AS repo_id, path, CASE WHEN regexp_
 FROM markdown_v WHERE regexp_matches(path, '(AGENTS|CLAUDE)[.]md$|^[.]cursor/rules/')""")
 def _(t):
     corpus = t.markdown.withColumn("repo_id", F.concat_ws("#", "repo_id", "doc_id")).select("repo_id", "path", "content")
-    return pipeline.imported_artifacts(corpus).select("repo_id", "path", "target_host", "ownership_mode")
+    return runs.imported_artifacts(corpus).select("repo_id", "path", "target_host", "ownership_mode")
 
 
 @query("conflict_claims")
 def _(t):
     from attesta.operators.maintenance import dedup_first
 
-    return pipeline.conflict_claims(dedup_first(t.claims))
+    return runs.conflict_claims(dedup_first(t.claims))
 
 
 @query("dependency_reach", """

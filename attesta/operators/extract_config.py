@@ -445,9 +445,10 @@ def ci_match(ci: DataFrame, config: DataFrame) -> DataFrame:
     owners = offered.groupBy("repo_id", "k.kind", "k.key", text.alias("text")).agg(F.min("ordinal").alias("ordinal"))
     escaped = F.regexp_replace("text", r"([\\.\[\]{}()*+?^$|])", r"\\$1")
     inside = F.regexp_like(line, F.concat(F.lit(r"\b"), escaped, F.lit(r"\b")))
-    met = asked.join(owners, ["repo_id", "kind", "key"]).filter((F.col("kind") != "words") | inside)
-    best = met.groupBy("repo_id", "ci_command").agg(F.min("ordinal").alias("ordinal"))
-    return distinct.join(best, ["repo_id", "ci_command"], "left")
+    # left join and one fold: a line no key of which is owned keeps a null ordinal
+    met = asked.join(owners, ["repo_id", "kind", "key"], "left")
+    runs_it = (F.col("kind") != "words") | inside
+    return met.groupBy("repo_id", "ci_command").agg(F.min(F.when(runs_it, F.col("ordinal"))).alias("ordinal"))
 
 
 def docs_new_commands(docs: DataFrame, config: DataFrame) -> DataFrame:

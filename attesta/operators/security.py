@@ -21,22 +21,24 @@ def _any_of(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def _pattern_rows(patterns: list[tuple[str, str, int]]) -> F.Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("no"), F.lit(regex).alias("regex"), F.lit(label).alias("label"), F.lit(group).alias("grp")
-            )
-            for i, (regex, label, group) in enumerate(patterns)
-        ]
-    )
+def _matching(df: DataFrame, text: str, patterns: list[tuple[str, str, int]]) -> DataFrame:
+    """One row per text and pattern that occurs in it. The patterns are literals here, compiled once."""
+    value = F.col(text)
+    candidates = df.filter(value.rlike(_any_of([p for p, _, _ in patterns])))
+    present = [
+        F.when(
+            value.rlike(regex),
+            F.struct(F.lit(i).alias("no"), F.lit(regex).alias("regex"), F.lit(label).alias("label"), F.lit(group).alias("grp")),
+        )
+        for i, (regex, label, group) in enumerate(patterns)
+    ]
+    found = candidates.withColumn("_ps", F.filter(F.array(*present), lambda p: p.isNotNull()))
+    return found.withColumn("_p", F.explode("_ps")).drop("_ps")
 
 
 def _hits(df: DataFrame, text: str, patterns: list[tuple[str, str, int]]) -> DataFrame:
     """One row per pattern match: no, label, start, stop, line, match, value."""
-    candidates = df.filter(F.col(text).rlike(_any_of([p for p, _, _ in patterns])))
-    per_pattern = candidates.withColumn("_p", F.explode(_pattern_rows(patterns)))
-    matching = per_pattern.filter(F.expr(f"regexp_like({text}, _p.regex)"))
+    matching = _matching(df, text, patterns)
     found = textscan.explode_hits(matching, F.col(text), F.col("_p.regex"), F.col("_p.grp"))
     return found.select(
         "*", F.col("_p.no").alias("no"), F.col("_p.label").alias("label"), "_h.start", "_h.stop",
@@ -142,7 +144,6 @@ def scan_output(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 
 def legacy_markers(df: DataFrame, text: str = "text", patterns: tuple[str, ...] = dims.LEGACY_MARKERS) -> DataFrame:
     """First match of each of the older patterns."""
-    candidates = df.filter(F.col(text).rlike(_any_of(list(patterns))))
-    rows = candidates.withColumn("_p", F.explode(_pattern_rows([(p, "", 0) for p in patterns])))
+    rows = _matching(df, text, [(p, "", 0) for p in patterns])
     marker = F.expr(f"regexp_extract({text}, _p.regex, 0)")
     return rows.withColumn("marker", marker).withColumn("no", F.col("_p.no")).filter("marker <> ''").drop("_p", text)
