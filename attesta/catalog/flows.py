@@ -205,7 +205,8 @@ def _(t):
     return jobs.run_to_end(jobs.secret_alerts(jobs.source(t.spark, t.folder, "documents"), "doc_id"), "alerts").select("doc_id", "pattern_type", "value_hash")
 
 
-@query("stream_refresh")
+@query("stream_refresh", """
+SELECT concat(source, '#', doc_id) AS repo_id, 'README.md' AS path, concat('make m', n_chars % 9) AS command, 'Commands' AS heading, 'safe-mutating' AS risk_class, 0.9::DOUBLE AS confidence FROM documents""")
 def _(t):
     docs = jobs.source(t.spark, t.folder, "documents")
     wrapped = docs.select(
@@ -213,4 +214,4 @@ def _(t):
         F.concat(F.lit("## Commands\n```bash\nmake m"), F.col("n_chars") % 9, F.lit("\n```\n"), "text").alias("content"))
     target, marks = shared_folder(t.spark, "refresh"), shared_folder(t.spark, "refresh-marks")
     jobs.refresh(wrapped, target, extract_docs.docs_commands, marks).awaitTermination()
-    return jobs.current_claims(t.spark, target).select("repo_id", "path", "command", "heading", "risk_class", "confidence")
+    return jobs.current_claims(t.spark, target).select("repo_id", "path", "command", "heading", "risk_class", F.round("confidence", 6).alias("confidence"))

@@ -7,12 +7,17 @@ from __future__ import annotations
 
 import ast
 import json
+import sys
 import tomllib
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# the helpers travel with the task, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 try:
     import yaml
 except ImportError:  # pragma: no cover - the YAML jobs then return no rows

@@ -12,6 +12,13 @@ def newline_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def exploded(df: DataFrame, values: Column, out: str) -> DataFrame:
+    """One row per element. A plain ``explode`` makes the planner test the size of the list
+    first, which computes a costly list twice; the outer form with a null test does not.
+    """
+    return df.withColumn(out, F.explode_outer(values)).filter(F.col(out).isNotNull())
+
+
 def explode_hits(df: DataFrame, text: Column, pattern: Column, group: Column, out: str = "_h") -> DataFrame:
     """One row per match, as a struct ``start, stop, line, match, value`` in ``out``.
 
@@ -46,7 +53,7 @@ def explode_hits(df: DataFrame, text: Column, pattern: Column, group: Column, ou
             F.get("_values", i).alias("value"),
         )
 
-    return sized.withColumn(out, F.explode(F.transform("_found", locate))).drop(
+    return exploded(sized, F.transform("_found", locate), out).drop(
         "_found", "_values", "_gap_size", "_gap_lines", "_hit_size", "_hit_lines"
     )
 

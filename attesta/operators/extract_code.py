@@ -22,7 +22,7 @@ def python_symbols(files: DataFrame) -> DataFrame:
     A file the compiler rejects still gives what line patterns find in it.
     """
     parsed = files.select(*FILE_KEY, "content", F.from_json(codecs.python_to_json("content"), SYMBOL).alias("p"))
-    good = parsed.filter("NOT p.errors").select(*FILE_KEY, F.inline("p.rows")).withColumn("has_errors", F.lit(False))
+    good = parsed.filter("NOT p.errors").select(*FILE_KEY, F.inline_outer("p.rows")).filter("kind IS NOT NULL").withColumn("has_errors", F.lit(False))
     text = F.col("content")
 
     def named(kind: str, pattern: str, level: Column) -> Column:
@@ -94,7 +94,7 @@ def js_symbols(files: DataFrame) -> DataFrame:
         rows("function", expressions, "expression"), rows("class", F.col("c"), "class"),
         rows("import", F.col("i"), "import"), rows("import", F.col("r"), "require"),
     )
-    return cut.select(*FILE_KEY, js_language(F.col("path")).alias("language"), "has_tests", "default_export", F.inline(found))
+    return cut.select(*FILE_KEY, js_language(F.col("path")).alias("language"), "has_tests", "default_export", F.inline_outer(found)).filter("kind IS NOT NULL")
 
 
 # ---- modules ---------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from attesta import dims
 from attesta.functions import codecs, versions
 from attesta.functions.base import first_match, kept
+from attesta.functions.textscan import exploded
 from attesta.functions.commands import (
     certainty_confidence,
     normalize_ci_command,
@@ -426,7 +427,7 @@ def ci_match(ci: DataFrame, config: DataFrame) -> DataFrame:
     keys = F.array_distinct(
         F.concat(tagged("text", prefixes), tagged("text", behind), tagged("name", suffixes), tagged("words", runs))
     )
-    asked = worded.select("repo_id", "ci_command", F.explode(keys).alias("k")).select("repo_id", "ci_command", "k.kind", "k.key")
+    asked = exploded(worded, keys, "k").select("repo_id", "ci_command", "k.kind", "k.key")
     offered = config.select(
         "repo_id", "ordinal", "command",
         F.explode(

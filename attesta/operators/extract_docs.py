@@ -20,7 +20,7 @@ from attesta.functions.commands import (
     tags_for_imported_command,
 )
 from attesta.functions.scopes import instruction_source, scope_from_path
-from attesta.functions.textscan import explode_hits, newline_count
+from attesta.functions.textscan import explode_hits, exploded, newline_count
 
 FILE_KEY = ["repo_id", "path"]
 _FENCE = r"^[ \t]*```"
@@ -59,7 +59,7 @@ def docs_commands(docs: DataFrame) -> DataFrame:
             ).alias("heading"),
         ),
     )
-    rows = before.select(*FILE_KEY, F.explode(paired).alias("b")).filter(
+    rows = exploded(before, paired, "b").select(*FILE_KEY, "b").filter(
         F.col("b.block").rlike(_FENCE) & F.col("b.block").rlike(r"\n[ \t]*```[ \t\r]*$")
     )
     info = F.lower(F.trim(F.regexp_extract("b.block", r"^[ \t]*```([^\n]*)", 1)))
@@ -121,7 +121,7 @@ def sections(files: DataFrame, text: Column | None = None) -> DataFrame:
             (i == F.size("_pieces") - 1).alias("final"),
         ),
     )
-    rows = counted.withColumn("_s", F.explode(numbered)).drop("_pieces", "_breaks")
+    rows = exploded(counted, numbered, "_s").drop("_pieces", "_breaks")
     piece = F.col("_s.piece")
     mark = F.regexp_extract(piece, r"^(#{1,6})[ \t]+([^\n]+)", 1)
     heading = F.trim(F.regexp_extract(piece, r"^(#{1,6})[ \t]+([^\n]+)", 2))
@@ -176,7 +176,7 @@ def list_items(body: Column) -> Column:
 
 
 def bullet_items(rows: DataFrame, body: str = "body") -> DataFrame:
-    return rows.select("*", F.posexplode(list_items(F.col(body))).alias("item_no", "item"))
+    return rows.select("*", F.posexplode_outer(list_items(F.col(body))).alias("item_no", "item")).filter("item IS NOT NULL")
 
 
 def file_references(files: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def _section_claims(parts: DataFrame) -> DataFrame:
         F.transform(ticks, lambda x: F.struct(F.lit(1).alias("how"), x.alias("item"))),
         F.transform(plain, lambda x: F.struct(F.lit(2).alias("how"), x.alias("item"))),
     )
-    rows = parts.select(*FILE_KEY, "source_kind", "claim_scope", "section_type", F.explode(found).alias("f")).select(
+    rows = exploded(parts, found, "f").select(
         *FILE_KEY, "source_kind", "claim_scope", "section_type", "f.how", "f.item"
     )
     item = F.col("item")

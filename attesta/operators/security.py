@@ -33,7 +33,7 @@ def _matching(df: DataFrame, text: str, patterns: list[tuple[str, str, int]]) ->
         for i, (regex, label, group) in enumerate(patterns)
     ]
     found = candidates.withColumn("_ps", F.filter(F.array(*present), lambda p: p.isNotNull()))
-    return found.withColumn("_p", F.explode("_ps")).drop("_ps")
+    return textscan.exploded(found, F.col("_ps"), "_p").drop("_ps")
 
 
 def _hits(df: DataFrame, text: str, patterns: list[tuple[str, str, int]]) -> DataFrame:

@@ -50,7 +50,7 @@ def leakage_check(claims: DataFrame, lines: DataFrame) -> DataFrame:
     levels = F.explode(F.array(F.lit("local-only"), F.lit("team-only")))
     cells = lines.select("host").distinct().select("host", levels.alias("sensitivity"))
     return cells.join(hits, ["host", "sensitivity"], "left").select(
-        "host", "sensitivity", F.coalesce("leaks", F.lit(0)).alias("leaks"), (F.coalesce("leaks", F.lit(0)) > 0).alias("leaked")
+        "host", "sensitivity", F.coalesce("leaks", F.lit(0)).cast("bigint").alias("leaks"), (F.coalesce("leaks", F.lit(0)) > 0).alias("leaked")
     )
 
 
