@@ -175,7 +175,7 @@ def _(t):
 
 
 @query("stream_sliding_latency", f"""
-SELECT started, tool_name, count(*) AS calls, round(avg(value), 6) AS mean_ms, max(value) AS max_ms FROM (SELECT {TOOL} AS tool_name, value, unnest([time_bucket(INTERVAL 5 MINUTE, ts), time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE]) AS started FROM events) AS e GROUP BY ALL""")
+SELECT started, tool_name, count(*) AS calls, round(CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS mean_ms, max(value) AS max_ms FROM (SELECT {TOOL} AS tool_name, value, unnest([time_bucket(INTERVAL 5 MINUTE, ts), time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE]) AS started FROM events) AS e GROUP BY ALL""")
 def _(t):
     return jobs.run_to_end(jobs.sliding_latency(_events(t)), "latency", mode="complete")
 

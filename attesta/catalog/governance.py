@@ -351,6 +351,6 @@ def _(t):
     return reports.entrypoints(_claims(t))
 
 
-@query("status_rollup", "SELECT repo_id, claim_type, review_state, count(*) AS claims, round(avg(confidence), 6) AS mean_confidence FROM unique_claims_v GROUP BY GROUPING SETS ((repo_id, claim_type), (repo_id, review_state), (repo_id))")
+@query("status_rollup", "SELECT repo_id, claim_type, review_state, count(*) AS claims, round(CAST(sum(CAST(confidence AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS mean_confidence FROM unique_claims_v GROUP BY GROUPING SETS ((repo_id, claim_type), (repo_id, review_state), (repo_id))")
 def _(t):
     return reports.status_rollup(_claims(t))

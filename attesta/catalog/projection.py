@@ -281,7 +281,7 @@ def _(t):
 
 
 @query("trace_stats", """
-SELECT tool_name, count(*) AS calls, CAST(sum(response_claim_count) AS BIGINT) AS claims, CAST(sum(response_size_bytes) AS BIGINT) AS bytes, count(*) FILTER (response_status = 'error') AS errors, count(DISTINCT session_id) AS sessions, round(avg(duration_ms), 6) AS mean_ms, max(duration_ms) AS max_ms FROM traces_v GROUP BY tool_name""")
+SELECT tool_name, count(*) AS calls, CAST(sum(response_claim_count) AS BIGINT) AS claims, CAST(sum(response_size_bytes) AS BIGINT) AS bytes, count(*) FILTER (response_status = 'error') AS errors, count(DISTINCT session_id) AS sessions, round(CAST(sum(CAST(duration_ms AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS mean_ms, max(duration_ms) AS max_ms FROM traces_v GROUP BY tool_name""")
 def _(t):
     return quality.trace_stats(t.traces).drop("p50_ms", "p95_ms")
 

@@ -76,5 +76,10 @@ def effective_confidence(
     return F.when(stale, confidence * F.lit(1.0 - reduction)).otherwise(confidence)
 
 
+def exact_mean(value: Column, places: int = 6) -> Column:
+    """Mean over decimals: the same for every order in which rows are added up."""
+    return F.round(F.sum(value.cast("decimal(18,6)")).cast("double") / F.count(value), places)
+
+
 def preview(text: Column, width: int = 100) -> Column:
     return F.substring(text, 1, width)

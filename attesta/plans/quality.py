@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta import dims
+from attesta.functions.base import exact_mean
 
 PROJECTED = ("validated-command", "always-on-rule", "permission-restriction", "scoped-rule")
 
@@ -120,7 +121,7 @@ def conformance(claims: DataFrame, files: DataFrame) -> DataFrame:
 
 def promotion(scores: DataFrame, leaks: DataFrame, drift: DataFrame) -> DataFrame:
     """Maturity each host has earned from conformance, leaks and drift."""
-    per_host = scores.groupBy("host").agg(F.round(F.avg("score"), 4).alias("score"), F.bool_and("valid").alias("valid"))
+    per_host = scores.groupBy("host").agg(exact_mean(F.col("score"), 4).alias("score"), F.bool_and("valid").alias("valid"))
     leaked = leaks.groupBy("host").agg(F.sum("leaks").alias("leaks"))
     misses = drift.agg(F.coalesce(F.sum(F.col("false_positives") + F.col("false_negatives")), F.lit(0))).scalar()
     main = F.col("host").isin("agents-md", "claude")
@@ -156,7 +157,7 @@ def trace_stats(traces: DataFrame, accuracy: int = 10_000) -> DataFrame:
     return traces.groupBy("tool_name").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("response_claim_count").alias("claims"), F.sum("response_size_bytes").alias("bytes"),
         F.count_if(F.col("response_status") == "error").alias("errors"), F.count_distinct("session_id").alias("sessions"),
-        F.round(F.avg("duration_ms"), 6).alias("mean_ms"), F.max("duration_ms").alias("max_ms"),
+        exact_mean(F.col("duration_ms")).alias("mean_ms"), F.max("duration_ms").alias("max_ms"),
         F.percentile_approx("duration_ms", 0.5, accuracy).alias("p50_ms"), F.percentile_approx("duration_ms", 0.95, accuracy).alias("p95_ms"),
     )
 

@@ -193,5 +193,5 @@ def status_rollup(claims: DataFrame) -> DataFrame:
         "repo_id", "claim_type", "review_state",
     )
     return grouped.agg(
-        F.count(F.lit(1)).alias("claims"), F.round(F.avg("confidence"), 6).alias("mean_confidence")
+        F.count(F.lit(1)).alias("claims"), base.exact_mean(F.col("confidence")).alias("mean_confidence")
     )

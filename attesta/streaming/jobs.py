@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.functions.base import exact_mean
 from attesta.operators import security
 from attesta.session import shared_folder
 
@@ -38,7 +39,7 @@ def sliding_latency(traces: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return (
         traces.withWatermark("ts", lateness)
         .groupBy(F.window("ts", "10 minutes", "5 minutes").alias("w"), "tool_name")
-        .agg(F.count(F.lit(1)).alias("calls"), F.round(F.avg("duration_ms"), 6).alias("mean_ms"), F.max("duration_ms").alias("max_ms"))
+        .agg(F.count(F.lit(1)).alias("calls"), exact_mean(F.col("duration_ms")).alias("mean_ms"), F.max("duration_ms").alias("max_ms"))
         .select(F.col("w.start").alias("started"), "tool_name", "calls", "mean_ms", "max_ms")
     )
 
