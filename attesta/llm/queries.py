@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import chat, mixing, simhash, toxicity
+from attesta.llm import chat, mixing, simhash, substrings, toxicity
 from attesta.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ FROM whole
 """
 
 
+@query
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.substring_digests(table(spark, folder, "documents"))
+
+
 @query
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
