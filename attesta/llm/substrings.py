@@ -7,8 +7,8 @@ the matter for about every text that is new. Around the others, and only there,
 and hashed, and those that start twice anywhere cover the words to remove.
 
 Both rounds run alike: a task packs its (hash, row, position) entries by hash range into one binary value per range, so
-a shuffled entry takes some eleven bytes. Equal hashes inside a task are settled there, so a passage that every text
-holds sends one entry per task. Texts move once, compressed, and unaffected ones not again. Hashes have 64 bits; a wrong
+a shuffled entry takes some eleven bytes; settled places travel back packed by ranges of rows. Equal hashes inside a
+task are settled there, so a passage that every text holds sends one entry per task. Texts move once, compressed, and unaffected ones not again. Hashes have 64 bits; a wrong
 removal needs an anchor and a window that both collide.
 
 Defined cases: a null or empty text has no words; each row counts as a text of its own, equal rows and equal ids
@@ -33,7 +33,7 @@ WINDOW = 35
 PERIOD = 21
 COVER = (0, 1, 6, 8, 18)  # every difference modulo 21 occurs among these
 WORDS_AT_ONCE = 200_000
-ENTRIES_AT_ONCE = 2_000_000
+ENTRIES_AT_ONCE = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 Picker = Callable[[int, object], np.ndarray]
 
@@ -101,13 +101,7 @@ class _Sender:
         self.kept, self.held = [], 0
         _, first, code, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         again = times[code] > 1
-        local = _by_row(rids[again], places[again])
-        spread = _ranges(_mix(local[0].view(np.uint64)), self.parts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(spread, pa.int32()), pa.nulls(len(spread), pa.binary()), pa.array([r.tobytes() for r in local[0][:, None]], pa.binary()),
-             pa.nulls(len(spread), pa.binary()), pa.array([p.astype("<i4").tobytes() for p in local[1]], pa.binary())],
-            schema=SENT,
-        )
+        yield from _packed_places(rids[again], places[again], self.parts)
         one = np.sort(first)
         part = _ranges(hashes[one], self.parts)
         one = one[np.argsort(part, kind="stable")]
@@ -116,13 +110,9 @@ class _Sender:
         out: list[list] = [[], [], [], [], []]
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             at = one[a:b]
-            starts = np.flatnonzero(np.diff(rids[at], prepend=rids[at[0]] ^ 1))
-            steps = np.diff(places[at], prepend=0).astype("<i4")
-            out[0].append(int(part[a]))
-            out[1].append(hashes[at].astype("<u8").tobytes())
-            out[2].append(rids[at][starts].astype("<i8").tobytes())
-            out[3].append(np.diff(starts, append=b - a).astype("<i4").tobytes())
-            out[4].append(self.pack.compress(steps.tobytes()))
+            rows, counts, steps = _steps(rids[at], places[at])
+            for column, value in zip(out, (int(part[a]), hashes[at].astype("<u8").tobytes(), rows, counts, self.pack.compress(steps)), strict=True):
+                column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, SENT, strict=True)], schema=SENT)
 
 
@@ -130,11 +120,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(BASE)
 
 
-def _by_row(rids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    order = np.argsort(rids, kind="stable")
-    rids, places = rids[order], places[order]
-    starts = np.flatnonzero(np.diff(rids, prepend=rids[:1] ^ 1)) if len(rids) else np.zeros(0, dtype=np.int64)
-    return rids[starts], np.split(places, starts[1:]) if len(starts) else []
+def _steps(rids: np.ndarray, places: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Rows, places per row and place differences, of entries whose rows stand together."""
+    starts = np.flatnonzero(np.diff(rids, prepend=rids[0] ^ 1))
+    return rids[starts].astype("<i8").tobytes(), np.diff(starts, append=len(rids)).astype("<i4").tobytes(), np.diff(places, prepend=0).astype("<i4").tobytes()
+
+
+def _entries(rows: bytes, counts: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.frombuffer(rows, "<i8"), np.frombuffer(counts, "<i4")), np.cumsum(np.frombuffer(steps, "<i4"), dtype=np.int64)
+
+
+def _packed_places(rids: np.ndarray, places: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Settled places as one row per range of row ids, without hashes."""
+    if not len(rids):
+        return
+    pack = zstandard.ZstdCompressor(level=3)
+    part = _ranges(_mix(rids.view(np.uint64)), parts)
+    order = np.lexsort((rids, part))
+    rids, places, part = rids[order], places[order], part[order]
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    out: list[list] = [[], [], [], [], []]
+    for a, b in zip(edges, edges[1:], strict=False):
+        rows, counts, steps = _steps(rids[a:b], places[a:b])
+        for column, value in zip(out, (int(part[a]), None, rows, counts, pack.compress(steps)), strict=True):
+            column.append(value)
+    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, SENT, strict=True)], schema=SENT)
 
 
 def _hashed(texts: DataFrame, length: int, pick: Picker, parts: int) -> DataFrame:
@@ -175,7 +185,7 @@ def _hashed(texts: DataFrame, length: int, pick: Picker, parts: int) -> DataFram
 
 
 def _settled(packed: DataFrame, parts: int) -> DataFrame:
-    """``(rid, places)`` of the entries whose hash occurs twice; all entries of a range meet in one task."""
+    """Packed places of the entries whose hash occurs twice; all entries of a hash range meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -191,39 +201,59 @@ def _settled(packed: DataFrame, parts: int) -> DataFrame:
             twin = np.zeros(len(h), dtype=bool)
             twin[1:] = h[1:] == h[:-1]
             twin[:-1] |= twin[1:]
-            at = np.sort(order[twin])
-            yield from out(*_by_row(rids[at], places[at]))
-
-        def out(rids: np.ndarray, places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if len(rids):
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(rids), lists], schema=FOUND)
+            at = order[twin]
+            yield from _packed_places(rids[at], places[at], parts)
 
         for batch in batches:
-            local: list[tuple[int, np.ndarray]] = []
+            known = batch.filter(batch.column("hashes").is_null())
+            if known.num_rows:
+                yield known
             for part, hashes, rows, counts, places in zip(*(batch.column(c).to_pylist() for c in SENT.names), strict=True):
                 if hashes is None:
-                    local.append((int(np.frombuffer(rows, "<i8")[0]), np.frombuffer(places, "<i4")))
                     continue
                 if part != range_no:
                     yield from settle()
                     held.clear()
                     range_no = part
-                steps = np.frombuffer(unpack.decompress(places), "<i4")
-                held.append((np.frombuffer(hashes, "<u8"), np.repeat(np.frombuffer(rows, "<i8"), np.frombuffer(counts, "<i4")), np.cumsum(steps, dtype=np.int64)))
-            if local:
-                yield from out(np.array([r for r, _ in local], dtype=np.int64), [p for _, p in local])
+                held.append((np.frombuffer(hashes, "<u8"), *_entries(rows, counts, unpack.decompress(places))))
         yield from settle()
 
-    met = packed.repartition(parts, "part").sortWithinPartitions("part")
-    return met.mapInArrow(run, "rid long, places array<int>").groupBy("rid").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, packed.schema)
+
+
+def _gathered(packed: DataFrame, parts: int) -> DataFrame:
+    """``(rid, places)``, one row per affected text; a range of row ids meets in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        range_no = None
+
+        def gather() -> Iterator[pa.RecordBatch]:
+            if held:
+                rids, places = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((places, rids))
+                rids, places = rids[order], places[order]
+                starts = np.flatnonzero(np.diff(rids, prepend=rids[0] ^ 1))
+                offsets = pa.array(np.append(starts, len(rids)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(rids[starts]), pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32)))], schema=FOUND)
+
+        for batch in batches:
+            for part, rows, counts, places in zip(*(batch.column(c).to_pylist() for c in ("part", "rows", "counts", "places")), strict=True):
+                if part != range_no:
+                    yield from gather()
+                    held.clear()
+                    range_no = part
+                held.append(_entries(rows, counts, unpack.decompress(places)))
+        yield from gather()
+
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "rid long, places array<int>")
 
 
 def repeats(texts: DataFrame, length: int, pick: Picker) -> DataFrame:
     """``(rid, places)``: the picked positions at which a run of ``length`` words starts that starts elsewhere too."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _settled(_hashed(texts, length, pick, parts), parts)
+    return _gathered(_settled(_hashed(texts, length, pick, parts), parts), parts)
 
 
 def _compressed(rows: DataFrame) -> DataFrame:
