@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import chat, decontamination, embeddings, htmltext, mixing, simhash, substrings, toxicity, warc
+from attesta.llm import chat, decontamination, embeddings, htmltext, licenses, mixing, simhash, substrings, toxicity, warc
 from attesta.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licensed(table(spark, folder, "documents"))
+
+
 @query
 def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.extracted(table(spark, folder, "pages"))
