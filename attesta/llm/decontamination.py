@@ -17,6 +17,7 @@ columns pass through; empty tables give empty results.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -156,7 +157,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, size: in
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block in blocks(items, size):
-        sent = docs.sparkSession.sparkContext.broadcast((block, rate))
+        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, rate))
 
         def work(batch: pa.RecordBatch, sent=sent) -> Iterator[dict[str, list]]:
             built = _built(sent)
@@ -168,15 +169,15 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, size: in
     return out
 
 
-_BUILT: dict[int, Items] = {}
+_BUILT: dict[str, Items] = {}
 
 
 def _built(sent) -> Items:
     """The automaton of a broadcast block, built once per worker; only the last one is kept."""
-    key = id(sent.value)
+    key, items, rate = sent.value
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Items(*sent.value)
+        _BUILT[key] = Items(items, rate)
     return _BUILT[key]
 
 
@@ -184,7 +185,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, size:
     """The documents that match no item, rows as they are."""
     out = docs
     for block in blocks(items, size):
-        sent = docs.sparkSession.sparkContext.broadcast((block, rate))
+        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, rate))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             built = _built(sent)

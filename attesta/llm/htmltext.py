@@ -33,7 +33,7 @@ RADIUS = 2
 LINKED = 0.5
 # fixed values: element names of HTML
 CONTAINERS = frozenset("article main body section div td table aside nav header footer form ul ol dl blockquote figure details dialog menu".split())
-BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr address caption figcaption fieldset legend summary center option thead tbody tfoot html head".split()) - {"td"}
+BLOCKS = (CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr address caption figcaption fieldset legend summary center option thead tbody tfoot html head".split())) - {"td"}
 SPACED = frozenset("br td th".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNSEEN = frozenset("script style noscript template title svg math iframe object audio video canvas select button textarea datalist".split())
