@@ -261,7 +261,9 @@ def lookup(keys: DataFrame, archive: Archive) -> DataFrame:
                     at += 1
             yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
 
-    return keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, FOUND)
+    # a stated number: a key is a few bytes, yet each stands for the reading of a record, so small partitions stay apart
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.select("key").distinct().repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(run, FOUND)
 
 
 def _pair(line: str) -> tuple[str, str]:
