@@ -27,7 +27,7 @@ def _joined(*names):
 SELECT repo_id, path, size FROM files_v WHERE size <= 1000000 AND NOT list_has_any(string_split(path, '/'), ['vendor', 'node_modules', 'dist', 'build', '__pycache__', '.git'])
   AND NOT (path = 'web/brand1' OR starts_with(path, 'web/brand1/'))""")
 def _(t):
-    kept = files.prune_paths(t.files, ("vendor", "node_modules", "dist/", "build", "__pycache__", ".git", "web/brand1"))
+    kept = files.prune_paths(t.files, ("vendor", "node_modules", "dist/", "build", "__pycache__", ".git", "web/brand1"), max_bytes=1_000_000)
     return kept.select("repo_id", "path", "size")
 
 

@@ -12,32 +12,55 @@ import tomllib
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 # the helpers travel with the task, so workers need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 try:
     import yaml
-except ImportError:  # pragma: no cover - the YAML jobs then return no rows
+except ImportError:  # pragma: no cover - the YAML jobs then refuse to start
     yaml = None
 
+#: What a hostile or broken text may raise; each costs its own row only. Values such as dates out of range are ValueErrors.
+BROKEN = (ValueError, TypeError, KeyError, AttributeError, ArithmeticError, RecursionError, MemoryError)
+#: A document may not unfold, through aliases, to more than this many nodes per character (and ``LEAST_NODES``).
+NODES_PER_CHARACTER = 2
+LEAST_NODES = 1_000
+
 
 def _toml(text: str | None) -> str | None:
     try:
         return json.dumps(tomllib.loads(text or ""), default=str)
-    except tomllib.TOMLDecodeError:
+    except BROKEN:
         return None
 
 
+def _unfolds_within(value: object, most: int) -> bool:
+    """Whether the value, aliases written out, has at most ``most`` nodes; stops counting there."""
+    open_nodes, seen = [value], 0
+    while open_nodes:
+        node = open_nodes.pop()
+        seen += 1
+        if seen > most:
+            return False
+        if isinstance(node, dict):
+            open_nodes.extend(node.values())
+        elif isinstance(node, list | tuple | set):
+            open_nodes.extend(node)
+    return True
+
+
 def _yaml(text: str | None) -> str | None:
-    if yaml is None:
-        return None
+    text = text or ""
     try:
-        loaded = yaml.load(text or "", Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-        return json.dumps(loaded, default=str) if isinstance(loaded, dict) else None
-    except (yaml.YAMLError, TypeError):
+        loaded = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+        if not isinstance(loaded, dict) or not _unfolds_within(loaded, LEAST_NODES + NODES_PER_CHARACTER * len(text)):
+            return None
+        return json.dumps(loaded, default=str)
+    except (yaml.YAMLError, *BROKEN):
         return None
 
 
@@ -64,9 +87,12 @@ def _function(node: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
 def _python(text: str | None) -> str:
     """Functions, classes, imports and constants of a source text as JSON rows."""
     try:
-        tree = ast.parse(text or "")
-    except (SyntaxError, ValueError, RecursionError):
+        return json.dumps({"errors": False, "rows": _symbols(ast.parse(text or ""))})
+    except (SyntaxError, *BROKEN):
         return json.dumps({"errors": True, "rows": []})
+
+
+def _symbols(tree: ast.Module) -> list[dict]:
     rows = []
     for node in ast.walk(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
@@ -83,7 +109,7 @@ def _python(text: str | None) -> str:
             for target in node.targets:
                 if isinstance(target, ast.Name):
                     rows.append({"kind": "constant", "name": target.id, "line": node.lineno})
-    return json.dumps({"errors": False, "rows": rows})
+    return rows
 
 
 @F.pandas_udf(StringType())
@@ -102,5 +128,29 @@ def _python_udf(texts: pd.Series) -> pd.Series:
 
 
 toml_to_json = _toml_udf
-yaml_to_json = _yaml_udf
 python_to_json = _python_udf
+
+
+def yaml_to_json(text: Column | str) -> Column:
+    if yaml is None:
+        raise ImportError("YAML files cannot be read without PyYAML")
+    return _yaml_udf(text)
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def first_fit(sizes: pd.Series, sections: pd.Series, budget: pd.Series, start: pd.Series, section_cost: pd.Series) -> pd.Series:
+    """For each list of sizes, which fit in order; a section costs more at its first item, misfits are skipped."""
+
+    def fold(row: tuple) -> list[bool]:
+        items, names, most, used, extra = row
+        opened: set[str] = set()
+        flags = []
+        for size, name in zip(items, names, strict=True):
+            after = used + size + (0 if name in opened else extra)
+            flags.append(bool(after <= most))
+            if after <= most:
+                used = after
+                opened.add(name)
+        return flags
+
+    return pd.Series([fold(row) for row in zip(sizes, sections, budget, start, section_cost, strict=True)])

@@ -69,7 +69,7 @@ def resolve_js_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
         .withColumn("module_path", F.explode(_folders(F.col("resolved"))))
     )
     hits = asked.join(modules.select("repo_id", "module_path", "module"), ["repo_id", "module_path"])
-    return hits.groupBy(*keys).agg(F.max_by("module", F.length("module_path")).alias("target"))
+    return hits.groupBy(*keys).agg(F.max_by("module", F.struct(F.length("module_path"), "module")).alias("target"))
 
 
 def import_edges(resolved: DataFrame, owners: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def dependency_closure(edges: DataFrame, depth: int = 3) -> DataFrame:
     Breadth first: each step joins only the rows found in the step before, and the
     lineage is cut with a reliable checkpoint.
     """
-    hops = edges.filter("edge_type = 'imports'").select("repo_id", "source", "target").distinct()
+    hops = checkpointed(edges.filter("edge_type = 'imports'").select("repo_id", "source", "target").distinct())
     reached = hops.filter("source <> target").withColumn("distance", F.lit(1))
     frontier = reached
     for step in range(2, depth + 1):

@@ -1,8 +1,8 @@
 """From governed claims to per-host instruction files.
 
 A file is first a relation of lines ``(repo_id, host, path, section, rank, text)``.
-Budgets are decided on the lines before anything is gathered, and a text is put
-together only where its size is known to be bounded; a larger file stays as lines.
+Budgets are decided on the lines before anything is gathered; what is left of a file
+is one text, whole whatever its size.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta import dims
+from attesta.functions import codecs
 from attesta.functions.base import lookup
 from attesta.functions.scopes import (
     deny_pattern,
@@ -146,37 +147,30 @@ def greedy_fill(
 
     Of equal-sized items (in one section) only the first ``budget / size`` can ever fit:
     room never grows, so once one of them is refused the later ones are too. That bound
-    holds the array each group is folded over, whatever the size of the group.
+    holds the array each group is folded over, whatever the size of the group. The fold
+    is one pass over sizes and sections (an Arrow helper); items of size 0 always fit.
     """
     room = budget - start
+    if section is None and room >= 0:
+        free = items.filter(F.col(size) == 0)
+    else:
+        free = items.filter(F.lit(False))
+    items = items.filter(F.col(size) > 0) if section is None else items
     same = [*keys, size, *([section] if section else [])]
     nth = F.row_number().over(Window.partitionBy(*same).orderBy(*order))
-    able = items.filter((F.col(size) > 0) & (F.col(size) <= room)).withColumn("_n", nth)
+    able = items.filter((F.col(size) >= 0) & (F.col(size) <= room)).withColumn("_n", nth)
     # the literal bound is cut before the shuffle, the exact one after it
     able = able.filter(F.col("_n") <= room).filter(F.col("_n") * F.col(size) <= room).drop("_n")
     rest = [c for c in items.columns if c not in keys and c not in order]
     part = F.col(section) if section else F.lit("")
     item = F.struct(*order, part.alias("_section"), F.struct(*order, *rest).alias("_row"))
     packed = able.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    state = F.struct(
-        F.lit(start).cast("bigint").alias("used"),
-        F.array().cast("array<string>").alias("sections"),
-        F.array().cast("array<boolean>").alias("flags"),
-    )
-
-    def step(acc: Column, item: Column) -> Column:
-        extra = F.when(F.array_contains(acc.sections, item._section), 0).otherwise(section_cost)
-        after = acc.used + item._row[size] + extra
-        fits = after <= budget
-        return F.struct(
-            F.when(fits, after).otherwise(acc.used).cast("bigint").alias("used"),
-            F.when(fits, F.array_union(acc.sections, F.array(item._section))).otherwise(acc.sections).alias("sections"),
-            F.concat(acc.flags, F.array(fits)).alias("flags"),
-        )
-
-    folded = packed.select(*keys, "_items", F.aggregate("_items", state, step, lambda acc: acc.flags).alias("_flags"))
+    sizes, sections = F.transform("_items", lambda i: i._row[size].cast("bigint")), F.transform("_items", lambda i: i._section)
+    fits = codecs.first_fit(sizes, sections, F.lit(budget).cast("bigint"), F.lit(start).cast("bigint"), F.lit(section_cost).cast("bigint"))
+    folded = packed.select(*keys, "_items", fits.alias("_flags"))
     taken = F.filter(F.arrays_zip("_items", "_flags"), lambda z: z["_flags"])
-    return folded.select(*keys, F.explode(taken).alias("_z")).select(*keys, "_z._items._row.*")
+    fitted = folded.select(*keys, F.explode(taken).alias("_z")).select(*keys, "_z._items._row.*")
+    return fitted.unionByName(free.select(*fitted.columns))
 
 
 def _sized(routed: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
@@ -391,24 +385,17 @@ def deny_rows(routed: DataFrame) -> DataFrame:
     return rows.select("repo_id", deny_pattern(F.col("content")).alias("pattern")).filter("pattern IS NOT NULL").distinct()
 
 
-def bounded_lists(rows: DataFrame, keys: list[str], item: str, order: list[str], limit_bytes: int = dims.MAX_FILE_BYTES) -> DataFrame:
-    """Ordered list per group where the items together stay under the limit.
-
-    A larger group keeps its counts and a null list: its rows are the result then.
-    """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("items"), F.sum(F.octet_length(item) + 1).alias("bytes"))
-    small = sizes.filter(F.col("bytes") <= limit_bytes).select(*keys)
-    lists = rows.join(small, keys, "left_semi").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("_item")))).alias("_l")
-    )
-    return sizes.join(lists, keys, "left").select(*keys, "items", "bytes", F.transform("_l", lambda s: s._item).alias("list"))
+def ordered_lists(rows: DataFrame, keys: list[str], item: str, order: list[str]) -> DataFrame:
+    """Ordered list of the items of each group: the content of one generated file, complete."""
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("_item")))).alias("_l"))
+    return lists.select(*keys, F.size("_l").cast("long").alias("items"), F.transform("_l", lambda s: s._item).alias("list"))
 
 
 def deny_settings(routed: DataFrame) -> DataFrame:
     """Settings document with the sorted deny patterns of each repository."""
-    lists = bounded_lists(deny_rows(routed), ["repo_id"], "pattern", ["pattern"])
+    lists = ordered_lists(deny_rows(routed), ["repo_id"], "pattern", ["pattern"])
     doc = F.to_json(F.struct(F.struct(F.col("list").alias("deny")).alias("permissions")))
-    return lists.filter("list IS NOT NULL").select("repo_id", F.lit(".claude/settings-snippet.json").alias("path"), doc.alias("text"))
+    return lists.select("repo_id", F.lit(".claude/settings-snippet.json").alias("path"), doc.alias("text"))
 
 
 def setup_steps(claims: DataFrame) -> DataFrame:
@@ -430,7 +417,7 @@ def setup_steps(claims: DataFrame) -> DataFrame:
         F.max_by(version(label), F.when(version(label).isNotNull(), stable)).alias(key.replace("-", "_")) for _, key, label in actions
     ])
     wanted = (F.col("claim_type") == "validated-command") & (F.array_contains("applicability", "setup") | F.lower(text).contains("install"))
-    runs = bounded_lists(claims.filter(wanted).distinct(), ["repo_id"], "content", STABLE).select("repo_id", "list")
+    runs = ordered_lists(claims.filter(wanted).distinct(), ["repo_id"], "content", STABLE).select("repo_id", "list")
     uses = F.array(F.to_json(F.struct(F.lit("actions/checkout@v4").alias("uses"))))
     setup = F.filter(
         F.array(*[
@@ -457,9 +444,9 @@ def setup_steps(claims: DataFrame) -> DataFrame:
 LINE_ORDER = ["section_no", "group_no", "kind_no", "authority_level", "scope", "claim_type", "claim_id"]
 
 
-def assemble(lines: DataFrame, as_of: str, limit_bytes: int = dims.MAX_FILE_BYTES) -> DataFrame:
-    """Texts of the files that stay under the limit, behind a header with a given time."""
-    lists = bounded_lists(lines, ["repo_id", "host", "path"], "text", LINE_ORDER, limit_bytes)
+def assemble(lines: DataFrame, as_of: str) -> DataFrame:
+    """Texts of the files, behind a header with a given time."""
+    lists = ordered_lists(lines, ["repo_id", "host", "path"], "text", LINE_ORDER)
     header = F.concat(F.lit("<!-- Generated from claims | repo: "), "repo_id", F.lit(f" | timestamp: {as_of} | DO NOT EDIT -->"))
     front = F.get("list", 0) == "---"
     text = F.when(front, F.array_join("list", "\n")).otherwise(F.concat(header, F.lit("\n\n"), F.array_join("list", "\n")))

@@ -11,9 +11,9 @@ from attesta.functions.scopes import instruction_source
 
 
 def scan_files(
-    spark: SparkSession, root: str, glob: str = "*", limit_bytes: int = dims.MAX_FILE_BYTES
+    spark: SparkSession, root: str, glob: str = "*", limit_bytes: int | None = None
 ) -> DataFrame:
-    """Files below ``root/<repo_id>/`` as rows; larger files keep their row without content."""
+    """Files below ``root/<repo_id>/`` as rows. Only where a limit is given, larger files keep their row without content."""
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -27,6 +27,9 @@ def scan_files(
         F.regexp_extract(tail, "^(?:[^/]+/)?(.*)$", 1).alias("path"),
         F.col("length").alias("size"),
     ]
+    whole = raw.select(*named, text.alias("content"), F.when(text.isNull(), "not text").alias("error"))
+    if limit_bytes is None:
+        return whole.withColumn("blob_hash", blob_id(F.col("content")))
     # the size test is a filter, so the bytes of a large file are never read
     small = raw.filter(F.col("length") <= limit_bytes).select(*named, text.alias("content"), F.when(text.isNull(), "not text").alias("error"))
     large = raw.filter(F.col("length") > limit_bytes).select(*named, F.lit(None).cast("string").alias("content"), F.lit("too large").alias("error"))
@@ -41,13 +44,13 @@ def quoted(text: str) -> str:
 def prune_paths(
     files: DataFrame,
     excluded: tuple[str, ...] = dims.EXCLUDED_DIRS,
-    max_bytes: int = dims.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     suffixes: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Drop excluded folders (a bare name is any segment, a path is a prefix), big files, other suffixes."""
+    """Drop excluded folders (a bare name is any segment, a path is a prefix) and, where asked, big files and other suffixes."""
     clean = [p.strip().strip("/").replace("\\", "/") for p in excluded]
     names = [p for p in clean if p and "/" not in p]
-    kept = files.filter(F.col("size") <= max_bytes)
+    kept = files if max_bytes is None else files.filter(F.col("size") <= max_bytes)
     if names:
         kept = kept.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, names))))
     for prefix in (p for p in clean if "/" in p):

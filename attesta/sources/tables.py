@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.operators.maintenance import CLAIM_KEY
-from attesta.session import shared_folder
 
 BUCKETS = 64
 # fixed values: fields of the interchange files
@@ -71,12 +70,6 @@ def append_history(history: DataFrame, path: str) -> None:
     with_bucket(stamped).write.mode("append").partitionBy("repo_bucket").parquet(path)
 
 
-def overwrite_repos(df: DataFrame, path: str) -> None:
-    """Replace the buckets the frame touches (dynamic partition overwrite)."""
-    out = with_bucket(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    out.partitionBy("repo_bucket").parquet(path)
-
-
 def replace_repo_edges(current: DataFrame, fresh: DataFrame) -> DataFrame:
     """Edges with those of the refreshed repositories replaced."""
     touched = fresh.select("repo_id").distinct()
@@ -111,7 +104,3 @@ def write_artifacts(files: DataFrame, path: str) -> None:
 
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return shared_folder(spark, name)
