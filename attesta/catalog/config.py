@@ -243,11 +243,7 @@ def _(t):
 
 def _config_commands(t):
     """All configured commands of a repository in lookup order."""
-    cols = ["repo_id", "path", "ordinal", "name", "command", "risk_class", "confidence"]
-    py = config.pyproject_commands(_pyproject(t)).withColumn("ordinal", F.col("part") * 100000 + F.col("ordinal"))
-    js = config.package_json_commands(t.package_json).withColumn("ordinal", F.col("ordinal") + 1_000_000)
-    mk = config.makefile_targets(t.makefile).withColumn("ordinal", F.col("ordinal") + 2_000_000)
-    return py.select(*cols).unionByName(js.select(*cols)).unionByName(mk.select(*cols))
+    return config.configured_commands(config.pyproject_commands(_pyproject(t)), config.package_json_commands(t.package_json), config.makefile_targets(t.makefile))
 
 
 MATCHED = f"""

@@ -107,12 +107,6 @@ def _(t):
         F.sum(F.length("content")).cast("bigint").alias("bytes"), F.sum(F.size(F.split("content", "\n")) - 1).cast("bigint").alias("lines"))
 
 
-@query("synth_corpus")
-def _(t):
-    # as many repositories as the supplier table has rows
-    return files.synth_corpus(t.spark, t.supplier.count(), 20).groupBy("repo_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
-
-
 # ---- pipelines -------------------------------------------------------------------------
 
 

@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import sys
 import tomllib
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -154,3 +157,38 @@ def first_fit(sizes: pd.Series, sections: pd.Series, budget: pd.Series, start: p
         return flags
 
     return pd.Series([fold(row) for row in zip(sizes, sections, budget, start, section_cost, strict=True)])
+
+
+HIT = "array<struct<no:int,start:int,stop:int,line:int,match:string,value:string,context:string,fenced:boolean>>"
+FENCE = re.compile(r"\s*```", re.ASCII)
+
+
+def pattern_hits(patterns: tuple[tuple[str, int], ...]):
+    """Arrow helper: every match of the patterns (regex, group) in a text, in pattern order.
+
+    A hit has its place, its line, the text of that line and whether the line stands in a fenced block; line ends and
+    fences are found once per text.
+    """
+    compiled = [(no, re.compile(p, re.ASCII), group) for no, (p, group) in enumerate(patterns)]
+
+    def hits(text: str | None) -> list[dict]:
+        found, ends, fenced, lines = [], None, [], []
+        for no, pattern, group in compiled:
+            for m in pattern.finditer(text or ""):
+                if ends is None:
+                    lines = text.split("\n")
+                    ends = list(accumulate(len(x) + 1 for x in lines))
+                    inside = False
+                    for x in lines:
+                        mark = FENCE.match(x) is not None
+                        fenced.append(inside or mark)
+                        inside ^= mark
+                at = bisect_right(ends, m.start())
+                found.append({"no": no, "start": m.start(), "stop": m.end(), "line": at + 1, "match": m[0], "value": m[group], "context": lines[at], "fenced": fenced[at]})
+        return found
+
+    @F.pandas_udf(HIT)
+    def udf(texts: pd.Series) -> pd.Series:
+        return texts.map(hits)
+
+    return udf

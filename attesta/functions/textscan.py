@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FENCE_LINE = r"^\s*```"
-
-
 def newline_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -19,8 +16,8 @@ def exploded(df: DataFrame, values: Column, out: str) -> DataFrame:
     return df.withColumn(out, F.explode_outer(values)).filter(F.col(out).isNotNull())
 
 
-def explode_hits(df: DataFrame, text: Column, pattern: Column, group: Column, out: str = "_h") -> DataFrame:
-    """One row per match, as a struct ``start, stop, line, match, value`` in ``out``.
+def explode_hits(df: DataFrame, text: Column, pattern: Column, group: Column, out: str = "_h", leave: tuple[str, ...] = ()) -> DataFrame:
+    """One row per match, as a struct ``start, stop, line, match, value`` in ``out``; columns in ``leave`` stay behind.
 
     Positions come from the pieces between the matches, so the whole text is used and
     nothing but built-in functions runs. The arrays are columns of their own first:
@@ -33,7 +30,7 @@ def explode_hits(df: DataFrame, text: Column, pattern: Column, group: Column, ou
         F.split(text, pattern, -1).alias("_pieces"),
     ).filter(F.size("_found") > 0)
     sized = cut.select(
-        *[c for c in cut.columns if c != "_pieces"],
+        *[c for c in cut.columns if c != "_pieces" and c not in leave],
         F.transform("_pieces", lambda p: F.length(p)).alias("_gap_size"),
         F.transform("_pieces", newline_count).alias("_gap_lines"),
         F.transform("_found", lambda m: F.length(m)).alias("_hit_size"),
@@ -58,17 +55,6 @@ def explode_hits(df: DataFrame, text: Column, pattern: Column, group: Column, ou
     )
 
 
-def line_at(text: Column, line: Column) -> Column:
-    return F.coalesce(F.get(F.split(text, "\n"), line - 1), F.lit(""))
-
-
-def in_fence(text: Column, line: Column) -> Column:
-    """Is the 1-based line inside a fenced block (fence lines included)?"""
-    before = F.slice(F.split(text, "\n"), F.lit(1), line - 1)
-    open_fences = F.size(F.filter(before, lambda x: x.rlike(FENCE_LINE)))
-    return ((open_fences % 2) == 1) | line_at(text, line).rlike(FENCE_LINE)
-
-
 def downgraded(severity: Column) -> Column:
     return F.when(severity == "high", "medium").otherwise("low")
 

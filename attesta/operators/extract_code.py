@@ -22,26 +22,29 @@ def python_symbols(files: DataFrame) -> DataFrame:
     A file the compiler rejects still gives what line patterns find in it.
     """
     parsed = files.select(*FILE_KEY, "content", F.from_json(codecs.python_to_json("content"), SYMBOL).alias("p"))
-    good = parsed.filter("NOT p.errors").select(*FILE_KEY, F.inline_outer("p.rows")).filter("kind IS NOT NULL").withColumn("has_errors", F.lit(False))
     text = F.col("content")
 
-    def named(kind: str, pattern: str, level: Column) -> Column:
+    def named(kind: str, pattern: str, level: int) -> Column:
         names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        return F.transform(
-            names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"), level.alias("level"))
-        )
+        return F.transform(names, lambda n: F.struct(*[given(f, kind, n, level).alias(f) for f in fields]))
+
+    fields = {"kind": "string", "name": "string", "line": "int", "last": "int", "returns": "boolean", "params": "int", "annotated": "int", "doc": "boolean", "decorators": "string", "level": "int"}
+
+    def given(field: str, kind: str, name: Column, level: int) -> Column:
+        known = {"kind": F.lit(kind), "name": name, "level": F.lit(level)}
+        return known.get(field, F.lit(None)).cast(fields[field])
 
-    zero = F.lit(0)
     found = F.concat(
-        named("function", r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)", zero),
-        named("class", r"(?m)^[ \t]*class[ \t]+([A-Za-z_]\w*)", zero),
-        named("import", r"(?m)^[ \t]*import[ \t]+([\w.]+)", zero),
-        named("import", r"(?m)^[ \t]*from[ \t]+([A-Za-z_][\w.]*)[ \t]+import", zero),
-        named("import", r"(?m)^[ \t]*from[ \t]+\.([\w]*)[ \t]+import", F.lit(1)),
-        named("import", r"(?m)^[ \t]*from[ \t]+\.\.([\w]*)[ \t]+import", F.lit(2)),
+        named("function", r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)", 0),
+        named("class", r"(?m)^[ \t]*class[ \t]+([A-Za-z_]\w*)", 0),
+        named("import", r"(?m)^[ \t]*import[ \t]+([\w.]+)", 0),
+        named("import", r"(?m)^[ \t]*from[ \t]+([A-Za-z_][\w.]*)[ \t]+import", 0),
+        named("import", r"(?m)^[ \t]*from[ \t]+\.([\w]*)[ \t]+import", 1),
+        named("import", r"(?m)^[ \t]*from[ \t]+\.\.([\w]*)[ \t]+import", 2),
     )
-    broken = parsed.filter("p.errors").select(*FILE_KEY, F.inline(found)).withColumn("has_errors", F.lit(True))
-    return good.unionByName(broken, allowMissingColumns=True).withColumn(
+    # one parse and one list per file, whichever way its symbols were found
+    rows = parsed.select(*FILE_KEY, F.col("p.errors").alias("has_errors"), F.when(F.col("p.errors"), found).otherwise(F.col("p.rows")).alias("_rows"))
+    return rows.select(*FILE_KEY, F.inline_outer("_rows"), "has_errors").filter("kind IS NOT NULL").withColumn(
         "is_test", (F.col("kind") == "function") & F.col("name").startswith("test_")
     )
 

@@ -77,24 +77,47 @@ def pyproject_documents(files: DataFrame) -> DataFrame:
     return files.select(*FILE_KEY, codecs.toml_to_json("content").alias("doc")).filter("doc IS NOT NULL")
 
 
+def _in_part(env: Column, position: Column | None = None) -> Column:
+    """Place of a command inside its part: environment, then position."""
+    at = F.col("ordinal") if position is None else position
+    return F.struct(env.cast("long").alias("env"), at.cast("long").alias("position")).alias("ordinal")
+
+
+def configured_commands(pyproject: DataFrame, package_json: DataFrame, makefile: DataFrame) -> DataFrame:
+    """All configured commands of a repository; ``ordinal`` is their order, a struct (source, part, env, position)."""
+
+    def placed(rows: DataFrame, source: int, part: Column, env: Column, position: Column) -> DataFrame:
+        place = F.struct(
+            F.lit(source).alias("source"), part.cast("int").alias("part"), env.cast("long").alias("env"), position.cast("long").alias("position")
+        )
+        return rows.withColumn("ordinal", place).select(*FILE_KEY, "ordinal", "name", "command", "risk_class", "confidence")
+
+    zero = F.lit(0)
+    return (
+        placed(pyproject, 0, F.col("part"), F.col("ordinal.env"), F.col("ordinal.position"))
+        .unionByName(placed(package_json, 1, zero, zero, F.col("ordinal")))
+        .unionByName(placed(makefile, 2, zero, zero, F.col("ordinal")))
+    )
+
+
 def pyproject_commands(docs: DataFrame) -> DataFrame:
     """Scripts, environment scripts and the implied test command, in that order."""
     out = [*FILE_KEY, "part", "ordinal", "name", "command", "risk_class", "confidence"]
     risk = risk_by_name(F.col("name"), dims.PYPROJECT_RISK)
     scripts = _string_members(docs, "doc", "$.project.scripts").select(
-        *FILE_KEY, F.lit(0).alias("part"), "ordinal", "name", F.col("value").alias("command"),
+        *FILE_KEY, F.lit(0).alias("part"), _in_part(F.lit(0)), "name", F.col("value").alias("command"),
         risk.alias("risk_class"), F.lit(1.0).alias("confidence"),
     )
     envs = docs.select(
         *FILE_KEY, F.posexplode(F.map_entries(_map(F.col("doc"), "$.tool.hatch.envs"))).alias("env_no", "_env")
     ).select(*FILE_KEY, "env_no", F.col("_env.key").alias("env"), F.col("_env.value").alias("env_doc"))
     hatch = _string_members(envs, "env_doc", "$.scripts").select(
-        *FILE_KEY, F.lit(1).alias("part"), (F.col("env_no") * 1000 + F.col("ordinal")).alias("ordinal"),
+        *FILE_KEY, F.lit(1).alias("part"), _in_part(F.col("env_no")),
         F.concat_ws(":", F.lit("hatch"), "env", "name").alias("name"), F.col("value").alias("command"),
         risk.alias("risk_class"), F.lit(1.0).alias("confidence"),
     )
     pytest = docs.filter(_json(F.col("doc"), "$.tool.pytest").startswith("{")).select(
-        *FILE_KEY, F.lit(2).alias("part"), F.lit(0).alias("ordinal"), F.lit("pytest").alias("name"),
+        *FILE_KEY, F.lit(2).alias("part"), _in_part(F.lit(0), F.lit(0)), F.lit("pytest").alias("name"),
         F.lit("pytest").alias("command"), F.lit("test-execution").alias("risk_class"), F.lit(0.9).alias("confidence"),
     )
     return scripts.select(*out).unionByName(hatch.select(*out)).unionByName(pytest.select(*out))
@@ -396,28 +419,35 @@ def validate_setup_steps(files: DataFrame) -> DataFrame:
 def ci_match(ci: DataFrame, config: DataFrame) -> DataFrame:
     """First configured command each distinct CI command runs.
 
-    ``config`` has (repo_id, ordinal, name, command). The match rules become keys: every
-    prefix of the CI line and the line behind a runner for the command text, every suffix
-    for the name, every run of words for a command inside the line. Keys meet by equality
-    and each key of the configuration keeps its first owner, so no two command sets of a
-    repository are ever paired in full.
+    ``config`` has (repo_id, ordinal, name, command). The match rules become keys: prefixes
+    of the CI line and the line behind a runner for the command text, suffixes for the
+    name, runs of words for a command inside the line. Only lengths that commands and
+    names of the repository really have are made into keys, so the keys grow with the
+    line, not with its square. Keys meet by equality and each key of the configuration
+    keeps its first owner, so no two command sets of a repository are ever paired in full.
     """
     line = F.col("ci_command")
     distinct = ci.select("repo_id", normalize_ci_command(F.col("command")).alias("ci_command")).filter(line != "").distinct()
+    words_of = F.regexp_extract_all("command", F.lit(r"\w+"), F.lit(0))
+    sizes = config.groupBy("repo_id").agg(
+        F.collect_set(F.length("command")).alias("_texts"), F.collect_set(F.length("name")).alias("_names"), F.collect_set(F.size(words_of)).alias("_counts")
+    )
     size = F.length(line)
-    prefixes = F.transform(F.sequence(F.lit(1), size), lambda n: F.substring(line, 1, n))
-    suffixes = F.transform(F.sequence(F.lit(1), size), lambda n: F.substring(line, n, size))
+    none = F.array().cast("array<int>")
+    met_sizes = distinct.join(sizes, "repo_id", "left").select(
+        "*", *[F.filter(F.coalesce(c, none), lambda n: (n > 0) & (n <= size)).alias(f"{c}_in") for c in ("_texts", "_names")]
+    )
+    prefixes = F.transform("_texts_in", lambda n: F.substring(line, F.lit(1), n))
+    suffixes = F.transform("_names_in", lambda n: F.substring(line, size - n + 1, n))
     behind = kept(
         F.when(line.startswith(p), F.trim(F.regexp_replace(line, f"^{p}", ""))) for p in dims.CI_PREFIXES
     )
-    worded = distinct.withColumn("_w", F.regexp_extract_all(line, F.lit(r"\w+"), F.lit(0)))
+    worded = met_sizes.withColumn("_w", F.regexp_extract_all(line, F.lit(r"\w+"), F.lit(0)))
     count = F.size("_w")
-    runs = F.when(count == 0, F.array().cast("array<string>")).otherwise(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), count),
-                lambda i: F.transform(F.sequence(F.lit(1), count - i + 1), lambda n: F.array_join(F.slice("_w", i, n), " ")),
-            )
+    runs = F.flatten(
+        F.transform(
+            F.filter(F.coalesce("_counts", none), lambda n: (n > 0) & (n <= count)),
+            lambda n: F.transform(F.sequence(F.lit(1), count - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " ")),
         )
     )
 

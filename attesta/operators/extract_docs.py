@@ -144,7 +144,7 @@ def sections(files: DataFrame, text: Column | None = None) -> DataFrame:
 def code_blocks(files: DataFrame, text: Column | None = None) -> DataFrame:
     """Fenced blocks that close, with language, content and line range."""
     body = F.col("content") if text is None else text
-    rows = explode_hits(files, body, F.lit(md.FENCED_BLOCK), F.lit(0), "_b")
+    rows = explode_hits(files, body, F.lit(md.FENCED_BLOCK), F.lit(0), "_b", leave=() if text is not None else ("content",))
     block = F.col("_b.match")
     lines = F.split(block, "\n")
     inner = F.slice(lines, F.lit(2), F.size(lines) - 2)

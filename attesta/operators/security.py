@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta import dims
-from attesta.functions import textscan
+from attesta.functions import codecs, textscan
 from attesta.functions.base import lookup
 from attesta.operators.maintenance import first_by
 
@@ -21,29 +21,15 @@ def _any_of(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def _matching(df: DataFrame, text: str, patterns: list[tuple[str, str, int]]) -> DataFrame:
-    """One row per text and pattern that occurs in it. The patterns are literals here, compiled once."""
-    value = F.col(text)
-    candidates = df.filter(value.rlike(_any_of([p for p, _, _ in patterns])))
-    present = [
-        F.when(
-            value.rlike(regex),
-            F.struct(F.lit(i).alias("no"), F.lit(regex).alias("regex"), F.lit(label).alias("label"), F.lit(group).alias("grp")),
-        )
-        for i, (regex, label, group) in enumerate(patterns)
-    ]
-    found = candidates.withColumn("_ps", F.filter(F.array(*present), lambda p: p.isNotNull()))
-    return textscan.exploded(found, F.col("_ps"), "_p").drop("_ps")
-
-
 def _hits(df: DataFrame, text: str, patterns: list[tuple[str, str, int]]) -> DataFrame:
-    """One row per pattern match: no, label, start, stop, line, match, value."""
-    matching = _matching(df, text, patterns)
-    found = textscan.explode_hits(matching, F.col(text), F.col("_p.regex"), F.col("_p.grp"))
-    return found.select(
-        "*", F.col("_p.no").alias("no"), F.col("_p.label").alias("label"), "_h.start", "_h.stop",
-        "_h.line", "_h.match", "_h.value",
-    ).drop("_p", "_h")
+    """One row per pattern match: no, label, start, stop, line, match, value, context, fenced. The text stays behind."""
+    value = F.col(text)
+    labels = F.array(*[F.lit(label) for _, label, _ in patterns])
+    found = df.filter(value.rlike(_any_of([p for p, _, _ in patterns]))).withColumn(
+        "_hits", codecs.pattern_hits(tuple((p, group) for p, _, group in patterns))(value)
+    )
+    rest = [c for c in df.columns if c != text]
+    return found.select(*rest, F.inline("_hits")).withColumn("label", F.get(labels, F.col("no")))
 
 
 def scan_injection(
@@ -51,15 +37,14 @@ def scan_injection(
 ) -> DataFrame:
     """Injection findings; a finding inside a fenced block counts one level lower."""
     hits = _hits(df, text, [(p, severity, 0) for p, severity in markers])
-    fenced = textscan.in_fence(F.col(text), F.col("line"))
-    context = textscan.line_at(F.col(text), F.col("line"))
+    context = F.col("context")
     shown = F.when(F.length(context) > 120, F.concat(F.substring(context, 1, 120), F.lit("..."))).otherwise(context)
     return (
-        hits.withColumn("in_code_block", fenced)
-        .withColumn("severity", F.when(fenced, textscan.downgraded(F.col("label"))).otherwise(F.col("label")))
+        hits.withColumnRenamed("fenced", "in_code_block")
+        .withColumn("severity", F.when(F.col("in_code_block"), textscan.downgraded(F.col("label"))).otherwise(F.col("label")))
         .withColumn("context", shown)
         .withColumnRenamed("match", "marker")
-        .drop("label", "start", "stop", "value", text)
+        .drop("label", "start", "stop", "value")
     )
 
 
@@ -83,7 +68,7 @@ def secret_hits(
         & (textscan.shannon_entropy(F.col("value")) > dims.ENTROPY_LIMIT)
     )
     kept = hits.filter(~generic | noisy)
-    redacted = textscan.redact(textscan.line_at(F.col(text), F.col("line")), F.array("value"))
+    redacted = textscan.redact(F.col("context"), F.array("value"))
     return kept.select(
         *keys, "no", F.col("label").alias("pattern_type"), "start", "stop", "line", "value", redacted.alias("redacted_context")
     )
@@ -100,10 +85,11 @@ def scan_secrets(
 
 
 def security_warnings(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Finding counts per text."""
+    """Finding counts of every text; a text without findings has zeros."""
     injections = scan_injection(df, text).select(*keys, F.lit("injection").alias("kind"))
     secrets = scan_secrets(df, keys, text).select(*keys, F.lit("secret").alias("kind"))
-    return injections.unionByName(secrets).groupBy(*keys).agg(
+    scanned = df.select(*keys, F.lit("").alias("kind"))
+    return scanned.unionByName(injections).unionByName(secrets).groupBy(*keys).agg(
         F.count_if(F.col("kind") == "injection").alias("injections"),
         F.count_if(F.col("kind") == "secret").alias("secrets"),
     )
@@ -144,6 +130,8 @@ def scan_output(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 
 def legacy_markers(df: DataFrame, text: str = "text", patterns: tuple[str, ...] = dims.LEGACY_MARKERS) -> DataFrame:
     """First match of each of the older patterns."""
-    rows = _matching(df, text, [(p, "", 0) for p in patterns])
-    marker = F.expr(f"regexp_extract({text}, _p.regex, 0)")
-    return rows.withColumn("marker", marker).withColumn("no", F.col("_p.no")).filter("marker <> ''").drop("_p", text)
+    value = F.col(text)
+    first = [F.struct(F.lit(i).alias("no"), F.regexp_extract(value, f"({p})", 1).alias("marker")) for i, p in enumerate(patterns)]
+    rest = [c for c in df.columns if c != text]
+    found = df.filter(value.rlike(_any_of(list(patterns)))).withColumn("_m", F.filter(F.array(*first), lambda m: m.marker != ""))
+    return found.select(*rest, F.inline("_m"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta import dims
@@ -34,12 +34,14 @@ def _claims(rows: DataFrame, phase: int, **given: object) -> DataFrame:
     defaults = {
         "scope": F.lit("**"), "evidence_level": F.lit("discovered"), "risk_class": F.lit(None).cast("string"),
         "applicability": F.array(F.lit("all")), "sensitivity": F.lit("public"), "review_state": F.lit("unreviewed"),
-        "ordinal": F.lit(0), "source_authority": F.lit("executable-config"), "confidence": F.lit(1.0),
+        "source_authority": F.lit("executable-config"), "confidence": F.lit(1.0),
     }
     cols = []
     for name in OUT:
         if name == "phase":
             cols.append(F.lit(phase).alias(name))
+        elif name == "ordinal":
+            cols.append(given.get(name, _order(rows)).alias(name))
         elif name in given:
             value = given[name]
             cols.append((F.lit(value) if isinstance(value, str | int | float) else value).alias(name))
@@ -50,9 +52,27 @@ def _claims(rows: DataFrame, phase: int, **given: object) -> DataFrame:
     return rows.select(*cols)
 
 
-def run_extraction(files: DataFrame, excluded: tuple[str, ...] = dims.EXCLUDED_DIRS) -> DataFrame:
-    """Claims of every repository from its files, deduplicated, scanned and with their ids."""
-    routed = route_files(prune_paths(files, excluded))
+def _order(rows: DataFrame) -> Column:
+    """Total order of the sightings of one phase: source, file, part, environment, position, then the surer one."""
+    kinds = dict(rows.dtypes)
+    nested = kinds.get("ordinal", "").startswith("struct")
+    part = {n: F.col(f"ordinal.{n}") if nested else F.lit(0) for n in ("source", "part", "env", "position")}
+    if "ordinal" in kinds and not nested:
+        part["position"] = F.col("ordinal")
+    path = F.coalesce("path", F.lit("")) if "path" in kinds else F.lit("")
+    doubt = -F.col("confidence") if "confidence" in kinds else F.lit(0.0)
+    return F.struct(
+        part["source"].cast("int").alias("source"), path.alias("path"), part["part"].cast("int").alias("part"), part["env"].cast("long").alias("env"),
+        part["position"].cast("long").alias("position"), doubt.cast("double").alias("doubt"),
+    )
+
+
+def run_extraction(files: DataFrame, excluded: tuple[str, ...] = dims.EXCLUDED_DIRS, max_bytes: int | None = None) -> DataFrame:
+    """Claims of every repository from its files, deduplicated, scanned and with their ids.
+
+    All files count; ``max_bytes`` leaves larger ones out where a caller asks for it.
+    """
+    routed = route_files(prune_paths(files, excluded, max_bytes))
 
     def of(role: str) -> DataFrame:
         return routed.filter(F.col("role") == role).select("repo_id", "path", "content")
@@ -64,11 +84,8 @@ def run_extraction(files: DataFrame, excluded: tuple[str, ...] = dims.EXCLUDED_D
     steps = config.workflow_steps(jobs)
     docker = config.dockerfile_facts(of("dockerfile"))
     compose = config.compose_services(of("compose"))
-    cols = ["repo_id", "path", "ordinal", "name", "command", "risk_class", "confidence"]
     commands = checkpointed(
-        config.pyproject_commands(pyproject).withColumn("ordinal", F.col("part") * 100_000 + F.col("ordinal")).select(*cols)
-        .unionByName(config.package_json_commands(of("package_json")).withColumn("ordinal", F.col("ordinal") + 1_000_000).select(*cols))
-        .unionByName(config.makefile_targets(of("makefile")).withColumn("ordinal", F.col("ordinal") + 2_000_000).select(*cols))
+        config.configured_commands(config.pyproject_commands(pyproject), config.package_json_commands(of("package_json")), config.makefile_targets(of("makefile")))
     )
     lines = config.ci_commands(steps).withColumn("ci_command", normalize_ci_command(F.col("command")))
     first = first_by(lines, ["repo_id", "ci_command"], [F.col("job_no"), F.col("step_no"), F.col("line_no")])
@@ -131,7 +148,6 @@ def run_import(files: DataFrame) -> DataFrame:
     found = extract_docs.instruction_claims(discover_instruction_files(files).select("repo_id", "path", "content"))
     rows = _claims(
         found, 0, content=F.col("claim_text"), scope=F.col("claim_scope"), source_authority="declared-imported-unreviewed",
-        ordinal=F.abs(F.hash("path", "claim_text", "confidence")),
     )
     return _finished(rows)
 

@@ -71,3 +71,29 @@ def test_greedy_takes_empty_items_and_skips_misfits(spark):
 def test_greedy_is_linear_in_the_items(spark):
     items = spark.range(100_000).selectExpr("'r' AS repo_id", "id", "1 AS size")
     assert projection.greedy_fill(items, ["repo_id"], "size", ["id"], 60_000).count() == 60_000
+
+
+def test_ci_match_takes_long_lines(spark):
+    words = " ".join(f"step{i}" for i in range(5_000))
+    lines = [("r", f"{words} && pytest tests/unit -x; done"), ("r", "npm run build:all"), ("r", words)]
+    config = [("r", 2, "unit", "pytest tests/unit"), ("r", 1, "none", "pytest tests/unit2"), ("r", 3, "build:all", "tsc -b"), ("r", 4, "", "")]
+    out = extract_config.ci_match(
+        spark.createDataFrame(lines, "repo_id string, command string"), spark.createDataFrame(config, "repo_id string, ordinal int, name string, command string")
+    )
+    assert sorted((len(r["ci_command"]) > 1000, r["ordinal"]) for r in out.collect() if r["ordinal"]) == [(False, 3), (True, 2)]
+
+
+def test_commands_beyond_old_packing_keep_their_order(spark):
+    scripts = "\n".join(f'[tool.hatch.envs.e{i}.scripts]\nt = "run {i}"' for i in range(1_200))
+    docs = extract_config.pyproject_documents(spark.createDataFrame([("r", "pyproject.toml", f"{scripts}\n")], "repo_id string, path string, content string"))
+    none = spark.createDataFrame([], "repo_id string, path string, ordinal int, name string, command string, risk_class string, confidence double")
+    rows = extract_config.configured_commands(extract_config.pyproject_commands(docs), none, none).collect()
+    assert len({r["ordinal"] for r in rows}) == 1_200
+    assert [r["command"] for r in sorted(rows, key=lambda r: r["ordinal"])] == [f"run {i}" for i in range(1_200)]
+
+
+def test_clean_texts_have_a_row_of_zeros(spark):
+    from attesta.operators import security
+
+    rows = spark.createDataFrame([(1, "nothing here"), (2, "<|im_start|> hi"), (3, None)], "id int, text string")
+    assert sorted(tuple(r) for r in security.security_warnings(rows, ["id"]).collect()) == [(1, 0, 0), (2, 1, 0), (3, 0, 0)]
