@@ -129,6 +129,14 @@ def _(t):
     return runs.run_extraction(corpus.withColumn("size", F.length("content").cast("bigint"))).withColumn("applicability", F.array_join("applicability", "|"))
 
 
+@query("run_evidence", """
+SELECT repo_id, path, count(*) AS claims FROM (
+  SELECT DISTINCT concat('repo-c', c_custkey) AS repo_id, 'Makefile' AS path, t FROM customer, LATERAL (VALUES ('test'), (concat('lint-', lower(c_mktsegment))), ('release_all'), (concat('docs', c_nationkey))) AS u(t)) AS m GROUP BY ALL""")
+def _(t):
+    evidence = runs.run_extraction_with_evidence(_corpus(t))[1].filter("file_path = 'Makefile'")
+    return evidence.groupBy("repo_id", F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("claims"))
+
+
 @query("run_import")
 def _(t):
     corpus = t.markdown.withColumn("repo_id", F.concat_ws("#", "repo_id", "doc_id")).select("repo_id", "path", "content")
@@ -163,30 +171,34 @@ def _(t):
 # ---- streams ---------------------------------------------------------------------------
 
 
-@query("stream_history_counts", f"SELECT date_trunc('hour', ts) AS hour, {ACTION} AS action, count(*) AS decisions FROM events GROUP BY ALL")
+#: where the watermark stands at the end: an hour before the last event
+PASSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("stream_history_counts", f"SELECT * FROM (SELECT date_trunc('hour', ts) AS hour, {ACTION} AS action, count(*) AS decisions FROM events GROUP BY ALL) AS h WHERE hour + INTERVAL 1 HOUR <= {PASSED}")
 def _(t):
-    return jobs.run_to_end(jobs.history_counts(_events(t)), "history-counts", mode="complete")
+    return jobs.run_to_end(jobs.history_counts(_events(t)), "history-counts")
 
 
 @query("stream_sliding_latency", f"""
-SELECT started, tool_name, count(*) AS calls, round(CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS mean_ms, max(value) AS max_ms FROM (SELECT {TOOL} AS tool_name, value, unnest([time_bucket(INTERVAL 5 MINUTE, ts), time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE]) AS started FROM events) AS e GROUP BY ALL""")
+SELECT started, tool_name, count(*) AS calls, round(CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS mean_ms, max(value) AS max_ms FROM (SELECT {TOOL} AS tool_name, value, unnest([time_bucket(INTERVAL 5 MINUTE, ts), time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE]) AS started FROM events) AS e GROUP BY ALL HAVING started + INTERVAL 10 MINUTE <= {PASSED}""")
 def _(t):
-    return jobs.run_to_end(jobs.sliding_latency(_events(t)), "latency", mode="complete")
+    return jobs.run_to_end(jobs.sliding_latency(_events(t)), "latency")
 
 
-@query("stream_tool_sessions", """
+@query("stream_tool_sessions", f"""
 WITH g AS (SELECT *, concat('session-', user_id) AS session_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g)
-SELECT session_id, min(ts) AS started, max(ts) + INTERVAL 15 MINUTE AS ended, count(*) AS calls, CAST(sum(length(props) * 10 + event_id % 1000) AS BIGINT) AS bytes, max(value) AS slowest_ms FROM s GROUP BY session_id, no""")
+SELECT session_id, min(ts) AS started, max(ts) + INTERVAL 15 MINUTE AS ended, count(*) AS calls, CAST(sum(length(props) * 10 + event_id % 1000) AS BIGINT) AS bytes, max(value) AS slowest_ms FROM s GROUP BY session_id, no HAVING max(ts) + INTERVAL 15 MINUTE <= {PASSED}""")
 def _(t):
-    return jobs.run_to_end(jobs.tool_sessions(_events(t)), "sessions", mode="complete")
+    return jobs.run_to_end(jobs.tool_sessions(_events(t)), "sessions")
 
 
 @query("stream_review_state", f"""
 WITH d AS (SELECT *, concat('repo-', user_id % 20) AS repo_id, concat('claim-', user_id) AS claim_id, {ACTION} AS action FROM events)
 SELECT repo_id, claim_id, arg_max(action, (ts, event_id)) AS state, count(*) AS decisions, coalesce(max((ts, event_id)) > min((ts, event_id)) FILTER (action = 'tombstoned'), false) AS illegal FROM d GROUP BY ALL""")
 def _(t):
-    return jobs.run_to_end(jobs.review_state(_events(t)), "review-state", mode="complete")
+    return jobs.run_to_end(jobs.review_state(_events(t)), "review-state", mode="update", keys=jobs.CLAIM_KEY)
 
 
 @query("stream_dedup_claims", "SELECT DISTINCT concat('repo-', user_id % 20) AS repo_id, concat('claim-', user_id) AS claim_id FROM events")

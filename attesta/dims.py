@@ -71,6 +71,8 @@ TRUSTED_SOURCES = tuple(AUTHORITY_LEVEL)
 
 # ---- fixed values: thresholds ---------------------------------------------------------
 MIN_SAMPLE = 20
+# fixed values: tools that own the style of function names
+FORMATTERS = ("ruff", "black", "prettier", "isort", "autopep8", "yapf")
 STRONG = 0.95
 WEAK = 0.80
 STALE_DAYS = 90

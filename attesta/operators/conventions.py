@@ -47,13 +47,16 @@ def _style_text(label: Column) -> Column:
     )
 
 
-def naming_conventions(stats: DataFrame, formatted: DataFrame | None = None) -> DataFrame:
-    """Naming claims of (repo_id, kind) statistics; a formatter owns snake_case functions."""
+def naming_conventions(stats: DataFrame, formatted: DataFrame | None = None, owned_style: str | None = "snake_case") -> DataFrame:
+    """Naming claims of (repo_id, kind) statistics.
+
+    In repositories with a formatter function names of its style are no claim; without a style (JavaScript) none are.
+    """
     kept = stats.filter((F.col("total") >= dims.MIN_SAMPLE) & (F.col("consistency") >= dims.WEAK))
     if formatted is not None:
         owned = formatted.select("repo_id").distinct().withColumn("_owned", F.lit(True))
         kept = kept.join(owned, "repo_id", "left").filter(
-            F.col("_owned").isNull() | (F.col("kind") != "function") | (F.col("dominant") != "snake_case")
+            F.col("_owned").isNull() | (F.col("kind") != "function") | (F.lit(False) if owned_style is None else F.col("dominant") != owned_style)
         )
     label = F.concat(F.col("kind"), F.lit(" names"))
     return _as_claims(kept, ["repo_id", "kind"], _style_text(label), "consistency", "all")
@@ -169,6 +172,11 @@ def js_test_framework(test_imports: DataFrame, test_files: DataFrame) -> DataFra
     )
 
 
+def js_framework_claims(frameworks: DataFrame) -> DataFrame:
+    kept = frameworks.filter(F.col("share") >= dims.WEAK)
+    return _as_claims(kept, ["repo_id"], F.concat(F.lit("Test framework: "), "framework"), "share", "testing")
+
+
 def typescript_share(files: DataFrame) -> DataFrame:
     ts = F.col("path").rlike(r"\.tsx?$")
     rows = files.filter(F.col("path").rlike(r"\.(?:tsx?|jsx?)$"))

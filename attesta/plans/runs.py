@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta import dims
-from attesta.functions.base import authority_level, claim_id
+from attesta.functions.base import authority_level, blob_id, claim_id, content_hash
 from attesta.functions.commands import normalize_ci_command, tags_for_risk
 from attesta.functions.scopes import host_from_source
 from attesta.functions.scopes import artifact_type as artifact_kind
@@ -21,6 +23,7 @@ OUT = [
     "repo_id", "claim_type", "content", "scope", "source_authority", "evidence_level", "risk_class", "applicability",
     "confidence", "sensitivity", "review_state", "phase", "ordinal",
 ]
+EXTRACTION_VERSION = "2"
 _registered: dict[str, tuple[str, object]] = {}
 
 
@@ -67,18 +70,17 @@ def _order(rows: DataFrame) -> Column:
     )
 
 
-def run_extraction(files: DataFrame, excluded: tuple[str, ...] = dims.EXCLUDED_DIRS, max_bytes: int | None = None) -> DataFrame:
-    """Claims of every repository from its files, deduplicated, scanned and with their ids.
-
-    All files count; ``max_bytes`` leaves larger ones out where a caller asks for it.
-    """
+def _sightings(files: DataFrame, excluded: tuple[str, ...], max_bytes: int | None) -> tuple[DataFrame, DataFrame]:
+    """Every sighting of every claim, and the routed files."""
     routed = route_files(prune_paths(files, excluded, max_bytes))
 
     def of(role: str) -> DataFrame:
         return routed.filter(F.col("role") == role).select("repo_id", "path", "content")
 
     # parsed once each: configuration is needed by several extractors
-    pyproject = config.pyproject_documents(of("pyproject"))
+    pyproject = checkpointed(config.pyproject_documents(of("pyproject")))
+    facts = config.pyproject_facts(pyproject)
+    formatted = facts.filter(F.arrays_overlap("tools", F.array(*map(F.lit, dims.FORMATTERS)))).select("repo_id")
     jobs_doc = config.workflow_documents(of("workflow"))
     jobs = config.workflow_jobs(jobs_doc)
     steps = config.workflow_steps(jobs)
@@ -99,48 +101,108 @@ def run_extraction(files: DataFrame, excluded: tuple[str, ...] = dims.EXCLUDED_D
         _claims(commands, 1, claim_type="validated-command", content=text, applicability=tags),
         _claims(config.docs_new_commands(docs, commands), 2, claim_type="validated-command", content=text, source_authority="checked-in-docs"),
         _claims(prerequisites.runtime_prereqs(
-            config.pyproject_facts(pyproject), config.package_json_engines(of("package_json")), config.version_files(of("version_file")),
+            facts, config.package_json_engines(of("package_json")), config.version_files(of("version_file")),
             config.ci_runtimes(steps), docker), 3, applicability=F.array("tag")),
         _claims(prerequisites.service_prereqs(compose, config.ci_services(jobs)), 4, applicability=F.array("tag")),
         _claims(prerequisites.env_prereqs(config.ci_env_names(jobs_doc, jobs, steps), docker, compose), 5, applicability=F.array("tag")),
         _claims(prerequisites.os_prereqs(jobs), 6, applicability=F.array("tag")),
         _claims(extract_docs.docs_prereq_claims(extract_docs.docs_prerequisites(of("docs"))), 7),
-        *_code_claims(of, routed),
+        *_code_claims(of, routed, formatted),
     ]
     for name in sorted(_registered):
         role, fn = _registered[name]
         parts.append(_claims(fn(of(role)), 20))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return _finished(whole)
+    sightings = checkpointed(_named(_union(parts)))
+    first = dedup_first(sightings)
+    tool_rows = facts.select("repo_id", F.explode("tools").alias("tool"))
+    guards = [
+        _claims(prerequisites.destructive_guardrails(first), 21, **_GUARD),
+        _claims(prerequisites.ci_security_guardrails(first), 22, **_GUARD),
+        _claims(prerequisites.security_tool_guardrails(tool_rows), 23, **_GUARD),
+        _claims(prerequisites.services_guardrails(first), 24, **_GUARD),
+    ]
+    return sightings.unionByName(_named(_union(guards))), routed
+
+
+_GUARD = {"claim_type": "permission-restriction"}
 
 
-def _code_claims(of, routed: DataFrame) -> list[DataFrame]:
-    """Conventions and module boundaries."""
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _code_claims(of, routed: DataFrame, formatted: DataFrame) -> list[DataFrame]:
+    """Conventions of both languages and module boundaries; each source is parsed once."""
     symbols = checkpointed(extract_code.python_symbols(of("python")).select("repo_id", "path", "kind", "name", "line", "returns", "params", "annotated", "doc", "level", "is_test"))
+    script = checkpointed(extract_code.js_symbols(of("javascript")).select("repo_id", "path", "kind", "name", "form", "has_tests"))
     functions = symbols.filter("kind = 'function'")
     named = symbols.filter("kind IN ('function', 'class') AND NOT is_test").withColumn("seen", F.coalesce("line", F.lit(0)))
+    js_named = script.filter("kind IN ('function', 'class')")
+    js_tests = script.filter("has_tests")
     tag = F.array("tag")
     modules = extract_code.distinct_modules(extract_code.py_modules(routed), extract_code.js_modules(routed))
     tests = functions.filter("is_test").select("repo_id", "path").distinct()
+    naming = conventions.naming_stats(named, ["repo_id", "kind"], ["path", "seen"])
+    js_naming = conventions.naming_stats(js_named, ["repo_id", "kind"], ["path", "name"])
+    frameworks = conventions.js_test_framework(js_tests.filter("kind = 'import'"), js_tests)
     return [
-        _claims(conventions.naming_conventions(conventions.naming_stats(named, ["repo_id", "kind"], ["path", "seen"])), 8, applicability=tag),
+        _claims(conventions.naming_conventions(naming, formatted), 8, applicability=tag),
         _claims(conventions.placement_claims(conventions.test_placement(tests)), 9, applicability=tag),
         _claims(conventions.import_style_claims(conventions.import_style(symbols.filter("kind = 'import'"))), 10, applicability=tag),
         _claims(conventions.annotation_claims(conventions.annotation_ratios(functions)), 11, applicability=tag),
         _claims(conventions.docstring_claims(conventions.docstring_ratios(symbols)), 12, applicability=tag),
-        _claims(conventions.typescript_claims(conventions.typescript_share(routed)), 13, applicability=tag),
-        _claims(extract_code.boundary_claims(modules), 14, source_authority="inferred-high"),
+        _claims(conventions.naming_conventions(js_naming, formatted, owned_style=None), 13, applicability=tag),
+        _claims(conventions.js_framework_claims(frameworks), 14, applicability=tag),
+        _claims(conventions.placement_claims(conventions.js_test_placement(js_tests.select("repo_id", "path").distinct())), 15, applicability=tag),
+        _claims(conventions.typescript_claims(conventions.typescript_share(routed)), 16, applicability=tag),
+        _claims(extract_code.boundary_claims(modules), 17, source_authority="inferred-high"),
     ]
 
 
-def _finished(rows: DataFrame) -> DataFrame:
-    """Ids, first sighting per id, security scan, authority level."""
-    named = rows.withColumn("claim_id", claim_id(F.col("claim_type"), F.col("scope"), F.col("content")))
-    unique = checkpointed(dedup_first(named))
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("claim_id", claim_id(F.col("claim_type"), F.col("scope"), F.col("content")))
+
+
+def _finished(sightings: DataFrame, as_of: str | None = None) -> DataFrame:
+    """First sighting per id, security scan, authority level, and the columns that later jobs keep up to date."""
+    unique = checkpointed(dedup_first(sightings))
     scanned = security_scan_claims(unique, ["repo_id", "claim_id"])
-    return scanned.withColumn("authority_level", authority_level(F.col("source_authority"))).drop("phase", "ordinal")
+    stamp = F.lit(as_of).cast("timestamp")
+    return scanned.withColumn("authority_level", authority_level(F.col("source_authority"))).select(
+        "*", F.lit(False).alias("stale"), F.lit(None).cast("timestamp").alias("last_validated"),
+        F.lit(None).cast("string").alias("revalidation_trigger"), stamp.alias("created_at"),
+    )
+
+
+def _evidence(sightings: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per claim and file that shows it, with the hash the file had."""
+    seen = sightings.select("repo_id", "claim_id", F.col("ordinal.path").alias("file_path"), "evidence_level").filter("file_path <> ''").distinct()
+    hashes = files.select("repo_id", F.col("path").alias("file_path"), blob_id(F.col("content")).alias("file_hash"))
+    return seen.join(hashes, ["repo_id", "file_path"], "left").withColumn("extraction_version", F.lit(EXTRACTION_VERSION))
+
+
+def run_extraction(
+    files: DataFrame, excluded: tuple[str, ...] = dims.EXCLUDED_DIRS, max_bytes: int | None = None, as_of: str | None = None
+) -> DataFrame:
+    """Claims of every repository from its files: deduplicated, scanned, with ids, guardrails and conflicts.
+
+    All files count; ``max_bytes`` leaves larger ones out where a caller asks for it. ``as_of`` is their time of creation.
+    """
+    return run_extraction_with_evidence(files, excluded, max_bytes, as_of)[0]
+
+
+def run_extraction_with_evidence(
+    files: DataFrame, excluded: tuple[str, ...] = dims.EXCLUDED_DIRS, max_bytes: int | None = None, as_of: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The claims and, from the same sightings, one evidence row per claim and file."""
+    sightings, routed = _sightings(files, excluded, max_bytes)
+    found = checkpointed(_finished(sightings, as_of))
+    against = _claims(
+        conflict_claims(found), 30, claim_type="conflict", source_authority="inferred-high", review_state="needs-declaration"
+    )
+    # conflicts are stored beside what they are about; an id that is there already stays
+    fresh = _finished(_named(against), as_of).join(found.select("repo_id", "claim_id"), ["repo_id", "claim_id"], "left_anti")
+    return found.unionByName(fresh).drop("phase", "ordinal"), _evidence(sightings, routed)
 
 
 def run_import(files: DataFrame) -> DataFrame:
@@ -149,13 +211,11 @@ def run_import(files: DataFrame) -> DataFrame:
     rows = _claims(
         found, 0, content=F.col("claim_text"), scope=F.col("claim_scope"), source_authority="declared-imported-unreviewed",
     )
-    return _finished(rows)
+    return _finished(_named(rows)).drop("phase", "ordinal")
 
 
 def imported_artifacts(files: DataFrame) -> DataFrame:
     """Instruction files registered as human owned, with the hash they were read at."""
-    from attesta.functions.base import content_hash
-
     found = discover_instruction_files(files).filter("source_kind <> 'copilot-setup-steps'")
     return found.select(
         "repo_id", "path", artifact_kind(F.col("path")).alias("artifact_type"), host_from_source(F.col("source_kind")).alias("target_host"),

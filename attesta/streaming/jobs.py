@@ -15,7 +15,7 @@ CLAIM_KEY = ["repo_id", "claim_id"]
 
 
 def history_counts(history: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Decisions per hour and action; rows later than the watermark are dropped."""
+    """Decisions per hour and action; an hour comes out when the watermark passes it, rows later than that are dropped."""
     return (
         history.withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 hour").alias("w"), "action")
@@ -70,23 +70,26 @@ def secret_alerts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def refresh(files: DataFrame, target: str, extract: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Re-extract only the files of each batch and write the batch's claims.
+    """Re-extract only the files of each batch; write its claims and a ledger of the paths it looked at.
 
-    The batch id is part of the folder, so a batch that is run again replaces its own
-    rows; readers take the newest batch of each path.
+    A row without content says that the file is gone. The batch id is part of the folders, so a batch that is run again
+    replaces its own rows; the ledger makes a file count that has no claims any more.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        extract(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch = batch.persist()
+        extract(batch.filter("content IS NOT NULL")).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/claims/batch={batch_id}")
+        seen = batch.groupBy("repo_id", "path").agg(F.bool_and(F.col("content").isNull()).alias("gone"))
+        seen.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/ledger/batch={batch_id}")
+        batch.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_claims(spark: SparkSession, target: str) -> DataFrame:
-    """Claims of the newest batch of every (repository, path)."""
-    rows = spark.read.parquet(f"{target}/batch=*")
-    last = rows.groupBy("repo_id", "path").agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(last, ["repo_id", "path", "batch_id"], "left_semi")
+    """Claims of the newest batch that looked at each (repository, path); emptied and deleted files have none."""
+    last = spark.read.parquet(f"{target}/ledger/batch=*").groupBy("repo_id", "path").agg(F.max("batch_id").alias("batch_id"))
+    return spark.read.parquet(f"{target}/claims/batch=*").join(last, ["repo_id", "path", "batch_id"], "left_semi")
 
 
 def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -95,17 +98,25 @@ def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run over everything available and read the sink back.
 
-    Append goes to Parquet. Complete mode replaces its folder with each batch.
+    Append goes to Parquet: windows and sessions come out once, when the watermark has passed them, and their state is
+    dropped then. Update mode writes the keys that a batch changed, beside its number; the newest row of a key counts,
+    so no batch rewrites what the others found.
     """
     spark = stream.sparkSession
     sink, marks = shared_folder(spark, name), shared_folder(spark, f"{name}-marks")
     writer = stream.writeStream.option("checkpointLocation", marks).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", sink).outputMode("append").start()
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, _id: df.write.mode("overwrite").parquet(sink)).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(sink)
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(sink)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    writer.outputMode(mode).foreachBatch(write).start().awaitTermination()
+    rows = spark.read.parquet(f"{sink}/batch=*")
+    newest = F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "_batch").alias("_r")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "_r.*")
