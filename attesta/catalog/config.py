@@ -230,10 +230,10 @@ def _(t):
 
 
 @query("validate_setup_steps", f"""
-SELECT {C}, error FROM customer, LATERAL (VALUES (CASE WHEN c_acctbal < 0 THEN 'Job must be named ''copilot-setup-steps'', found ''other-job''' END),
-  (CASE WHEN c_nationkey * 4 > 59 THEN concat('timeout-minutes (', c_nationkey * 4, ') exceeds maximum (59)') WHEN c_nationkey = 0 THEN 'timeout-minutes (0) must be positive' END),
-  (CASE WHEN c_mktsegment = 'BUILDING' THEN 'Unsupported job keys: strategy' END),
-  (CASE WHEN c_nationkey % 2 = 0 THEN 'Step 0: action ''actions/setup-python'' should be pinned to a version (e.g., @v4)' END)) AS u(error) WHERE error IS NOT NULL""")
+SELECT {C}, error FROM customer, LATERAL (VALUES (CASE WHEN c_acctbal < 0 THEN 'the job has to be called copilot-setup-steps, not other-job' END),
+  (CASE WHEN c_nationkey * 4 > 59 THEN concat('timeout-minutes is ', c_nationkey * 4, ', the most is 59') WHEN c_nationkey = 0 THEN 'timeout-minutes is 0, the least is 1' END),
+  (CASE WHEN c_mktsegment = 'BUILDING' THEN 'keys a set-up job cannot have: strategy' END),
+  (CASE WHEN c_nationkey % 2 = 0 THEN 'step 0 uses actions/setup-python without a version' END)) AS u(error) WHERE error IS NOT NULL""")
 def _(t):
     return config.validate_setup_steps(t.setup_steps).drop("path")
 

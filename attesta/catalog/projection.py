@@ -217,6 +217,20 @@ def _(t):
     return projection.project(_gated(t), AS_OF)
 
 
+@query("projection_decisions", f"""
+WITH {ROUTED}, d AS (SELECT g.repo_id, h.host, g.claim_id, r.section, r.claim_id IS NOT NULL AS routed FROM g CROSS JOIN hosts h LEFT JOIN routed r ON r.repo_id = g.repo_id AND r.claim_id = g.claim_id AND r.host = h.host)
+SELECT repo_id, host, count(*) AS decisions, count(*) FILTER (NOT routed) AS not_shown, count(*) FILTER (section = 'excluded') AS excluded, count(*) FILTER (section = 'scoped') AS scoped_in_files, 0::BIGINT AS without_reason FROM d GROUP BY ALL""")
+def _(t):
+    gated = _gated(t)
+    rows = projection.project_with_decisions(gated, AS_OF)[1].join(projection.route_claims(gated).select(*KEY, "host", "section"), [*KEY, "host"], "left")
+    return rows.groupBy("repo_id", "host").agg(
+        F.count(F.lit(1)).alias("decisions"), F.count_if(F.col("reason") == "host does not show claims of this type").alias("not_shown"),
+        F.count_if((F.col("section") == "excluded") & ~F.col("included")).alias("excluded"),
+        F.count_if((F.col("section") == "scoped") & (F.col("included") | (F.col("reason") == "carried by the shared file"))).alias("scoped_in_files"),
+        F.count_if(F.col("reason").isNull()).alias("without_reason"),
+    )
+
+
 @query("project_approved")
 def _(t):
     return projection.project(filters.approved_only(_gated(t)), AS_OF)

@@ -380,37 +380,46 @@ def validate_setup_steps(files: DataFrame) -> DataFrame:
     one = docs.withColumn("_jobs", jobs).withColumn("_n", F.size(F.map_keys("_jobs")))
     name = F.get(F.map_keys("_jobs"), 0)
     job = F.get(F.map_values("_jobs"), 0)
-    timeout = _json(job, "$.timeout-minutes").cast("int")
-    keys = F.map_keys(F.from_json(job, STRING_MAP))
+    raw_timeout = _json(job, "$.timeout-minutes")
+    timeout = raw_timeout.try_cast("double")
+    mapping = job.startswith("{")
+    keys = F.map_keys(F.from_json(F.when(mapping, job), STRING_MAP))
     # fixed values: keys a set-up job may and may not carry
     allowed = ("runs-on", "timeout-minutes", "steps", "env", "permissions")
     barred = ("services", "container", "strategy", "needs", "outputs", "if", "concurrency")
     banned = F.array_sort(F.filter(keys, lambda k: k.isin(*barred)))
     unknown = F.array_sort(F.filter(keys, lambda k: ~k.isin(*allowed, *barred)))
-    steps = F.from_json(_json(job, "$.steps"), "array<string>")
-    loose = F.filter(
-        F.transform(
-            steps,
-            lambda s, i: F.struct(i.alias("i"), _json(s, "$.uses").alias("uses")),
-        ),
-        lambda s: s.uses.isNotNull() & ~s.uses.contains("@"),
-    )
+    raw_steps = _json(job, "$.steps")
+    listed = raw_steps.startswith("[")
+    steps = F.from_json(F.when(listed, raw_steps), "array<string>")
+    step_errors = F.flatten(F.transform(steps, _step_errors))
     limit = 59
-    errors = [
-        F.when(F.col("doc").isNull() | F.col("_jobs").isNull(), F.lit("Missing 'jobs' key")),
-        F.when(F.col("_n") != 1, F.concat(F.lit("Must have exactly 1 job, found "), F.col("_n"))),
-    ]
+    none = F.array().cast("array<string>")
     single = F.col("_n") == 1
-    errors += [
-        F.when(single & (name != dims.SETUP_JOB), F.concat(F.lit(f"Job must be named '{dims.SETUP_JOB}', found '"), name, F.lit("'"))),
-        F.when(single & (timeout > limit), F.concat(F.lit("timeout-minutes ("), timeout, F.lit(f") exceeds maximum ({limit})"))),
-        F.when(single & (timeout <= 0), F.concat(F.lit("timeout-minutes ("), timeout, F.lit(") must be positive"))),
-        F.when(single & (F.size(banned) > 0), F.concat(F.lit("Unsupported job keys: "), F.array_join(banned, ", "))),
-        F.when(single & (F.size(unknown) > 0), F.concat(F.lit("Unknown job keys: "), F.array_join(unknown, ", "))),
+    errors = [
+        F.when(F.col("doc").isNull() | F.col("_jobs").isNull(), F.lit("no jobs")),
+        F.when(F.col("_n") != 1, F.concat(F.lit("one job is wanted, there are "), F.col("_n"))),
+        F.when(single & (name != dims.SETUP_JOB), F.concat(F.lit(f"the job has to be called {dims.SETUP_JOB}, not "), name)),
+        F.when(single & ~mapping, F.lit("the job is no mapping")),
+        F.when(single & raw_timeout.isNotNull() & timeout.isNull(), F.lit("timeout-minutes is no number")),
+        F.when(single & (timeout > limit), F.concat(F.lit("timeout-minutes is "), raw_timeout, F.lit(f", the most is {limit}"))),
+        F.when(single & (timeout <= 0), F.concat(F.lit("timeout-minutes is "), raw_timeout, F.lit(", the least is 1"))),
+        F.when(single & (F.size(banned) > 0), F.concat(F.lit("keys a set-up job cannot have: "), F.array_join(banned, ", "))),
+        F.when(single & (F.size(unknown) > 0), F.concat(F.lit("keys nobody knows: "), F.array_join(unknown, ", "))),
+        F.when(single & raw_steps.isNotNull() & ~listed, F.lit("steps is no list")),
     ]
-    pins = F.transform(loose, lambda s: F.concat(F.lit("Step "), s.i, F.lit(": action '"), s.uses, F.lit("' should be pinned to a version (e.g., @v4)")))
-    pins = F.when(single, F.coalesce(pins, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    return one.select(*FILE_KEY, F.explode(F.concat(kept(errors), pins)).alias("error"))
+    in_steps = F.when(single, F.coalesce(step_errors, none)).otherwise(none)
+    return one.select(*FILE_KEY, F.explode(F.concat(kept(errors), in_steps)).alias("error"))
+
+
+def _step_errors(step: Column, no: Column) -> Column:
+    """A step has to be a mapping, and what it uses pinned to a version."""
+    uses = _json(step, "$.uses")
+    loose = uses.isNotNull() & ~uses.contains("@")
+    return kept([
+        F.when(~step.startswith("{"), F.concat(F.lit("step "), no, F.lit(" is no mapping"))),
+        F.when(step.startswith("{") & loose, F.concat(F.lit("step "), no, F.lit(" uses "), uses, F.lit(" without a version"))),
+    ])
 
 
 # ---- from facts to claims --------------------------------------------------------------

@@ -62,27 +62,27 @@ def route_claims(claims: DataFrame, hosts: tuple[str, ...] = tuple(dims.HOSTS))
     main = F.coalesce(main, F.lit("rules"))
     decision = (
         # shared file: commands and trusted rules only
-        F.when((host == "agents-md") & (kind == "validated-command"), verdict("commands", main, "command in shared file"))
-        .when((host == "agents-md") & rule & high, verdict("conventions", main, "convention in shared file"))
+        F.when((host == "agents-md") & (kind == "validated-command"), verdict("commands", main, "shared file lists commands"))
+        .when((host == "agents-md") & rule & high, verdict("conventions", main, "shared file lists trusted rules"))
         .when(host == "agents-md", None)
         # scoped claims
-        .when(claude & scoped & (rule | (kind == "permission-restriction")), verdict("scoped", F.concat(F.lit("rules/"), "scope"), "scoped claim routed to rule file"))
-        .when((host == "copilot") & scoped & rule, verdict("scoped", F.concat(F.lit("instructions/"), "scope"), "scoped claim routed to instruction file"))
-        .when(rule_files & scoped & rule, verdict("scoped", F.concat(F.lit(f"rules/{PREFIX}-"), key), "scoped claim routed to rule file"))
+        .when(claude & scoped & (rule | (kind == "permission-restriction")), verdict("scoped", F.concat(F.lit("rules/"), "scope"), "rule file of its scope"))
+        .when((host == "copilot") & scoped & rule, verdict("scoped", F.concat(F.lit("instructions/"), "scope"), "instruction file of its scope"))
+        .when(rule_files & scoped & rule, verdict("scoped", F.concat(F.lit(f"rules/{PREFIX}-"), key), "rule file of its scope"))
         # skills
-        .when(claude & kind.isin("skill-playbook", "scoped-rule") & ~broad, verdict("skills", "skills", "narrow applicability routed to skill"))
-        .when(claude & (kind == "skill-playbook"), verdict("skills", "skills", "skill-playbook claim routed to skill"))
-        .when(claude & rule & ~high, verdict("skills", "skills", "low-authority convention routed to skill"))
-        .when((host == "windsurf") & (kind == "skill-playbook"), verdict("excluded", "excluded", "skill-playbook deferred"))
-        .when((host == "cursor") & (kind == "skill-playbook"), verdict("skills", main, "skill in rule file"))
+        .when(claude & kind.isin("skill-playbook", "scoped-rule") & ~broad, verdict("skills", "skills", "tags name a task, so a skill"))
+        .when(claude & (kind == "skill-playbook"), verdict("skills", "skills", "playbooks are skills"))
+        .when(claude & rule & ~high, verdict("skills", "skills", "rule without authority, so a skill"))
+        .when((host == "windsurf") & (kind == "skill-playbook"), verdict("excluded", "excluded", "host has no place for playbooks"))
+        .when((host == "cursor") & (kind == "skill-playbook"), verdict("skills", main, "host keeps playbooks as rules"))
         # environment
-        .when((host == "copilot") & (kind == "environment-prerequisite"), verdict("setup", "setup-steps", "environment prerequisite routed to setup steps"))
-        .when(rule_files & (kind == "environment-prerequisite"), verdict("setup", main, "prerequisite in rule file"))
+        .when((host == "copilot") & (kind == "environment-prerequisite"), verdict("setup", "setup-steps", "set-up steps install it"))
+        .when(rule_files & (kind == "environment-prerequisite"), verdict("setup", main, "host keeps prerequisites as rules"))
         # always-on content
-        .when(kind == "validated-command", verdict("commands", main, "command included in always-on"))
-        .when(rule & high, verdict("conventions", main, "convention included in always-on"))
-        .when(rule, verdict("excluded", "excluded", "low-authority convention excluded"))
-        .when(kind == "permission-restriction", verdict("guardrails", main, "guardrail included in always-on"))
+        .when(kind == "validated-command", verdict("commands", main, "always-on commands"))
+        .when(rule & high, verdict("conventions", main, "always-on rules"))
+        .when(rule, verdict("excluded", "excluded", "rule without authority"))
+        .when(kind == "permission-restriction", verdict("guardrails", main, "always-on guardrails"))
     )
     return rows.withColumn("d", decision).filter("d IS NOT NULL").select("*", "d.section", "d.destination", "d.reason").drop("d")
 
@@ -317,7 +317,11 @@ def _front(trigger: Column) -> list[Column]:
 
 def scoped_lines(routed: DataFrame) -> DataFrame:
     """One rule file per scope key, its paths or globs in the front block."""
-    rows = routed.filter("section = 'scoped'").withColumn("_key", scope_key(F.col("scope")))
+    keyed = routed.filter("section = 'scoped'").withColumn("_slug", scope_key(F.col("scope")))
+    # scopes that shorten to one name: the first keeps it, the others carry a part of their hash
+    firsts = keyed.groupBy("repo_id", "host", "_slug").agg(F.min("scope").alias("_first"))
+    own = F.concat("_slug", F.lit("-"), F.substring(F.sha2("scope", 256), 1, 8))
+    rows = keyed.join(firsts, ["repo_id", "host", "_slug"]).withColumn("_key", F.when(F.col("scope") == F.col("_first"), F.col("_slug")).otherwise(own))
     host = F.col("host")
     path = (
         F.when(host == "claude", F.concat(F.lit(".claude/rules/"), "_key", F.lit(".md")))
@@ -453,16 +457,71 @@ def assemble(lines: DataFrame, as_of: str) -> DataFrame:
     return lists.select("repo_id", "host", "path", F.col("items").alias("lines"), F.concat(text, F.lit("\n")).alias("text"))
 
 
-def project(claims: DataFrame, as_of: str) -> DataFrame:
-    """All files of all hosts for claims that passed the output gate.
+def skill_list_lines(grouped: DataFrame) -> DataFrame:
+    """Section of the first host's always-on file that names its skills."""
+    names = grouped.select("repo_id", F.lit("claude").alias("host"), F.lit("CLAUDE.md").alias("path"), F.col("final_skill").alias("scope")).distinct()
+    line = F.struct(
+        F.lit(4).alias("section_no"), F.lit(0).alias("group_no"), F.lit(1).alias("kind_no"), F.lit(0).alias("authority_level"), F.col("scope"),
+        F.lit("").alias("claim_type"), F.lit("").alias("claim_id"), F.concat(F.lit("- "), "scope", F.lit(": .claude/skills/"), "scope", F.lit("/SKILL.md")).alias("text"),
+    )
+    rows = names.select("repo_id", "host", "path", F.explode(F.array(line, _head(4, -1, 0, "## Skills"))).alias("l"))
+    return _folded([rows.select("repo_id", "host", "path", "l.*")])
+
+
+def project(claims: DataFrame, as_of: str, min_confidence: float = 0.0) -> DataFrame:
+    """All files of all hosts for claims that passed the output gate."""
+    return project_with_decisions(claims, as_of, min_confidence)[0]
+
+
+def project_with_decisions(claims: DataFrame, as_of: str, min_confidence: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Files of all hosts, and for every claim and host whether a file shows it or why none does.
 
-    The routed claims feed four renderers and the lines are read twice, so both are
-    written once instead of being computed again.
+    Rows past the line budget of the first host become skill candidates; the last host leaves out what the shared file
+    carries. The routed claims feed all renderers and the lines are read twice, so both are written once.
     """
-    routed = checkpointed(route_claims(claims))
-    first = budget_prefix(routed).unionByName(line_budget(routed))
-    parts = [always_on_lines(first), thin_lines(routed), scoped_lines(routed), rule_file_lines(routed)]
-    return assemble(checkpointed(reduce(DataFrame.unionByName, parts)), as_of)
+    able = claims.filter(F.col("confidence") >= min_confidence)
+    routed = checkpointed(route_claims(able))
+    shared, always = budget_prefix(routed), line_budget(routed)
+    candidates = routed.filter("host = 'claude' AND section = 'skills'").unionByName(
+        with_verdict(_always_on(routed), always, CLAIM_KEY).filter("NOT included").select(*routed.columns)
+    )
+    grouped = checkpointed(skill_groups(candidates))
+    own = routed.filter("host <> 'windsurf'").unionByName(without_shared(routed.filter("host = 'windsurf'"), shared))
+    parts = [always_on_lines(shared.unionByName(always)), skill_list_lines(grouped), thin_lines(own), scoped_lines(own), rule_file_lines(own)]
+    lines = checkpointed(reduce(DataFrame.unionByName, parts))
+    whole = [
+        skill_bodies(grouped), deny_settings(routed).withColumn("host", F.lit("claude")),
+        setup_steps(able).withColumn("host", F.lit("copilot")),
+    ]
+    texts = reduce(DataFrame.unionByName, [w.select("repo_id", "host", "path", "text") for w in whole])
+    files = assemble(lines, as_of).unionByName(texts.withColumn("lines", F.size(F.split("text", "\n")).cast("long") - 1))
+    return files, _decisions(claims, routed, shared, lines, grouped, min_confidence)
+
+
+def _decisions(claims: DataFrame, routed: DataFrame, shared: DataFrame, lines: DataFrame, grouped: DataFrame, min_confidence: float) -> DataFrame:
+    """(repo_id, claim_id, host, included, path, reason): one row per claim and host."""
+    key = [*CLAIM_KEY, "host"]
+    in_lines = lines.filter("claim_id <> ''").select(*key, "path")
+    in_skills = grouped.select(*CLAIM_KEY, F.lit("claude").alias("host"), F.concat(F.lit(".claude/skills/"), "final_skill", F.lit("/SKILL.md")).alias("path"))
+    shown = in_lines.unionByName(in_skills).groupBy(*key).agg(F.min("path").alias("path"))
+    carried = shared.select(*CLAIM_KEY, F.lit("windsurf").alias("host")).distinct().withColumn("carried", F.lit(True))
+    rows = (
+        with_hosts(claims.select(*CLAIM_KEY, "confidence")).join(routed.select(*key, "section", "reason"), key, "left")
+        .join(shown, key, "left").join(carried, key, "left")
+    )
+    host, section = F.col("host"), F.col("section")
+    why = (
+        F.when(F.col("path").isNotNull(), F.col("reason"))
+        .when(F.col("confidence") < min_confidence, "confidence below the limit")
+        .when(section.isNull(), "host does not show claims of this type")
+        .when(section == "excluded", F.col("reason"))
+        .when(F.col("carried"), "carried by the shared file")
+        .when(host == "agents-md", "beyond the budget of the shared file")
+        .when((host == "claude") & (section != "scoped"), "skill group too small")
+        .when(host == "copilot", "not among the entries of the thin file")
+        .otherwise("beyond the budget of the workspace")
+    )
+    return rows.select(*CLAIM_KEY, "host", F.col("path").isNotNull().alias("included"), "path", why.alias("reason"))
 
 
 def rule_files(routed: DataFrame) -> DataFrame:

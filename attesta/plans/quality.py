@@ -65,7 +65,7 @@ def _format_ok() -> Column:
     return F.when(ruled, front & trigger & glob & named).when(
         path.isin("AGENTS.md", "CLAUDE.md", ".github/copilot-instructions.md"),
         text.startswith("<!-- Generated from claims") & (F.trim(text) != ""),
-    ).otherwise(F.trim(text) != "")
+    ).when(path.rlike(r"\.(?:json|yml)$"), F.try_parse_json(text).isNotNull()).otherwise(F.trim(text) != "")
 
 
 def format_check(files: DataFrame) -> DataFrame:
