@@ -152,16 +152,16 @@ FROM lineitem JOIN claims_v ON ordinal = l_orderkey"""
 
 def snapshot_old_v(d: Dialect) -> str:
     return f"""
-SELECT concat('repo-', p_partkey % 20) AS repo_id, concat('src/m', p_partkey % 50, '/f', p_partkey, '.py') AS path,
+SELECT concat('repo-', p_partkey % 20) AS repo_id, concat('src/m', p_partkey % 50, '/f', p_partkey, CASE WHEN p_brand = 'Brand#7' THEN '.old' ELSE '' END, '.py') AS path,
   {d.sha("concat(p_partkey, ':v1')")} AS blob_hash
-FROM part WHERE p_brand <> 'Brand#7'"""
+FROM part"""
 
 
 def snapshot_v(d: Dialect) -> str:
     return f"""
-SELECT concat('repo-', p_partkey % 20) AS repo_id, concat('src/m', p_partkey % 50, '/f', p_partkey, '.py') AS path,
+SELECT concat('repo-', p_partkey % 20) AS repo_id, concat('src/m', p_partkey % 50, '/f', p_partkey, CASE WHEN p_type = 'PROMO' THEN '.new' ELSE '' END, '.py') AS path,
   {d.sha("concat(p_partkey, CASE WHEN p_size > 42 THEN ':v2' ELSE ':v1' END)")} AS blob_hash
-FROM part WHERE p_type <> 'PROMO'"""
+FROM part"""
 
 
 def history_v(d: Dialect) -> str:
@@ -186,18 +186,18 @@ FROM claims_v GROUP BY repo_id"""
 def artifacts_v(d: Dialect) -> str:
     return f"""
 SELECT source AS repo_id, concat(CASE lang WHEN 'en' THEN '.claude/rules/' WHEN 'fr' THEN '.cursor/rules/'
-    WHEN 'de' THEN '.github/instructions/' ELSE '.windsurf/rules/' END, 'd', doc_id, '.md') AS path,
+    WHEN 'de' THEN '.github/instructions/' ELSE '.windsurf/rules/' END, 'd', doc_id, CASE WHEN n_chars < 40 OR source = 'src3' THEN '.gone' ELSE '' END, '.md') AS path,
   CASE lang WHEN 'en' THEN 'claude' WHEN 'fr' THEN 'cursor' WHEN 'de' THEN 'copilot' ELSE 'windsurf' END AS target_host,
   CASE WHEN n_chars % 9 = 0 THEN {d.sha("concat(text, '!')")} ELSE {d.sha('text')} END AS expected_hash,
   CASE WHEN n_chars > 3000 THEN 'imported-human-owned' ELSE 'managed' END AS ownership_mode
-FROM documents WHERE n_chars >= 40 AND source <> 'src3'"""
+FROM documents"""
 
 
 def disk_v(d: Dialect) -> str:
     return """
 SELECT source AS repo_id, concat(CASE lang WHEN 'en' THEN '.claude/rules/' WHEN 'fr' THEN '.cursor/rules/'
-    WHEN 'de' THEN '.github/instructions/' ELSE '.windsurf/rules/' END, 'd', doc_id, '.md') AS path, text
-FROM documents WHERE source <> 'src5'"""
+    WHEN 'de' THEN '.github/instructions/' ELSE '.windsurf/rules/' END, 'd', doc_id, CASE WHEN source = 'src5' THEN '.moved' ELSE '' END, '.md') AS path, text
+FROM documents"""
 
 
 def texts_v(d: Dialect) -> str:

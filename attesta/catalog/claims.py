@@ -93,11 +93,10 @@ def _(t):
 @query("review_queue", """
 SELECT repo_id, claim_id, ordinal, review_state, confidence,
   row_number() OVER (PARTITION BY repo_id ORDER BY CASE review_state WHEN 'needs-declaration' THEN 0 ELSE 1 END, confidence DESC, claim_id, ordinal) AS place
-FROM claims_v WHERE review_state IN ('unreviewed', 'needs-declaration') AND starts_with(scope, 'src/')
-QUALIFY place <= 25""")
+FROM claims_v WHERE review_state IN ('unreviewed', 'needs-declaration') AND starts_with(scope, 'src/')""")
 def _(t):
     queue = filters.review_queue(t.claims, scope_prefix="src/")
-    ranked = ordering.top_k(queue, ["repo_id"], [*ordering.review_order(), F.col("ordinal")], 25)
+    ranked = ordering.placed(queue, ["repo_id"], [*ordering.review_order(), F.col("ordinal")])
     return ranked.select(*KEY, "review_state", "confidence", F.col("rank").cast("bigint").alias("place"))
 
 
@@ -188,16 +187,16 @@ def _(t):
 
 
 @query("stable_order", """
-SELECT repo_id, claim_id, row_number() OVER (PARTITION BY repo_id ORDER BY authority_level, scope, claim_type, claim_id) AS place FROM unique_claims_v QUALIFY place <= 40""")
+SELECT repo_id, claim_id, row_number() OVER (PARTITION BY repo_id ORDER BY authority_level, scope, claim_type, claim_id) AS place FROM unique_claims_v""")
 def _(t):
-    ranked = ordering.top_k(maintenance.dedup_first(t.claims), ["repo_id"], [F.col(c) for c in ordering.STABLE], 40)
+    ranked = ordering.placed(maintenance.dedup_first(t.claims), ["repo_id"], [F.col(c).asc() for c in ordering.STABLE])
     return ranked.select("repo_id", "claim_id", F.col("rank").cast("bigint").alias("place"))
 
 
 @query("prioritize", """
-SELECT repo_id, claim_id, row_number() OVER (PARTITION BY repo_id ORDER BY authority_level, confidence DESC, claim_id) AS place FROM unique_claims_v QUALIFY place <= 40""")
+SELECT repo_id, claim_id, row_number() OVER (PARTITION BY repo_id ORDER BY authority_level, confidence DESC, claim_id) AS place FROM unique_claims_v""")
 def _(t):
-    ranked = ordering.top_k(maintenance.dedup_first(t.claims), ["repo_id"], ordering.priority(), 40)
+    ranked = ordering.placed(maintenance.dedup_first(t.claims), ["repo_id"], ordering.priority())
     return ranked.select("repo_id", "claim_id", F.col("rank").cast("bigint").alias("place"))
 
 
@@ -238,11 +237,12 @@ def _(t):
 SELECT phase, repo_id, claim_id FROM (
   SELECT 0 AS phase, repo_id, claim_id FROM claims_v WHERE claim_type = 'validated-command' UNION ALL
   SELECT 1, repo_id, claim_id FROM claims_v WHERE claim_type = 'environment-prerequisite' UNION ALL
-  SELECT 2, repo_id, claim_id FROM claims_v WHERE claim_type IN ('always-on-rule', 'scoped-rule')) AS u""")
+  SELECT 2, repo_id, claim_id FROM claims_v WHERE claim_type IN ('always-on-rule', 'scoped-rule') UNION ALL
+  SELECT 3, repo_id, claim_id FROM claims_v WHERE claim_type NOT IN ('validated-command', 'environment-prerequisite', 'always-on-rule', 'scoped-rule')) AS u""")
 def _(t):
     c = t.claims.select("repo_id", "claim_id", "claim_type")
     kinds = (("validated-command",), ("environment-prerequisite",), ("always-on-rule", "scoped-rule"))
-    parts = [c.filter(F.col("claim_type").isin(*k)) for k in kinds]
+    parts = [c.filter(F.col("claim_type").isin(*k)) for k in kinds] + [c.filter(~F.col("claim_type").isin(*[x for k in kinds for x in k]))]
     return maintenance.assemble_claims(parts).select("phase", "repo_id", "claim_id")
 
 

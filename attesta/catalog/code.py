@@ -24,12 +24,12 @@ def _stats(keys: str, source: str) -> str:
   FROM (SELECT {keys}, {STYLE} AS style, count(*) AS n, arg_min(doc_id, (doc_id, pos)) AS doc_id, arg_min(pos, (doc_id, pos)) AS pos FROM {source} GROUP BY ALL) AS s WHERE style IS NOT NULL GROUP BY {keys})"""
 
 
-KINDED = f"(SELECT *, {KIND} AS kind, concat('m', lower(substr(name, 1, 1))) AS module FROM names_v WHERE NOT starts_with(name, '_'))"
+KINDED = f"(SELECT *, {KIND} AS kind, concat('m', lower(substr(name, 1, 1))) AS module FROM names_v)"
 
 
 def _kinded(t):
     name = F.col("name")
-    return t.names.filter(~name.startswith("_")).withColumn("kind", F.when(name.rlike("^[a-z]"), "function").otherwise("class")).withColumn(
+    return t.names.withColumn("kind", F.when(name.rlike("^[a-z]"), "function").otherwise("class")).withColumn(
         "module", F.concat(F.lit("m"), F.lower(F.substring(name, 1, 1))))
 
 
@@ -51,12 +51,12 @@ def _(t):
 @query("scoped_conventions", f"""
 SELECT m.repo_id, m.module, m.kind, concat('Use ', m.dominant, ' for ', m.kind, ' names (', {PERCENT.format(x='m.consistency')}, ' consistency across ', m.total, ' identifiers)') AS content, 'scoped-rule' AS claim_type,
   CASE WHEN m.consistency >= 0.95 THEN 'inferred-high' ELSE 'inferred-low' END AS source_authority, CASE WHEN m.consistency >= 0.95 THEN 'unreviewed' ELSE 'needs-declaration' END AS review_state, round(m.consistency, 4) AS confidence, 'all' AS tag
-FROM {_stats("repo_id, module, kind", "(SELECT *, concat('m', lower(substr(name, 1, 1))) AS module, 'mixed' AS kind FROM names_v WHERE NOT starts_with(name, '_') AND (lang_of = 0 OR lang_of = 1))").replace('names_v WHERE', "(SELECT *, CASE WHEN regexp_matches(name, '^[A-Z]') THEN 1 ELSE 0 END AS lang_of FROM names_v) AS nn WHERE")} AS m
-JOIN {_stats("repo_id, kind", "(SELECT *, 'mixed' AS kind FROM names_v WHERE NOT starts_with(name, '_') AND regexp_matches(name, '^[A-Z]'))")} AS r ON r.repo_id = m.repo_id AND r.kind = m.kind WHERE m.total >= 20 AND m.consistency >= 0.8 AND m.dominant <> r.dominant""")
+FROM {_stats("repo_id, module, kind", "(SELECT *, concat('m', substr(name, 1, 1)) AS module, 'mixed' AS kind FROM names_v)")} AS m
+JOIN {_stats("repo_id, kind", "(SELECT *, 'mixed' AS kind FROM names_v)")} AS r ON r.repo_id = m.repo_id AND r.kind = m.kind WHERE m.total >= 20 AND m.consistency >= 0.8 AND m.dominant <> r.dominant""")
 def _(t):
-    words = _kinded(t).withColumn("kind", F.lit("mixed"))
+    words = _kinded(t).withColumn("kind", F.lit("mixed")).withColumn("module", F.concat(F.lit("m"), F.substring("name", 1, 1)))
     by_module = conventions.naming_stats(words, ["repo_id", "module", "kind"], ["doc_id", "pos"])
-    by_repo = conventions.naming_stats(words.filter(F.col("name").rlike("^[A-Z]")), ["repo_id", "kind"], ["doc_id", "pos"])
+    by_repo = conventions.naming_stats(words, ["repo_id", "kind"], ["doc_id", "pos"])
     return conventions.scoped_conventions(by_module, by_repo)
 
 
@@ -103,14 +103,17 @@ def _(t):
     return conventions.import_style(_symbols(t).filter("kind = 'import'")).withColumn("share", F.round("share", 6))
 
 
-RATIOS = f"(SELECT repo_id, count(*) AS functions, count(*) FILTER (returns) AS with_return, CAST(sum(coalesce(params, 0)) AS BIGINT) AS params, CAST(sum(coalesce(annotated, 0)) AS BIGINT) AS annotated FROM {SYMBOLS} AS s WHERE kind = 'function' AND NOT has_errors AND name <> 'run' GROUP BY repo_id)"
+#: functions of broken files, tests and runners stand under a key of their own, so both sides of a limit occur
+SPLIT = "concat(repo_id, CASE WHEN has_errors OR name = 'run' OR starts_with(name, 'test_') THEN '-rest' ELSE '' END)"
+RATIOS = f"(SELECT {SPLIT} AS repo_id, count(*) AS functions, count(*) FILTER (returns AND NOT has_errors) AS with_return, CAST(sum(CASE WHEN has_errors THEN 0 ELSE coalesce(params, 0) END) AS BIGINT) AS params, CAST(sum(CASE WHEN has_errors THEN 0 ELSE coalesce(annotated, 0) END) AS BIGINT) AS annotated FROM {SYMBOLS} AS s WHERE kind = 'function' GROUP BY ALL)"
 
 
 def _functions(t):
-    return _symbols(t).filter("kind = 'function' AND NOT has_errors AND name <> 'run'")
+    rest = F.col("has_errors") | (F.col("name") == "run") | F.col("name").startswith("test_")
+    return _symbols(t).filter("kind = 'function'").withColumn("repo_id", F.concat("repo_id", F.when(rest, "-rest").otherwise("")))
 
 
-@query("annotation_ratios", f"SELECT *, round(with_return / functions, 6) AS return_ratio, round(annotated / params, 6) AS param_ratio FROM {RATIOS} AS r")
+@query("annotation_ratios", f"SELECT *, round(with_return / functions, 6) AS return_ratio, round(coalesce(annotated / nullif(params, 0), 0), 6) AS param_ratio FROM {RATIOS} AS r")
 def _(t):
     out = conventions.annotation_ratios(_functions(t))
     return out.withColumn("return_ratio", F.round("return_ratio", 6)).withColumn("param_ratio", F.round("param_ratio", 6))
@@ -118,9 +121,9 @@ def _(t):
 
 @query("annotation_claims", f"""
 SELECT repo_id, concat('Use return type annotations on functions (', {PERCENT.format(x='with_return / functions')}, ' of ', functions, ' functions annotated)') AS content, {BUCKETS.format(c='(with_return / functions)')}, 'all' AS tag
-FROM {RATIOS.replace("name <> 'run'", "name <> 'run' AND NOT starts_with(name, 'test_')")} AS r WHERE functions >= 20 AND with_return / functions >= 0.8""")
+FROM {RATIOS} AS r WHERE functions >= 20 AND with_return / functions >= 0.8""")
 def _(t):
-    return conventions.annotation_claims(conventions.annotation_ratios(_functions(t).filter("NOT is_test")))
+    return conventions.annotation_claims(conventions.annotation_ratios(_functions(t)))
 
 
 DOCS = f"(SELECT repo_id, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'function' AND doc AND NOT has_errors) AS functions_with, count(*) FILTER (kind = 'class') AS classes, CAST(0 AS BIGINT) AS classes_with FROM {SYMBOLS} AS s GROUP BY repo_id)"
@@ -131,12 +134,13 @@ def _(t):
     return conventions.docstring_ratios(_symbols(t)).withColumn("function_ratio", F.round("function_ratio", 6))
 
 
-MADE = f"(SELECT repo_id, count(*) AS functions, count(*) FILTER (doc AND NOT has_errors) AS functions_with FROM {SYMBOLS} AS s WHERE kind = 'function' AND starts_with(name, 'make_') GROUP BY repo_id)"
+MADE = f"(SELECT concat(repo_id, CASE WHEN starts_with(name, 'make_') THEN '' ELSE '-rest' END) AS repo_id, count(*) AS functions, count(*) FILTER (doc AND NOT has_errors) AS functions_with FROM {SYMBOLS} AS s WHERE kind = 'function' GROUP BY ALL)"
 
 
 @query("docstring_claims", f"SELECT repo_id, concat('Include docstrings on functions (', {PERCENT.format(x='functions_with / functions')}, ' of functions have docstrings)') AS content, {BUCKETS.format(c='(functions_with / functions)')}, 'all' AS tag FROM {MADE} AS m WHERE functions >= 20 AND functions_with / functions >= 0.8")
 def _(t):
-    made = _symbols(t).filter("kind = 'function' AND startswith(name, 'make_')")
+    rest = F.when(F.col("name").startswith("make_"), "").otherwise("-rest")
+    made = _symbols(t).filter("kind = 'function'").withColumn("repo_id", F.concat("repo_id", rest))
     return conventions.docstring_claims(conventions.docstring_ratios(made))
 
 
@@ -168,18 +172,20 @@ def _(t):
 
 
 @query("import_style_claims", f"""
-SELECT repo_id, concat('Prefer absolute imports (', {PERCENT.format(x='share')}, ' consistency)') AS content, {BUCKETS.format(c='share')}, 'all' AS tag
-FROM (SELECT repo_id, count(*) FILTER (level = 0) / count(*) AS share FROM {SYMBOLS} AS s WHERE kind = 'import' AND name <> 'core' GROUP BY repo_id HAVING count(*) >= 20) AS x WHERE share >= 0.8""")
+SELECT repo_id, concat('Prefer ', style, ' imports (', {PERCENT.format(x='share')}, ' consistency)') AS content, {BUCKETS.format(c='share')}, 'all' AS tag
+FROM (SELECT concat(repo_id, CASE WHEN name = 'core' THEN '-core' ELSE '' END) AS repo_id, greatest(count(*) FILTER (level = 0), count(*) FILTER (level > 0)) / count(*) AS share,
+  CASE WHEN count(*) FILTER (level = 0) >= count(*) FILTER (level > 0) THEN 'absolute' ELSE 'relative' END AS style FROM {SYMBOLS} AS s WHERE kind = 'import' GROUP BY ALL HAVING count(*) >= 20) AS x WHERE share >= 0.8""")
 def _(t):
-    return conventions.import_style_claims(conventions.import_style(_symbols(t).filter("kind = 'import' AND name <> 'core'")))
+    return conventions.import_style_claims(conventions.import_style(
+        _symbols(t).filter("kind = 'import'").withColumn("repo_id", F.concat("repo_id", F.when(F.col("name") == "core", "-core").otherwise("")))))
 
 
 @query("js_test_framework", f"""
-WITH f AS (SELECT DISTINCT repo_id FROM {JS} AS j WHERE has_tests), h AS (SELECT repo_id, count(*) AS n FROM {JS} AS j WHERE has_tests AND kind = 'import' AND contains(name, 'vitest') AND regexp_matches(path, 'brand1') GROUP BY repo_id)
+WITH f AS (SELECT DISTINCT repo_id FROM {JS} AS j WHERE has_tests), h AS (SELECT repo_id, count(*) AS n FROM {JS} AS j WHERE has_tests AND kind = 'import' AND contains(name, 'vitest') GROUP BY repo_id)
 SELECT f.repo_id, CASE WHEN n > 0 THEN 'Vitest' ELSE 'Jest (inferred from test patterns)' END AS framework, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS share FROM f LEFT JOIN h ON h.repo_id = f.repo_id""")
 def _(t):
     rows = _js(t).filter("has_tests")
-    return conventions.js_test_framework(rows.filter("kind = 'import' AND path LIKE '%brand1%'"), rows)
+    return conventions.js_test_framework(rows.filter("kind = 'import'"), rows)
 
 
 SHARES = "(SELECT repo_id, count(*) AS total, count(*) FILTER (regexp_matches(path, '[.]tsx?$')) AS typescript FROM js_code_v GROUP BY repo_id)"
@@ -192,9 +198,10 @@ def _(t):
 
 @query("typescript_claims", f"""
 SELECT repo_id, concat('TypeScript is the primary language (', {PERCENT.format(x='share')}, ' of ', total, ' JS/TS files)') AS content, {BUCKETS.format(c='share')}, 'all' AS tag
-FROM (SELECT repo_id, count(*) AS total, count(*) FILTER (regexp_matches(path, '[.]tsx?$')) / count(*) AS share FROM js_code_v WHERE NOT regexp_matches(path, '[.]jsx$') GROUP BY repo_id) AS x WHERE total >= 20 AND share >= 0.8""")
+FROM (SELECT concat(repo_id, CASE WHEN regexp_matches(path, '[.]jsx$') THEN '-jsx' ELSE '' END) AS repo_id, count(*) AS total, count(*) FILTER (regexp_matches(path, '[.]tsx?$')) / count(*) AS share FROM js_code_v GROUP BY ALL) AS x WHERE total >= 20 AND share >= 0.8""")
 def _(t):
-    return conventions.typescript_claims(conventions.typescript_share(t.js_code.filter("path NOT LIKE '%.jsx'")))
+    return conventions.typescript_claims(conventions.typescript_share(
+        t.js_code.withColumn("repo_id", F.concat("repo_id", F.when(F.col("path").endswith(".jsx"), "-jsx").otherwise("")))))
 
 
 # ---- modules and edges -----------------------------------------------------------------

@@ -208,12 +208,12 @@ def _(t):
 
 
 @query("docs_command_conflicts", """
-WITH cfg AS (SELECT repo_id, bool_or(contains(lower(content), 'test')) AS has_test FROM claims_v WHERE claim_type = 'validated-command' AND source_authority IN ('executable-config', 'ci-observed') AND branch = 'dev' AND stale GROUP BY repo_id)
+WITH cfg AS (SELECT CASE WHEN branch = 'dev' AND stale THEN repo_id ELSE concat(repo_id, '-main') END AS repo_id, bool_or(contains(lower(content), 'test')) AS has_test FROM claims_v WHERE claim_type = 'validated-command' AND source_authority IN ('executable-config', 'ci-observed') GROUP BY ALL)
 SELECT c.repo_id, c.claim_id, c.ordinal FROM claims_v c JOIN cfg ON cfg.repo_id = c.repo_id AND NOT has_test
 WHERE claim_type = 'validated-command' AND source_authority = 'checked-in-docs' AND (content = 'npm test' OR starts_with(content, 'npm run ') OR starts_with(content, 'yarn test'))""")
 def _(t):
     docs = t.claims.filter("source_authority = 'checked-in-docs'")
-    config = t.claims.filter("source_authority <> 'checked-in-docs' AND branch = 'dev' AND stale")
+    config = t.claims.filter("source_authority <> 'checked-in-docs'").withColumn("repo_id", F.when(F.expr("branch = 'dev' AND stale"), F.col("repo_id")).otherwise(F.concat("repo_id", F.lit("-main"))))
     return conflicts.docs_command_conflicts(docs.unionByName(config)).select(*KEY, "ordinal")
 
 

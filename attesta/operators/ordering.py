@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta import dims
+from attesta.session import checkpointed
 
 STABLE = ["authority_level", "scope", "claim_type", "claim_id"]
 
@@ -20,6 +21,7 @@ def review_order() -> list[Column]:
 
 
 def _clamped(limit: int) -> int:
+    """The range of the page parameter: 1 to ``MAX_PAGE``, the nearest end for others."""
     return max(1, min(limit, dims.MAX_PAGE))
 
 
@@ -79,6 +81,20 @@ def recent_history(
     return history.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(limit)
 
 
+def placed(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """All rows with ``rank``, their place in the order of their group.
+
+    Rows are dealt by ranges of (group, order), so a large group spreads over tasks: the place is the place inside the
+    range plus what earlier ranges hold of the group.
+    """
+    ranged = checkpointed(rows.repartitionByRange(*[F.col(c).asc() for c in by], *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    return ranged.withColumn("_inside", inside).join(offsets, ["_part", *by]).withColumn("rank", F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
+
+
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """First k rows per group; the rank limit is applied before the shuffle as well."""
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
