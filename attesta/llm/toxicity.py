@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the lower-cased words of a text and their beginnings (stems carry endings), each once, hashed to 63 bits. From
-a bounded sample of labelled rows the terms that tell the labels apart are counted in tasks and ranked by the z-value of
-their log odds. The machine learns a weight and a short vector per chosen term; the inner products of the vectors are
+a bounded sample of labelled rows the terms that tell the labels apart are counted in tasks and ranked by their
+likelihood ratio. The machine learns a weight and a short vector per chosen term; the inner products of the vectors are
 the weights of pairs, so an insult together with a group weighs more than both alone. Scoring reads whole texts, one pass.
 
 Bounds, all parameters: ``sample`` labelled rows, ``terms`` chosen terms, ``rank`` numbers per vector. The fit on this
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from attesta.llm.common import by_batch, stored
 
 SAMPLE = 12_000
-TERMS = 1_024
+TERMS = 2_048
 RANK = 8
-LEAST_Z = 3.0
+LEAST_G = 7.0
+LEAST_LIFT = 2.5
 THRESHOLD = 0.7
 HELD_OUT = 1
 STARTS = (4, 5, 6)
@@ -90,12 +91,26 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def chosen_terms(rows: DataFrame, positive: int, negative: int, terms: int = TERMS) -> list[int]:
-    """The ``terms`` terms whose log odds between the labels have the largest z-values, ``LEAST_Z`` at least."""
-    p, n = F.col("pos") + 0.5, F.col("neg") + 0.5
-    p_rest, n_rest = F.lit(positive + 1.0) - p, F.lit(negative + 1.0) - n
-    z = F.abs(F.log(p / p_rest) - F.log(n / n_rest)) / F.sqrt(1 / p + 1 / p_rest + 1 / n + 1 / n_rest)
-    ranked = _counts(rows).filter("pos + neg > 2").select("term", z.alias("z")).filter(F.col("z") >= LEAST_Z)
-    return [r["term"] for r in ranked.orderBy(F.desc("z"), "term").limit(terms).collect()]
+    """The ``terms`` terms with the largest likelihood ratio G between the labels, of those that shift the odds.
+
+    A term counts where its share of texts differs between the labels by the factor ``LEAST_LIFT`` or more, so words of
+    a language that is only a little more often toxic stay out; G ranks what is left by evidence.
+    """
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    every = float(positive + negative)
+    share = (pos + neg) / every
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    g = 2 * (
+        part(pos, share * positive) + part(neg, share * negative)
+        + part(positive - pos, (1 - share) * positive) + part(negative - neg, (1 - share) * negative)
+    )
+    lift = ((pos + 0.5) / (positive + 1.0)) / ((neg + 0.5) / (negative + 1.0))
+    told = (lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT)
+    ranked = _counts(rows).filter("pos + neg > 2").select("term", g.alias("g"), told.alias("told")).filter(F.col("told") & (F.col("g") >= LEAST_G))
+    return [r["term"] for r in ranked.orderBy(F.desc("g"), "term").limit(terms).collect()]
 
 
 def _indexer(index: dict[int, int]):
