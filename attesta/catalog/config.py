@@ -352,7 +352,8 @@ def _(t):
 
 
 @query("environment_profile", f"""
-SELECT {C}, 'ci-default' AS name, CASE WHEN {OK} THEN concat('Python >=3.', c_nationkey) ELSE concat('Node.js ', c_nationkey, '.1.0') END AS runtime, CAST(2 AS BIGINT) AS services, CAST(6 AS BIGINT) AS env_vars, concat('pip install m', c_nationkey) AS setup_commands FROM customer""")
+SELECT {C}, 'ci-default' AS name, CASE WHEN {OK} THEN concat('Python >=3.', c_nationkey) ELSE concat('Node.js ', c_nationkey, '.1.0') END AS runtime, CAST(2 AS BIGINT) AS services, CAST(6 AS BIGINT) AS env_vars, array_to_string(list_sort([concat('postgres:', c_nationkey), 'web']), '|') AS service_names,
+  array_to_string(list_sort(['TOKEN (secret-ref)', 'MODE', concat('APP_', c_mktsegment), concat('PG_', c_mktsegment), 'PGDATA', 'URL']), '|') AS env_names, concat('pip install m', c_nationkey) AS setup_commands FROM customer""")
 def _(t):
     prereqs = _runtimes(t).unionByName(_services(t)).unionByName(_variables(t))
     setup = config.ci_commands(config.workflow_steps(config.workflow_jobs(config.workflow_documents(t.setup_steps))))

@@ -48,6 +48,33 @@ def _(t):
     return tables.unique_evidence(t.evidence)
 
 
+@query("evidence_round_trip", """
+SELECT repo_id, claim_id, file_path, file_hash, line_start, line_end FROM evidence_v
+QUALIFY row_number() OVER (PARTITION BY repo_id, claim_id, file_path, extraction_version ORDER BY line_start, line_end, file_hash, evidence_level) = 1""")
+def _(t):
+    path = shared_folder(t.spark, "evidence")
+    tables.write_evidence(t.evidence, path)
+    one, others = tables.read_evidence(t.spark, path, "repo-3"), tables.read_evidence(t.spark, path).filter("repo_id <> 'repo-3'")
+    return one.unionByName(others).select("repo_id", "claim_id", "file_path", "file_hash", "line_start", "line_end")
+
+
+@query("artifacts_round_trip", "SELECT repo_id, path, sha256(text) AS text_hash FROM disk_v")
+def _(t):
+    path = shared_folder(t.spark, "artifacts")
+    host = F.regexp_extract("path", r"^\.(\w+)/", 1)
+    tables.write_artifacts(t.disk.withColumn("host", host), path)
+    return t.spark.read.parquet(path).select("repo_id", "path", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("report_round_trip", "SELECT tool_name, count(*) AS calls, count(*) FILTER (response_status = 'error') AS errors, count(DISTINCT session_id) AS sessions FROM traces_v GROUP BY tool_name")
+def _(t):
+    from attesta.plans import quality
+
+    path = shared_folder(t.spark, "report")
+    tables.write_report(quality.trace_stats(t.traces), path)
+    return t.spark.read.json(path).select("tool_name", "calls", "errors", "sessions")
+
+
 @query("append_history", "SELECT repo_id, claim_id, action, ts, actor, sha256(concat_ws(':', repo_id, claim_id, action, strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), actor)) IS NOT NULL AS keyed FROM history_v")
 def _(t):
     path = shared_folder(t.spark, "history")

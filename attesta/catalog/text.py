@@ -250,7 +250,10 @@ def _(t):
     return found.select("text_id", "pattern_type", "start", "line", F.sha2("value", 256).alias("value_hash"))
 
 
-@query("file_security_warnings")
+@query("file_security_warnings", f"""
+SELECT m.doc_id, m.repo_id, coalesce(i.n, 0) AS injections, coalesce(s.n, 0) AS secrets FROM markdown_v m
+LEFT JOIN (WITH r AS ({MARKERS}), {HITS.format(text='content', src='markdown_v')} SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) i ON i.doc_id = m.doc_id
+LEFT JOIN (WITH {_secret_rows(src="(SELECT doc_id, repo_id, content AS text FROM markdown_v) AS", key='doc_id')} SELECT doc_id, count(*) AS n FROM secrets GROUP BY doc_id) s ON s.doc_id = m.doc_id""")
 def _(t):
     return security.security_warnings(t.markdown.select("doc_id", "repo_id", F.col("content").alias("text")), ["doc_id", "repo_id"])
 

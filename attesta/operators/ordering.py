@@ -26,7 +26,10 @@ def _clamped(limit: int) -> int:
 
 
 def _page(rows: DataFrame, total: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """First ``limit`` rows in key order, flagged when more follow (at most 501 rows are ordered)."""
+    """First ``limit`` rows in key order, flagged when more follow (at most 501 rows are ordered).
+
+    ``total`` is a second pass over the rows; a reader that does not select it does not pay for it.
+    """
     size = _clamped(limit)
     ahead = rows.orderBy(*keys).limit(size + 1)
     numbered = ahead.withColumn("position", F.row_number().over(Window.orderBy(*keys)))

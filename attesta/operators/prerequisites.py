@@ -71,18 +71,25 @@ def os_prereqs(jobs: DataFrame) -> DataFrame:
     return _first_texts([_prerequisite(found, F.concat(F.lit("OS: "), "runs_on"), 0, "ci-observed", 0.9)])
 
 
-def environment_profile(prereqs: DataFrame, setup: DataFrame) -> DataFrame:
-    """First runtime, service and variable counts and at most 20 set-up commands per repository."""
+def environment_profile(prereqs: DataFrame, setup: DataFrame, most_commands: int | None = None) -> DataFrame:
+    """First runtime, services and variables with their counts, and the set-up commands of a repository in order.
+
+    The lists of a repository are what its own files name; ``most_commands`` cuts the commands where a caller asks.
+    """
     text = F.col("content")
     other = text.startswith("Service: ") | text.startswith("Env: ") | text.startswith("OS: ")
     facts = prereqs.groupBy("repo_id").agg(
         F.min_by(F.when(~other, text), F.when(~other, F.struct("place", "content"))).alias("runtime"),
         F.count_if(text.startswith("Service: ")).alias("services"),
         F.count_if(text.startswith("Env: ")).alias("env_vars"),
+        F.array_join(F.array_sort(F.collect_set(F.when(text.startswith("Service: "), F.regexp_replace("content", "^Service: ", "")))), "|").alias("service_names"),
+        F.array_join(F.array_sort(F.collect_set(F.when(text.startswith("Env: "), F.regexp_replace("content", "^Env: ", "")))), "|").alias("env_names"),
     )
     wanted = contains_any(F.lower("command"), ("install", "setup", "apt-get"))
-    first20 = first_n(setup.filter(wanted), ["repo_id"], ["path", "job_no", "step_no", "line_no"], 20)
-    listed = first20.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("path", "job_no", "step_no", "line_no", "command"))).alias("_c"))
+    steps = setup.filter(wanted)
+    if most_commands is not None:
+        steps = first_n(steps, ["repo_id"], ["path", "job_no", "step_no", "line_no"], most_commands)
+    listed = steps.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("path", "job_no", "step_no", "line_no", "command"))).alias("_c"))
     commands = listed.select("repo_id", F.array_join(F.transform("_c", lambda c: c.command), " && ").alias("setup_commands"))
     return facts.join(commands, "repo_id", "left").withColumn("name", F.lit("ci-default"))
 

@@ -84,6 +84,27 @@ def scan_secrets(
     return first_by(secret_hits(df, keys, text, patterns), [*keys, "start", "stop"], [F.col("no").asc()])
 
 
+def sanitize_arguments(calls: DataFrame, keys: list[str], arguments: str = "arguments") -> DataFrame:
+    """``arguments`` (name to text or JSON) fit for a log: secrets found by the scan cut, long texts and containers as shapes."""
+    named = calls.select(*keys, F.explode_outer(arguments).alias("_name", "_value"))
+    leaked = (
+        scan_secrets(named.select(*keys, "_name", F.col("_value").alias("text")), [*keys, "_name"])
+        .groupBy(*keys, "_name").agg(F.collect_set("value").alias("_leaked"))
+    )
+    value = F.col("_value")
+    parsed = F.when(value.startswith("[") | value.startswith("{"), F.try_parse_json(value))
+    items = F.size(F.try_variant_get(parsed, "$", "array<variant>"))
+    members = F.size(F.map_keys(F.try_variant_get(parsed, "$", "map<string,variant>")))
+    shown = (
+        F.when(value.startswith("[") & parsed.isNotNull(), F.concat(F.lit("[list of "), items, F.lit(" items]")))
+        .when(value.startswith("{") & parsed.isNotNull(), F.concat(F.lit("{dict with "), members, F.lit(" keys}")))
+        .otherwise(textscan.sanitize_argument(value, F.coalesce("_leaked", F.array().cast("array<string>"))))
+    )
+    rows = named.join(leaked, [*keys, "_name"], "left").withColumn("_shown", shown)
+    entries = F.array_sort(F.collect_list(F.when(F.col("_name").isNotNull(), F.struct("_name", "_shown"))))
+    return rows.groupBy(*keys).agg(F.map_from_entries(entries).alias(arguments))
+
+
 def security_warnings(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Finding counts of every text; a text without findings has zeros."""
     injections = scan_injection(df, text).select(*keys, F.lit("injection").alias("kind"))

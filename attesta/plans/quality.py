@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta import dims
-from attesta.functions.base import exact_mean
+from attesta.functions.base import authority_level, claim_id, exact_mean
+from attesta.plans import projection
 
 PROJECTED = ("validated-command", "always-on-rule", "permission-restriction", "scoped-rule")
 
@@ -141,12 +142,19 @@ def promotion(scores: DataFrame, leaks: DataFrame, drift: DataFrame) -> DataFram
 
 
 def import_fidelity(imported: DataFrame, bar: float = 0.2) -> DataFrame:
-    """Share of imported operational claims the shared file would carry again."""
+    """Share of the imported operational claims of a file that the shared file, really routed and cut, carries again."""
     operational = F.col("claim_type").isin("validated-command", "always-on-rule", "permission-restriction")
-    rows = imported.filter(operational).select("repo_id", "path", "claim_type", "claim_text").distinct()
-    # imported claims are of low authority: the shared file keeps their commands only
-    return rows.groupBy("repo_id", "path").agg(
-        F.count(F.lit(1)).alias("operational"), F.count_if(F.col("claim_type") == "validated-command").alias("surviving")
+    rows = imported.filter(operational).select("repo_id", "path", "claim_type", "claim_text", F.col("claim_scope").alias("scope")).distinct()
+    authority = F.lit("declared-imported-unreviewed")
+    claims = rows.select(
+        "repo_id", claim_id(F.col("claim_type"), F.col("scope"), F.col("claim_text")).alias("claim_id"), "claim_type", F.col("claim_text").alias("content"),
+        "scope", authority.alias("source_authority"), authority_level(authority).alias("authority_level"), F.lit(None).cast("string").alias("risk_class"),
+        F.array(F.lit("all")).alias("applicability"), F.lit(1.0).alias("confidence"), "path",
+    )
+    unique = claims.drop("path").distinct()
+    carried = projection.budget_prefix(projection.route_claims(unique, hosts=("agents-md",))).select("repo_id", "claim_id").distinct().withColumn("_in", F.lit(True))
+    return claims.join(carried, ["repo_id", "claim_id"], "left").groupBy("repo_id", "path").agg(
+        F.count(F.lit(1)).alias("operational"), F.count_if(F.col("_in").isNotNull()).alias("surviving")
     ).withColumn("fidelity", F.round(F.col("surviving") / F.col("operational"), 4)).withColumn("passed", F.col("fidelity") >= bar)
 
 

@@ -62,6 +62,22 @@ def unique_evidence(evidence: DataFrame) -> DataFrame:
     ).select(*CLAIM_KEY, "file_path", "extraction_version", "r.*")
 
 
+def write_evidence(evidence: DataFrame, path: str) -> None:
+    """Evidence rows, one per claim, file and version, by repository bucket and sorted for reads by claim."""
+    write_table(unique_evidence(evidence), path, order=("repo_id", "claim_id", "file_path"))
+
+
+def read_evidence(
+    spark: SparkSession, path: str, repo_id: str | None = None, claim_id: str | None = None, file_path: str | None = None
+) -> DataFrame:
+    """Evidence of everything, of a repository, of a claim or of a file."""
+    rows = read_table(spark, path, repo_id)
+    for name, value in (("claim_id", claim_id), ("file_path", file_path)):
+        if value is not None:
+            rows = rows.filter(F.col(name) == value)
+    return rows
+
+
 def append_history(history: DataFrame, path: str) -> None:
     """Append decisions; ids come from the row, so a retried job writes the same ids."""
     stamped = history.withColumn(

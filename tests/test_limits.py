@@ -97,3 +97,14 @@ def test_clean_texts_have_a_row_of_zeros(spark):
 
     rows = spark.createDataFrame([(1, "nothing here"), (2, "<|im_start|> hi"), (3, None)], "id int, text string")
     assert sorted(tuple(r) for r in security.security_warnings(rows, ["id"]).collect()) == [(1, 0, 0), (2, 1, 0), (3, 0, 0)]
+
+
+def test_argument_maps_are_fit_for_a_log(spark):
+    from attesta.operators import security
+
+    token = "ghp_" + "a1B2" * 9
+    call = {"q": f"use {token} now", "ids": "[1, 2, 3]", "opts": '{"a": 1, "b": {}}', "long": "x" * 300, "broken": "[1,", "none": None}
+    rows = spark.createDataFrame([(1, call), (2, {}), (3, None)], "id int, arguments map<string,string>")
+    out = {r["id"]: r["arguments"] for r in security.sanitize_arguments(rows, ["id"]).collect()}
+    assert out[1] == {"q": "use ghp_...REDACTED now", "ids": "[list of 3 items]", "opts": "{dict with 2 keys}", "long": "x" * 100 + "... (300 chars)", "broken": "[1,", "none": None}
+    assert out[2] == out[3] == {}
