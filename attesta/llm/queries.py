@@ -87,6 +87,18 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.substring_digests(table(spark, folder, "documents"))
 
 
+ORACLE["op6_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+p AS (SELECT rn, unnest(ws) AS word, generate_subscripts(ws, 1) AS j,
+  unnest(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i + 34 <= len(ws) THEN md5(array_to_string(ws[i:i + 34], ' ')) END)) AS h FROM d),
+again AS (SELECT h FROM p WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+f AS (SELECT p.rn, p.word, p.j, max(CASE WHEN again.h IS NOT NULL THEN p.j END) OVER (PARTITION BY p.rn ORDER BY p.j) AS last_start FROM p LEFT JOIN again ON again.h = p.h),
+k AS (SELECT rn, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (last_start IS NULL OR last_start < j - 34), '') AS kept,
+  count(*) FILTER (last_start >= j - 34) AS n_removed FROM f GROUP BY rn)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.rn = d.rn
+"""
+
+
 @query
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
