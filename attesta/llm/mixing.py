@@ -29,10 +29,13 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+PLACE_BITS = 60
+
+
 def _place(seed: int) -> Column:
-    """Seeded position of a document in [0, 2^63)."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"))
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1)
+    """Seeded position of a document in [0, 2^60): the first 15 hex digits of an MD5, which any engine can compute."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}"))), 1, PLACE_BITS // 4), 16, 10).cast("long")
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -79,7 +82,7 @@ def plan(rows: DataFrame, weights: DataFrame | None = None, epochs: float = EPOC
         .withColumn("_rest", F.col("target") - F.col("repeats") * F.col("source_size")),
         "mix-targets",
     )
-    shift = 63 - RANGE_BITS
+    shift = PLACE_BITS - RANGE_BITS
     ranges = rows.groupBy("source", F.shiftright("_place", shift).alias("_range")).agg(F.sum("size").alias("_words"))
     along = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     keyed = targets.select(F.col("source").alias("_key"), "_rest")

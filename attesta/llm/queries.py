@@ -114,6 +114,27 @@ def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+ORACLE["op9_source_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+  ('0x' || substr(md5(concat(coalesce(doc_id::VARCHAR, text, ''), ':17')), 1, 15))::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
+f AS (SELECT *, source_size * 3.0::DOUBLE AS cap, row_number() OVER o AS step,
+  (sum(source_size) OVER () - coalesce(sum(source_size * 3.0::DOUBLE) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST), b AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min(level, step) FILTER (cap > weight * level) AS level FROM f),
+t AS (SELECT source, source_size, weight, CASE WHEN cap > weight * f.level THEN least(cap, weight * l.level) ELSE cap END AS target FROM f, l),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats FROM t),
+c AS (SELECT source, place, sum(size) AS words FROM d GROUP BY ALL),
+u AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+x0 AS (SELECT r.source, min(place) FILTER (before + words / 2.0 > target - repeats * source_size) AS first_out, any_value(target > repeats * source_size) AS wanted FROM u JOIN r ON r.source IS NOT DISTINCT FROM u.source GROUP BY r.source),
+x AS (SELECT source, CASE WHEN first_out IS NULL AND wanted THEN 1152921504606846976 ELSE first_out END AS below FROM x0)
+SELECT d.doc_id, d.source, d.size, r.source_size, r.weight, r.target, r.repeats + CASE WHEN d.place < coalesce(x.below, 0) THEN 1 ELSE 0 END AS copies,
+  d.size * (r.repeats + CASE WHEN d.place < coalesce(x.below, 0) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source JOIN x ON x.source IS NOT DISTINCT FROM d.source
+"""
+
+
 @query
 def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, folder, "embeddings"))
