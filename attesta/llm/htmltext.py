@@ -42,10 +42,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 HEADS = frozenset(["header", "masthead"])
 # words in class and id that name page furniture
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar cookie cookies consent gdpr notice notices "
+    "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar cookie cookies consent gdpr notice notices "
     "banner popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments "
     "disqus respond replies menu nav navbar navigation breadcrumb breadcrumbs footer pagination pager widget toolbar login signup search skip".split()
 )
+# of these, words that a box around the whole page may carry as well ("with-sidebar")
+LAYOUT = frozenset("sidebar menu nav navbar navigation banner widget toolbar header masthead".split())
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -53,10 +55,10 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class _Box:
     """A container element: its name, the box around it, and whether it is furniture."""
 
-    __slots__ = ("article", "furniture", "named", "parent", "tag", "votes")
+    __slots__ = ("article", "furniture", "layout", "named", "parent", "tag", "votes")
 
-    def __init__(self, tag: str, parent: _Box | None, furniture: bool, named: bool) -> None:
-        self.tag, self.parent, self.furniture, self.named, self.votes = tag, parent, furniture, named, 0
+    def __init__(self, tag: str, parent: _Box | None, furniture: bool, named: bool, layout: bool = False) -> None:
+        self.tag, self.parent, self.furniture, self.named, self.layout, self.votes = tag, parent, furniture, named, layout, 0
         self.article = tag in ("article", "main") or bool(parent and parent.article)
 
     def around(self) -> Iterator[_Box]:
@@ -128,10 +130,12 @@ class _Lines(HTMLParser):
         sure = tag in FURNITURE or head and tag == "header" and not self.box.article
         named = named or head and not self.box.article and tag not in ("body", "main", "article")
         if tag in ("article", "main"):
-            for box in self.box.around():  # a box that holds the article is no furniture, whatever its class says
-                if box.named:
+            for box in self.box.around():  # a box that holds the article is no side bar or menu, whatever its class says
+                if box.layout:
                     box.named = False
-        self.box = _Box(tag, self.box, sure, named)
+        words = {w.lower() for k in ("class", "id") for w in PARTS.findall(attrs.get(k) or "")}
+        layout = named and not words & NAMES - LAYOUT and not ("hidden" in attrs or "role" in attrs or "aria-hidden" in attrs or "style" in attrs)
+        self.box = _Box(tag, self.box, sure, named, layout)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1

@@ -25,6 +25,11 @@ def test_a_box_around_the_article_is_no_furniture():
     assert main_text(page(f'<div class="layout with-sidebar"><article><p>{LONG}</p></article><div class="sidebar">{LONG}</div></div>')) == LONG
 
 
+def test_comments_that_are_articles_stay_out():
+    body = f'<article><h1>H</h1><p>{LONG}</p></article><section class="reader-comments"><article><p>{LONG}{LONG}{LONG}</p></article></section><ins class="adsbygoogle">{LONG}</ins>'
+    assert main_text(page(body)) == f"H\n{LONG}"
+
+
 def test_pages_without_article_use_the_clusters():
     links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(12))
     body = f'<div><ul>{links}</ul></div><div id="content"><h2>Head</h2><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><a href="/">up</a></div>'
