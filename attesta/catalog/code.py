@@ -324,6 +324,18 @@ def _mapped(t):
     return graph.map_tests_to_modules(tests, _modules(t))
 
 
+@query("run_graph", f"""
+WITH {EDGE_SQL}, {MAPPED} SELECT repo_id, source, target, 'imports' AS edge_type FROM imp
+UNION ALL SELECT c.repo_id, p.module, c.module, 'contains' FROM m c JOIN m p ON p.repo_id = c.repo_id AND p.module = regexp_extract(c.module, '^(.*)[.][^.]+$', 1)
+UNION ALL SELECT * FROM (SELECT DISTINCT repo_id, module, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]+$', 1) ELSE '.' END, 'tests' FROM tm) AS te""")
+def _(t):
+    from attesta.plans import runs
+
+    cols = ["repo_id", "path", "content"]
+    inits = t.init_files.withColumn("content", F.lit(""))
+    return runs.run_graph(t.python_code.select(cols).unionByName(t.js_code.select(cols)).unionByName(inits.select(cols)))[1]
+
+
 @query("map_tests_to_modules", f"WITH {MODULES}, {MAPPED} SELECT * FROM tm")
 def _(t):
     return _mapped(t)

@@ -12,7 +12,7 @@ from attesta.functions.base import authority_level, blob_id, claim_id, content_h
 from attesta.functions.commands import normalize_ci_command, tags_for_risk
 from attesta.functions.scopes import host_from_source
 from attesta.functions.scopes import artifact_type as artifact_kind
-from attesta.operators import conflicts, conventions, extract_code, extract_docs, prerequisites
+from attesta.operators import conflicts, conventions, extract_code, extract_docs, graph, prerequisites
 from attesta.operators import extract_config as config
 from attesta.operators.maintenance import dedup_first, first_by
 from attesta.operators.security import security_scan_claims
@@ -205,6 +205,25 @@ def run_extraction_with_evidence(
     return found.unionByName(fresh).drop("phase", "ordinal"), _evidence(sightings, routed)
 
 
+def run_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Modules of every repository and their import, contains and test edges; each source is parsed once."""
+    routed = route_files(files)
+    modules = checkpointed(extract_code.distinct_modules(extract_code.py_modules(routed), extract_code.js_modules(routed)))
+
+    def of(role: str) -> DataFrame:
+        return routed.filter(F.col("role") == role).select("repo_id", "path", "content")
+
+    symbols = checkpointed(extract_code.python_symbols(of("python")).select("repo_id", "path", "kind", "name", "level", "is_test"))
+    script = checkpointed(extract_code.js_symbols(of("javascript")).select("repo_id", "path", "kind", "name", "has_tests"))
+    resolved = graph.resolve_py_imports(symbols.filter("kind = 'import'"), modules).select("repo_id", "path", "target").unionByName(
+        graph.resolve_js_imports(script.filter("kind = 'import'"), modules).select("repo_id", "path", "target")
+    )
+    owners = graph.path_to_module(routed.filter("role IN ('python', 'javascript')").select("repo_id", "path"), modules)
+    tests = symbols.filter("is_test").select("repo_id", "path").unionByName(script.filter("has_tests").select("repo_id", "path"))
+    edges = [graph.import_edges(resolved, owners), graph.contains_edges(modules), graph.test_edges(graph.map_tests_to_modules(tests, modules))]
+    return modules, _union(edges)
+
+
 def run_import(files: DataFrame) -> DataFrame:
     """Claims of hand-written instruction files, unreviewed and scanned."""
     found = extract_docs.instruction_claims(discover_instruction_files(files).select("repo_id", "path", "content"))
