@@ -171,13 +171,10 @@ def _links(tiles: DataFrame, cosine: float) -> DataFrame:
             ids, code = np.unique(np.concatenate([group.cid[i], group.cid[j]]), return_inverse=True)
             sums = np.bincount(code, weights=np.concatenate([group.rows[j], group.rows[i]])).astype(np.int64)
             node, centre = stars(group.cid[i], group.cid[j], 0)
-            to = centre[np.searchsorted(node, ids)] if np.all(node[:-1] <= node[1:]) else dict_of(node, centre, ids)
+            order = np.argsort(node)
+            to = centre[order][np.searchsorted(node[order], ids)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums), pa.array(to)], names=["cid", "links", "b"])
 
-    def dict_of(node: np.ndarray, centre: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        order = np.argsort(node)
-        return centre[order][np.searchsorted(node[order], ids)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         last = None
@@ -204,7 +201,7 @@ def _links(tiles: DataFrame, cosine: float) -> DataFrame:
 
 def _tiles(coded: DataFrame, tile: int) -> DataFrame:
     """Rows of each run that two classes share, dealt to tiles (key, i, j) of at most two blocks."""
-    met = coded.select("cid", F.posexplode("keys").alias("run", "bits")).join(coded.select("cid", "label", "size"), "cid")
+    met = coded.select("cid", "label", "size", F.posexplode("keys").alias("run", "bits"))
     keyed = stored(met.select("cid", "run", F.xxhash64("label", "size", "run", "bits").alias("key")), "vectors-keys")
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / F.lit(tile)).cast("long")
