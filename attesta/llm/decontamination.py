@@ -130,8 +130,8 @@ class Items:
                 if most and not self._neighbour(no, nth, line, begin):
                     continue
                 start = begin - self.cut[no][nth][0]
-                if start < tried.get(no, -1):
-                    continue  # inside the span that was verified for this item
+                if start < tried.get(no, start):
+                    continue  # inside the span that was verified for this item; before the first, any start counts
                 a, b = max(0, start - most), start + len(pattern) + most
                 exact = line.startswith(pattern, start) if start >= 0 else False
                 edits, end = (0, start + len(pattern) - a) if exact else myers(pattern, line[a:b], most)

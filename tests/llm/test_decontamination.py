@@ -72,6 +72,24 @@ def test_against_all_pairs(make, prose, doc_rows, size):
     assert sorted(str(x["doc_id"]) for x in clean) == sorted(str(x[0]) for x in rows if x[0] not in dirty)
 
 
+def test_texts_that_begin_or_end_inside_an_item(make, doc_rows, prose):
+    items = [(i, f"what {prose(20 + i, 11)}", None) for i in range(3)]
+    texts, want = [], set()
+    for i, body, _ in items:
+        body = d.reduced(body)
+        for cut in (1, 2, 5, d.budget(len(body)), d.budget(len(body)) + 1):
+            for text in (f"{body[cut:]} {prose(70 + i, 30)}", f"{prose(80 + i, 30)} {body[: len(body) - cut]}", body[cut:], body[: len(body) - cut]):
+                e = edits(body, d.reduced(text))
+                if e <= d.budget(len(body)):
+                    want.add((len(texts), i, e))
+                texts.append(text)
+    rows = doc_rows(texts)
+    out = d.contaminated(make(DOCS, rows), make(ITEMS, items)).collect()
+    assert {(x["doc_id"], x["item_id"], x["edits"]) for x in out} == want
+    left = {x["doc_id"] for x in d.decontaminated(make(DOCS, rows), make(ITEMS, items)).collect()}
+    assert left == set(range(len(texts))) - {w[0] for w in want}
+
+
 def test_empty_and_other_columns(make, prose):
     none = make(ITEMS, [])
     assert d.contaminated(make(DOCS, []), make(ITEMS, [(1, prose(1, 12), None)])).count() == 0
