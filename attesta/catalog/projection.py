@@ -195,6 +195,15 @@ def _(t):
     return projection.skill_bodies(_skills(t), limit=300).select("repo_id", "path", "text")
 
 
+@query("skill_files_whole", f"""
+WITH {ROUTED}, {SKILLED}, tx AS (SELECT sk.*, CASE WHEN claim_type = 'validated-command' THEN 0 WHEN claim_type = 'always-on-rule' THEN 1 WHEN claim_type = 'scoped-rule' THEN 2 ELSE 4 END AS ty, concat('- ', content) AS line FROM sk JOIN ok ON ok.repo_id = sk.repo_id AND ok.skill = sk.skill),
+b AS (SELECT repo_id, skill, string_agg(line, chr(10) ORDER BY ty, authority_level, claim_id) AS body FROM tx GROUP BY ALL),
+n AS (SELECT *, array_to_string(list_transform(string_split(skill, '-'), lambda w: concat(upper(w[1]), w[2:])), ' ') AS title FROM b)
+SELECT repo_id, concat('.claude/skills/', skill, '/SKILL.md') AS path, concat('---', chr(10), 'name: ', skill, chr(10), 'description: How to ', lower(title), ' in this repository.', chr(10), '---', chr(10), chr(10), '# ', title, chr(10), chr(10), body, chr(10)) AS text FROM n""")
+def _(t):
+    return projection.skill_bodies(_skills(t)).select("repo_id", "path", "text")
+
+
 @query("deny_settings", f"""
 WITH {ROUTED}, d AS (SELECT DISTINCT repo_id, concat('Bash(', split_part(content, '`', 2), '*)') AS pattern FROM routed WHERE host = 'claude' AND section IN ('guardrails', 'scoped') AND claim_type = 'permission-restriction' AND confidence >= 0.95 AND contains(content, 'destructive'))
 SELECT repo_id, '.claude/settings-snippet.json' AS path, concat('{{"permissions":{{"deny":["', string_agg(pattern, '","' ORDER BY pattern), '"]}}}}') AS text FROM d GROUP BY repo_id""")

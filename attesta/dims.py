@@ -82,7 +82,6 @@ MAX_PAGE = 500
 HARD_BUDGET_BYTES = 32768
 FILE_LIMIT_CHARS = 6144
 WORKSPACE_LIMIT_CHARS = 12288
-SKILL_BODY_CHARS = 20000
 MAX_SKILLS = 10
 
 # ---- fixed values: file discovery -----------------------------------------------------

@@ -360,21 +360,38 @@ def skill_consolidation(sizes: DataFrame) -> DataFrame:
     return ranked.select("repo_id", "skill", F.when(over, "general").otherwise(F.col("skill")).alias("final_skill"))
 
 
-def skill_bodies(grouped: DataFrame, limit: int = dims.SKILL_BODY_CHARS) -> DataFrame:
-    """Skill text per repository, cut at the limit; lines past it are not gathered."""
+def skill_lines(grouped: DataFrame, limit: int | None = None) -> DataFrame:
+    """Lines of the skill files with their place ``_n`` and the characters before them; only those a limit can reach."""
     order = {t: i for i, t in enumerate(("validated-command", "always-on-rule", "scoped-rule", "permission-restriction", "skill-playbook", "environment-prerequisite", "module-boundary", "conflict"))}
     risk = F.when(F.col("risk_class").isNotNull(), F.concat(F.lit(" ["), "risk_class", F.lit("]"))).otherwise("")
     text = F.when(F.col("claim_type") == "validated-command", F.concat(command_line(F.col("content")), risk)).otherwise(plain_line(F.col("content")))
-    key = ["repo_id", "final_skill"]
     rows = grouped.withColumn("type_no", lookup(F.col("claim_type"), order, 99)).withColumn("text", text)
-    by = Window.partitionBy(*key).orderBy("type_no", "authority_level", "claim_id")
+    if limit is None:
+        return rows
+    by = Window.partitionBy("repo_id", "final_skill").orderBy("type_no", "authority_level", "claim_id")
     # a line has at least two characters and a line end
-    head = rows.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= limit // 3 + 1)
+    head = rows.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= (limit + 1) // 3 + 1)
     before = F.coalesce(F.sum(F.length("text") + 1).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = head.withColumn("_before", before).filter(F.col("_before") <= limit)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda s: s.text), "\n")
-    bodies = near.groupBy(*key).agg(body.alias("body"))
-    cut = F.when(F.length("body") > limit, F.concat(F.substring("body", 1, limit - 3), F.lit("..."))).otherwise(F.col("body"))
+    return head.withColumn("_before", before).filter(F.col("_before") <= limit + 1)
+
+
+def skill_shown(grouped: DataFrame, limit: int | None = None) -> DataFrame:
+    """The candidates whose line is whole in a skill file: under a limit, those that end before its cut."""
+    lines = skill_lines(grouped, limit)
+    if limit is None:
+        return lines
+    end = F.col("_before") + F.length("text")
+    size = F.max(end).over(Window.partitionBy("repo_id", "final_skill"))
+    return lines.withColumn("_size", size).filter((F.col("_size") <= limit) | (end <= limit - 3))
+
+
+def skill_bodies(grouped: DataFrame, limit: int | None = None) -> DataFrame:
+    """Skill text per repository, whole; cut only where a caller gives a limit, and lines past it are not gathered."""
+    key = ["repo_id", "final_skill"]
+    order = ["_n"] if limit is not None else ["type_no", "authority_level", "claim_id"]
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda s: s.text), "\n")
+    bodies = skill_lines(grouped, limit).groupBy(*key).agg(body.alias("body"))
+    cut = F.col("body") if limit is None else F.when(F.length("body") > limit, F.concat(F.substring("body", 1, limit - 3), F.lit("..."))).otherwise(F.col("body"))
     title = F.initcap(F.replace("final_skill", F.lit("-"), F.lit(" ")))
     front = F.concat(F.lit("---\nname: "), "final_skill", F.lit("\ndescription: How to "), F.lower(title), F.lit(" in this repository.\n---\n\n# "), title, F.lit("\n\n"), cut, F.lit("\n"))
     return bodies.select("repo_id", F.lit("claude").alias("host"), F.concat(F.lit(".claude/skills/"), "final_skill", F.lit("/SKILL.md")).alias("path"), front.alias("text"))
@@ -473,7 +490,7 @@ def project(claims: DataFrame, as_of: str, min_confidence: float = 0.0) -> DataF
     return project_with_decisions(claims, as_of, min_confidence)[0]
 
 
-def project_with_decisions(claims: DataFrame, as_of: str, min_confidence: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def project_with_decisions(claims: DataFrame, as_of: str, min_confidence: float = 0.0, skill_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Files of all hosts, and for every claim and host whether a file shows it or why none does.
 
     Rows past the line budget of the first host become skill candidates; the last host leaves out what the shared file
@@ -490,24 +507,25 @@ def project_with_decisions(claims: DataFrame, as_of: str, min_confidence: float
     parts = [always_on_lines(shared.unionByName(always)), skill_list_lines(grouped), thin_lines(own), scoped_lines(own), rule_file_lines(own)]
     lines = checkpointed(reduce(DataFrame.unionByName, parts))
     whole = [
-        skill_bodies(grouped), deny_settings(routed).withColumn("host", F.lit("claude")),
+        skill_bodies(grouped, skill_limit), deny_settings(routed).withColumn("host", F.lit("claude")),
         setup_steps(able).withColumn("host", F.lit("copilot")),
     ]
     texts = reduce(DataFrame.unionByName, [w.select("repo_id", "host", "path", "text") for w in whole])
     files = assemble(lines, as_of).unionByName(texts.withColumn("lines", F.size(F.split("text", "\n")).cast("long") - 1))
-    return files, _decisions(claims, routed, shared, lines, grouped, min_confidence)
+    return files, _decisions(claims, routed, shared, lines, grouped, min_confidence, skill_limit)
 
 
-def _decisions(claims: DataFrame, routed: DataFrame, shared: DataFrame, lines: DataFrame, grouped: DataFrame, min_confidence: float) -> DataFrame:
+def _decisions(claims: DataFrame, routed: DataFrame, shared: DataFrame, lines: DataFrame, grouped: DataFrame, min_confidence: float, skill_limit: int | None = None) -> DataFrame:
     """(repo_id, claim_id, host, included, path, reason): one row per claim and host."""
     key = [*CLAIM_KEY, "host"]
     in_lines = lines.filter("claim_id <> ''").select(*key, "path")
-    in_skills = grouped.select(*CLAIM_KEY, F.lit("claude").alias("host"), F.concat(F.lit(".claude/skills/"), "final_skill", F.lit("/SKILL.md")).alias("path"))
+    in_skills = skill_shown(grouped, skill_limit).select(*CLAIM_KEY, F.lit("claude").alias("host"), F.concat(F.lit(".claude/skills/"), "final_skill", F.lit("/SKILL.md")).alias("path"))
     shown = in_lines.unionByName(in_skills).groupBy(*key).agg(F.min("path").alias("path"))
     carried = shared.select(*CLAIM_KEY, F.lit("windsurf").alias("host")).distinct().withColumn("carried", F.lit(True))
+    skilled = grouped.select(*CLAIM_KEY, F.lit("claude").alias("host")).distinct().withColumn("skilled", F.lit(True))
     rows = (
         with_hosts(claims.select(*CLAIM_KEY, "confidence")).join(routed.select(*key, "section", "reason"), key, "left")
-        .join(shown, key, "left").join(carried, key, "left")
+        .join(shown, key, "left").join(carried, key, "left").join(skilled, key, "left")
     )
     host, section = F.col("host"), F.col("section")
     why = (
@@ -517,6 +535,7 @@ def _decisions(claims: DataFrame, routed: DataFrame, shared: DataFrame, lines: D
         .when(section == "excluded", F.col("reason"))
         .when(F.col("carried"), "carried by the shared file")
         .when(host == "agents-md", "beyond the budget of the shared file")
+        .when(F.col("skilled"), "beyond the limit of the skill file")
         .when((host == "claude") & (section != "scoped"), "skill group too small")
         .when(host == "copilot", "not among the entries of the thin file")
         .otherwise("beyond the budget of the workspace")

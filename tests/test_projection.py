@@ -55,6 +55,25 @@ def test_overflow_of_the_line_budget_goes_to_skills(projected):
     assert any("/skills/" in r["path"] for r in rows) or sum(1 for r in rows) <= 185
 
 
+def test_long_skill_files_are_whole_and_a_limit_gives_reasons(spark):
+    rows = [claim(i, "skill-playbook", f"Step {i} " + "x" * 90, tags=("test",)) for i in range(400)]
+    claims = spark.createDataFrame(rows, CLAIM)
+
+    def skill(**limit):
+        files, decisions = projection.project_with_decisions(claims, AS_OF, **limit)
+        texts = [r["text"] for r in files.filter("path LIKE '.claude/skills/%'").collect()]
+        return texts[0], decisions.filter("host = 'claude'").collect()
+
+    text, decided = skill()
+    assert all(f"- Step {i} {'x' * 90}\n" in text for i in range(400))
+    assert {r["included"] for r in decided} == {True}
+    text, decided = skill(skill_limit=1000)
+    whole = {f"claim-{i:05d}" for i in range(400) if f"- Step {i} {'x' * 90}\n" in text}
+    assert 0 < len(whole) < 400 and text.endswith("...\n")
+    assert {r["claim_id"] for r in decided if r["included"]} == whole
+    assert {r["reason"] for r in decided if not r["included"]} == {"beyond the limit of the skill file"}
+
+
 def test_scopes_with_one_short_name_have_files_of_their_own(projected):
     rows = projected[2].filter("host = 'cursor' AND claim_id IN ('claim-00300', 'claim-00301')").collect()
     assert len({r["path"] for r in rows}) == 2
