@@ -3,10 +3,12 @@
 The standard library's streaming parser turns a page into lines, one per block of text, each with its characters, its
 tags, its link characters and the containers it stands in. The text-to-tag ratios of the lines are smoothed with a
 Gaussian, and lines at or above one standard deviation form the content clusters. Their characters vote for the
-containers around them: the region is the article or main element with most votes, or else the innermost container that
-holds ``MOST`` of all votes. The region gives all its lines but those of page furniture (menus, headers, footers, side
+containers around them: the region is the article or main element with most votes (a main element's outside its articles), or else the innermost
+container that holds ``MOST`` of all votes. The region gives all its lines but those of page furniture (menus, headers, footers, side
 bars, notices, adverts, forms, reader comments, hidden parts), so a short paragraph between long ones stays; outside an
-article element, lines below the threshold that are mostly links go as well.
+article element, lines below the threshold that are mostly links go as well, and in a main element the articles that
+begin with a link (cards). A form that holds the article or most of the text is no furniture. Classes and ids name
+furniture on containers only, not on headings or inline elements.
 
 Character references are decoded; white space inside a block becomes one blank; a line break is white space, the cells
 of a table row are parts of one block; blocks are joined in page order by a line feed.
@@ -17,6 +19,7 @@ as it goes; repeated rows give repeated results; an empty table gives an empty r
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -35,11 +38,16 @@ LINKED = 0.5
 CONTAINERS = frozenset("article main body section div td table aside nav header footer form ul ol dl blockquote figure details dialog menu".split())
 BLOCKS = (CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr address caption figcaption fieldset legend summary center option thead tbody tfoot html head".split())) - {"td"}
 SPACED = frozenset("br td th".split())
+# elements without an end tag, and the start tags that end them
+CELLS = frozenset("td th tr thead tbody tfoot".split())
+ENDED = {"p": BLOCKS | {"td", "th"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": CELLS, "th": CELLS}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNSEEN = frozenset("script style noscript template title svg math iframe object audio video canvas select button textarea datalist".split())
 FURNITURE = frozenset("nav aside footer form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADS = frozenset(["header", "masthead"])
+# elements whose class and id can name furniture (advert slots are ins elements)
+NAMEABLE = CONTAINERS | {"ins"}
 # words in class and id that name page furniture
 NAMES = frozenset(
     "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar cookie cookies consent gdpr notice notices "
@@ -78,6 +86,7 @@ class _Lines(HTMLParser):
         self.words: list[str] = []
         self.tags = self.linked = self.links = 0
         self.unseen: list[str] = []
+        self.endable = False
 
     def _end_line(self) -> None:
         if self.words:
@@ -101,9 +110,20 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
             self.tags = 1
-        if tag in CONTAINERS and tag != "td" or attrs and tag not in VOID and tag != "html" and self._named(attrs):
+        if self.endable:
+            self._end_siblings(tag)
+        if tag in CONTAINERS and tag != "td" or attrs and tag not in VOID and tag != "html" and self._named(tag, attrs):
             self._open(tag, dict(attrs))
 
+    def _end_siblings(self, tag: str) -> None:
+        """Closes the box of an element that this start tag ends, within the nearest container around it."""
+        for box in self.box.around():
+            if tag in ENDED.get(box.tag, ()):
+                self._end_line()
+                self.box = box.parent
+            if box.tag in CONTAINERS and box.tag not in ("div", "td"):
+                break
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in UNSEEN:
             return
@@ -112,11 +132,11 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     @staticmethod
-    def _named(attrs: list[tuple[str, str | None]]) -> bool:
+    def _named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         """Whether class, id or role names furniture, or the element is hidden."""
         for key, value in attrs:
             value = value or ""
-            if key in ("class", "id") and any(w.lower() in NAMES for w in PARTS.findall(value)):
+            if key in ("class", "id") and tag in NAMEABLE and any(w.lower() in NAMES for w in PARTS.findall(value)):
                 return True
             if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return True
@@ -125,7 +145,7 @@ class _Lines(HTMLParser):
         return False
 
     def _open(self, tag: str, attrs: dict[str, str | None]) -> None:
-        named = tag not in ("body", "main") and self._named(list(attrs.items()))
+        named = tag not in ("body", "main") and self._named(tag, list(attrs.items()))
         head = tag in HEADS or any(w.lower() in HEADS for k in ("class", "id") for w in PARTS.findall(attrs.get(k) or ""))
         sure = tag in FURNITURE or head and tag == "header" and not self.box.article
         named = named or head and not self.box.article and tag not in ("body", "main", "article")
@@ -133,9 +153,12 @@ class _Lines(HTMLParser):
             for box in self.box.around():  # a box that holds the article is no side bar or menu, whatever its class says
                 if box.layout:
                     box.named = False
+                if box.tag == "form":
+                    box.furniture = False
         words = {w.lower() for k in ("class", "id") for w in PARTS.findall(attrs.get(k) or "")}
         layout = named and not words & NAMES - LAYOUT and not ("hidden" in attrs or "role" in attrs or "aria-hidden" in attrs or "style" in attrs)
         self.box = _Box(tag, self.box, sure, named, layout)
+        self.endable = self.endable or tag in ENDED
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -191,27 +214,60 @@ def smoothed(ratios: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return np.convolve(np.pad(ratios, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def _open_forms(lines: list[tuple[str, int, int, _Box]]) -> None:
+    """A form that holds most of the text outside other furniture is a layout box."""
+    total, held = 0, {}
+    for text, _, _, box in lines:
+        around = list(box.around())
+        if not any(b.named or b.furniture and b.tag != "form" for b in around):
+            total += len(text)
+            for b in around:
+                if b.tag == "form":
+                    held[b] = held.get(b, 0) + len(text)
+    for form, n in held.items():
+        if 2 * n > total:
+            form.furniture = False
+
+
+def _without_cards(lines: list[tuple[str, int, int, _Box]], region: _Box) -> list[tuple[str, int, int, _Box]]:
+    """The lines of a main element outside the articles in it that begin with a link; those of an article as they are."""
+    if region.tag != "main":
+        return lines
+    card: dict[_Box, bool] = {}
+    kept = []
+    for line in lines:
+        text, _, linked, box = line
+        inner = [b for b in itertools.takewhile(lambda b: b is not region, box.around()) if b.tag == "article"]
+        for b in inner:
+            card.setdefault(b, linked > LINKED * len(text))
+        if not any(card[b] for b in inner):
+            kept.append(line)
+    return kept
+
+
 def main_text(html: str | None) -> str:
     lines, root = lines_of(html) if html else ([], None)
+    _open_forms(lines)
     own = [x for x in lines if not any(b.furniture or b.named for b in x[3].around())]
     own = own or [x for x in lines if not any(b.furniture for b in x[3].around())]
     if not own:
         return ""
     ratios = smoothed(np.array([len(t) / max(tags, 1) for t, tags, _, _ in own], dtype=np.float64))
     high = ratios >= min(ratios.std(), ratios.max())
-    articles: dict[int, _Box] = {}
+    articles: dict[_Box, int] = {}
     total = 0
     for (text, _, _, box), is_high in zip(own, high.tolist(), strict=True):
         if is_high:
             total += len(text)
+            inside = False
             for b in box.around():
                 b.votes += len(text)
-                if b.tag in ("article", "main"):
-                    articles[id(b)] = b
+                if b.tag == "article" or b.tag == "main":
+                    articles[b] = articles.get(b, 0) + (0 if inside and b.tag == "main" else len(text))
+                inside = inside or b.tag == "article"
     if articles:
-        inner = [b for b in articles.values() if b.tag == "article"] or list(articles.values())
-        region = max(inner, key=lambda b: b.votes)
-        return "\n".join(t for t, _, _, box in own if any(b is region for b in box.around()))
+        region = max(articles, key=lambda b: (articles[b], b.tag == "article"))
+        return "\n".join(t for t, _, _, _ in _without_cards([x for x in own if any(b is region for b in x[3].around())], region))
     best = max((x for x, h in zip(own, high.tolist(), strict=True) if h), key=lambda x: len(x[0]))
     region = next((b for b in best[3].around() if b.votes >= MOST * total), root)
     kept = [

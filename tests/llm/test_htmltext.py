@@ -36,6 +36,27 @@ def test_pages_without_article_use_the_clusters():
     assert main_text(page(body)) == "\n".join(["Head", LONG, LONG, LONG])
 
 
+PROSE = "\n".join([LONG] * 3)
+PARAGRAPHS = f"<p>{LONG}</p>" * 3
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f'<form id="aspnetForm"><nav><a href="/">Home</a></nav><div>{PARAGRAPHS}</div></form>', PROSE),
+        (f'<form><article>{PARAGRAPHS}</article><div>{LONG}{LONG}{LONG}{LONG}</div></form>', PROSE),
+        (f'<div>{PARAGRAPHS}</div><form><label>Your name and address, please</label></form>', PROSE),
+        (f'<main>{PARAGRAPHS}<article><h3><a href="/x">Another story</a></h3><p>{LONG}</p></article></main>', PROSE),
+        (f'<main>{PARAGRAPHS}<article><p>{LONG}</p></article></main>', f"{PROSE}\n{LONG}"),
+        (f'<main><p>{LONG}</p><article>{PARAGRAPHS}</article></main>', PROSE),
+        (f'<article><h2 id="related-work">Related work</h2><p>{LONG}</p><h2 id="search">Search</h2><p>{LONG} <span class="login">login</span></p></article>', f"Related work\n{LONG}\nSearch\n{LONG} login"),
+        (f'<article><p style="display:none">no<p>{LONG}<ul><li hidden>no<li>yes</ul><dl><dt hidden>no<dd>d</dl><table><tr><td class="ad">no<td>cell</table></article>', f"{LONG}\nyes\nd\ncell"),
+    ],
+)
+def test_ordinary_layouts_keep_their_article(body, text):
+    assert main_text(page(body)) == text
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
