@@ -11,7 +11,8 @@ Templates are a bounded list that goes to the tasks; texts are read once, whole,
 
 Defined cases: null, empty and very short texts have no shingle and no license; a license met by several templates or at
 several places gives one row, with the highest containment and of these the first place; where matches of two licenses
-overlap (a notice of another version), only the better one counts; rows are judged one by one; templates of fewer words than a shingle are refused; empty tables give empty results; other columns are ignored.
+overlap (a notice of another version), only the better one counts, and a license
+whose notice is a part of others (BSD) only where none of them is met; rows are judged one by one; templates of fewer words than a shingle are refused; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +39,57 @@ STEPLESS = 4  # classes up to this length have a window at every position
 WORDS_AT_ONCE = 100_000
 WORDS = re.compile(r"[^\W_]+")
 
+# fixed values: GNU licenses, and the notices they share; punctuation does not count
+GNU = (
+    ("GPL-1.0", "General", "1"), ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.0", "Library General", "2"),
+    ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"),
+)
+GNU_NOTICES = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License as published by the Free "
+    "Software Foundation, either version {1} of the License, or (at your option) any later version.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License as published by the Free "
+    "Software Foundation, either version {1}, or (at your option) any later version.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License version {1} as published by "
+    "the Free Software Foundation.",
+    "Licensed under the GNU {0} Public License, version {1}.",
+    "Licensed under the GNU {0} Public License v{1}.",
+)
+# fixed values: the conditions of the BSD licenses; lists come with numbers or with bullets
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "{0} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {1} "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+BSD_NAME = (
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+)
+BSD_END = "This software is provided by the copyright holders and contributors \"as is\""
+#: A license whose notice is a part of others: it stays only where none of those is met.
+PART_OF = {"BSD": ("BSD-2-Clause", "BSD-3-Clause")}
 # fixed values: notices and opening paragraphs of public licenses
 TEMPLATES: tuple[tuple[str, str], ...] = (
+    *((name, notice.format(title, version)) for name, title, version in GNU for notice in GNU_NOTICES),
+    *(("BSD-2-Clause", BSD.format(*marks) + BSD_END) for marks in (("1.", "2."), ("*", "*"))),
+    *(("BSD-3-Clause", f"{BSD.format(*marks)}{marks[2]} Neither the name of the copyright holder {BSD_NAME}{BSD_END}") for marks in (("1.", "2.", "3."), ("*", "*", "*"))),
+    ("BSD-3-Clause", BSD_NAME + BSD_END),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this "
+                "distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+                "https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "Licensed under the Eclipse Public License, version 1.0."),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is "
+            "provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness "
+            "for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other "
+            "liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other "
+            "dealings in the software."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -53,11 +103,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
                    "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
                    "either express or implied."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-                "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-                "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
@@ -212,9 +258,13 @@ class Scanner:
 
 def best(found: list[tuple[float, int, int, str]]) -> dict[str, tuple[float, int, int]]:
     """The best match of each license, without those that a better match of another license overlaps."""
+
+    def better(other: str, s: float, name: str, share: float) -> bool:
+        return other in PART_OF.get(name, ()) or s > share and name not in PART_OF.get(other, ())
+
     kept: dict[str, tuple[float, int, int]] = {}
     for share, first, last, name in sorted(found, key=lambda x: (-x[0], x[1], x[2], x[3])):
-        if not any(s > share and f < last and first < e for s, f, e, other in found if other != name):
+        if not any(better(other, s, name, share) and f < last and first < e for s, f, e, other in found if other != name):
             kept.setdefault(name, (share, first, last))
     return kept
 
