@@ -8,7 +8,9 @@ backslash more, which reading takes away again. Roles escape ``%``, ``<`` and li
 Everything is a Column expression. A conversation is one value of the result, so its turns meet in one row.
 
 Defined cases: null text is empty; null role is empty; an unknown layout, broken JSON or null record gives a null layout
-and no turns; repeated turns are kept, ordered by turn, role, text; other columns pass through.
+and no turns, and so does a given JSON text that Spark's parser refuses for its size (a variant of more than 128 MiB, a
+string of more than 20 million characters). The query has no such bound: it takes the fingerprint from the record's shape
+and maps the record's columns, and a record without a layout is an error. Repeated turns are kept, ordered by turn, role, text; other columns pass through.
 """
 
 from __future__ import annotations
@@ -54,6 +56,13 @@ class Layout:
         return F.array(*said)
 
 
+    def mapped(self) -> Column:
+        """The turns of a record whose fields are columns."""
+        if self.turns:
+            return F.transform(self.turns, lambda t: F.struct(t[self.role].alias("role"), t[self.text].alias("text")))
+        return F.array(*[F.struct(F.lit(role).alias("role"), F.col(path).alias("text")) for role, path in self.fields])
+
+
 # fixed values: layouts that public instruction and chat sets use
 LAYOUTS = (
     Layout("messages", "messages", "role", "content"),
@@ -89,6 +98,21 @@ def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout,
     return known.withColumn("layout", layout).withColumn("turns", F.when(F.col("layout") == "conversations", named).otherwise(F.coalesce(turns, F.array().cast(TURN))))
 
 
+def mapped(records: DataFrame, shape: str = "shape", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """Adds what ``canonical`` adds to rows whose record is columns and whose ``shape`` is its JSON with empty texts.
+
+    Texts never pass the JSON parser, so their length is not bounded by it. A record without a layout is an error.
+    """
+    value = F.try_parse_json(F.col(shape))
+    known = records.withColumn("fingerprint", F.when(value.isNotNull(), fingerprint(value)))
+    layout, turns = F.raise_error(F.lit("a record has no known layout")).cast("string"), F.lit(None).cast(TURN)
+    for x in layouts:
+        if {x.turns} - {None} | {path for _, path in x.fields} <= set(records.columns):
+            match = F.col("fingerprint") == x.fingerprint()
+            layout, turns = F.when(match, x.name).otherwise(layout), F.when(match, x.mapped()).otherwise(turns)
+    return known.withColumn("layout", layout).withColumn("turns", turns)
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
@@ -130,30 +154,51 @@ def parsed(text: Column) -> Column:
     )
 
 
+def _said(conversations: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Conversations with their turns in order; whether one is a lone question and answer, or that after a system text."""
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    lists = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("_said"))
+    roles = F.transform("_said", lambda t: t["role"])
+    asked = F.array(F.lit("user"), F.lit("assistant"))
+    return lists, roles == asked, roles == F.concat(F.array(F.lit("system")), asked)
+
+
+def _text(i: int) -> Column:
+    return F.get("_said", F.lit(i))["text"]
+
+
+def _messages() -> Column:
+    return F.transform("_said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+
+
 def records_of(conversations: DataFrame) -> DataFrame:
     """One JSON record per conversation of ``(conv_id, turn, role, text)``.
 
     A lone question and answer becomes a prompt record, one with a system text first an instruction record, all others
     message lists: the layouts that collections of these shapes come in.
     """
-    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    lists = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("_said"))
-    roles = F.transform("_said", lambda t: t["role"])
-    text = lambda i: F.col("_said")[i]["text"]
-    prompt = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion")))
-    instruction = F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output")))
-    messages = F.to_json(F.struct(F.transform("_said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
-    record = (
-        F.when(roles == F.array(F.lit("user"), F.lit("assistant")), prompt)
-        .when(roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), instruction)
-        .otherwise(messages)
-    )
-    return lists.select("conv_id", record.alias("record"))
+    lists, lone, led = _said(conversations)
+    prompt = F.to_json(F.struct(_text(0).alias("prompt"), _text(1).alias("completion")))
+    instruction = F.to_json(F.struct(_text(0).alias("system"), _text(1).alias("instruction"), _text(2).alias("output")))
+    messages = F.to_json(F.struct(_messages().alias("messages")))
+    return lists.select("conv_id", F.when(lone, prompt).when(led, instruction).otherwise(messages).alias("record"))
+
+
+def columns_of(conversations: DataFrame) -> DataFrame:
+    """The records of ``records_of`` as columns, with ``shape``, the JSON of such a record with empty texts."""
+    lists, lone, led = _said(conversations)
+    shape = (
+        F.when(lone, '{"prompt":"","completion":""}').when(led, '{"system":"","instruction":"","output":""}')
+        .otherwise('{"messages":[{"role":"","content":""}]}')
+    )
+    fields = [F.when(lone, _text(0)).alias("prompt"), F.when(lone, _text(1)).alias("completion")]
+    fields += [F.when(led, _text(i)).alias(name) for i, name in enumerate(("system", "instruction", "output"))]
+    return lists.select("conv_id", shape.alias("shape"), *fields, F.when(~lone & ~led, _messages()).alias("messages"))
 
 
 def chat_digests(conversations: DataFrame) -> DataFrame:
     """Formats every conversation and reports what reading the output gives back."""
-    out = formatted(canonical(records_of(conversations)))
+    out = formatted(mapped(columns_of(conversations)))
     back = out.withColumn("_turns", parsed(F.col("formatted")))
     whole = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")

@@ -69,3 +69,16 @@ def test_loss_mask_holds_assistant_texts_only(make):
     row = out.select("formatted", F.filter("segments", lambda s: s["loss"]).alias("loss")).first()
     assert [s["text"] for s in row["loss"]] == ["a<\\|b"]
     assert row["formatted"] == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<\\|b<|im_end|>\n"
+
+
+def test_texts_beyond_the_json_parser_keep_their_turns(spark):
+    long = F.repeat(F.lit("x"), 20_000_001)
+    said = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), long.alias("text"))
+    row = chat.chat_digests(said).first()
+    assert (row["layout"], row["n_turns"], row["loss_chars"]) == ("prompt", 2, 20_000_001)
+
+
+def test_a_record_without_a_layout_is_an_error(spark):
+    records = spark.sql("SELECT 'a' AS prompt, 'b' AS completion, '{\"other\":\"\"}' AS shape")
+    with pytest.raises(Exception, match="no known layout"):
+        chat.mapped(records).collect()
