@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import chat, decontamination, embeddings, htmltext, licenses, mixing, simhash, substrings, toxicity, warc
+from attesta.llm import chat, decontamination, embeddings, htmltext, licenses, mixing, runs, simhash, substrings, toxicity, warc
 from attesta.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,32 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM c LEFT JOIN n USING (vec_id)
 """
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.run_digests(table(spark, folder, "documents"))
+
+
+ORACLE["op13_periodic_runs"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws,
+    xor(list_reduce(flatten([[4294967295]] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END), 4294967295) AS h
+  FROM documents
+), c AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) ELSE len(ws) END AS a FROM d),
+e AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM c),
+w AS (SELECT rn, i, ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS word FROM (SELECT rn, ws, a, p, unnest(range(0, n)) AS i FROM e)),
+m AS (SELECT x.rn, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.rn = y.rn AND x.word = y.word AND x.i < y.i),
+k AS (SELECT rn, q, i, i - row_number() OVER (PARTITION BY rn, q ORDER BY i) AS island FROM m),
+f AS (SELECT rn, q, min(i) AS start, count(*) + q AS length FROM k GROUP BY rn, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT rn, start, length, min(q) AS period FROM f GROUP BY rn, start, length),
+t AS (SELECT rn, count(*) AS n_runs, min(struct_pack(a := -length, b := start, c := period)) AS best,
+  sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM r GROUP BY rn),
+z AS (SELECT rn, i, sum(step) AS step FROM (SELECT rn, start + period AS i, 1 AS step FROM r UNION ALL SELECT rn, start + length, -1 FROM r) GROUP BY rn, i),
+o AS (SELECT w.rn, w.i, w.word, coalesce(sum(z.step) OVER (PARTITION BY w.rn ORDER BY w.i), 0) AS covered FROM w LEFT JOIN z ON z.rn = w.rn AND z.i = w.i),
+s AS (SELECT rn, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (covered = 0), '')) AS kept FROM o GROUP BY rn)
+SELECT d.doc_id, coalesce(t.n_runs, 0) AS n_runs, t.best.b AS start, -t.best.a AS length, t.best.c AS period, 1000 * -t.best.a // t.best.c AS exponent_milli,
+  coalesce(t.runs_sha256, sha256('')) AS runs_sha256, coalesce(s.kept, sha256('')) AS collapsed_sha256
+FROM d LEFT JOIN t ON t.rn = d.rn LEFT JOIN s ON s.rn = d.rn
+"""
