@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import chat, decontamination, embeddings, htmltext, licenses, mixing, runs, simhash, substrings, toxicity, warc
+from attesta.llm import chat, decontamination, embeddings, htmltext, lexical, licenses, lm, mixing, runs, simhash, substrings, toxicity, warc
 from attesta.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,32 @@ FROM c LEFT JOIN n USING (vec_id)
 """
 
 
+@query
+def op11_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op11_ranked_lexical_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id,
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+f AS (SELECT rn, doc_id, len(ts) AS n, ts FROM d WHERE len(ts) > 0),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM f),
+t AS (SELECT rn, term, count(*) AS tf FROM (SELECT rn, unnest(ts) AS term FROM f) GROUP BY rn, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, g GROUP BY term, docs),
+q AS (SELECT item_id, unnest(list_distinct(
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+s AS (SELECT q.item_id, t.rn, sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (10 + (90 * f.n * g.docs) // g.terms))))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN f ON f.rn = t.rn, g GROUP BY q.item_id, t.rn),
+r AS (SELECT s.item_id, f.doc_id, s.score, row_number() OVER (PARTITION BY s.item_id ORDER BY s.score DESC, f.doc_id) AS rank FROM s JOIN f USING (rn) WHERE s.score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query
+def op12_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.language_scores(table(spark, folder, "documents"))
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.run_digests(table(spark, folder, "documents"))
