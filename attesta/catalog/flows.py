@@ -9,7 +9,8 @@ from attesta.operators import extract_docs, graph
 from attesta.plans import runs
 from attesta.session import shared_folder
 from attesta.sources import files, tables
-from attesta.streaming import jobs
+from attesta import dims
+from attesta.streaming import jobs, review
 
 TOOL = "CASE event_type WHEN 'view' THEN 'get_conventions' WHEN 'click' THEN 'get_claim' WHEN 'signup' THEN 'get_prerequisites' WHEN 'error' THEN 'get_conflicts' ELSE 'get_validated_commands' END"
 ACTION = "CASE event_type WHEN 'view' THEN 'approved' WHEN 'click' THEN 'edited' WHEN 'signup' THEN 'suppressed' WHEN 'error' THEN 'tombstoned' ELSE 'declared' END"
@@ -217,16 +218,43 @@ def _(t):
 @query("stream_tool_sessions", f"""
 WITH g AS (SELECT *, concat('session-', user_id) AS session_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g)
-SELECT session_id, min(ts) AS started, max(ts) + INTERVAL 15 MINUTE AS ended, count(*) AS calls, CAST(sum(length(props) * 10 + event_id % 1000) AS BIGINT) AS bytes, max(value) AS slowest_ms FROM s GROUP BY session_id, no HAVING max(ts) + INTERVAL 15 MINUTE <= {PASSED}""")
+SELECT session_id, min(ts) AS started, max(ts) + INTERVAL 15 MINUTE AS ended, count(*) AS calls, CAST(sum(length(props) * 10 + event_id % 1000) AS BIGINT) AS bytes, max(value) AS slowest_ms, quantile_disc(value, 0.95) AS p95_ms FROM s GROUP BY session_id, no HAVING max(ts) + INTERVAL 15 MINUTE <= {PASSED}""")
 def _(t):
-    return jobs.run_to_end(jobs.tool_sessions(_events(t)), "sessions")
+    return jobs.run_to_end(jobs.tool_sessions(_events(t)), "sessions").drop("latencies")
+
+
+@query("session_latency", f"""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g),
+e AS (SELECT user_id, no, min(ts) AS started FROM s GROUP BY user_id, no HAVING max(ts) + INTERVAL 15 MINUTE <= {PASSED})
+SELECT date_trunc('day', e.started) AS day, s.user_id % 100 AS slice, count(*) AS calls, quantile_disc(s.value, 0.5) AS p50_ms, quantile_disc(s.value, 0.95) AS p95_ms FROM s JOIN e USING (user_id, no) GROUP BY ALL""")
+def _(t):
+    sessions = jobs.run_to_end(jobs.tool_sessions(_events(t), k=4000), "sessions")
+    user = F.split_part("session_id", F.lit("-"), F.lit(2)).cast("bigint")
+    return jobs.merged_latency(sessions.withColumn("day", F.date_trunc("day", "started")).withColumn("slice", user % 100), ["day", "slice"])
+
+
+MOVES = ", ".join(f"('{a}', '{b}')" for a, b in dims.REVIEW_MOVES)
+JUDGED = f"""
+d AS (SELECT event_id, ts, concat('repo-', user_id % 20) AS repo_id, concat('claim-', user_id) AS claim_id, {ACTION} AS action FROM events),
+a AS (SELECT *, CASE action WHEN 'declared' THEN 'approved' ELSE action END AS to_state FROM d),
+f AS (SELECT *, coalesce(lag(to_state) OVER (PARTITION BY repo_id, claim_id ORDER BY ts, event_id), 'unreviewed') AS from_state FROM a),
+v AS (SELECT *, (from_state, action) IN ({MOVES}) AS legal FROM f)"""
+
+
+def _verdicts(t):
+    return jobs.run_to_end(review.review_moves(_events(t)), "review-moves", mode="update", keys=[*jobs.CLAIM_KEY, "event_id"])
+
+
+@query("stream_review_moves", f"WITH {JUDGED} SELECT repo_id, claim_id, event_id, ts, action, from_state, to_state, legal FROM v")
+def _(t):
+    return _verdicts(t).drop("revision")
 
 
 @query("stream_review_state", f"""
-WITH d AS (SELECT *, concat('repo-', user_id % 20) AS repo_id, concat('claim-', user_id) AS claim_id, {ACTION} AS action FROM events)
-SELECT repo_id, claim_id, arg_max(action, (ts, event_id)) AS state, count(*) AS decisions, coalesce(max((ts, event_id)) > min((ts, event_id)) FILTER (action = 'tombstoned'), false) AS illegal FROM d GROUP BY ALL""")
+WITH {JUDGED} SELECT repo_id, claim_id, arg_max(to_state, (ts, event_id)) AS state, count(*) AS decisions, count(*) FILTER (NOT legal) AS illegal FROM v GROUP BY ALL""")
 def _(t):
-    return jobs.run_to_end(jobs.review_state(_events(t)), "review-state", mode="update", keys=jobs.CLAIM_KEY)
+    return review.review_state(_verdicts(t))
 
 
 @query("stream_dedup_claims", "SELECT DISTINCT concat('repo-', user_id % 20) AS repo_id, concat('claim-', user_id) AS claim_id FROM events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions.base import exact_mean
@@ -12,6 +12,7 @@ from attesta.operators import security
 from attesta.session import shared_folder
 
 CLAIM_KEY = ["repo_id", "claim_id"]
+SKETCH_K = 400
 
 
 def history_counts(history: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -24,16 +25,37 @@ def history_counts(history: DataFrame, lateness: str = "1 hour") -> DataFrame:
     )
 
 
-def tool_sessions(traces: DataFrame, gap: str = "15 minutes", lateness: str = "1 hour") -> DataFrame:
-    """Sessions of calls with a gap of silence between them."""
+def tool_sessions(traces: DataFrame, gap: str = "15 minutes", lateness: str = "1 hour", k: int = SKETCH_K) -> DataFrame:
+    """Sessions of calls with a gap of silence between them.
+
+    ``latencies`` is a KLL sketch of the session's durations; sketches of any sessions can be merged (``merged_latency``).
+    ``p95_ms`` is read from it: exact up to ``k`` calls, beyond that off by about 2 / ``k`` in rank.
+    """
     return (
         traces.withWatermark("ts", lateness)
         .groupBy(F.session_window("ts", gap).alias("w"), "session_id")
-        .agg(F.count(F.lit(1)).alias("calls"), F.sum("response_size_bytes").alias("bytes"), F.max("duration_ms").alias("slowest_ms"))
-        .select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "calls", "bytes", "slowest_ms")
+        .agg(
+            F.count(F.lit(1)).alias("calls"), F.sum("response_size_bytes").alias("bytes"), F.max("duration_ms").alias("slowest_ms"),
+            F.kll_sketch_agg_double(F.col("duration_ms").cast("double"), F.lit(k)).alias("latencies"),
+        )
+        .select(
+            "session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "calls", "bytes", "slowest_ms",
+            quantile("latencies", 0.95).alias("p95_ms"), "latencies",
+        )
     )
 
 
+def quantile(sketch: str, rank: float) -> Column:
+    """The value of a rank; null for a sketch that has seen nothing."""
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(rank)))
+
+
+def merged_latency(sessions: DataFrame, keys: list[str]) -> DataFrame:
+    """Latency quantiles over the sessions of a key, from their sketches alone."""
+    merged = sessions.groupBy(*keys).agg(F.sum("calls").alias("calls"), F.kll_merge_agg_double("latencies").alias("latencies"))
+    return merged.select(*keys, "calls", quantile("latencies", 0.5).alias("p50_ms"), quantile("latencies", 0.95).alias("p95_ms"))
+
+
 def sliding_latency(traces: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Latency per tool over ten minutes, every five."""
     return (
@@ -44,20 +66,6 @@ def sliding_latency(traces: DataFrame, lateness: str = "1 hour") -> DataFrame:
     )
 
 
-def review_state(decisions: DataFrame) -> DataFrame:
-    """Current state per claim, whatever the order of arrival, and whether anything followed a tombstone.
-
-    Both are aggregates over event time, so a late older decision changes nothing it should not.
-    """
-    stamp = F.struct("ts", "event_id")
-    buried = F.min(F.when(F.col("action") == "tombstoned", stamp))
-    return decisions.groupBy(*CLAIM_KEY).agg(
-        F.max_by("action", stamp).alias("state"),
-        F.count(F.lit(1)).alias("decisions"),
-        F.coalesce(F.max(stamp) > buried, F.lit(False)).alias("illegal"),
-    )
-
-
 def dedup_claims(claims: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """First sighting of a claim; the state is dropped once the watermark has passed."""
     return claims.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(CLAIM_KEY)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import extract_docs
-from attesta.streaming import jobs
+from attesta.streaming import jobs, review
 
 FILES = "repo_id string, path string, content string"
 
@@ -61,15 +61,64 @@ def test_windows_come_once_and_late_rows_are_dropped(spark, folders):
     assert step([(at(1, 5), "a"), (at(4, 10), "a"), (at(9), "a")]) == [(1, 2), (4, 2)]
 
 
-def test_review_state_merges_batches_by_key(spark, folders):
-    schema = "repo_id string, claim_id string, action string, ts timestamp, event_id long"
-    rows = [("r", "c1", "approved", dt.datetime(2024, 1, 1), 1), ("r", "c2", "tombstoned", dt.datetime(2024, 1, 1), 2)]
-    later = [("r", "c1", "suppressed", dt.datetime(2024, 1, 3), 3), ("r", "c2", "edited", dt.datetime(2024, 1, 2), 4)]
-    put(spark, rows, schema, folders["in"])
-    put(spark, later, schema, folders["in"])
-    stream = jobs.review_state(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folders["in"]))
-    out = jobs.run_to_end(stream, "review-test", mode="update", keys=jobs.CLAIM_KEY).collect()
-    assert sorted((r["claim_id"], r["state"], r["decisions"], r["illegal"]) for r in out) == [("c1", "suppressed", 2, False), ("c2", "edited", 2, True)]
+DECISIONS = "repo_id string, claim_id string, action string, ts timestamp, event_id long"
+
+
+def day(d, hour=0):
+    return dt.datetime(2024, 1, d, hour)
+
+
+def review_step(spark, folders, rows, **given):
+    """One more batch of decisions into the same checkpoint; the newest verdict of every decision so far."""
+    if rows:
+        put(spark, rows, DECISIONS, folders["in"])
+    stream = review.review_moves(spark.readStream.schema(DECISIONS).parquet(folders["in"]), **given)
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folders['out']}/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", folders["marks"]).trigger(availableNow=True).start().awaitTermination()
+    found = review.newest_verdicts(spark.read.parquet(f"{folders['out']}/batch=*").drop("batch"))
+    return {r["event_id"]: (r["from_state"], r["to_state"], r["legal"], r["revision"]) for r in found.collect()} if rows is not None else found
+
+
+def test_every_illegal_move_is_flagged_over_batches_and_restarts(spark, folders):
+    first = review_step(spark, folders, [("r", "c1", "approved", day(1), 1), ("r", "c2", "tombstoned", day(1), 2), ("r", "c3", "declared", day(1), 3)])
+    assert first == {1: ("unreviewed", "approved", True, 0), 2: ("unreviewed", "tombstoned", True, 0), 3: ("unreviewed", "approved", False, 0)}
+    # each call is a restart from the checkpoint
+    second = review_step(spark, folders, [("r", "c1", "edited", day(2), 4), ("r", "c2", "approved", day(2), 5), ("r", "c1", "suppressed", day(3), 6), ("r", "c1", "approved", day(1), 1)])
+    assert second == first | {4: ("approved", "edited", False, 0), 5: ("tombstoned", "approved", False, 0), 6: ("edited", "suppressed", False, 0)}
+    state = review.review_state(review_step(spark, folders, None)).collect()
+    assert sorted((r["claim_id"], r["state"], r["decisions"], r["illegal"]) for r in state) == [("c1", "suppressed", 3, 2), ("c2", "approved", 2, 1), ("c3", "approved", 1, 1)]
+
+
+def test_a_late_decision_is_put_in_its_place_and_its_successor_judged_again(spark, folders):
+    moves = (("unreviewed", "suppressed"), ("suppressed", "approved"), ("approved", "tombstoned"))
+    first = review_step(spark, folders, [("r", "c", "approved", day(1, 12), 1), ("r", "c", "tombstoned", day(2, 12), 2)], moves=moves, lateness="3 days")
+    assert first == {1: ("unreviewed", "approved", False, 0), 2: ("approved", "tombstoned", True, 0)}
+    second = review_step(spark, folders, [("r", "c", "suppressed", day(1, 6), 3)], moves=moves, lateness="3 days")
+    assert second == {3: ("unreviewed", "suppressed", True, 0), 1: ("suppressed", "approved", True, 1), 2: ("approved", "tombstoned", True, 0)}
+
+
+def test_state_folds_behind_the_watermark_and_ends_when_idle(spark, folders):
+    def kept():
+        rows = spark.read.format("statestore").load(folders["marks"]).selectExpr("key.*", "value.*").collect()
+        return {r["claim_id"]: len(r["groupState"]["ids"]) if "groupState" in r else None for r in rows}
+
+    given = {"lateness": "1 hour", "idle": "5 days"}
+    review_step(spark, folders, [("r", "old", "approved", day(1), 1), ("r", "busy", "approved", day(1), 2)], **given)
+    review_step(spark, folders, [("r", "busy", "edited", day(3), 3)], **given)
+    review_step(spark, folders, [("r", "busy", "suppressed", day(4), 4)], **given)
+    assert kept()["busy"] <= 2 and "old" in kept()
+    review_step(spark, folders, [("r", "other", "approved", day(9), 5)], **given)
+    review_step(spark, folders, [("r", "other", "edited", day(9, 2), 6)], **given)
+    assert set(kept()) == {"other"}
+    # a claim that comes back goes on from what the table knows
+    rows = spark.createDataFrame([("r", "old", "edited", day(10), 7, "approved")], DECISIONS + ", known_state string")
+    rows.coalesce(1).write.mode("append").parquet(folders["in"] + "2")
+    stream = review.review_moves(spark.readStream.schema(rows.schema).parquet(folders["in"] + "2"))
+    out = jobs.run_to_end(stream, "review-known", mode="update", keys=[*jobs.CLAIM_KEY, "event_id"]).collect()
+    assert [(r["from_state"], r["legal"]) for r in out] == [("approved", False)]
 
 
 def test_sessions_close_behind_the_watermark(spark, folders):
@@ -78,3 +127,23 @@ def test_sessions_close_behind_the_watermark(spark, folders):
     put(spark, rows, schema, folders["in"])
     out = jobs.run_to_end(jobs.tool_sessions(spark.readStream.schema(schema).parquet(folders["in"])), "sessions-test")
     assert sorted(r["calls"] for r in out.withColumn("x", F.lit(1)).collect()) == [1, 2]
+
+
+def test_session_sketches_merge_within_their_error(spark, folders):
+    import random
+
+    r = random.Random(3)
+    schema = "ts timestamp, session_id string, response_size_bytes long, duration_ms double"
+    rows = [(dt.datetime(2024, 1, 1, 1) + dt.timedelta(seconds=i), f"s{i % 7}", 1, r.expovariate(1)) for i in range(30_000)]
+    rows += [(dt.datetime(2024, 1, 2), "end", 1, 1.0)]
+    put(spark, rows, schema, folders["in"])
+    sessions = jobs.run_to_end(jobs.tool_sessions(spark.readStream.schema(schema).parquet(folders["in"])), "sketch-test")
+    by_session = {f"s{k}": sorted(d for _, s, _, d in rows if s == f"s{k}") for k in range(7)}
+    for row in sessions.collect():
+        values = by_session[row["session_id"]]
+        assert abs(sum(v <= row["p95_ms"] for v in values) / len(values) - 0.95) < 4 / jobs.SKETCH_K
+    (whole,) = jobs.merged_latency(sessions.withColumn("all", F.lit(1)), ["all"]).collect()
+    values = sorted(d for _, s, _, d in rows if s != "end")
+    assert whole["calls"] == 30_000
+    for rank, value in ((0.5, whole["p50_ms"]), (0.95, whole["p95_ms"])):
+        assert abs(sum(v <= value for v in values) / len(values) - rank) < 4 / jobs.SKETCH_K
