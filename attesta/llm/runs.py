@@ -9,7 +9,7 @@ give for every period how far the words match. Tiles whose block does not come a
 no matches and are not made.
 
 Matches that a tile finds are fragments ``(document, period, begin, end)``. They are joined as far as a task sees
-neighbouring tiles, shuffled by document and period, and stitched there; of the periods that give one stretch the
+neighbouring tiles, shuffled by document and period, and stitched there; of a stretch's period and its multiples the
 smallest stays. Only documents with a tile are kept and moved; all others are settled where they are read.
 
 Defined cases: a null or empty text has no words and no runs; each row is a text of its own, equal rows included; null
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from attesta.llm.common import words_of
-from attesta.llm.substrings import window_hashes
+from attesta.llm.substrings import BASE, _powers, window_hashes
 from attesta.session import shared_folder
 
 LEAST = 12
@@ -75,8 +76,15 @@ def repeating(hashes: np.ndarray, sizes: list[int], length: int) -> set[int]:
 
 
 def tile_places(hashes: np.ndarray, least: int = LEAST) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(least period, block length, block starts) of the blocks that come again at a distance of their octave."""
+    """(least period, block length, block starts) of the blocks that come again at a distance of their octave.
+
+    A tile whose words all repeat with one period below the octave, no longer than the block, is left to that period:
+    in it the block comes again at multiples of the period only.
+    """
     n = len(hashes)
+    powers = _powers(BASE, n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * powers[:n], out=sums[1:])
     for lo, block in octaves(n, least):
         if n < block + lo:
             break
@@ -92,9 +100,17 @@ def tile_places(hashes: np.ndarray, least: int = LEAST) -> Iterator[tuple[int, i
         begins = np.arange(0, len(windows), block)
         first = group[begins] * (n + 1) + begins + lo
         at = np.searchsorted(keys, first)
-        hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] < first + lo)
-        if hit.any():
-            yield lo, block, begins[hit]
+        begins = begins[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] < first + lo)]
+        step = np.full(len(order), n)
+        step[order[:-1][~fresh]] = np.diff(order)[~fresh]
+        period = step[begins]
+        small = (period < lo) & (period <= block)
+        period = np.where(small, period, 1)
+        left, right = np.maximum(0, begins - block), np.minimum(n, begins + 2 * lo - 1 + 2 * block)
+        alike = (sums[right - period] - sums[left]) * powers[period] == sums[right] - sums[left + period]
+        begins = begins[~(small & alike)]
+        if len(begins):
+            yield lo, block, begins
 
 
 def z_function(s: list[int]) -> list[int]:
@@ -213,7 +229,11 @@ def fragments(tiles: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["rid", "period", "begin", "end"])
 
         for batch in batches:
-            for rid, lo, block, at, first, codes in zip(*(batch.column(c).to_pylist() for c in ("rid", "lo", "block", "at", "first", "tile")), strict=True):
+            tiles = batch.column("tile")
+            edges, flat = tiles.offsets.to_pylist(), tiles.values.to_pylist()
+            rows = zip(*(batch.column(c).to_pylist() for c in ("rid", "lo", "block", "at", "first")), strict=True)
+            for no, (rid, lo, block, at, first) in enumerate(rows):
+                codes = flat[edges[no] : edges[no + 1]]
                 if (rid, lo) != here:
                     done.extend((here[0], q, a, b) for q, (a, b) in known.items())
                     known.clear()
@@ -237,7 +257,7 @@ def fragments(tiles: DataFrame) -> DataFrame:
 
 
 def stitched(parts: DataFrame, least: int = LEAST) -> DataFrame:
-    """``(rid, start, length, period)``: whole runs with their smallest period."""
+    """``(rid, start, length, period)``: whole runs with their smallest period, and parts of such under its multiples."""
     order = Window.partitionBy("rid", "period").orderBy("begin", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = parts.withColumn("fresh", F.when(F.col("begin") <= before, 0).otherwise(1))
@@ -248,6 +268,26 @@ def stitched(parts: DataFrame, least: int = LEAST) -> DataFrame:
     return runs.groupBy("rid", "start", "length").agg(F.min("period").alias("period"))
 
 
+def smallest(runs: list[Run]) -> list[Run]:
+    """The runs of a text without those that lie in a run of a divisor of their period."""
+    by_period: dict[int, tuple[list[int], list[int]]] = {}
+    for start, length, period in sorted(runs):
+        starts, ends = by_period.setdefault(period, ([], []))
+        starts.append(start)
+        ends.append(start + length)
+    divisors = {q: [p for p in by_period if p < q and q % p == 0] for q in by_period}
+    out = []
+    for start, length, period in runs:
+        for p in divisors[period]:
+            starts, ends = by_period[p]
+            i = bisect_right(starts, start) - 1
+            if i >= 0 and ends[i] >= start + length:
+                break
+        else:
+            out.append((start, length, period))
+    return out
+
+
 def periodic_runs(docs: DataFrame, emit: Emit, schema: str, words: Words = lambda _, text: words_of(text), least: int = LEAST) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: ``emit(doc_id, words, runs)`` as columns of ``schema``.
 
@@ -265,7 +305,7 @@ def periodic_runs(docs: DataFrame, emit: Emit, schema: str, words: Words = lambd
         for batch in batches:
             made = []
             for key, z, found in zip(*(batch.column(c).to_pylist() for c in ("id", "z", "runs")), strict=True):
-                made.append(emit(key, unpack.decompress(z).split(), [(r["start"], r["length"], r["period"]) for r in found or ()]))
+                made.append(emit(key, unpack.decompress(z).split(), smallest([(r["start"], r["length"], r["period"]) for r in found or ()])))
             columns = list(zip(*made, strict=True)) or [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
