@@ -10,7 +10,7 @@ from attesta.plans import runs
 from attesta.session import shared_folder
 from attesta.sources import files, tables
 from attesta import dims
-from attesta.streaming import jobs, review
+from attesta.streaming import jobs, refresh, review
 
 TOOL = "CASE event_type WHEN 'view' THEN 'get_conventions' WHEN 'click' THEN 'get_claim' WHEN 'signup' THEN 'get_prerequisites' WHEN 'error' THEN 'get_conflicts' ELSE 'get_validated_commands' END"
 ACTION = "CASE event_type WHEN 'view' THEN 'approved' WHEN 'click' THEN 'edited' WHEN 'signup' THEN 'suppressed' WHEN 'error' THEN 'tombstoned' ELSE 'declared' END"
@@ -277,3 +277,19 @@ def _(t):
     target, marks = shared_folder(t.spark, "refresh"), shared_folder(t.spark, "refresh-marks")
     jobs.refresh(wrapped, target, extract_docs.docs_commands, marks).awaitTermination()
     return jobs.current_claims(t.spark, target).select("repo_id", "path", "command", "heading", "risk_class", F.round("confidence", 6).alias("confidence"))
+
+
+@query("stream_refresh_runs", """
+SELECT DISTINCT concat('repo-c', c_custkey) AS repo_id, concat('make ', t) AS content, 'validated-command' AS claim_type, CAST(1 AS BIGINT) AS support, 'new' AS change
+FROM customer, LATERAL (VALUES ('test'), (concat('lint-', lower(c_mktsegment))), ('release_all'), (concat('docs', c_nationkey))) AS u(t)""")
+def _(t):
+    arrived, target, marks = (shared_folder(t.spark, n) for n in ("arrived", "refresh-runs", "refresh-runs-marks"))
+    old = t.makefile.select("repo_id", "path", F.lit("old:\n\tx\n").alias("content"), F.lit(1).cast("bigint").alias("version"))
+    gone = t.makefile.select("repo_id", F.lit("Dockerfile").alias("path"), F.lit("FROM python:3.11\n").alias("content"), F.lit(1).cast("bigint").alias("version"))
+    late = gone.withColumn("content", F.lit(None).cast("string")).withColumn("version", F.lit(2).cast("bigint"))
+    rows = t.makefile.withColumn("version", F.lit(2).cast("bigint")).unionByName(old).unionByName(gone).unionByName(late)
+    rows.write.parquet(arrived)
+    refresh.refresh(t.spark.readStream.schema(rows.schema).parquet(arrived), target, marks).awaitTermination()
+    claims = refresh.current(t.spark, target, "claims").filter("claim_type NOT IN ('permission-restriction', 'conflict')")
+    change = refresh.changes(t.spark, target).select("repo_id", "claim_id", "change")
+    return claims.join(change, ["repo_id", "claim_id"]).select("repo_id", "content", "claim_type", "support", "change")

@@ -78,18 +78,22 @@ def secret_alerts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def refresh(files: DataFrame, target: str, extract: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Re-extract only the files of each batch; write its claims and a ledger of the paths it looked at.
+    """One extractor, file by file: re-extract only the files of each batch; write its claims and a ledger of the paths
+    it looked at. ``streaming.refresh`` runs every extractor.
 
-    A row without content says that the file is gone. The batch id is part of the folders, so a batch that is run again
-    replaces its own rows; the ledger makes a file count that has no claims any more.
+    A row without content says that the file is gone. Of several versions of a path in one batch the highest ``version``
+    counts (without that column, the greatest content). The batch id is part of the folders, so a batch that is run
+    again replaces its own rows; the ledger makes a file count that has no claims any more.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        extract(batch.filter("content IS NOT NULL")).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/claims/batch={batch_id}")
-        seen = batch.groupBy("repo_id", "path").agg(F.bool_and(F.col("content").isNull()).alias("gone"))
+        version = F.col("version") if "version" in batch.columns else F.lit(0)
+        newest = F.max_by(F.struct("content"), F.struct(version, F.coalesce("content", F.lit("")))).alias("_f")
+        files = batch.groupBy("repo_id", "path").agg(newest).select("repo_id", "path", "_f.content").persist()
+        extract(files.filter("content IS NOT NULL")).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/claims/batch={batch_id}")
+        seen = files.select("repo_id", "path", F.col("content").isNull().alias("gone"))
         seen.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/ledger/batch={batch_id}")
-        batch.unpersist()
+        files.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import extract_docs
-from attesta.streaming import jobs, review
+from attesta.streaming import jobs, refresh, review
 
 FILES = "repo_id string, path string, content string"
 
@@ -44,6 +44,75 @@ def test_a_batch_that_runs_again_replaces_its_rows(spark, folders):
     assert jobs.current_claims(spark, folders["out"]).count() == 1
 
 
+def test_refresh_takes_the_newest_version_of_a_batch(spark, folders):
+    schema = FILES + ", version long"
+    put(spark, [("r", "docs/a.md", doc("make new"), 2), ("r", "docs/a.md", doc("make old"), 1), ("r", "docs/b.md", doc("make b"), 5), ("r", "docs/b.md", None, 6)], schema, folders["in"])
+    jobs.refresh(spark.readStream.schema(schema).parquet(folders["in"]), folders["out"], extract_docs.docs_commands, folders["marks"]).awaitTermination()
+    assert [r["command"] for r in jobs.current_claims(spark, folders["out"]).collect()] == ["make new"]
+
+
+VERSIONS = FILES + ", version long"
+
+
+def refresh_step(spark, folders, rows, **given):
+    put(spark, rows, VERSIONS, folders["in"])
+    refresh.refresh(spark.readStream.schema(VERSIONS).parquet(folders["in"]), folders["out"], folders["marks"], **given).awaitTermination()
+    claims = {(r["repo_id"], r["content"]): r for r in refresh.current(spark, folders["out"], "claims").collect()}
+    log = refresh.changes(spark, folders["out"])
+    last = log.agg(F.max("batch")).first()[0]
+    names = {r["claim_id"]: r["content"] for r in spark.read.parquet(f"{folders['out']}/claims/batch=*").select("claim_id", "content").collect()}
+    return claims, {(r["repo_id"], names[r["claim_id"]]): r["change"] for r in log.filter(F.col("batch") == last).collect()}
+
+
+def test_whole_refresh_counts_support_and_keeps_decisions(spark, folders):
+    prose = "# A\n\nRequires Python 3.9+\n"
+    variable = ("a", "Python 3.9")
+
+    def named(claims, part):
+        return [r for (repo, content), r in claims.items() if repo == "a" and part in content]
+
+    claims, change = refresh_step(spark, folders, [
+        ("a", "Makefile", "test:\n\tpytest\nold:\n\tx\n", 1), ("a", "Makefile", "test:\n\tpytest\nlint:\n\truff\n", 2),
+        ("a", "README.md", prose, 1), ("a", "docs/setup.md", prose, 1), ("b", "Makefile", "all:\n\tgo\n", 1),
+    ])
+    assert ("a", "make lint") in claims and ("a", "make old") not in claims and ("b", "make all") in claims
+    assert set(change.values()) == {"new"}
+    (both,) = named(claims, variable[1])
+    assert both["support"] == 2
+    # a decision is taken on the stored claims, an older version comes late, one of two supporting files goes
+    path = f"{folders['out']}/claims/batch=0"
+    decided = spark.read.parquet(path).withColumn("review_state", F.when(F.col("content") == "make test", "approved").otherwise(F.col("review_state")))
+    rows = decided.collect()
+    spark.createDataFrame(rows, decided.schema).write.mode("overwrite").parquet(path)
+    claims, change = refresh_step(spark, folders, [("a", "Makefile", "old:\n\tx\n", 1), ("a", "docs/setup.md", None, 2)])
+    assert ("a", "make lint") in claims and ("a", "make old") not in claims
+    (one,) = named(claims, variable[1])
+    assert one["support"] == 1 and claims["a", "make test"]["review_state"] == "approved"
+    assert change["a", one["content"]] == "stale" and change["a", "make lint"] == "stable"
+    # the last supporting file goes, and batches are compacted
+    claims, change = refresh_step(spark, folders, [("a", "README.md", None, 2), ("a", "Makefile", "test:\n\tpytest\n", 3)], compact_every=3)
+    assert not named(claims, variable[1]) and change["a", "make lint"] == "removed" and change["a", one["content"]] == "removed"
+    assert ("b", "make all") in claims and claims["a", "make test"]["review_state"] == "approved"
+    base = spark.read.parquet(f"{folders['out']}/repos/batch=2").filter("compacted").select("repo_id").collect()
+    assert {r["repo_id"] for r in base} == {"a", "b"}
+    # nothing changed: no repository is looked at again
+    claims, change = refresh_step(spark, folders, [("b", "Makefile", "all:\n\tgo\n", 2)], compact_every=3)
+    assert ("b", "make all") in claims and refresh.changes(spark, folders["out"]).filter("batch = 3").isEmpty()
+
+
+def test_a_refresh_batch_may_run_twice(spark, folders):
+    rows = spark.createDataFrame([("a", "Makefile", "test:\n\tpytest\n", 1)], VERSIONS)
+    more = spark.createDataFrame([("a", "Makefile", "lint:\n\truff\n", 2), ("b", "Makefile", "all:\n\tgo\n", 1)], VERSIONS)
+    from attesta.plans import runs
+
+    for frame, batch in ((rows, 0), (more, 1), (more, 1)):
+        refresh.apply_batch(frame, batch, folders["out"], runs.run_extraction_with_evidence, 2)
+    found = {(r["repo_id"], r["content"]) for r in refresh.current(spark, folders["out"], "claims").filter("claim_type = 'validated-command'").collect()}
+    assert found == {("a", "make lint"), ("b", "make all")}
+    log = refresh.changes(spark, folders["out"]).filter("batch = 1").groupBy("change").count().collect()
+    assert {r["change"]: r["count"] for r in log} == {"new": 2, "removed": 1}
+
+
 EVENTS = "ts timestamp, action string"
 
 
