@@ -369,6 +369,12 @@ INJECTION_MARKERS = (
     (r"(?i)act\s+as\s+if", "low"),
     (r"(?i)pretend\s+you\s+are", "low"),
 )
+#: Lower-case literals beside the markers above: ``^`` where a match starts with it, else it is anywhere in the match.
+INJECTION_LITERALS = (
+    "^[inst]", "^[/inst]", "^<|im_start|>", "^<|im_end|>", "^<<sys>>", "^<</sys>>", "^ignore", "^ignore", "^disregard", "^forget",
+    "^new", "^override", "system:", "assistant:", "human:", "user:", "^<tool_call>", "^</tool_call>", "^<function_call>",
+    "^<|tool|>", "^you", "^act", "^pretend",
+)
 LEGACY_MARKERS = (
     r"(?i)\[INST\]",
     r"(?i)\bSystem:\s",
@@ -398,10 +404,16 @@ SECRET_PATTERNS = (
     (r"(?i)(?:access[_-]?token|token)\s*[:=]\s*['\"]?([A-Za-z0-9_\-]{20,})", "Access token", 1),
     (r"(?i)(?:auth[_-]?token)\s*[:=]\s*['\"]?([A-Za-z0-9_\-]{20,})", "Auth token", 1),
 )
+#: The same beside the secret patterns; of several literals one is enough.
+SECRET_LITERALS = (
+    "^akia ^asia", "^ghp_", "^gho_", "^github_pat_", "^sk-ant-", "^sk-", "^xoxb-", "^xoxp-", "^postgres ^mysql ^mongodb", "^redis://",
+    "^-----begin", "^-----begin", "^api", "^secret", "^access ^token", "^auth",
+)
 ASSIGNED_VALUE = (
     r"(?i)(?:password|passwd|pwd|secret|token|key|api_key|apikey|auth)"
     r"\s*[:=]\s*['\"]([^'\"]{20,})['\"]"
 )
+ASSIGNED_LITERALS = "^password ^passwd ^pwd ^secret ^token ^key ^api_key ^apikey ^auth"
 ENTROPY_LABEL = "High-entropy secret"
 ENTROPY_LIMIT = 4.5
 UUID_SHAPE = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"

@@ -11,6 +11,7 @@ import re
 import sys
 import tomllib
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -163,18 +164,62 @@ HIT = "array<struct<no:int,start:int,stop:int,line:int,match:string,value:string
 FENCE = re.compile(r"\s*```", re.ASCII)
 
 
-def pattern_hits(patterns: tuple[tuple[str, int], ...]):
-    """Arrow helper: every match of the patterns (regex, group) in a text, in pattern order.
-
-    A hit has its place, its line, the text of that line and whether the line stands in a fenced block; line ends and
-    fences are found once per text.
+def _places(low: str, literal: str) -> list[int]:
+    out, at = [], low.find(literal)
+    while at >= 0:
+        out.append(at)
+        at = low.find(literal, at + 1)
+    return out
+
+
+def lowered(text: str) -> str:
+    """ASCII letters in lower case, every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
+class Literals:
+    """What a pattern's matches must hold: literals they start with, or literals anywhere in them; nothing if none is known."""
+
+    def __init__(self, given: str | None) -> None:
+        words = (given or "").split()
+        self.starts = [w[1:] for w in words if w.startswith("^")]
+        self.within = [w for w in words if not w.startswith("^")]
+
+    def matches(self, pattern: re.Pattern, text: str, low: str, seen: dict[str, list[int]]) -> Iterator[re.Match]:
+        """The matches ``finditer`` gives, found from the places of the literals."""
+        if self.within or not self.starts:
+            if not self.within or any(w in low for w in (*self.within, *self.starts)):
+                yield from pattern.finditer(text)
+            return
+        places: list[int] = []
+        for literal in self.starts:
+            if literal not in seen:
+                seen[literal] = _places(low, literal)
+            places += seen[literal]
+        end = 0
+        for at in sorted(places) if len(self.starts) > 1 else places:
+            if at >= end and (m := pattern.match(text, at)):
+                yield m
+                end = max(m.end(), at + 1)
+
+
+def pattern_hits(patterns: tuple[tuple[str, int, str | None], ...]):
+    """Arrow helper: every match of the patterns (regex, group, literals) in a text, in pattern order.
+
+    The literals of all patterns are looked up once per text, and a pattern is tried only where they stand. A hit has its
+    place, its line, the text of that line and whether the line stands in a fenced block; line ends and fences are found
+    once per text.
     """
-    compiled = [(no, re.compile(p, re.ASCII), group) for no, (p, group) in enumerate(patterns)]
+    compiled = [(no, re.compile(p, re.ASCII), group, Literals(given)) for no, (p, group, given) in enumerate(patterns)]
 
     def hits(text: str | None) -> list[dict]:
         found, ends, fenced, lines = [], None, [], []
-        for no, pattern, group in compiled:
-            for m in pattern.finditer(text or ""):
+        if not text:
+            return found
+        low, seen = lowered(text), {}
+        for no, pattern, group, literals in compiled:
+            for m in literals.matches(pattern, text, low, seen):
                 if ends is None:
                     lines = text.split("\n")
                     ends = list(accumulate(len(x) + 1 for x in lines))

@@ -1,12 +1,12 @@
 """Injection and secret scans over any text column.
 
-One alternation decides which texts are looked at again; only those meet the single
-patterns. Patterns are data: pass your own list to extend them.
+Patterns are data: a table of regexes with the literals their matches must hold. A text is searched for all literals, and
+a pattern is tried only where its own stand.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta import dims
@@ -14,31 +14,55 @@ from attesta.functions import codecs, textscan
 from attesta.functions.base import lookup
 from attesta.operators.maintenance import first_by
 
-Pattern = tuple[str, ...]
+#: (regex, label, group of the value, literals); see ``pattern_table``.
+Pattern = tuple[str, str, int, str | None]
+PATTERNS = "no int, pattern string, label string, group int, literals string"
+MOST_PATTERNS = 10_000
+
+INJECTION = tuple((p, severity, 0, given) for (p, severity), given in zip(dims.INJECTION_MARKERS, dims.INJECTION_LITERALS, strict=True))
+SECRETS = tuple((*row, given) for row, given in zip(dims.SECRET_PATTERNS, dims.SECRET_LITERALS, strict=True))
+ASSIGNED = (dims.ASSIGNED_VALUE, dims.ENTROPY_LABEL, 1, dims.ASSIGNED_LITERALS)
+
+
+def pattern_table(spark: SparkSession, patterns: tuple[Pattern, ...]) -> DataFrame:
+    """The patterns as rows of a table, to be kept, edited and extended (``unionByName``) like any other.
+
+    ``literals`` are lower-case texts parted by blanks, one of which every match holds (with ``^``: starts with); null where none is
+    known, and the pattern is tried on every text then. Patterns are scanned in the order of ``no``.
+    """
+    return spark.createDataFrame([(no, *row) for no, row in enumerate(patterns)], PATTERNS)
+
+
+def patterns_of(given: DataFrame | tuple[Pattern, ...]) -> tuple[Pattern, ...]:
+    """The rows of such a table; it holds ``MOST_PATTERNS`` at most."""
+    if not isinstance(given, DataFrame):
+        return tuple(given)
+    rows = given.orderBy("no").limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"a pattern table has at most {MOST_PATTERNS} rows")
+    return tuple((r["pattern"], r["label"], r["group"], r["literals"]) for r in rows)
 
 
 def _any_of(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def _hits(df: DataFrame, text: str, patterns: list[tuple[str, str, int]]) -> DataFrame:
+def _hits(df: DataFrame, text: str, patterns: tuple[Pattern, ...]) -> DataFrame:
     """One row per pattern match: no, label, start, stop, line, match, value, context, fenced. The text stays behind."""
-    value = F.col(text)
-    labels = F.array(*[F.lit(label) for _, label, _ in patterns])
-    found = df.filter(value.rlike(_any_of([p for p, _, _ in patterns]))).withColumn(
-        "_hits", codecs.pattern_hits(tuple((p, group) for p, _, group in patterns))(value)
-    )
+    labels = F.array(*[F.lit(label) for _, label, _, _ in patterns])
+    found = df.withColumn("_hits", codecs.pattern_hits(tuple((p, group, given) for p, _, group, given in patterns))(F.col(text)))
     rest = [c for c in df.columns if c != text]
     return found.select(*rest, F.inline("_hits")).withColumn("label", F.get(labels, F.col("no")))
 
 
 def scan_injection(
-    df: DataFrame, text: str = "text", markers: tuple[tuple[str, str], ...] = dims.INJECTION_MARKERS
+    df: DataFrame, text: str = "text", markers: DataFrame | tuple[Pattern, ...] = INJECTION, most_context: int | None = 120
 ) -> DataFrame:
-    """Injection findings; a finding inside a fenced block counts one level lower."""
-    hits = _hits(df, text, [(p, severity, 0) for p, severity in markers])
-    context = F.col("context")
-    shown = F.when(F.length(context) > 120, F.concat(F.substring(context, 1, 120), F.lit("..."))).otherwise(context)
+    """Injection findings; a finding inside a fenced block counts one level lower. ``label`` of a marker is its severity."""
+    hits = _hits(df, text, patterns_of(markers))
+    context = shown = F.col("context")
+    if most_context is not None:
+        shown = F.when(F.length(context) > most_context, F.concat(F.substring(context, 1, most_context), F.lit("..."))).otherwise(context)
     return (
         hits.withColumnRenamed("fenced", "in_code_block")
         .withColumn("severity", F.when(F.col("in_code_block"), textscan.downgraded(F.col("label"))).otherwise(F.col("label")))
@@ -57,10 +81,10 @@ def secret_hits(
     df: DataFrame,
     keys: list[str],
     text: str = "text",
-    patterns: tuple[tuple[str, str, int], ...] = dims.SECRET_PATTERNS,
+    patterns: DataFrame | tuple[Pattern, ...] = SECRETS,
 ) -> DataFrame:
     """Known shapes and quoted high-entropy assignments, a span possibly under several labels."""
-    hits = _hits(df, text, [*patterns, (dims.ASSIGNED_VALUE, dims.ENTROPY_LABEL, 1)])
+    hits = _hits(df, text, (*patterns_of(patterns), ASSIGNED))
     generic = F.col("label") == dims.ENTROPY_LABEL
     noisy = (
         ~F.col("value").rlike(dims.UUID_SHAPE)
@@ -78,7 +102,7 @@ def scan_secrets(
     df: DataFrame,
     keys: list[str],
     text: str = "text",
-    patterns: tuple[tuple[str, str, int], ...] = dims.SECRET_PATTERNS,
+    patterns: DataFrame | tuple[Pattern, ...] = SECRETS,
 ) -> DataFrame:
     """Secret findings, one per span: the first pattern in scan order names it."""
     return first_by(secret_hits(df, keys, text, patterns), [*keys, "start", "stop"], [F.col("no").asc()])
