@@ -9,13 +9,14 @@ Everything is a Column expression. A conversation is one value of the result, so
 
 Defined cases: null text is empty; null role is empty; an unknown layout, broken JSON or null record gives a null layout
 and no turns, and so does a given JSON text that Spark's parser refuses for its size (a variant of more than 128 MiB, a
-string of more than 20 million characters). The query has no such bound: it takes the fingerprint from the record's shape
-and maps the record's columns, and a record without a layout is an error. Repeated turns are kept, ordered by turn, role, text; other columns pass through.
+string of more than 20 million characters). The query has no such bound: its records are columns, the fingerprint is taken
+from their fields with the texts emptied, and a record without a layout is an error. Repeated turns are kept, ordered by turn, role, text; other columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -98,13 +99,36 @@ def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout,
     return known.withColumn("layout", layout).withColumn("turns", F.when(F.col("layout") == "conversations", named).otherwise(F.coalesce(turns, F.array().cast(TURN))))
 
 
-def mapped(records: DataFrame, shape: str = "shape", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds what ``canonical`` adds to rows whose record is columns and whose ``shape`` is its JSON with empty texts.
+def _turns_as(turns: Column, layout: Layout, role: str, text: str, value: Callable[[Column], Column] = lambda c: c) -> Column:
+    """A list of turns in the names of a layout."""
+    return F.transform(turns, lambda t: F.struct(value(t[role]).alias(layout.role), value(t[text]).alias(layout.text)))
 
-    Texts never pass the JSON parser, so their length is not bounded by it. A record without a layout is an error.
+
+def emptied(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The record of a row as JSON with every text emptied: its own fields, as far as they are there, and no others.
+
+    A record lies in columns, one per top-level field; a field that is null is not part of it.
+    """
+    blank = lambda value: F.when(value.isNotNull(), F.lit(""))
+    fields = {}
+    for x in layouts:
+        for path in [x.turns] if x.turns else [path for _, path in x.fields]:
+            if path not in records.columns or path in fields:
+                continue
+            if x.turns:
+                fields[path] = F.array_distinct(_turns_as(F.col(path), x, x.role, x.text, blank)).alias(path)
+            else:
+                fields[path] = blank(F.col(path)).alias(path)
+    return F.to_json(F.struct(*fields.values()))
+
+
+def mapped(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """Adds what ``canonical`` adds to rows whose record is columns, one per top-level field.
+
+    The fingerprint is taken from the record's own nested fields; its texts never pass the JSON parser, so their length is not
+    bounded by it. A record without a known layout is an error.
     """
-    value = F.try_parse_json(F.col(shape))
-    known = records.withColumn("fingerprint", F.when(value.isNotNull(), fingerprint(value)))
+    known = records.withColumn("fingerprint", fingerprint(F.parse_json(emptied(records, layouts))))
     layout, turns = F.raise_error(F.lit("a record has no known layout")).cast("string"), F.lit(None).cast(TURN)
     for x in layouts:
         if {x.turns} - {None} | {path for _, path in x.fields} <= set(records.columns):
@@ -167,33 +191,37 @@ def _text(i: int) -> Column:
     return F.get("_said", F.lit(i))["text"]
 
 
-def _messages() -> Column:
-    return F.transform("_said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+def layout_of(conversations: DataFrame) -> tuple[DataFrame, Column]:
+    """Conversations with their turns in order, and the layout that each comes in.
 
-
-def records_of(conversations: DataFrame) -> DataFrame:
-    """One JSON record per conversation of ``(conv_id, turn, role, text)``.
-
-    A lone question and answer becomes a prompt record, one with a system text first an instruction record, all others
-    message lists: the layouts that collections of these shapes come in.
+    A lone question and answer comes in one of the four layouts with a field per speaker, by its number; one with a system text
+    first as an instruction; all others in one of the two message lists. So every layout is met.
     """
     lists, lone, led = _said(conversations)
-    prompt = F.to_json(F.struct(_text(0).alias("prompt"), _text(1).alias("completion")))
-    instruction = F.to_json(F.struct(_text(0).alias("system"), _text(1).alias("instruction"), _text(2).alias("output")))
-    messages = F.to_json(F.struct(_messages().alias("messages")))
-    return lists.select("conv_id", F.when(lone, prompt).when(led, instruction).otherwise(messages).alias("record"))
+    number = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
+    pairs = F.get(F.array(*[F.lit(n) for n in ("prompt", "prompt_response", "question", "instruction")]), number.cast("int"))
+    lines = F.when(number % 2 == 0, "messages").otherwise("conversations")
+    return lists, F.when(lone, pairs).when(led, "system_instruction").otherwise(lines)
 
 
 def columns_of(conversations: DataFrame) -> DataFrame:
-    """The records of ``records_of`` as columns, with ``shape``, the JSON of such a record with empty texts."""
-    lists, lone, led = _said(conversations)
-    shape = (
-        F.when(lone, '{"prompt":"","completion":""}').when(led, '{"system":"","instruction":"","output":""}')
-        .otherwise('{"messages":[{"role":"","content":""}]}')
-    )
-    fields = [F.when(lone, _text(0)).alias("prompt"), F.when(lone, _text(1)).alias("completion")]
-    fields += [F.when(led, _text(i)).alias(name) for i, name in enumerate(("system", "instruction", "output"))]
-    return lists.select("conv_id", shape.alias("shape"), *fields, F.when(~lone & ~led, _messages()).alias("messages"))
+    """One record per conversation of ``(conv_id, turn, role, text)``, as columns: one per field that any layout has."""
+    lists, layout = layout_of(conversations)
+    named = lists.withColumn("_layout", layout)
+    fields: dict[str, Column] = {}
+    for x in LAYOUTS:
+        mine = F.col("_layout") == x.name
+        if x.turns:
+            fields[x.turns] = F.when(mine, _turns_as(F.col("_said"), x, "role", "text"))
+        for i, (_, path) in enumerate(x.fields):
+            fields[path] = F.when(mine, _text(i)).otherwise(fields[path]) if path in fields else F.when(mine, _text(i))
+    return named.select("conv_id", *[value.alias(path) for path, value in fields.items()])
+
+
+def records_of(conversations: DataFrame) -> DataFrame:
+    """The same records as JSON texts."""
+    records = columns_of(conversations)
+    return records.select("conv_id", F.to_json(F.struct(*[c for c in records.columns if c != "conv_id"])).alias("record"))
 
 
 def chat_digests(conversations: DataFrame) -> DataFrame:

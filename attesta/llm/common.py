@@ -1,11 +1,11 @@
-"""Helpers that the operators share: reading, written tables, words, repeated ids."""
+"""Helpers that the operators share: reading, written tables, words, columns of any name, repeated rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -45,8 +45,18 @@ def by_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterat
     return df.mapInArrow(run, schema)
 
 
-def one_per_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for each id. Only rows whose id repeats are moved; the others stay where they are."""
-    repeated = docs.groupBy(F.col(key).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
-    same = docs[key].eqNullSafe(repeated["_id"])
-    return docs.join(repeated, same, "left_anti").unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([key]))
+def col(name: str) -> Column:
+    """A column by its whole name, dots and blanks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed_row(df: DataFrame) -> Column:
+    """All columns of the frame as one struct, so that a job's own names cannot meet theirs; ``struct.*`` opens it again."""
+    return F.struct(*[col(c) for c in df.columns])
+
+
+def without_copies(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each value of ``key``. Only rows whose key repeats are moved; the others stay where they are."""
+    repeated = rows.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_again")
+    same = rows[key] == repeated["_again"]
+    return rows.join(repeated, same, "left_anti").unionByName(rows.join(repeated, same, "left_semi").dropDuplicates([key]))

@@ -9,7 +9,8 @@ verified with Myers' bit-parallel distance over the span that the item can cover
 Items are the stated query set. They are taken in blocks of at most ``BLOCK`` characters, each of which is sent to the
 tasks as one bounded value and meets all texts; nothing of the documents leaves its task but matches.
 
-Defined cases: items that reduce to fewer than ``SHORT`` characters match only a text that reduces to the same; null and
+Defined cases: items that reduce to fewer than ``SHORT`` characters have no budget and match where they stand whole between
+word borders; null and
 empty texts and items match nothing; equal items count one by one under their ids; rows are judged one by one; other
 columns pass through; empty tables give empty results.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import by_batch
+from attesta.llm.common import by_batch, packed_row
 
 RATE = 0.1
 SHORT = 24
@@ -86,11 +87,7 @@ class Items:
     """Automaton over the pieces of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
-        self.items = [(i, t, budget(len(t), rate)) for i, t in items if len(t) >= SHORT]
-        self.whole: dict[str, list[int]] = {}
-        for i, t in items:
-            if 0 < len(t) < SHORT:
-                self.whole.setdefault(t, []).append(i)
+        self.items = [(i, t, budget(len(t), rate) if len(t) >= SHORT else 0) for i, t in items if t]
         places: dict[str, list[tuple[int, int]]] = {}
         self.cut = [pieces(t, k) for _, t, k in self.items]
         for no, cut in enumerate(self.cut):
@@ -121,12 +118,16 @@ class Items:
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
         """(item, edits, budget, begin, end) of the best match of each item, places in the reduced text."""
         line = reduced(text)
-        best: dict[int, tuple[int, int, int, int]] = {i: (0, 0, 0, len(line)) for i in self.whole.get(line, ())}
+        best: dict[int, tuple[int, int, int, int]] = {}
         tried: dict[int, int] = {}
         for last, (size, where) in self.automaton.iter(line) if self.some else ():
             for no, nth in where:
                 item, pattern, most = self.items[no]
                 begin = last - size + 1
+                if size < SHORT and not most:
+                    if size == len(pattern) and line[max(0, begin - 1) : begin] in ("", " ") and line[last + 1 : last + 2] in ("", " "):
+                        best.setdefault(item, (0, 0, begin, last + 1))
+                    continue
                 if most and not self._neighbour(no, nth, line, begin):
                     continue
                 start = begin - self.cut[no][nth][0]
@@ -183,14 +184,15 @@ def _built(sent) -> Items:
 
 def decontaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, size: int = BLOCK) -> DataFrame:
     """The documents that match no item, rows as they are."""
-    out = docs
+    out = docs.select(packed_row(docs).alias("row"))
+    schema = out.schema
     for block in blocks(items, size):
         sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, rate))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             built = _built(sent)
             for batch in batches:
-                yield batch.filter(pa.array([not built.matches(t) for t in batch.column("text").to_pylist()], type=pa.bool_()))
+                yield batch.filter(pa.array([not built.matches(t) for t in batch.column("row").field("text").to_pylist()], type=pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        out = out.mapInArrow(run, schema)
+    return out.select("row.*")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import WORD, stored
+from attesta.llm.common import packed_row, stored, WORD
 
 EPOCHS = 3.0
 SEED = 17
@@ -129,9 +129,13 @@ def mix(docs: DataFrame, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
 
 
 def mixed(docs: DataFrame, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The documents that the mix takes, whole, with ``mix_copies``, the times each is to be read."""
+    """The documents that the mix takes, whole, with ``mix_copies``, the times each is to be read.
+
+    A column ``mix_copies`` that comes in is replaced; all others pass through, whatever their names.
+    """
     planned = plan(stored(sized(docs, seed), "mix-sizes"), epochs=epochs)
-    per = planned.select(F.col("source").alias("_key"), F.col("repeats").alias("_repeats"), F.col("below").alias("_below"))
-    copies = F.col("_repeats") + F.when(_place(seed) < F.col("_below"), 1).otherwise(0)
-    joined = docs.join(per, F.col("source").eqNullSafe(F.col("_key"))).withColumn("mix_copies", copies.cast("long"))
-    return joined.filter("mix_copies > 0").select(*docs.columns, "mix_copies")
+    per = planned.select(F.col("source").alias("mixed_source"), "repeats", "below")
+    rows = docs.select(packed_row(docs.drop("mix_copies")).alias("row"), F.col("source").alias("own_source"), _place(seed).alias("own_place"))
+    copies = F.col("repeats") + F.when(F.col("own_place") < F.col("below"), 1).otherwise(0)
+    joined = rows.join(per, F.col("own_source").eqNullSafe(F.col("mixed_source"))).withColumn("mix_copies", copies.cast("long"))
+    return joined.filter("mix_copies > 0").select("row.*", "mix_copies")

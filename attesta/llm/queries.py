@@ -57,7 +57,7 @@ FROM f
 @query
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    planted = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{CONTROL}'), (-1L, 1L, 'assistant', '{CONTROL}') AS t(conv_id, turn, role, text)")
     return chat.chat_digests(rows.unionByName(planted))
 
 
@@ -76,8 +76,9 @@ WITH rows AS (
   FROM rows GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars,
-       CASE WHEN roles = ['user', 'assistant'] THEN 'prompt' WHEN roles = ['system', 'user', 'assistant'] THEN 'system_instruction'
-            ELSE 'messages' END AS layout
+       CASE WHEN roles = ['user', 'assistant'] THEN ['prompt', 'prompt_response', 'question', 'instruction'][1 + (coalesce(conv_id, 0) % 4 + 4) % 4]
+            WHEN roles = ['system', 'user', 'assistant'] THEN 'system_instruction'
+            WHEN coalesce(conv_id, 0) % 2 = 0 THEN 'messages' ELSE 'conversations' END AS layout
 FROM whole
 """
 

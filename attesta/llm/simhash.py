@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import by_batch, one_per_id, stored, words_of
+from attesta.llm.common import by_batch, packed_row, stored, without_copies, words_of
 from attesta.llm.components import components, stars
 
 SHINGLE = 3
@@ -129,6 +129,8 @@ def _links(fps: np.ndarray, left: list, right: list, radius: int) -> Iterator[pa
 
 def links(distinct: DataFrame, radius: int = RADIUS, groups: int = GROUPS, limit: int = LIMIT) -> DataFrame:
     """Links ``(a, b)`` that join every two of the distinct fingerprints ``fp`` within ``radius`` (2 at most)."""
+    if not 0 <= radius <= RADIUS:
+        raise ValueError(f"radius is from 0 to {RADIUS}: crowded buckets go by fingerprints one bit away")
     keys = stored(distinct.select("fp", F.explode(group_keys(F.col("fp"), groups, radius)).alias("key")), "simhash-keys")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = stored(keys.join(counts, "key"), "simhash-met")
@@ -162,12 +164,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents without those that another one stands for; one row for each id.
+    """The documents without those that another one stands for: one row of each component stays.
 
-    A document goes when none of the rows of its id is the first of its component. Rows without an id stay.
+    It is the row with the smallest id (null last); of several rows with that id, the one with the smallest fingerprint, then
+    the smallest hash of all its columns. Rows are judged one by one, so unrelated texts under one id all stay.
     """
-    found = near_duplicates(docs, shingle, radius)
-    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_first")).filter("NOT _first")
-    kept = docs.join(stored(gone.select("doc_id"), "simhash-gone"), "doc_id", "left_anti").select(*docs.columns)
-    named = one_per_id(kept.filter("doc_id IS NOT NULL"))
-    return named.unionByName(kept.filter("doc_id IS NULL"))
+    rows = docs.select(packed_row(docs).alias("row")).withColumn("place", F.xxhash64("row", *[F.col("row")[c].isNull() for c in docs.columns]))
+    keyed = rows.select("place", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    places = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "place")
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
+        prints = [_signed(fingerprint(t, shingle)) for t in batch.column("text").to_pylist()]
+        yield {"place": batch.column("place").to_pylist(), "doc_id": batch.column("doc_id").to_pylist(), "fp": prints}
+
+    prints = stored(by_batch(keyed, "place long, doc_id long, fp long", work), "simhash-prints")
+    classes = stored(prints.groupBy("fp").agg(F.min(places).alias("first")), "simhash-classes")
+    roots = components(links(classes.select("fp"), radius))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    order = F.struct("first.null", "first.doc_id", "fp", "first.place")
+    kept = rooted.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.place").alias("kept"))
+    gone = prints.select("place").distinct().join(kept, F.col("place") == F.col("kept"), "left_anti")
+    left = rows.join(stored(gone, "simhash-gone"), "place", "left_anti")
+    return without_copies(left, "place").select("row.*")

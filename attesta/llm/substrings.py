@@ -23,17 +23,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import stored, words_of
+from attesta.llm.common import col, stored, words_of
 
 WINDOW = 35
 PERIOD = 21
 COVER = (0, 1, 6, 8, 18)  # every difference modulo 21 occurs among these
 WORDS_AT_ONCE = 200_000
 ENTRIES_AT_ONCE = 1_000_000
+RANGE_BYTES = 16_000_000
 BASE = 0x9E3779B97F4A7C15
 Picker = Callable[[int, object], np.ndarray]
 
@@ -250,9 +251,14 @@ def _gathered(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "rid long, places array<int>")
 
 
-def repeats(texts: DataFrame, length: int, pick: Picker) -> DataFrame:
+def ranges_for(docs: DataFrame) -> int:
+    """Number of hash ranges, so that one holds about the anchors of ``RANGE_BYTES`` of text, whatever the cluster's settings."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // RANGE_BYTES))
+
+
+def repeats(texts: DataFrame, length: int, pick: Picker, parts: int) -> DataFrame:
     """``(rid, places)``: the picked positions at which a run of ``length`` words starts that starts elsewhere too."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _gathered(_settled(_hashed(texts, length, pick, parts), parts), parts)
 
 
@@ -270,11 +276,12 @@ def _compressed(rows: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``row`` (the columns of ``docs`` but the text), ``text``, ``n_words``, ``n_removed`` and ``kept``, the words that
     stay joined by one blank."""
-    others = [F.col(c) for c in docs.columns if c != "text"]
+    others = [col(c) for c in docs.columns if c != "text"]
+    parts = ranges_for(docs)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.struct(*others).alias("row"), "text")
-    anchors = repeats(rows.select("rid", F.col("text").alias("z"), F.lit(None).cast("array<int>").alias("hint")), WINDOW - PERIOD + 1, cover_positions)
+    anchors = repeats(rows.select("rid", F.col("text").alias("z"), F.lit(None).cast("array<int>").alias("hint")), WINDOW - PERIOD + 1, cover_positions, parts)
     known = stored(_compressed(rows).join(anchors, "rid", "left").withColumnRenamed("places", "hint"), "repeats-texts")
-    windows = repeats(known.filter("hint IS NOT NULL").select("rid", "z", "hint"), WINDOW, near_positions)
+    windows = repeats(known.filter("hint IS NOT NULL").select("rid", "z", "hint"), WINDOW, near_positions, parts)
     plain = known.filter("hint IS NULL").select("row", "z", F.col("hint").alias("places"))
     touched = known.filter("hint IS NOT NULL").drop("hint").join(windows, "rid", "left").select("row", "z", "places")
 
@@ -313,8 +320,14 @@ def substring_digests(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out; a text without any stays as it is, ``n_chars`` follows the text."""
-    out = without_repeats(docs).withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept")))
-    cut = out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "n_removed")
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return cut.select(*docs.columns)
+    out = without_repeats(docs)
+    whole = F.col("n_removed") == 0
+    text = F.when(whole, F.col("text")).otherwise(F.col("kept"))
+
+    def value(name: str) -> Column:
+        own = F.col("row")[name]
+        if name == "n_chars":
+            own = F.when(whole, own).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
+        return (text if name == "text" else own).alias(name)
+
+    return out.select(*[value(c) for c in docs.columns])

@@ -2,7 +2,7 @@
 
 Terms are the lower-cased words of a text and their beginnings (stems carry endings), each once, hashed to 63 bits. From
 a bounded sample of labelled rows the terms that tell the labels apart are counted in tasks and ranked by their
-likelihood ratio. The machine learns a weight and a short vector per chosen term; the inner products of the vectors are
+likelihood ratio, and after them terms that do so only among the rows that hold some other term. The machine learns a weight and a short vector per chosen term; the inner products of the vectors are
 the weights of pairs, so an insult together with a group weighs more than both alone. Scoring reads whole texts, one pass.
 
 Bounds, all parameters: ``sample`` labelled rows, ``terms`` chosen terms, ``rank`` numbers per vector. The fit on this
@@ -25,13 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import by_batch, stored
+from attesta.llm.common import by_batch, packed_row, stored
 
 SAMPLE = 12_000
 TERMS = 2_048
 RANK = 8
 LEAST_G = 7.0
 LEAST_LIFT = 2.5
+LEAST_PAIR_G = 40.0
+SEEDS = 48
 THRESHOLD = 0.7
 HELD_OUT = 1
 STARTS = (4, 5, 6)
@@ -113,6 +115,55 @@ def chosen_terms(rows: DataFrame, positive: int, negative: int, terms: int = TER
     return [r["term"] for r in ranked.orderBy(F.desc("g"), "term").limit(terms).collect()]
 
 
+def _split(rows: DataFrame, seeds: list[int]) -> list[dict]:
+    """``(seed, term, pos, neg)`` of the terms met in the rows that hold a seed, summed over the sample."""
+    at = {h: i for i, h in enumerate(seeds)}
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
+        ys, texts = batch.column("y").to_pylist(), batch.column("text").to_pylist()
+        for i in range(0, len(ys), 500):
+            keys, toxic = [], []
+            for y, text in zip(ys[i : i + 500], texts[i : i + 500], strict=True):
+                found = np.unique([h for w in words(text) for h in terms_of(w)]).astype(np.int64)
+                for seed in (at[h] for h in found.tolist() if h in at):
+                    keys.append(np.stack([np.full(len(found), seed, dtype=np.int64), found]))
+                    toxic.append(np.full(len(found), y == 1))
+            if not keys:
+                continue
+            both, flags = np.concatenate(keys, axis=1), np.concatenate(toxic)
+            order = np.lexsort(both[::-1])
+            both, flags = both[:, order], flags[order].astype(np.int64)
+            begins = np.flatnonzero(np.concatenate([[True], (np.diff(both, axis=1) != 0).any(axis=0)]))
+            pos = np.add.reduceat(flags, begins)
+            yield {"seed": both[0, begins], "term": both[1, begins], "pos": pos, "neg": np.diff(np.append(begins, len(flags))) - pos}
+
+    return by_batch(rows, "seed int, term long, pos long, neg long", work).groupBy("seed", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def company_terms(rows: DataFrame, known: list[int], positive: int, negative: int, terms: int = TERMS) -> list[int]:
+    """Terms that tell the labels apart only in company: their share differs among the rows that hold some other term.
+
+    The other terms are the ``SEEDS`` best of the chosen ones and the ``SEEDS`` that split the sample most evenly. There are as many
+    trials as pairs of a seed and a term, so the evidence asked for is higher (``LEAST_PAIR_G``).
+    """
+    even = F.least(F.col("pos") + F.col("neg"), F.lit(positive + negative) - F.col("pos") - F.col("neg"))
+    spread = [r["term"] for r in _counts(rows).orderBy(F.desc(even), "term").limit(SEEDS).collect()]
+    seeds = list(dict.fromkeys([*known[:SEEDS], *spread]))
+    found = _split(rows, seeds)
+    own = found.filter(F.col("term") == F.element_at(F.array(*[F.lit(s) for s in seeds]), F.col("seed") + 1)).select("seed", F.col("pos").alias("P"), F.col("neg").alias("N"))
+    p, n, all_p, all_n = (F.col(c).cast("double") for c in ("pos", "neg", "P", "N"))
+    share = (p + n) / (all_p + all_n)
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    g = 2 * (part(p, share * all_p) + part(n, share * all_n) + part(all_p - p, (1 - share) * all_p) + part(all_n - n, (1 - share) * all_n))
+    lift = ((p + 0.5) / (all_p + 1.0)) / ((n + 0.5) / (all_n + 1.0))
+    told = found.join(own, "seed").filter((g >= LEAST_PAIR_G) & ((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT)))
+    best = told.groupBy("term").agg(F.max(g).alias("g"), F.max_by("seed", g).alias("seed")).orderBy(F.desc("g"), "term").limit(terms).collect()
+    return list(dict.fromkeys(t for r in best for t in (seeds[r["seed"]], r["term"])))
+
+
 def _indexer(index: dict[int, int]):
     memo: dict[str, tuple[int, ...]] = {}
 
@@ -139,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     flat = Machine({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
     if not positive or not negative:
         return flat
-    index = {h: i for i, h in enumerate(chosen_terms(rows, positive, negative, terms))}
+    alone = chosen_terms(rows, positive, negative, terms)
+    company = company_terms(rows, alone, positive, negative, terms)
+    index = {h: i for i, h in enumerate(list(dict.fromkeys([*alone, *company]))[:terms])}
     if not index:
         return flat
 
@@ -203,6 +256,7 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _indexer(machine.index)
         for batch in batches:
-            yield batch.filter(pa.array([machine.score(of(t)) < threshold for t in batch.column("text").to_pylist()], type=pa.bool_()))
+            yield batch.filter(pa.array([machine.score(of(t)) < threshold for t in batch.column("row").field("text").to_pylist()], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(packed_row(docs).alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")

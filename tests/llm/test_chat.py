@@ -75,10 +75,34 @@ def test_texts_beyond_the_json_parser_keep_their_turns(spark):
     long = F.repeat(F.lit("x"), 20_000_001)
     said = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), long.alias("text"))
     row = chat.chat_digests(said).first()
-    assert (row["layout"], row["n_turns"], row["loss_chars"]) == ("prompt", 2, 20_000_001)
+    assert (row["layout"], row["n_turns"], row["loss_chars"]) == ("prompt_response", 2, 20_000_001)
 
 
 def test_a_record_without_a_layout_is_an_error(spark):
-    records = spark.sql("SELECT 'a' AS prompt, 'b' AS completion, '{\"other\":\"\"}' AS shape")
+    records = spark.sql("SELECT 'a' AS prompt, CAST(NULL AS STRING) AS completion, 'c' AS answer")
     with pytest.raises(Exception, match="no known layout"):
         chat.mapped(records).collect()
+
+
+def conversations_of_every_layout():
+    rows = []
+    for conv in range(-5, 12):
+        rows += [(conv, 0, "user", f"q{conv}", None), (conv, 1, "assistant", f"a{conv}<|", None)]
+    for conv in range(20, 24):
+        rows += [(conv, 0, "system", "s", None), (conv, 1, "user", None, None), (conv, 2, "assistant", "x", None)]
+        rows += [(conv + 10, 0, "user", "u", None), (conv + 10, 1, None, "", None), (conv + 10, 2, "assistant", "y", None), (conv + 10, 2, "assistant", "y", None)]
+    return rows
+
+
+def test_every_layout_is_met_and_read_back(make):
+    rows = conversations_of_every_layout()
+    found = chat.chat_digests(make(ROWS, rows))
+    assert digests(make(ROWS, rows)) == expected(rows)
+    assert {r["layout"] for r in found.collect()} == {x.name for x in chat.LAYOUTS}
+
+
+def test_records_as_columns_and_as_json_agree(make):
+    said = make(ROWS, conversations_of_every_layout())
+    by_json = {r["conv_id"]: (r["fingerprint"], r["layout"], r["turns"]) for r in chat.canonical(chat.records_of(said)).collect()}
+    by_column = {r["conv_id"]: (r["fingerprint"], r["layout"], r["turns"]) for r in chat.mapped(chat.columns_of(said)).collect()}
+    assert by_json == by_column

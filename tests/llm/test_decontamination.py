@@ -60,7 +60,7 @@ def test_against_all_pairs(make, prose, doc_rows, size):
             if item is None or not body:
                 continue
             if len(body) < d.SHORT:
-                if body == line:
+                if f" {body} " in f" {line} ":
                     want.add((doc, item, 0))
             elif (e := edits(body, line)) <= d.budget(len(body)):
                 want.add((doc, item, e))
@@ -90,6 +90,13 @@ def test_texts_that_begin_or_end_inside_an_item(make, doc_rows, prose):
     assert left == set(range(len(texts))) - {w[0] for w in want}
 
 
+def test_short_items_are_found_inside_texts(make, doc_rows, prose):
+    item = "What is the capital of"
+    texts = [item, f"{prose(1, 20)}. {item}, {prose(2, 20)}", f"{prose(1, 9)} what is the capital off {prose(2, 9)}", f"somewhat is the capital of {prose(3, 9)}", prose(4, 30), f"{prose(5, 9)} {item}", f"{item} {prose(6, 9)}"]
+    out = d.contaminated(make(DOCS, doc_rows(texts)), make(ITEMS, [(1, item, None)])).collect()
+    assert {(x["doc_id"], x["edits"]) for x in out} == {(0, 0), (1, 0), (5, 0), (6, 0)}
+
+
 def test_empty_and_other_columns(make, prose):
     none = make(ITEMS, [])
     assert d.contaminated(make(DOCS, []), make(ITEMS, [(1, prose(1, 12), None)])).count() == 0
@@ -97,3 +104,10 @@ def test_empty_and_other_columns(make, prose):
     rows = [(1, prose(1, 30), "en", "s", 7, "r", "k", 1, "s", "z", "p", "q", "f")] * 2
     out = d.decontaminated(make(ODD, rows), none)
     assert sorted(map(tuple, out.collect())) == sorted(rows)
+
+
+def test_any_column_name_passes_through(make, prose, doc_rows):
+    frame = make(DOCS, doc_rows([prose(1, 30), prose(2, 30)]))
+    names = ("item_id", "edits", "begin", "a.b")
+    out = d.decontaminated(frame.withColumns({n: frame["lang"] for n in names}), make(ITEMS, [(1, prose(1, 30), None)]))
+    assert out.columns == [*frame.columns, *names] and [r["text"] for r in out.collect()] == [prose(2, 30)]

@@ -64,3 +64,11 @@ def test_stated_weights(make):
     rows = mixing.sized(make(DOCS, [(i, "w", "en", "ab"[i % 2], 1) for i in range(100)]))
     plan = mixing.plan(rows, make("source string, weight double", [("a", 1.0), ("b", 4.0)])).collect()
     assert {x["source"]: x["target"] for x in plan} == {"a": 20.0, "b": 80.0}
+
+
+def test_any_column_name_passes_through(make, prose, doc_rows):
+    frame = make(DOCS, doc_rows([prose(i, 20) for i in range(9)]))
+    names = ("_key", "_below", "_repeats", "mix_copies", "row", "own_source", "mixed_source", "below", "a.b")
+    out = mixing.mixed(frame.withColumns({n: frame["lang"] for n in names}))
+    assert sorted(out.columns) == sorted({*frame.columns, *names})
+    assert {r["a.b"] for r in out.collect()} == {"en"} and out.filter("mix_copies < 1").isEmpty()

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from attesta.llm import simhash
@@ -65,6 +66,21 @@ def test_stage_keeps_one_of_each_group(make, prose, doc_rows):
     assert simhash.deduplicated(make(ODD, odd)).count() == 5
 
 
+def test_unrelated_texts_under_one_id_all_stay(make, prose):
+    texts = [prose(1), prose(2), prose(3)]
+    rows = [(1, texts[0], "en", "s", 1), (1, texts[1], "en", "s", 1), (2, texts[2], "en", "s", 1), (2, texts[0], "en", "t", 1), (None, texts[1], "en", "s", 1), (1, texts[0], "en", "s", 1)]
+    kept = simhash.deduplicated(make(DOCS, rows).withColumn("a.b", F.lit(1)).withColumn("place", F.lit("x")).withColumn("row", F.lit("y")))
+    assert sorted((r["doc_id"], r["text"], r["source"]) for r in kept.collect()) == sorted([(1, texts[0], "s"), (1, texts[1], "s"), (2, texts[2], "s")])
+    # which row stays does not hang on how the rows are dealt
+    again = simhash.deduplicated(make(DOCS, rows[::-1]).repartition(3))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, kept.drop("a.b", "place", "row").withColumnsRenamed({}).collect()))
+
+
+def test_a_wider_radius_is_refused(make):
+    with pytest.raises(ValueError, match="radius"):
+        simhash.links(make("fp long", [(1,)]), radius=3)
+
+
 def test_empty(make):
     assert simhash.near_duplicates(make(DOCS, [])).count() == 0
     assert simhash.deduplicated(make(DOCS, [])).count() == 0

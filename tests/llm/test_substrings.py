@@ -71,3 +71,20 @@ def test_stage_keeps_columns_and_untouched_texts(make, prose):
 
 def test_empty(make):
     assert substrings.substring_digests(make(DOCS, [])).count() == 0
+
+
+def test_any_column_name_passes_through(make, prose, doc_rows):
+    frame = make(DOCS, doc_rows([prose(1, 40) + " end", prose(1, 40), prose(2, 9)]))
+    names = ("n_removed", "n_words", "kept", "row", "rid", "z", "hint", "places", "part", "a.b")
+    out = substrings.deduplicated(frame.withColumns({n: frame["lang"] for n in names}))
+    assert out.columns == [*frame.columns, *names]
+    assert sorted((r["text"], r["n_removed"], r["a.b"]) for r in out.collect()) == sorted([("end", "en", "en"), ("", "en", "en"), (prose(2, 9), "en", "en")])
+
+
+def test_many_small_ranges_agree(make, prose, doc_rows, monkeypatch, spark):
+    """The number of ranges follows the text, not the cluster's settings."""
+    rows = doc_rows(cases(prose))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    monkeypatch.setattr(substrings, "RANGE_BYTES", 2000)
+    assert substrings.ranges_for(make(DOCS, rows)) > 20
+    assert digests(make(DOCS, rows)) == brute(rows)

@@ -51,6 +51,48 @@ def test_pairs_are_learnt_beyond_sums():
     assert scores[2] > 0.9 and max(scores[0], scores[1], scores[3]) < 0.1
 
 
+def _accuracy(make, prose, label, n=2400):
+    r = random.Random(18)
+    docs, labels = [], []
+    for i in range(n):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = [*prose(i, r.randrange(5, 60)).split(), *["kestrelgroup"] * a, *["waspword"] * b]
+        r.shuffle(words)
+        docs.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(label(a, b)), "label text"))
+    toxic = {d: t for d, _, t, _ in labels}
+    held = toxicity.toxicity(make(DOCS, docs), make(LABELS, labels)).filter("held_out").collect()
+    assert len(held) > n / 4
+    return sum(r["predicted"] == toxic[r["doc_id"]] for r in held) / len(held)
+
+
+def test_both_words_are_found(make, prose):
+    assert _accuracy(make, prose, lambda a, b: a and b) >= 0.95
+
+
+def test_exactly_one_of_two_words_is_found(make, prose):
+    """Neither word shifts the labels by itself, and no sum of weights gives these labels."""
+    assert _accuracy(make, prose, lambda a, b: a != b) >= 0.95
+
+
+def test_scores_are_those_of_a_double_loop(make, prose):
+    """Every pair by itself, over the whole table."""
+    import math
+
+    docs, labels = corpus(prose, 250)
+    table = make(DOCS, docs)
+    machine = toxicity.fit(table, make(LABELS, labels))
+    found = {r["doc_id"]: r["score"] for r in toxicity.scored(table, machine).collect()}
+    assert len(machine.index) > 1
+    for doc, text, *_ in docs:
+        at = sorted({machine.index[h] for w in toxicity.words(text) for h in toxicity.terms_of(w) if h in machine.index})
+        x = machine.bias + sum(machine.weights[i] for i in at)
+        for no, i in enumerate(at):
+            for j in at[:no]:
+                x += sum(a * b for a, b in zip(machine.vectors[i].tolist(), machine.vectors[j].tolist(), strict=True))
+        assert abs(found[doc] - 1 / (1 + math.exp(-max(-30, min(30, x))))) < 1e-9
+
+
 def test_odd_rows(make, prose):
     docs, labels = corpus(prose, 200)
     odd = [(None, "no id", "en", "s", 1), (900, None, None, None, None), (901, "", "en", "s", 1), (902, "é" * 50000 + " mudbrain snotwizard", "en", "s", 1), docs[0]]
