@@ -6,8 +6,9 @@ Gaussian, and lines at or above one standard deviation form the content clusters
 containers around them: the region is the article or main element with most votes (a main element's outside its articles), or else the innermost
 container that holds ``MOST`` of all votes. The region gives all its lines but those of page furniture (menus, headers, footers, side
 bars, notices, adverts, forms, reader comments, hidden parts), so a short paragraph between long ones stays; outside an
-article element, lines below the threshold that are mostly links go as well, and in a main element the articles that
-begin with a link (cards). A form that holds the article or most of the text is no furniture. Classes and ids name
+article element, lines that are mostly links and below the threshold by themselves go as well, and in a main element the articles that
+begin with a link (cards). Articles beside the best one that hold half its votes are parts of it. A box whose id is the slug of
+its first heading is a section of that name and no furniture, unless it is mostly links. A form that holds the article or most of the text is no furniture. Classes and ids name
 furniture on containers only, not on headings or inline elements.
 
 Character references are decoded; white space inside a block becomes one blank; a line break is white space, the cells
@@ -34,6 +35,7 @@ from attesta.llm.common import by_batch
 MOST = 0.8
 RADIUS = 2
 LINKED = 0.5
+SHARE = 0.5
 # fixed values: element names of HTML
 CONTAINERS = frozenset("article main body section div td table aside nav header footer form ul ol dl blockquote figure details dialog menu".split())
 BLOCKS = (CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre hr address caption figcaption fieldset legend summary center option thead tbody tfoot html head".split())) - {"td"}
@@ -42,7 +44,8 @@ SPACED = frozenset("br td th".split())
 CELLS = frozenset("td th tr thead tbody tfoot".split())
 ENDED = {"p": BLOCKS | {"td", "th"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": CELLS, "th": CELLS}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("script style noscript template title svg math iframe object audio video canvas select button textarea datalist".split())
+UNSEEN = frozenset("script style noscript template title svg annotation iframe object audio video canvas select button textarea datalist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset("nav aside footer form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADS = frozenset(["header", "masthead"])
@@ -52,22 +55,31 @@ NAMEABLE = CONTAINERS | {"ins"}
 NAMES = frozenset(
     "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar cookie cookies consent gdpr notice notices "
     "banner popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments "
-    "disqus respond replies menu nav navbar navigation breadcrumb breadcrumbs footer pagination pager widget toolbar login signup search skip".split()
+    "disqus respond replies feedback menu nav navbar navigation breadcrumb breadcrumbs footer pagination pager widget toolbar login signup search skip".split()
 )
 # of these, words that a box around the whole page may carry as well ("with-sidebar")
 LAYOUT = frozenset("sidebar menu nav navbar navigation banner widget toolbar header masthead".split())
+# of these, words that stay furniture under a heading of the same name
+NEVER_HEADED = frozenset("ad ads adsbygoogle adv advert adverts advertisement comment comments disqus respond replies cookie cookies consent gdpr newsletter subscribe".split())
+NUMBERED = re.compile(r"-\d+$")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def slug(text: str) -> str:
+    return "-".join(re.findall(r"[^\W_]+", text.lower()))
+
+
 class _Box:
     """A container element: its name, the box around it, and whether it is furniture."""
 
-    __slots__ = ("article", "furniture", "layout", "named", "parent", "tag", "votes")
+    __slots__ = ("article", "furniture", "headed", "layout", "named", "parent", "slug", "tag", "votes")
 
     def __init__(self, tag: str, parent: _Box | None, furniture: bool, named: bool, layout: bool = False) -> None:
         self.tag, self.parent, self.furniture, self.named, self.layout, self.votes = tag, parent, furniture, named, layout, 0
         self.article = tag in ("article", "main") or bool(parent and parent.article)
+        self.slug: str | None = None  # the id, where it alone names the box
+        self.headed = False
 
     def around(self) -> Iterator[_Box]:
         box = self
@@ -86,6 +98,7 @@ class _Lines(HTMLParser):
         self.words: list[str] = []
         self.tags = self.linked = self.links = 0
         self.unseen: list[str] = []
+        self.inside_unseen: list[str] = []
         self.endable = False
 
     def _end_line(self) -> None:
@@ -102,6 +115,8 @@ class _Lines(HTMLParser):
             self.unseen.append(tag)
             return
         if self.unseen:
+            if tag in CONTAINERS:
+                self.inside_unseen.append(tag)
             return
         if tag == "a":
             self.links += 1
@@ -158,6 +173,9 @@ class _Lines(HTMLParser):
         words = {w.lower() for k in ("class", "id") for w in PARTS.findall(attrs.get(k) or "")}
         layout = named and not words & NAMES - LAYOUT and not ("hidden" in attrs or "role" in attrs or "aria-hidden" in attrs or "style" in attrs)
         self.box = _Box(tag, self.box, sure, named, layout)
+        own = attrs.get("id")
+        if own and named and not sure and not self._named(tag, [x for x in attrs.items() if x[0] != "id"]) and not words & NEVER_HEADED:
+            self.box.slug = NUMBERED.sub("", slug(own))
         self.endable = self.endable or tag in ENDED
 
     def handle_endtag(self, tag: str) -> None:
@@ -166,13 +184,25 @@ class _Lines(HTMLParser):
             if tag in self.unseen:
                 while self.unseen.pop() != tag:
                     pass
-            return
+                if not self.unseen:
+                    self.inside_unseen = []
+                return
+            if tag in self.inside_unseen:
+                while self.inside_unseen.pop() != tag:
+                    pass
+                return
+            if tag not in CONTAINERS or not any(box.tag == tag for box in self.box.around()):
+                return
+            self.unseen, self.inside_unseen = [], []  # an element that was never closed ends with the box around it
         if tag == "a" and self.links:
             self.links -= 1
         if tag in SPACED:
             self.words.append(" ")
         if tag in BLOCKS:
+            before = len(self.lines)
             self._end_line()
+            if tag in HEADINGS and len(self.lines) > before:
+                self._head(self.lines[-1][0])
         for box in self.box.around():
             if box.tag == tag:
                 if tag not in BLOCKS and tag not in SPACED:
@@ -180,6 +210,14 @@ class _Lines(HTMLParser):
                 self.box = box.parent
                 break
 
+    def _head(self, heading: str) -> None:
+        """A box whose id is the slug of its first heading is a section of that name."""
+        for box in self.box.around():
+            if box.slug is not None:
+                box.headed = box.headed or NUMBERED.sub("", slug(heading)) == box.slug
+                box.slug = None
+                return
+
     def handle_data(self, data: str) -> None:
         if self.unseen:
             return
@@ -229,6 +267,31 @@ def _open_forms(lines: list[tuple[str, int, int, _Box]]) -> None:
             form.furniture = False
 
 
+def _open_sections(lines: list[tuple[str, int, int, _Box]]) -> None:
+    """A box whose id is the slug of its heading is no furniture, unless it is mostly links."""
+    held: dict[_Box, list[int]] = {}
+    for text, _, linked, box in lines:
+        for b in box.around():
+            if b.headed and b.named:
+                size = held.setdefault(b, [0, 0])
+                size[0] += len(text)
+                size[1] += linked
+    for box, (size, linked) in held.items():
+        if linked <= LINKED * size:
+            box.named = False
+
+
+def _parts(articles: dict[_Box, int], best: _Box, lines: list[tuple[str, int, int, _Box]]) -> set[_Box]:
+    """The best article with those beside it that hold ``SHARE`` of its votes and do not begin with a link (cards do)."""
+    first: dict[_Box, bool] = {}
+    for text, _, linked, box in lines:
+        for b in box.around():
+            if b in articles and b not in first:
+                first[b] = linked > LINKED * len(text)
+    beside = {b for b, n in articles.items() if b.tag == best.tag == "article" and b.parent is best.parent and n >= SHARE * articles[best] and not first[b]}
+    return beside | {best}
+
+
 def _without_cards(lines: list[tuple[str, int, int, _Box]], region: _Box) -> list[tuple[str, int, int, _Box]]:
     """The lines of a main element outside the articles in it that begin with a link; those of an article as they are."""
     if region.tag != "main":
@@ -248,6 +311,7 @@ def _without_cards(lines: list[tuple[str, int, int, _Box]], region: _Box) -> lis
 def main_text(html: str | None) -> str:
     lines, root = lines_of(html) if html else ([], None)
     _open_forms(lines)
+    _open_sections(lines)
     own = [x for x in lines if not any(b.furniture or b.named for b in x[3].around())]
     own = own or [x for x in lines if not any(b.furniture for b in x[3].around())]
     if not own:
@@ -267,12 +331,14 @@ def main_text(html: str | None) -> str:
                 inside = inside or b.tag == "article"
     if articles:
         region = max(articles, key=lambda b: (articles[b], b.tag == "article"))
-        return "\n".join(t for t, _, _, _ in _without_cards([x for x in own if any(b is region for b in x[3].around())], region))
+        parts = _parts(articles, region, own)
+        return "\n".join(t for t, _, _, _ in _without_cards([x for x in own if any(b in parts for b in x[3].around())], region))
     best = max((x for x, h in zip(own, high.tolist(), strict=True) if h), key=lambda x: len(x[0]))
     region = next((b for b in best[3].around() if b.votes >= MOST * total), root)
+    least = min(ratios.std(), ratios.max())
     kept = [
-        t for (t, _, linked, box), is_high in zip(own, high.tolist(), strict=True)
-        if any(b is region for b in box.around()) and (is_high or linked <= LINKED * len(t))
+        t for t, tags, linked, box in own
+        if any(b is region for b in box.around()) and (linked <= LINKED * len(t) or len(t) / max(tags, 1) >= least)
     ]
     return "\n".join(kept)
 
