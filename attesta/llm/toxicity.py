@@ -33,7 +33,9 @@ RANK = 8
 LEAST_G = 7.0
 LEAST_LIFT = 2.5
 LEAST_PAIR_G = 40.0
-SEEDS = 48
+SEEDS = 16
+COMPANY = 1_024
+SAMPLE_TASKS = 8
 THRESHOLD = 0.7
 HELD_OUT = 1
 STARTS = (4, 5, 6)
@@ -115,53 +117,55 @@ def chosen_terms(rows: DataFrame, positive: int, negative: int, terms: int = TER
     return [r["term"] for r in ranked.orderBy(F.desc("g"), "term").limit(terms).collect()]
 
 
-def _split(rows: DataFrame, seeds: list[int]) -> list[dict]:
-    """``(seed, term, pos, neg)`` of the terms met in the rows that hold a seed, summed over the sample."""
-    at = {h: i for i, h in enumerate(seeds)}
+def _split(rows: DataFrame, seeds: list[int], common: list[int]) -> DataFrame:
+    """``(seed, term, pos, neg)``, both by number: rows of the sample that hold both. A task counts in one table of fixed size."""
+    sizes = (2, len(seeds), len(common))
 
-    def work(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
-        ys, texts = batch.column("y").to_pylist(), batch.column("text").to_pylist()
-        for i in range(0, len(ys), 500):
-            keys, toxic = [], []
-            for y, text in zip(ys[i : i + 500], texts[i : i + 500], strict=True):
-                found = np.unique([h for w in words(text) for h in terms_of(w)]).astype(np.int64)
-                for seed in (at[h] for h in found.tolist() if h in at):
-                    keys.append(np.stack([np.full(len(found), seed, dtype=np.int64), found]))
-                    toxic.append(np.full(len(found), y == 1))
-            if not keys:
-                continue
-            both, flags = np.concatenate(keys, axis=1), np.concatenate(toxic)
-            order = np.lexsort(both[::-1])
-            both, flags = both[:, order], flags[order].astype(np.int64)
-            begins = np.flatnonzero(np.concatenate([[True], (np.diff(both, axis=1) != 0).any(axis=0)]))
-            pos = np.add.reduceat(flags, begins)
-            yield {"seed": both[0, begins], "term": both[1, begins], "pos": pos, "neg": np.diff(np.append(begins, len(flags))) - pos}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_seed, of_term = _indexer({h: i for i, h in enumerate(seeds)}), _indexer({h: i for i, h in enumerate(common)})
+        table = np.zeros(sizes, dtype=np.int64)
+        for batch in batches:
+            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held = of_seed(text)
+                if len(held):
+                    table[int(y == 1)][np.ix_(held, of_term(text))] += 1
+        seed, term = np.nonzero(table.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int32()), pa.array(term, pa.int32()), *(pa.array(table[k][seed, term]) for k in (1, 0))], names=["seed", "term", "pos", "neg"])
 
-    return by_batch(rows, "seed int, term long, pos long, neg long", work).groupBy("seed", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = rows.coalesce(SAMPLE_TASKS).mapInArrow(run, "seed int, term int, pos long, neg long")
+    return counted.groupBy("seed", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def company_terms(rows: DataFrame, known: list[int], positive: int, negative: int, terms: int = TERMS) -> list[int]:
+def company_terms(rows: DataFrame, known: list[int], positive: int, negative: int) -> list[int]:
     """Terms that tell the labels apart only in company: their share differs among the rows that hold some other term.
 
-    The other terms are the ``SEEDS`` best of the chosen ones and the ``SEEDS`` that split the sample most evenly. There are as many
-    trials as pairs of a seed and a term, so the evidence asked for is higher (``LEAST_PAIR_G``).
+    Looked at are the ``COMPANY`` terms that split the sample most evenly, beside the ``SEEDS`` most even and the ``SEEDS`` best chosen
+    ones. There are as many trials as pairs, so the evidence asked for is higher (``LEAST_PAIR_G``).
     """
     even = F.least(F.col("pos") + F.col("neg"), F.lit(positive + negative) - F.col("pos") - F.col("neg"))
-    spread = [r["term"] for r in _counts(rows).orderBy(F.desc(even), "term").limit(SEEDS).collect()]
-    seeds = list(dict.fromkeys([*known[:SEEDS], *spread]))
-    found = _split(rows, seeds)
-    own = found.filter(F.col("term") == F.element_at(F.array(*[F.lit(s) for s in seeds]), F.col("seed") + 1)).select("seed", F.col("pos").alias("P"), F.col("neg").alias("N"))
-    p, n, all_p, all_n = (F.col(c).cast("double") for c in ("pos", "neg", "P", "N"))
-    share = (p + n) / (all_p + all_n)
-
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    g = 2 * (part(p, share * all_p) + part(n, share * all_n) + part(all_p - p, (1 - share) * all_p) + part(all_n - n, (1 - share) * all_n))
-    lift = ((p + 0.5) / (all_p + 1.0)) / ((n + 0.5) / (all_n + 1.0))
-    told = found.join(own, "seed").filter((g >= LEAST_PAIR_G) & ((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT)))
-    best = told.groupBy("term").agg(F.max(g).alias("g"), F.max_by("seed", g).alias("seed")).orderBy(F.desc("g"), "term").limit(terms).collect()
-    return list(dict.fromkeys(t for r in best for t in (seeds[r["seed"]], r["term"])))
+    common = [r["term"] for r in _counts(rows).orderBy(F.desc(even), "term").limit(COMPANY).collect()]
+    seeds = list(dict.fromkeys([*known[:SEEDS], *common[:SEEDS]]))
+    if not seeds or not common:
+        return []
+    met = {(r["seed"], r["term"]): (r["pos"], r["neg"]) for r in _split(rows, seeds, list(dict.fromkeys([*common, *seeds]))).collect()}
+    place = {h: i for i, h in enumerate(dict.fromkeys([*common, *seeds]))}
+    best: dict[int, tuple[float, int]] = {}
+    for s, seed in enumerate(seeds):
+        all_pos, all_neg = met.get((s, place[seed]), (0, 0))
+        if not all_pos or not all_neg:
+            continue
+        for h, t in place.items():
+            pos, neg = met.get((s, t), (0, 0))
+            lift = ((pos + 0.5) / (all_pos + 1)) / ((neg + 0.5) / (all_neg + 1))
+            if 1 / LEAST_LIFT < lift < LEAST_LIFT:
+                continue
+            share = (pos + neg) / (all_pos + all_neg)
+            cells = ((pos, share * all_pos), (neg, share * all_neg), (all_pos - pos, (1 - share) * all_pos), (all_neg - neg, (1 - share) * all_neg))
+            g = 2 * sum(seen * np.log(seen / expected) for seen, expected in cells if seen > 0)
+            if g >= LEAST_PAIR_G:
+                best[h] = max(best.get(h, (0.0, 0)), (g, -s))
+    ranked = sorted(best, key=lambda h: (-best[h][0], h))
+    return list(dict.fromkeys(x for h in ranked for x in (seeds[-best[h][1]], h)))
 
 
 def _indexer(index: dict[int, int]):
@@ -191,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     if not positive or not negative:
         return flat
     alone = chosen_terms(rows, positive, negative, terms)
-    company = company_terms(rows, alone, positive, negative, terms)
+    company = company_terms(rows, alone, positive, negative)
     index = {h: i for i, h in enumerate(list(dict.fromkeys([*alone, *company]))[:terms])}
     if not index:
         return flat
