@@ -197,6 +197,29 @@ def _(t):
     return graph.dependency_closure(edges, depth=2).groupBy("repo_id", "distance").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+REACHED = """
+WITH RECURSIVE e AS (SELECT DISTINCT concat('repo-', l_suppkey % 20) AS repo_id, concat('m', l_partkey % 400) AS a, concat('m', (l_partkey * 7 + l_suppkey) % 400) AS b FROM lineitem WHERE l_quantity < 6),
+s AS (SELECT DISTINCT repo_id, a AS module FROM e WHERE a IN ('m3', 'm140', 'm399')),
+r AS (SELECT repo_id, module AS start, module, 0 AS distance FROM s UNION SELECT r.repo_id, r.start, e.{to}, r.distance + 1 FROM r JOIN e ON e.repo_id = r.repo_id AND e.{at} = r.module WHERE r.distance < {depth})
+SELECT repo_id, start, module, min(distance)::INTEGER AS distance FROM r GROUP BY ALL HAVING min(distance) > 0"""
+
+
+def _module_edges(t):
+    edges = t.lineitem.filter("l_quantity < 6").selectExpr(
+        "concat('repo-', l_suppkey % 20) AS repo_id", "concat('m', l_partkey % 400) AS source", "concat('m', (l_partkey * 7 + l_suppkey) % 400) AS target", "'imports' AS edge_type")
+    return edges, edges.filter("source IN ('m3', 'm140', 'm399')").select("repo_id", F.col("source").alias("module"))
+
+
+@query("reachable_modules", REACHED.format(at="a", to="b", depth=6))
+def _(t):
+    return graph.reachable(*_module_edges(t), depth=6)
+
+
+@query("dependent_modules", REACHED.format(at="b", to="a", depth=4))
+def _(t):
+    return graph.reachable(*_module_edges(t), depth=4, reverse=True)
+
+
 # ---- streams ---------------------------------------------------------------------------
 
 

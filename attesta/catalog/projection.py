@@ -323,12 +323,26 @@ def _(t):
     return quality.extraction_summary(route_files(t.files))
 
 
-@query("expected_matches")
+WANTED = "(VALUES (0, 'validated-command', 'PYTEST', 0.2), (1, 'validated-command', 'pytest tests/m3', NULL), (2, 'environment-prerequisite', 'python >=3\\.\\d+', 0.5), (3, 'environment-prerequisite', 'python', NULL), (4, 'module-boundary', 'no such module', NULL))"
+MATCHED = f"""RECURSIVE x AS (SELECT repo_id, claim_id, claim_type, content, confidence, ordinal AS place FROM claims_v QUALIFY row_number() OVER (PARTITION BY repo_id, claim_id ORDER BY phase, ordinal) = 1),
+w AS (SELECT r.repo_id, v.no, v.claim_type, v.pattern, v.least, row_number() OVER (PARTITION BY r.repo_id, v.claim_type ORDER BY v.no) AS turn FROM (SELECT DISTINCT repo_id FROM repos_v) r CROSS JOIN {WANTED} AS v(no, claim_type, pattern, least)),
+f AS (SELECT w.repo_id, w.claim_type, w.no, w.turn, list(x.claim_id ORDER BY x.place, x.claim_id) FILTER (x.claim_id IS NOT NULL) AS fit FROM w LEFT JOIN x ON x.repo_id = w.repo_id AND x.claim_type = w.claim_type
+  AND (contains(lower(x.content), lower(w.pattern)) OR regexp_matches(x.content, concat('(?i)', w.pattern))) AND (w.least IS NULL OR x.confidence >= w.least) GROUP BY ALL),
+g AS (SELECT repo_id, claim_type, 0 AS turn, -1 AS no, CAST(NULL AS VARCHAR) AS claim_id, CAST([] AS VARCHAR[]) AS taken FROM f WHERE turn = 1
+  UNION ALL SELECT f.repo_id, f.claim_type, g.turn + 1, f.no, list_filter(coalesce(f.fit, []), lambda c: NOT list_contains(g.taken, c))[1],
+    list_append(g.taken, list_filter(coalesce(f.fit, []), lambda c: NOT list_contains(g.taken, c))[1]) FROM g JOIN f ON f.repo_id = g.repo_id AND f.claim_type = g.claim_type AND f.turn = g.turn + 1),
+m AS (SELECT repo_id, claim_type, CAST(no AS INTEGER) AS no, claim_id FROM g WHERE claim_id IS NOT NULL)"""
+
+
+@query("expected_matches", f"WITH {MATCHED} SELECT * FROM m")
 def _(t):
     return quality.match_expected(*_fixture(t))
 
 
-@query("precision_recall")
+@query("precision_recall", f"""
+WITH {MATCHED}, c AS (SELECT w.repo_id, count(DISTINCT w.no) AS required, (SELECT count(*) FROM m WHERE m.repo_id = w.repo_id) AS matched, (SELECT count(*) FROM x WHERE x.repo_id = w.repo_id) AS extracted FROM w GROUP BY w.repo_id)
+SELECT repo_id, required, matched, round(matched / required, 6) AS recall, CASE WHEN matched > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, round(matched / nullif(extracted, 0), 6) AS true_precision,
+  CASE WHEN matched > 0 THEN round(2 * matched / required / (matched / required + 1), 6) ELSE 0.0 END AS f1, matched / required >= 0.8 AND matched > 0 AS passed FROM c""")
 def _(t):
     expected, extracted = _fixture(t)
     return quality.precision_recall(expected, extracted, quality.match_expected(expected, extracted))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,3 +182,70 @@ def dependency_closure(edges: DataFrame, depth: int = 3) -> DataFrame:
         frontier = checkpointed(nxt)
         reached = reached.unionByName(frontier)
     return reached
+
+
+def reachable(edges: DataFrame, starts: DataFrame, depth: int | None = None, reverse: bool = False, most_edges: int = 2_000_000) -> DataFrame:
+    """``(repo_id, start, module, distance)``: what each start module (``repo_id, module``) reaches over imports, at its least distance.
+
+    ``reverse`` follows dependents (what a change of the start touches). Nothing is put out for modules that are no start.
+    A repository of up to ``most_edges`` distinct imports is searched breadth first by one task, so a cycle or chain of any
+    length is one step; a larger one goes by rounds of joins, one per hop, over all its starts at once.
+    """
+    at, to = ("target", "source") if reverse else ("source", "target")
+    wanted = starts.select("repo_id", "module").distinct()
+    imports = edges.filter("edge_type = 'imports'").select("repo_id", F.col(at).alias("a"), F.col(to).alias("b")).distinct()
+    hops = checkpointed(imports.join(wanted.select("repo_id").distinct(), "repo_id", "left_semi"))
+    large = hops.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_edges).select("repo_id")
+    small = hops.join(large, "repo_id", "left_anti")
+    near = small.groupBy("repo_id").cogroup(wanted.join(large, "repo_id", "left_anti").groupBy("repo_id"))
+    found = near.applyInArrow(_search(depth), "repo_id string, start string, module string, distance int")
+    far = hops.join(large, "repo_id", "left_semi")
+    return found if large.isEmpty() else found.unionByName(_by_rounds(far, wanted.join(large, "repo_id", "left_semi"), depth))
+
+
+def _search(depth: int | None):
+    """Breadth-first search of one repository, edges as sorted arrays."""
+
+    def run(edges: pa.Table, starts: pa.Table) -> pa.Table:
+        names = pa.concat_arrays([c.combine_chunks() for c in (edges.column("a"), edges.column("b"), starts.column("module"))])
+        coded = names.dictionary_encode()
+        codes, n = coded.indices.to_numpy(), len(coded.dictionary)
+        a, b = codes[: edges.num_rows], codes[edges.num_rows : 2 * edges.num_rows]
+        order = np.argsort(a, kind="stable")
+        to = b[order]
+        begin = np.searchsorted(a[order], np.arange(n + 1))
+        repo = (starts if starts.num_rows else edges).column("repo_id")[0]
+        out_start, out_module, out_distance = [], [], []
+        for start in codes[2 * edges.num_rows :].tolist():
+            distance = np.full(n, -1, dtype=np.int32)
+            distance[start] = 0
+            line, step = np.array([start]), 0
+            while len(line) and (depth is None or step < depth):
+                step += 1
+                if len(line) == 1:  # along a chain, without building arrays
+                    line = np.unique(to[begin[line[0]] : begin[line[0] + 1]])
+                else:
+                    line = np.unique(np.concatenate([to[begin[x] : begin[x + 1]] for x in line.tolist()]))
+                line = line[distance[line] < 0]
+                distance[line] = step
+            met = np.flatnonzero(distance > 0)
+            out_start.append(np.full(len(met), start))
+            out_module.append(met)
+            out_distance.append(distance[met])
+        start, module, length = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (out_start, out_module, out_distance))
+        columns = [pa.repeat(repo, len(start)), coded.dictionary.take(pa.array(start)), coded.dictionary.take(pa.array(module)), pa.array(length, pa.int32())]
+        return pa.table(dict(zip(("repo_id", "start", "module", "distance"), columns, strict=True)))
+
+    return run
+
+
+def _by_rounds(hops: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
+    """The same by joins: each round goes on from the rows that the round before has found."""
+    frontier = checkpointed(starts.select("repo_id", F.col("module").alias("start"), "module", F.lit(0).alias("distance")))
+    reached, step = frontier, 0
+    while (depth is None or step < depth) and not frontier.isEmpty():
+        step += 1
+        ahead = frontier.join(hops.withColumnRenamed("a", "module"), ["repo_id", "module"]).select("repo_id", "start", F.col("b").alias("module")).distinct()
+        frontier = checkpointed(ahead.join(reached, ["repo_id", "start", "module"], "left_anti").withColumn("distance", F.lit(step)))
+        reached = checkpointed(reached.unionByName(frontier))
+    return reached.filter("distance > 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,7 +97,11 @@ def placed(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
-    return ranged.withColumn("_inside", inside).join(offsets, ["_part", *by]).withColumn("rank", F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
+    # null is a group like any other
+    earlier = offsets.select(F.col("_part").alias("_of"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_before")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)), F.col("_part") == F.col("_of"))
+    met = ranged.withColumn("_inside", inside).join(earlier, same)
+    return met.select(*rows.columns, (F.col("_inside") + F.col("_before")).alias("rank"))
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

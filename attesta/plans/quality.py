@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta import dims
 from attesta.functions.base import authority_level, claim_id, exact_mean
 from attesta.plans import projection
+from attesta.session import checkpointed
 
 PROJECTED = ("validated-command", "always-on-rule", "permission-restriction", "scoped-rule")
 
@@ -185,9 +185,10 @@ def extraction_summary(routed: DataFrame) -> DataFrame:
 def match_expected(expected: DataFrame, extracted: DataFrame) -> DataFrame:
     """One-to-one matches, expectations in order, each taking its first free claim.
 
-    Of the claims that fit one expectation only the first E (the number of expectations
-    of the repository and type) can ever be needed: the others before it use at most
-    E - 1 of them. That keeps every group the Python step sees at E * E rows.
+    Done in rounds over all repositories at once: every expectation asks for its next claim, a claim keeps the lowest number
+    that asked so far, and those turned down ask for their next one. As all claims prefer the lower number, this ends
+    where taking turns in order ends. Of the claims that fit one expectation only the first E (the number of
+    expectations of the repository and type) can ever be needed, so E rounds are enough.
     """
     key = ["repo_id", "claim_type"]
     wanted = expected.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
@@ -195,18 +196,15 @@ def match_expected(expected: DataFrame, extracted: DataFrame) -> DataFrame:
     sure = F.col("min_confidence").isNull() | (F.col("confidence") >= F.col("min_confidence"))
     pairs = wanted.join(extracted, key).filter(fits & sure)
     nth = F.row_number().over(Window.partitionBy(*key, "no").orderBy("place", "claim_id"))
-    few = pairs.withColumn("_k", nth).filter(F.col("_k") <= F.col("_n")).select(*key, "no", "place", "claim_id")
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        out = []
-        for row in rows.sort_values(["no", "place", "claim_id"]).itertuples():
-            if row.claim_id not in taken and all(row.no != done[2] for done in out):
-                taken.add(row.claim_id)
-                out.append((row.repo_id, row.claim_type, row.no, row.claim_id))
-        return pd.DataFrame(out, columns=["repo_id", "claim_type", "no", "claim_id"])
-
-    return few.groupBy(*key).applyInPandas(assign, "repo_id string, claim_type string, no int, claim_id string")
+    few = checkpointed(pairs.withColumn("_k", nth).filter(F.col("_k") <= F.col("_n")).select(*key, "no", "claim_id", "_k"))
+    turns = few.select(*key, "no").distinct().withColumn("_k", F.lit(1))
+    while True:
+        asked = turns.join(few, [*key, "no", "_k"])
+        best = F.min("no").over(Window.partitionBy(*key, "claim_id"))
+        judged = checkpointed(asked.withColumn("_out", F.col("no") != best))
+        if judged.filter("_out").isEmpty():
+            return judged.select(*key, F.col("no").cast("int").alias("no"), "claim_id")
+        turns = judged.select(*key, "no", (F.col("_k") + F.col("_out").cast("int")).alias("_k"))
 
 
 def precision_recall(expected: DataFrame, extracted: DataFrame, matches: DataFrame) -> DataFrame:
