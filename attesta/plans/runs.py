@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,18 +192,41 @@ def run_extraction(
     return run_extraction_with_evidence(files, excluded, max_bytes, as_of)[0]
 
 
-def run_extraction_with_evidence(
+class Extraction(NamedTuple):
+    """What a whole run finds: claims, evidence, every sighting, and the routed files."""
+
+    claims: DataFrame
+    evidence: DataFrame
+    sightings: DataFrame
+    routed: DataFrame
+
+
+def conflicts_among(claims: DataFrame, as_of: str | None = None) -> DataFrame:
+    """The conflicts of the claims as claims of their own."""
+    against = _claims(
+        conflict_claims(claims), 30, claim_type="conflict", source_authority="inferred-high", review_state="needs-declaration"
+    )
+    return _finished(_named(against), as_of).drop("phase", "ordinal")
+
+
+def extraction(
     files: DataFrame, excluded: tuple[str, ...] = dims.EXCLUDED_DIRS, max_bytes: int | None = None, as_of: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """The claims and, from the same sightings, one evidence row per claim and file."""
+) -> Extraction:
+    """Everything a whole run finds, from one pass over the files."""
     sightings, routed = _sightings(files, excluded, max_bytes)
     found = checkpointed(_finished(sightings, as_of))
-    against = _claims(
-        conflict_claims(found), 30, claim_type="conflict", source_authority="inferred-high", review_state="needs-declaration"
-    )
     # conflicts are stored beside what they are about; an id that is there already stays
-    fresh = _finished(_named(against), as_of).join(found.select("repo_id", "claim_id"), ["repo_id", "claim_id"], "left_anti")
-    return found.unionByName(fresh).drop("phase", "ordinal"), _evidence(sightings, routed)
+    fresh = conflicts_among(found, as_of).join(found.select("repo_id", "claim_id"), ["repo_id", "claim_id"], "left_anti")
+    claims = found.drop("phase", "ordinal")
+    return Extraction(claims.unionByName(fresh.select(*claims.columns)), _evidence(sightings, routed), sightings, routed)
+
+
+def run_extraction_with_evidence(
+    files: DataFrame, excluded: tuple[str, ...] = dims.EXCLUDED_DIRS, max_bytes: int | None = None, as_of: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The claims and, from the same sightings, one evidence row per claim and file."""
+    run = extraction(files, excluded, max_bytes, as_of)
+    return run.claims, run.evidence
 
 
 def run_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,13 +248,14 @@ def run_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return modules, _union(edges)
 
 
-def run_import(files: DataFrame) -> DataFrame:
-    """Claims of hand-written instruction files, unreviewed and scanned."""
-    found = extract_docs.instruction_claims(discover_instruction_files(files).select("repo_id", "path", "content"))
-    rows = _claims(
-        found, 0, content=F.col("claim_text"), scope=F.col("claim_scope"), source_authority="declared-imported-unreviewed",
-    )
-    return _finished(_named(rows)).drop("phase", "ordinal")
+def run_import(files: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Claims of hand-written instruction files and set-up step files, unreviewed and scanned."""
+    sources = discover_instruction_files(files).select("repo_id", "path", "content", "source_kind")
+    found = extract_docs.instruction_claims(sources.select("repo_id", "path", "content"))
+    steps = config.setup_steps_claims(sources.filter("source_kind = 'copilot-setup-steps'").select("repo_id", "path", "content"))
+    authority = "declared-imported-unreviewed"
+    rows = _claims(found, 0, content=F.col("claim_text"), scope=F.col("claim_scope"), source_authority=authority)
+    return _finished(_named(rows.unionByName(_claims(steps, 1, source_authority=authority))), as_of).drop("phase", "ordinal")
 
 
 def imported_artifacts(files: DataFrame) -> DataFrame:
