@@ -9,6 +9,7 @@ from attesta.functions import versions
 from attesta.functions.base import blob_id
 from attesta.operators import extract_config as config
 from attesta.operators import prerequisites
+from attesta.session import checkpointed, shared_folder
 from attesta.sources import files
 
 C = "concat('repo-c', c_custkey) AS repo_id"
@@ -360,6 +361,44 @@ def _(t):
     return prerequisites.environment_profile(prereqs, setup)
 
 
+PROFILES = f"""
+SELECT {C}, 'ci-default' AS name, CASE WHEN {OK} THEN concat('Python >=3.', c_nationkey) ELSE concat('Node.js ', c_nationkey, '.1.0') END AS runtime, CASE WHEN c_nationkey % 2 = 0 THEN 'ruff' ELSE '' END AS tools,
+  array_to_string(list_sort([concat('postgres:', c_nationkey), 'web']), '|') AS services,
+  array_to_string(list_sort(['TOKEN (secret-ref)', 'MODE', concat('APP_', c_mktsegment), concat('PG_', c_mktsegment), 'PGDATA', 'URL']), '|') AS env_vars, concat('pip install m', c_nationkey) AS setup_commands FROM customer"""
+
+
+def _profiles(t):
+    from attesta.plans import index
+
+    prereqs = _runtimes(t).unionByName(_services(t)).unionByName(_variables(t))
+    setup = config.ci_commands(config.workflow_steps(config.workflow_jobs(config.workflow_documents(t.setup_steps))))
+    tools = t.customer.filter("c_nationkey % 2 = 0").select(F.concat(F.lit("repo-c"), "c_custkey").alias("repo_id"), F.lit("ruff").alias("tool"))
+    return index.environment_profiles(prereqs, setup, tools)
+
+
+def _flat(df):
+    return df.select("repo_id", "name", "runtime", *[F.array_join(c, "|").alias(c) for c in ("tools", "services", "env_vars", "setup_commands")])
+
+
+@query("environment_profiles", PROFILES)
+def _(t):
+    return _flat(_profiles(t))
+
+
+@query("upsert_profiles", PROFILES)
+def _(t):
+    from attesta.plans import index
+
+    path = shared_folder(t.spark, "profiles")
+    whole = checkpointed(_profiles(t))
+    some = F.pmod(F.xxhash64("repo_id"), F.lit(3)) == 0
+    # a first run with other runtimes, a second run over all, and a third that comes late and is older
+    index.upsert_profiles(whole.filter(some).withColumn("runtime", F.lit("first")), path, F.lit("2024-01-01T00:00:00Z"))
+    index.upsert_profiles(whole, path, F.lit("2024-02-01T00:00:00Z"))
+    index.upsert_profiles(whole.filter(some).withColumn("runtime", F.lit("late")), path, F.lit("2023-01-01T00:00:00Z"))
+    return _flat(t.spark.read.parquet(path))
+
+
 # ---- guardrails ------------------------------------------------------------------------
 
 DESTRUCTIVE = "concat('Command `', content, '` is classified as destructive — require explicit confirmation before running')"

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
+from attesta import dims
 from attesta.catalog.registry import query
+from attesta.catalog.text import CONFIG_TEXT, _config_texts, _secret_rows
 from attesta.operators import extract_docs, graph
 from attesta.plans import runs
 from attesta.session import shared_folder
 from attesta.sources import files, tables
-from attesta import dims
 from attesta.streaming import jobs, refresh, review
 
 TOOL = "CASE event_type WHEN 'view' THEN 'get_conventions' WHEN 'click' THEN 'get_claim' WHEN 'signup' THEN 'get_prerequisites' WHEN 'error' THEN 'get_conflicts' ELSE 'get_validated_commands' END"
@@ -76,13 +79,13 @@ def _(t):
     return t.spark.read.json(path).select("tool_name", "calls", "errors", "sessions")
 
 
-@query("append_history", "SELECT repo_id, claim_id, action, ts, actor, sha256(concat_ws(':', repo_id, claim_id, action, strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), actor)) IS NOT NULL AS keyed FROM history_v")
+@query("append_history", "SELECT repo_id, claim_id, action, ts, actor, sha256(concat_ws(':', repo_id, claim_id, action, ts::VARCHAR, actor)) AS event_key FROM history_v")
 def _(t):
     path = shared_folder(t.spark, "history")
     rows = t.history.select("repo_id", "claim_id", "action", "ts", "actor")
     tables.append_history(rows.filter("action = 'edited'"), path)
     tables.append_history(rows.filter("action <> 'edited'"), path)
-    return t.spark.read.parquet(path).select("repo_id", "claim_id", "action", "ts", "actor", F.col("event_key").isNotNull().alias("keyed"))
+    return t.spark.read.parquet(path).select("repo_id", "claim_id", "action", "ts", "actor", "event_key")
 
 
 @query("decision_files", f"SELECT event_id, {ACTION} AS action, concat('claim-', user_id) AS claim_id, event_type <> 'purchase' AS valid FROM events")
@@ -285,9 +288,10 @@ def _(t):
     return jobs.run_to_end(jobs.dedup_claims(_events(t), "40 days"), "dedup").select("repo_id", "claim_id")
 
 
-@query("stream_secret_alerts", "SELECT doc_id, 'Access token' AS pattern_type, sha256(unnest(regexp_extract_all(text, '(?i)(?:access[_-]?token|token)\\s*[:=]\\s*[''\"]?([A-Za-z0-9_\\-]{20,})', 1))) AS value_hash FROM documents")
+@query("stream_secret_alerts", f"WITH {_secret_rows(src=CONFIG_TEXT, key='doc_id')} SELECT doc_id, label AS pattern_type, line, sha256(val) AS value_hash FROM g3")
 def _(t):
-    return jobs.run_to_end(jobs.secret_alerts(jobs.source(t.spark, t.folder, "documents"), "doc_id"), "alerts").select("doc_id", "pattern_type", "value_hash")
+    texts = _config_texts(SimpleNamespace(documents=jobs.source(t.spark, t.folder, "documents")))
+    return jobs.run_to_end(jobs.secret_alerts(texts, "doc_id"), "alerts").select("doc_id", "pattern_type", "line", "value_hash")
 
 
 @query("stream_refresh", """

@@ -130,7 +130,7 @@ def ci_claims(matched: DataFrame, ci: DataFrame, config: DataFrame) -> DataFrame
     return upgraded.unionByName(fresh).withColumn("evidence_level", F.lit("ci-evidenced"))
 
 
-# ---- guardrails over the claims table --------------------------------------------------
+# ---- guardrails over the claims table (fixed values: their texts, which enter claim ids) ----
 
 
 def destructive_guardrails(claims: DataFrame) -> DataFrame:

@@ -270,6 +270,7 @@ def imported_artifacts(files: DataFrame) -> DataFrame:
 def conflict_claims(claims: DataFrame) -> DataFrame:
     """All conflict kinds as claims that need a declaration; one row per disagreeing claim."""
     content = F.col("content")
+    # fixed values: the texts of conflict claims, which enter their ids
     versus = F.concat(F.initcap("runtime"), F.lit(" version conflict: '"), content, F.lit("' vs '"), "rival", F.lit("'"))
     imported = F.concat(F.lit("Imported instruction says '"), content, F.lit("' but extracted evidence shows '"), "rival", F.lit("'"))
     missing = F.concat(F.lit("README references '"), content, F.lit("' but no test command found in package.json scripts"))

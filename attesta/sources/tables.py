@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.operators.maintenance import CLAIM_KEY
+from attesta.session import checkpointed
 
 BUCKETS = 64
 # fixed values: fields of the interchange files
@@ -50,6 +51,7 @@ def duplicate_ids(claims: DataFrame) -> DataFrame:
 
 
 def write_claims(claims: DataFrame, path: str) -> None:
+    claims = checkpointed(claims)  # computed once, for the check and the write
     if not duplicate_ids(claims).isEmpty():
         raise ValueError("claims hold duplicate (repo_id, claim_id) keys")
     write_table(claims, path, order=("repo_id", "claim_type"))

@@ -74,3 +74,22 @@ def test_evidence_names_files(run):
     paths = {r["file_path"] for r in run[2].filter("repo_id = 'a'").collect()}
     assert {"Makefile", "pyproject.toml", "README.md"} <= paths
     assert run[2].filter("file_hash IS NULL").isEmpty()
+
+
+def test_an_extractor_can_be_added(spark):
+    """A role's files to rows with a type and a text, and nothing else in the library changes."""
+
+    def todo(files):
+        found = F.regexp_extract_all("content", F.lit(r"(?m)^# TODO: (.*)$"), F.lit(1))
+        return files.select("repo_id", "path", F.explode(found).alias("content")).withColumn("claim_type", F.lit("always-on-rule")).withColumn("confidence", F.lit(0.5))
+
+    files = spark.createDataFrame([("t", "Makefile", "# TODO: tidy up\ntest:\n\tpytest\n")], FILES).withColumn("size", F.length("content").cast("long"))
+    runs.register_extractor("todo", "makefile", todo)
+    try:
+        claims, evidence = runs.run_extraction_with_evidence(files)
+        row = claims.filter("content = 'tidy up'").first()
+        assert (row["claim_type"], row["confidence"], row["review_state"], row["scope"]) == ("always-on-rule", 0.5, "unreviewed", "**")
+        assert [r["file_path"] for r in evidence.filter(F.col("claim_id") == row["claim_id"]).collect()] == ["Makefile"]
+    finally:
+        runs._registered.clear()
+    assert contents(runs.run_extraction(files), "t") & {"tidy up", "make test"} == {"make test"}
