@@ -13,7 +13,7 @@ from .test_substrings import digests
 
 def test_queries_are_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
     assert set(ORACLE) <= set(QUERIES)
@@ -50,7 +50,7 @@ def test_query_matches_sql(spark, folder, name):
     from check import _rows
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     df, cur = QUERIES[name](spark, folder), con.execute(ORACLE[name])
     assert _rows(df.columns, df.collect()) == _rows([c[0] for c in cur.description], cur.fetchall())
@@ -70,3 +70,20 @@ def test_entry_works_without_these_parts():
         "e.oracle_sql()\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=entry.__file__.rpartition("/")[0], timeout=120)
+
+
+@pytest.mark.parametrize("package", ["ahocorasick", "xxhash", "zstandard"])
+def test_entry_works_without_their_packages(package):
+    code = (
+        "import sys, warnings\n"
+        "class Gone:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        f"        if name == {package!r}:\n"
+        "            raise ModuleNotFoundError(f'No module named {name!r}', name=name)\n"
+        "sys.meta_path.insert(0, Gone())\n"
+        "with warnings.catch_warnings(record=True) as told:\n"
+        "    warnings.simplefilter('always')\n"
+        "    import __spark_entry__ as e\n"
+        "assert told and len(e.queries()) > 200\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=entry.__file__.rpartition("/")[0], timeout=120)
