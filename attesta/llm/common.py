@@ -1,4 +1,4 @@
-"""Helpers that the operators share: reading, written tables, words, columns of any name, repeated rows."""
+"""Helpers that the operators share: reading, written tables, words, columns of any name."""
 
 from __future__ import annotations
 
@@ -54,9 +54,3 @@ def packed_row(df: DataFrame) -> Column:
     """All columns of the frame as one struct, so that a job's own names cannot meet theirs; ``struct.*`` opens it again."""
     return F.struct(*[col(c) for c in df.columns])
 
-
-def without_copies(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each value of ``key``. Only rows whose key repeats are moved; the others stay where they are."""
-    repeated = rows.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_again")
-    same = rows[key] == repeated["_again"]
-    return rows.join(repeated, same, "left_anti").unionByName(rows.join(repeated, same, "left_semi").dropDuplicates([key]))

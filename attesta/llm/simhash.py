@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import by_batch, packed_row, stored, without_copies, words_of
+from attesta.llm.common import by_batch, packed_row, stored, words_of
 from attesta.llm.components import components, stars
 
 SHINGLE = 3
@@ -183,6 +183,9 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     order = F.struct("first.null", "first.doc_id", "fp", "first.place")
     kept = rooted.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.place").alias("kept"))
-    gone = prints.select("place").distinct().join(kept, F.col("place") == F.col("kept"), "left_anti")
-    left = rows.join(stored(gone, "simhash-gone"), "place", "left_anti")
-    return without_copies(left, "place").select("row.*")
+    rest = prints.groupBy("place").agg(F.count(F.lit(1)).alias("n")).join(kept, F.col("place") == F.col("kept"), "left")
+    # rows that are equal in every column share their place; of those that stay one does
+    apart = stored(rest.filter("kept IS NULL OR n > 1").select("place", (F.col("kept").isNotNull()).alias("again")), "simhash-apart")
+    left = rows.join(apart.select("place"), "place", "left_anti")
+    again = rows.join(apart.filter("again").select("place"), "place", "left_semi").dropDuplicates(["place"])
+    return left.unionByName(again).select("row.*")

@@ -34,7 +34,7 @@ PERIOD = 21
 COVER = (0, 1, 6, 8, 18)  # every difference modulo 21 occurs among these
 WORDS_AT_ONCE = 200_000
 ENTRIES_AT_ONCE = 1_000_000
-RANGE_BYTES = 16_000_000
+RANGE_BYTES = 4_000_000
 BASE = 0x9E3779B97F4A7C15
 Picker = Callable[[int, object], np.ndarray]
 

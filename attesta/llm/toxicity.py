@@ -39,7 +39,7 @@ SAMPLE_TASKS = 8
 THRESHOLD = 0.7
 HELD_OUT = 1
 STARTS = (4, 5, 6)
-MEMO = 300_000
+MEMO = 100_000
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -118,17 +118,20 @@ def chosen_terms(rows: DataFrame, positive: int, negative: int, terms: int = TER
 
 
 def _split(rows: DataFrame, seeds: list[int], common: list[int]) -> DataFrame:
-    """``(seed, term, pos, neg)``, both by number: rows of the sample that hold both. A task counts in one table of fixed size."""
+    """``(seed, term, pos, neg)``, both by number: rows of the sample that hold both; the seeds are among ``common``. A task counts in one table of fixed size."""
     sizes = (2, len(seeds), len(common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_seed, of_term = _indexer({h: i for i, h in enumerate(seeds)}), _indexer({h: i for i, h in enumerate(common)})
+        of_term = _indexer({h: i for i, h in enumerate(common)})
+        seed_of = np.full(len(common), -1)
+        seed_of[[common.index(h) for h in seeds]] = np.arange(len(seeds))
         table = np.zeros(sizes, dtype=np.int64)
         for batch in batches:
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held = of_seed(text)
-                if len(held):
-                    table[int(y == 1)][np.ix_(held, of_term(text))] += 1
+                found = of_term(text)
+                held = seed_of[found]
+                if (held >= 0).any():
+                    table[int(y == 1)][np.ix_(held[held >= 0], found)] += 1
         seed, term = np.nonzero(table.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int32()), pa.array(term, pa.int32()), *(pa.array(table[k][seed, term]) for k in (1, 0))], names=["seed", "term", "pos", "neg"])
 
