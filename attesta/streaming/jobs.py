@@ -105,9 +105,12 @@ def current_claims(spark: SparkSession, target: str) -> DataFrame:
 
 
 def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One table of a folder as a stream of its files."""
+    """One table of a folder as a stream of its files, be it one file or a folder of part files.
+
+    The last letter is a pattern, as a stream takes a plain path for a folder and refuses a file.
+    """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import attesta.catalog  # noqa: F401  (registers the queries)
+from attesta.catalog.registry import QUERIES, runner
 from attesta.operators import extract_docs
 from attesta.streaming import jobs, refresh, review
 
@@ -216,3 +218,15 @@ def test_session_sketches_merge_within_their_error(spark, folders):
     assert whole["calls"] == 30_000
     for rank, value in ((0.5, whole["p50_ms"]), (0.95, whole["p95_ms"])):
         assert abs(sum(v <= value for v in values) / len(values) - rank) < 4 / jobs.SKETCH_K
+
+
+def as_folder(spark, folder, tmp_path, table):
+    """The same table as a folder of part files."""
+    spark.read.parquet(f"{folder}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    return str(tmp_path)
+
+
+def test_refresh_reads_a_table_kept_as_a_folder(spark, folder, tmp_path):
+    many = as_folder(spark, folder, tmp_path, "documents")
+    one, same = (sorted(runner(QUERIES["stream_refresh"])(spark, f).collect()) for f in (folder, many))
+    assert same == one and len(one) == spark.read.parquet(f"{folder}/documents.parquet").count()
