@@ -230,3 +230,9 @@ def test_refresh_reads_a_table_kept_as_a_folder(spark, folder, tmp_path):
     many = as_folder(spark, folder, tmp_path, "documents")
     one, same = (sorted(runner(QUERIES["stream_refresh"])(spark, f).collect()) for f in (folder, many))
     assert same == one and len(one) == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def test_alerts_read_a_table_kept_as_a_folder(spark, folder, tmp_path):
+    many = as_folder(spark, folder, tmp_path, "documents")
+    one, same = (sorted(runner(QUERIES["stream_secret_alerts"])(spark, f).collect()) for f in (folder, many))
+    assert one and same == one
