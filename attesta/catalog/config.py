@@ -182,7 +182,7 @@ CI = f"""
 
 
 def _workflow(t):
-    docs = config.workflow_documents(t.workflow)
+    docs = t.kept("workflow documents", lambda: config.workflow_documents(t.workflow))
     jobs = config.workflow_jobs(docs)
     return docs, jobs, config.workflow_steps(jobs)
 
@@ -306,12 +306,16 @@ def _runtimes(t):
     return prerequisites.runtime_prereqs(config.pyproject_facts(_pyproject(t)), config.package_json_engines(t.package_json), config.version_files(t.version_file), config.ci_runtimes(_workflow(t)[2]), docker)
 
 
+def _compose(t):
+    return t.kept("compose services", lambda: config.compose_services(t.compose))
+
+
 def _services(t):
-    return prerequisites.service_prereqs(config.compose_services(t.compose), config.ci_services(_workflow(t)[1]))
+    return prerequisites.service_prereqs(_compose(t), config.ci_services(_workflow(t)[1]))
 
 
 def _variables(t):
-    return prerequisites.env_prereqs(config.ci_env_names(*_workflow(t)), config.dockerfile_facts(t.dockerfile), config.compose_services(t.compose))
+    return prerequisites.env_prereqs(config.ci_env_names(*_workflow(t)), config.dockerfile_facts(t.dockerfile), _compose(t))
 
 
 PREREQ = "SELECT repo_id, content, {a} AS source_authority, {l} AS evidence_level, confidence, {s} AS sensitivity, {t} AS tag, CAST(place AS INT) AS place FROM ({rows}) AS r QUALIFY row_number() OVER (PARTITION BY repo_id, content ORDER BY place) = 1"

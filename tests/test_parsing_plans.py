@@ -1,0 +1,34 @@
+"""Where parsing and large joins stand in the plans: on the spread rows, once, and not through the driver."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import attesta.catalog  # noqa: F401  (registers the queries)
+from attesta.catalog.registry import QUERIES, runner
+from attesta.functions import codecs
+from attesta.operators import extract_code
+from attesta.operators import extract_config as config
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("parse", [config.workflow_documents, config.pyproject_documents, config.compose_services, extract_code.js_symbols])
+def test_a_file_is_parsed_once_and_behind_the_repartition(spark, parse):
+    files = spark.range(3).select(F.lit("r").alias("repo_id"), F.lit("p").alias("path"), F.col("id").cast("string").alias("content")).repartition(2)
+    plan = planned(parse(files))
+    assert plan.count("ArrowEvalPython") == 1
+    assert plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM")
+
+
+def test_variables_of_a_workflow_come_from_one_parse(spark, folder):
+    assert "ArrowEvalPython" not in planned(runner(QUERIES["ci_env_names"])(spark, folder))
+
+
+def test_copies_of_a_text_in_a_batch_are_parsed_once():
+    import pandas as pd
+
+    calls = []
+    out = codecs._each_once(pd.Series(["a", None, "a", "b", None], dtype=object), lambda x: calls.append(x) or (x and x * 2))
+    assert calls == ["a", None, "b"] and out.tolist() == ["aa", None, "aa", "bb", None]
