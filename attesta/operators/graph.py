@@ -12,6 +12,10 @@ from attesta.session import checkpointed
 
 FILE_KEY = ["repo_id", "path"]
 
+# What is parsed out of the files is longer by far than the files' size on disk, from which the planner guesses; by that
+# guess a side with every file is broadcast through the driver. The hints name the join, and none here broadcasts.
+BY_HASH, BY_SORT = "shuffle_hash", "merge"
+
 
 def _folders(path: Column) -> Column:
     """Every folder prefix of a path, the path itself included."""
@@ -25,7 +29,7 @@ def path_to_module(paths: DataFrame, modules: DataFrame) -> DataFrame:
     The prefixes of a path are few, so the prefix join becomes an equi-join.
     """
     asked = paths.select(*FILE_KEY).distinct().withColumn("module_path", F.explode(_folders(F.col("path"))))
-    found = asked.join(modules.select("repo_id", "module_path", "module"), ["repo_id", "module_path"])
+    found = asked.join(modules.select("repo_id", "module_path", "module").hint(BY_HASH), ["repo_id", "module_path"])
     return found.groupBy(*FILE_KEY).agg(F.max_by("module", F.struct(F.length("module_path"), "module")).alias("module"))
 
 
@@ -34,7 +38,7 @@ def _longest_dotted(asked: DataFrame, keys: list[str], modules: DataFrame) -> Da
     parts = F.split("candidate", r"\.")
     prefix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
     names = modules.select("repo_id", F.col("module").alias("prefix")).distinct()
-    hits = asked.withColumn("prefix", F.explode(prefix)).join(names, ["repo_id", "prefix"])
+    hits = asked.withColumn("prefix", F.explode(prefix)).join(names.hint(BY_HASH), ["repo_id", "prefix"])
     return hits.groupBy(*keys).agg(F.max_by("prefix", F.length("prefix")).alias("target"))
 
 
@@ -70,14 +74,14 @@ def resolve_js_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
         .withColumn("resolved", normal_path(F.concat_ws("/", folder, "name"))).filter("resolved IS NOT NULL")
         .withColumn("module_path", F.explode(_folders(F.col("resolved"))))
     )
-    hits = asked.join(modules.select("repo_id", "module_path", "module"), ["repo_id", "module_path"])
+    hits = asked.join(modules.select("repo_id", "module_path", "module").hint(BY_HASH), ["repo_id", "module_path"])
     return hits.groupBy(*keys).agg(F.max_by("module", F.struct(F.length("module_path"), "module")).alias("target"))
 
 
 def import_edges(resolved: DataFrame, owners: DataFrame) -> DataFrame:
     """Distinct module-to-module imports, self-edges dropped."""
     return (
-        resolved.join(owners, FILE_KEY)
+        resolved.join(owners.hint(BY_SORT), FILE_KEY)
         .filter(F.col("module") != F.col("target"))
         .select("repo_id", F.col("module").alias("source"), "target")
         .distinct()

@@ -14,6 +14,11 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["import_edges", "dependencies", "dependents"])
+def test_files_meet_their_modules_without_a_broadcast(spark, folder, name):
+    assert "BroadcastExchange" not in planned(runner(QUERIES[name])(spark, folder))
+
+
 @pytest.mark.parametrize("parse", [config.workflow_documents, config.pyproject_documents, config.compose_services, extract_code.js_symbols])
 def test_a_file_is_parsed_once_and_behind_the_repartition(spark, parse):
     files = spark.range(3).select(F.lit("r").alias("repo_id"), F.lit("p").alias("path"), F.col("id").cast("string").alias("content")).repartition(2)
