@@ -37,3 +37,11 @@ def test_copies_of_a_text_in_a_batch_are_parsed_once():
     calls = []
     out = codecs._each_once(pd.Series(["a", None, "a", "b", None], dtype=object), lambda x: calls.append(x) or (x and x * 2))
     assert calls == ["a", None, "b"] and out.tolist() == ["aa", None, "aa", "bb", None]
+
+
+def test_filters_on_generated_texts_stay_on_the_spread_rows(spark, folder):
+    """What a query computes from the text of a file stands behind the repartition of the small table it is made from."""
+    for name in ("naming_stats", "package_json_engines", "dockerfile_facts"):
+        plan = planned(runner(QUERIES[name])(spark, folder))
+        behind = plan[plan.index("REPARTITION_BY_NUM"):]
+        assert "regexp_extract_all" not in behind and "try_parse_json" not in behind and "json" not in behind.lower()
