@@ -243,8 +243,13 @@ def _(t):
 
 
 def _config_commands(t):
-    """All configured commands of a repository in lookup order."""
-    return config.configured_commands(config.pyproject_commands(_pyproject(t)), config.package_json_commands(t.package_json), config.makefile_targets(t.makefile))
+    """All configured commands of a repository in lookup order; the files are parsed once."""
+
+    def make():
+        docs = t.kept("pyproject documents", lambda: _pyproject(t))
+        return config.configured_commands(config.pyproject_commands(docs), config.package_json_commands(t.package_json), config.makefile_targets(t.makefile))
+
+    return t.kept("configured commands", make)
 
 
 MATCHED = f"""
@@ -261,7 +266,7 @@ pairs AS (SELECT cis.repo_id, ci, cis.confidence, cfg.ord, cfg.command, cfg.risk
 def _(t):
     commands = _config_commands(t)
     out = config.ci_match(config.ci_commands(_workflow(t)[2]), commands)
-    return out.join(commands.select("repo_id", "ordinal", "command"), ["repo_id", "ordinal"], "left").select("repo_id", "ci_command", "command")
+    return out.join(commands.select("repo_id", "ordinal", "command").hint(config.BY_SORT), ["repo_id", "ordinal"], "left").select("repo_id", "ci_command", "command")
 
 
 @query("ci_claims", f"""

@@ -45,3 +45,27 @@ def test_filters_on_generated_texts_stay_on_the_spread_rows(spark, folder):
         plan = planned(runner(QUERIES[name])(spark, folder))
         behind = plan[plan.index("REPARTITION_BY_NUM"):]
         assert "regexp_extract_all" not in behind and "try_parse_json" not in behind and "json" not in behind.lower()
+
+
+@pytest.mark.parametrize("name", ["ci_match"])
+def test_commands_meet_their_lines_without_a_broadcast_or_a_second_parse(spark, folder, name):
+    plan = planned(runner(QUERIES[name])(spark, folder))
+    assert "BroadcastExchange" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_the_words_of_a_name_are_cut_once(spark):
+    from attesta import dims
+    from attesta.functions.commands import risk_by_name
+
+    names = spark.createDataFrame([("unit-Test:ci",), ("pretest",), ("deploy_lint",), ("zzz",), ("",), (None,)], "name string")
+    rows = names.repartition(2).select("name", risk_by_name(F.col("name"), dims.PACKAGE_RISK).alias("risk"))
+    assert planned(rows).count("split(") == 1
+    table = dims.PACKAGE_RISK
+
+    def plain(name):
+        import re
+
+        words = re.split(r"[-_:.\s]+", (name or "").lower())
+        return next((r for k, r in table.items() if k in words), next((r for k, r in table.items() if name and k in name.lower()), "build"))
+
+    assert {r["name"]: r["risk"] for r in rows.collect()} == {n: plain(n) for n in ("unit-Test:ci", "pretest", "deploy_lint", "zzz", "", None)}
