@@ -35,6 +35,7 @@ from attesta.llm.common import stored
 from attesta.session import shared_folder
 
 CHUNK = 1_000_000
+WORDS = 50_000  # words held as texts; beyond that their hashes are
 RANGE_TOKENS = 1_000_000  # tokens of the corpus per hash range
 SPARE = 20
 DELETED = 20
@@ -77,6 +78,55 @@ def unpacked(value: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and the place of each value among them: as ``np.unique`` gives them, in less than half the memory."""
+    order = np.argsort(values)
+    values = values[order]
+    first = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    small = np.int32 if len(values) < 1 << 31 else np.int64
+    at = np.empty(len(values), dtype=small)
+    at[order] = np.cumsum(first, dtype=small) - small(1)
+    return values[first], at
+
+
+class Held:
+    """What a chunk in the making holds: its documents, and the hashes of their words."""
+
+    def __init__(self) -> None:
+        self.ids: list = []
+        self.kinds: list[int] = []
+        self.sizes: list[int] = []
+        self.tokens = 0
+        self._words: list[bytes] = []
+        self._hashes: list[np.ndarray] = []
+
+    def add(self, doc_id: int | None, kind: int, words: list[bytes]) -> None:
+        self.ids.append(doc_id)
+        self.kinds.append(kind)
+        self.sizes.append(len(words) + 1)
+        self.tokens += len(words) + 1
+        self._words.extend(words)
+        self._words.append(END)
+        if len(self._words) >= WORDS:
+            self._settle()
+
+    def _settle(self) -> None:
+        if self._words:
+            self._hashes.append(hashed(self._words))
+            self._words = []
+
+    def taken(self) -> np.ndarray:
+        self._settle()
+        out, self._hashes = np.concatenate(self._hashes), []
+        return out
+
+
+def least(counts: np.ndarray) -> np.ndarray:
+    """Counts of one chunk in four bytes each where they fit."""
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.int64)
+
+
 def kind_of(doc_id: F.Column) -> F.Column:
     """Held out (one in ten, by the CRC of the id), deleted for the weights, or counted."""
     crc = F.crc32(doc_id.cast("string").cast("binary"))
@@ -89,20 +139,19 @@ def chunks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = TaskContext.get().partitionId() << 32
-        held: dict[bool, tuple[list, list, list, list]] = {fold: ([], [], [], []) for fold in (False, True)}
+        held: dict[bool, Held] = {fold: Held() for fold in (False, True)}
         made = 0
 
         def put(fold: bool) -> pa.RecordBatch:
             nonlocal made
-            ids, kinds, sizes, words = held[fold]
-            vocab, codes = np.unique(hashed(words), return_inverse=True)
-            kind, size = np.array(kinds), np.array(sizes)
+            kind, size = np.array(held[fold].kinds), np.array(held[fold].sizes)
+            ids, kinds, sizes = held[fold].ids, held[fold].kinds, held[fold].sizes
+            vocab, codes = distinct(held[fold].taken())
+            held[fold] = Held()
             sums = [[int(x[kind == k].sum())] for x in (np.ones_like(size), size) for k in (MAIN, FOLD)]
             values = [[2 * (here + made) + fold], [fold], [ids], [kinds], [sizes], [packed(np.diff(vocab, prepend=np.uint64(0)))], [packed(codes)], *sums]
-            out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
-            held[fold] = ([], [], [], [])
             made += 1
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
 
         names = ["chunk", "fold", "ids", "kinds", "sizes", "vocab", "codes", "main_docs", "fold_docs", "main_tokens", "fold_tokens"]
         types = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), *[pa.int64()] * 4]
@@ -110,16 +159,11 @@ def chunks(docs: DataFrame) -> DataFrame:
             for doc_id, kind, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "kind", "text")), strict=True):
                 fold = kind == FOLD
                 own = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-                if held[fold][3] and len(held[fold][3]) + len(own) >= CHUNK:
+                if held[fold].tokens and held[fold].tokens + len(own) >= CHUNK:
                     yield put(fold)
-                ids, kinds, sizes, words = held[fold]
-                ids.append(doc_id)
-                kinds.append(kind)
-                sizes.append(len(own) + 1)
-                words.extend(own)
-                words.append(END)
+                held[fold].add(doc_id, kind, own)
         for fold in held:
-            if held[fold][0]:
+            if held[fold].ids:
                 yield put(fold)
 
     path = shared_folder(docs.sparkSession, "lm-chunks")
@@ -162,10 +206,14 @@ class Grams:
         before[self.starts] = START
         earlier = np.concatenate([before[:1], before[:-1]])
         earlier[self.starts] = START
-        orders = (word, _pair(before, word), _pair(_pair(earlier, before), word))
         cut = np.uint64(64 - shape.bits)
-        keys = np.concatenate([(_pair(np.full(1, n, dtype=np.uint64), h) >> cut) << np.uint64(2) | np.uint64(n) for n, h in enumerate(orders, 1)])
-        self.keys, self.at = np.unique(keys, return_inverse=True)
+        keys = np.empty(3 * self.tokens, dtype=np.uint64)
+        for n, at in enumerate(np.split(keys, 3), 1):
+            grams = word if n == 1 else _pair(before if n == 2 else _pair(earlier, before), word)
+            at[:] = (_pair(np.full(1, n, dtype=np.uint64), grams) >> cut) << np.uint64(2) | np.uint64(n)
+        del word, before, earlier, grams
+        self.keys, self.at = distinct(keys)
+        del keys
         kind = np.tile(np.repeat(self.kinds, sizes), 3)
         self.main = np.bincount(self.at[kind == MAIN], minlength=len(self.keys))
         self.fold = np.bincount(self.at[kind == FOLD], minlength=len(self.keys))
@@ -203,32 +251,35 @@ def summed(pieces: DataFrame, shape: Shape) -> DataFrame:
     """Counts over all chunks, for the n-grams whose count is not that of their chunk; and the number of words counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        chunks: list[int] = []
+        held: tuple[list[np.ndarray], ...] = ([], [], [])
         here = None
 
         def settle() -> Iterator[pa.RecordBatch]:
-            if not held:
+            if not chunks:
                 return
-            keys, main, fold = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
-            order = np.argsort(keys, kind="stable")
-            begins = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]))
-            times = np.diff(np.append(begins, len(keys)))
-            sums = [np.add.reduceat(x[order], begins) for x in (main, fold)]
-            words = (keys[order[begins]] & np.uint64(3)) == 1
-            totals = []
-            for total in sums:
-                spread = np.empty(len(keys), dtype=np.int64)
-                spread[order] = np.repeat(total, times)
-                totals.append(spread)
-            known = (int((words & (sums[0] > 0)).sum()), int((words & (sums[0] + sums[1] > 0)).sum()))
+            ends = np.cumsum([len(x) for x in held[0]]).tolist()
+            begins = [0, *ends[:-1]]
+            joined = []
+            for arrays in held:
+                joined.append(np.concatenate(arrays))
+                arrays.clear()
+            found, at = distinct(joined.pop(0))
+            main, fold = joined
+            totals = [np.zeros(len(found), dtype=np.int64) for _ in joined]
+            for begin, end in zip(begins, ends, strict=True):
+                for total, own in zip(totals, joined, strict=True):
+                    total[at[begin:end]] += own[begin:end]  # a chunk has an n-gram once
+            words = (found & np.uint64(3)) == 1
+            del found
+            known = (int((words & (totals[0] > 0)).sum()), int((words & (totals[0] + totals[1] > 0)).sum()))
             out: list[tuple] = [(None, here, b"", b"", b"", *known)]
-            begin = 0
-            for chunk, own, own_main, own_fold in held:
-                end = begin + len(own)
-                told = np.flatnonzero((totals[0][begin:end] != own_main) | (totals[1][begin:end] != own_fold))
+            for chunk, begin, end in zip(chunks, begins, ends, strict=True):
+                all_main, all_fold = (total[at[begin:end]] for total in totals)
+                told = np.flatnonzero((all_main != main[begin:end]) | (all_fold != fold[begin:end]))
                 if len(told):
-                    out.append((chunk, here, packed(np.diff(told, prepend=0)), packed(totals[0][begin:end][told]), packed(totals[1][begin:end][told]), 0, 0))
-                begin = end
+                    out.append((chunk, here, packed(np.diff(told, prepend=0)), packed(all_main[told]), packed(all_fold[told]), 0, 0))
+            chunks.clear()
             types = (pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["chunk", "part", "places", "main", "fold", "main_words", "words"])
 
@@ -236,9 +287,10 @@ def summed(pieces: DataFrame, shape: Shape) -> DataFrame:
             for part, chunk, keys, main, fold in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "keys", "main", "fold")), strict=True):
                 if part != here:
                     yield from settle()
-                    held.clear()
                     here = part
-                held.append((chunk, np.cumsum(unpacked(keys), dtype=np.uint64), unpacked(main).astype(np.int64), unpacked(fold).astype(np.int64)))
+                chunks.append(chunk)
+                for arrays, values in zip(held, (np.cumsum(unpacked(keys), dtype=np.uint64), least(unpacked(main)), least(unpacked(fold))), strict=True):
+                    arrays.append(values)
         yield from settle()
 
     return pieces.repartition(shape.parts, "part").sortWithinPartitions("part").mapInArrow(run, RETURNS)

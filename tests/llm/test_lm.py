@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -135,3 +136,25 @@ def test_long_text_clashing_columns_and_nothing_to_learn_from(make):
 
 def test_empty(make):
     assert lm.language_scores(make(DOCS, [])).count() == 0
+
+
+def test_a_task_holds_few_bytes_a_token():
+    numbers = np.random.default_rng(1)
+    vocab, codes = np.unique(numbers.integers(0, 2**62, 20_000).astype(np.uint64)[numbers.integers(0, 20_000, 100_000)], return_inverse=True)
+    row = {"sizes": [10_000] * 10, "kinds": [lm.MAIN] * 9 + [lm.FOLD], "vocab": lm.packed(np.diff(vocab, prepend=np.uint64(0))), "codes": lm.packed(codes)}
+    tracemalloc.start()
+    grams = lm.Grams(row, lm.Shape.of(100_000))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 130 * 100_000
+    assert (grams.keys[grams.at].reshape(3, -1) & np.uint64(3) == np.arange(1, 4, dtype=np.uint64)[:, None]).all()
+
+
+def test_words_of_a_chunk_in_the_making_are_held_as_hashes():
+    held, words = lm.Held(), [f"w{i % 70}".encode() for i in range(lm.WORDS)]
+    held.add(1, lm.MAIN, words)
+    held.add(2, lm.MAIN, [])
+    assert len(held._words) == 1 and held.tokens == lm.WORDS + 2 and held.sizes == [lm.WORDS + 1, 1]
+    vocab, codes = lm.distinct(held.taken())
+    assert (vocab[codes] == lm.hashed([*words, lm.END, lm.END])).all()
+    assert all((a == b).all() for a, b in zip(lm.distinct(vocab[codes]), np.unique(vocab[codes], return_inverse=True), strict=True))
