@@ -280,7 +280,7 @@ def _(t):
     ci, commands = config.ci_commands(_workflow(t)[2]), _config_commands(t)
     lines = ci.withColumn("ci_command", normalize_ci_command(F.col("command")))
     first = first_by(lines, ["repo_id", "ci_command"], [F.col("job_no"), F.col("step_no"), F.col("line_no")])
-    matched = config.ci_match(ci, commands)
+    matched = t.kept("matched lines", lambda: config.ci_match(ci, commands))
     return prerequisites.ci_claims(matched, first.select("repo_id", "ci_command", "command", "confidence"), commands).drop("evidence_level")
 
 

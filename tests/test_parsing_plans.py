@@ -47,7 +47,7 @@ def test_filters_on_generated_texts_stay_on_the_spread_rows(spark, folder):
         assert "regexp_extract_all" not in behind and "try_parse_json" not in behind and "json" not in behind.lower()
 
 
-@pytest.mark.parametrize("name", ["ci_match"])
+@pytest.mark.parametrize("name", ["ci_match", "ci_claims"])
 def test_commands_meet_their_lines_without_a_broadcast_or_a_second_parse(spark, folder, name):
     plan = planned(runner(QUERIES[name])(spark, folder))
     assert "BroadcastExchange" not in plan and "ArrowEvalPython" not in plan
