@@ -55,3 +55,18 @@ def test_contexts_are_whole_where_asked(spark):
     docs = spark.createDataFrame([(1, "x" * 300 + " [INST]")], "id int, text string")
     assert len(security.scan_injection(docs, most_context=None).first()["context"]) == 307
     assert len(security.scan_injection(docs).first()["context"]) == 123
+
+
+def test_hits_leave_a_batch_in_bounded_pieces():
+    """Many hits in one long line would each keep a copy of it until the batch ends."""
+    import pyarrow as pa
+
+    from attesta.functions import codecs
+
+    line = "key=1 " * 20_000
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([line, None, "x\nkey=2"]), pa.array(["a", "b", "c"])], names=["id", "text", "tag"])
+    pieces = list(codecs.pattern_hits((("key=([0-9])", 1, "key="),), 1)(iter([batch])))
+    assert sum(p.num_rows for p in pieces) == 20_001
+    assert max(sum(map(len, p.column(8).to_pylist())) for p in pieces) < 2 * codecs.HIT_CHARACTERS
+    assert pieces[-1].schema.names == ["id", "tag", "no", "start", "stop", "line", "match", "value", "context", "fenced"]
+    assert list(pieces[-1].to_pylist()[-1].values()) == [9, "c", 0, 2, 7, 2, "key=2", "2", "key=2", False]
