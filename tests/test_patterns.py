@@ -70,3 +70,13 @@ def test_hits_leave_a_batch_in_bounded_pieces():
     assert max(sum(map(len, p.column(8).to_pylist())) for p in pieces) < 2 * codecs.HIT_CHARACTERS
     assert pieces[-1].schema.names == ["id", "tag", "no", "start", "stop", "line", "match", "value", "context", "fenced"]
     assert list(pieces[-1].to_pylist()[-1].values()) == [9, "c", 0, 2, 7, 2, "key=2", "2", "key=2", False]
+
+
+def test_scanned_output_passes_no_whole_batch_of_hits(spark):
+    from attesta.operators import security
+
+    rows = spark.createDataFrame([(1, "a", "<|im_start|>"), (2, None, "plain")], "id int, x string, y string")
+    found = security.scan_output(rows, ["id"], ["x", "y"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    assert [(r["id"], r["field"]) for r in found.collect()] == [(1, "y")]
