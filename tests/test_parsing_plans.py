@@ -69,3 +69,16 @@ def test_the_words_of_a_name_are_cut_once(spark):
         return next((r for k, r in table.items() if k in words), next((r for k, r in table.items() if name and k in name.lower()), "build"))
 
     assert {r["name"]: r["risk"] for r in rows.collect()} == {n: plain(n) for n in ("unit-Test:ci", "pretest", "deploy_lint", "zzz", "", None)}
+
+
+def test_names_are_classified_once_and_counted_without_a_sort(spark):
+    from attesta.operators import conventions
+
+    rows = [("r", "f", d, p, n) for d, p, n in ((1, 0, "fooBar"), (1, 1, "x"), (2, 0, "a_b"), (2, 5, "c_d"), (3, 0, "barBaz"))]
+    names = spark.createDataFrame(rows, "repo_id string, kind string, doc_id int, pos int, name string").repartition(2)
+    stats = conventions.naming_stats(names, ["repo_id", "kind"], ["doc_id", "pos"])
+    lines = planned(stats).split("\n")
+    assert not any("Filter" in x and "RLIKE" in x for x in lines)
+    first = next(i for i, x in reversed(list(enumerate(lines))) if "Aggregate" in x)
+    assert "HashAggregate" in lines[first] and "SortAggregate" not in lines[first]
+    assert [tuple(r) for r in stats.collect()] == [("r", "f", 4, 2, "camelCase", 0.5)]
