@@ -220,7 +220,8 @@ MODULES = f"m AS (SELECT * FROM (SELECT * FROM {PY} AS a UNION ALL SELECT * FROM
 
 
 def _modules(t):
-    return extract_code.distinct_modules(extract_code.py_modules(t.init_files), extract_code.js_modules(t.init_files))
+    paths = t.kept("module files", lambda: t.init_files)
+    return extract_code.distinct_modules(extract_code.py_modules(paths), extract_code.js_modules(paths))
 
 
 @query("py_modules", f"SELECT repo_id, module, module_path FROM {PY} AS p")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.scopes import import_candidate
+from attesta.functions.textscan import exploded
 from attesta.session import checkpointed
 
 FILE_KEY = ["repo_id", "path"]
@@ -15,39 +16,59 @@ FILE_KEY = ["repo_id", "path"]
 # What is parsed out of the files is longer by far than the files' size on disk, from which the planner guesses; by that
 # guess a side with every file is broadcast through the driver. The hints name the join, and none here broadcasts.
 BY_HASH, BY_SORT = "shuffle_hash", "merge"
+# Rows that are looked up by their distinct places and then joined with what was found are kept, so that no file is parsed twice.
 
 
-def _folders(path: Column) -> Column:
-    """Every folder prefix of a path, the path itself included."""
-    parts = F.split(path, "/")
+def _folders(parts: Column) -> Column:
+    """Every folder prefix of a path, the path itself included; ``parts`` is a column of its own, else each prefix cuts it again."""
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
+def _by_folder(modules: DataFrame) -> DataFrame:
+    """One module per folder: of several names the greatest."""
+    return modules.groupBy("repo_id", "module_path").agg(F.max("module").alias("module"))
+
+
+def _longest_folder(asked: DataFrame, place: str, modules: DataFrame) -> DataFrame:
+    """``module`` of every distinct ``place``: the longest module folder in front of it.
+
+    The prefixes of a place are few, so the prefix join becomes an equi-join.
+    """
+    places = asked.select("repo_id", place).distinct().withColumn("_parts", F.split(place, "/"))
+    prefixes = exploded(places, _folders(F.col("_parts")), "module_path").drop("_parts")
+    found = prefixes.join(_by_folder(modules).hint(BY_HASH), ["repo_id", "module_path"])
+    return found.groupBy("repo_id", place).agg(F.max_by("module", F.length("module_path")).alias("module"))
+
+
 def path_to_module(paths: DataFrame, modules: DataFrame) -> DataFrame:
     """Owning module of every path: the longest module folder in front of it.
 
-    The prefixes of a path are few, so the prefix join becomes an equi-join.
+    Files of one folder share their owner, so prefixes are made and met once per folder.
     """
-    asked = paths.select(*FILE_KEY).distinct().withColumn("module_path", F.explode(_folders(F.col("path"))))
-    found = asked.join(modules.select("repo_id", "module_path", "module").hint(BY_HASH), ["repo_id", "module_path"])
-    return found.groupBy(*FILE_KEY).agg(F.max_by("module", F.struct(F.length("module_path"), "module")).alias("module"))
+    folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^([\s\S]*)/", 1))
+    asked = checkpointed(paths.select(*FILE_KEY).distinct().withColumn("_folder", folder))
+    own = _by_folder(modules).select("repo_id", F.col("module_path").alias("path"), F.col("module").alias("_own"))
+    met = asked.join(own.hint(BY_HASH), FILE_KEY, "left").join(_longest_folder(asked, "_folder", modules).hint(BY_SORT), ["repo_id", "_folder"], "left")
+    return met.select(*FILE_KEY, F.coalesce("_own", "module").alias("module")).filter("module IS NOT NULL")
 
 
 def _longest_dotted(asked: DataFrame, keys: list[str], modules: DataFrame) -> DataFrame:
-    """``target`` of each candidate: its longest dotted prefix that is a module."""
-    parts = F.split("candidate", r"\.")
+    """``target`` of each candidate: its longest dotted prefix that is a module, looked up once per distinct candidate."""
+    parts = F.col("_parts")
     prefix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
     names = modules.select("repo_id", F.col("module").alias("prefix")).distinct()
-    hits = asked.withColumn("prefix", F.explode(prefix)).join(names.hint(BY_HASH), ["repo_id", "prefix"])
-    return hits.groupBy(*keys).agg(F.max_by("prefix", F.length("prefix")).alias("target"))
+    places = asked.select("repo_id", "candidate").distinct().withColumn("_parts", F.split("candidate", r"\."))
+    hits = exploded(places, prefix, "prefix").join(names.hint(BY_HASH), ["repo_id", "prefix"])
+    targets = hits.groupBy("repo_id", "candidate").agg(F.max_by("prefix", F.length("prefix")).alias("target"))
+    return asked.join(targets.hint(BY_SORT), ["repo_id", "candidate"]).select(*keys, "target")
 
 
 def resolve_py_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """Target module of every distinct Python import (repo_id, path, name, level)."""
     keys = [*FILE_KEY, "name", "level"]
-    asked = imports.select(*keys).distinct().withColumn(
+    asked = checkpointed(imports.select(*keys).distinct().withColumn(
         "candidate", import_candidate(F.col("path"), F.col("name"), F.col("level"))
-    )
+    ))
     return _longest_dotted(asked, keys, modules)
 
 
@@ -61,21 +82,19 @@ def normal_path(path: Column) -> Column:
         .when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(part))),
     )
-    joined = F.array_join(folded, "/")
-    return F.when(~joined.startswith(".."), joined)
+    # inside a list of one, where the path is folded once for the test and the value
+    return F.get(F.transform(F.array(F.array_join(folded, "/")), lambda p: F.when(~p.startswith(".."), p)), 0)
 
 
 def resolve_js_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """Target module of every relative JavaScript import; packages are skipped."""
     keys = [*FILE_KEY, "name"]
     folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
-    asked = (
-        imports.select(*keys).distinct().filter(F.col("name").startswith("."))
-        .withColumn("resolved", normal_path(F.concat_ws("/", folder, "name"))).filter("resolved IS NOT NULL")
-        .withColumn("module_path", F.explode(_folders(F.col("resolved"))))
-    )
-    hits = asked.join(modules.select("repo_id", "module_path", "module").hint(BY_HASH), ["repo_id", "module_path"])
-    return hits.groupBy(*keys).agg(F.max_by("module", F.struct(F.length("module_path"), "module")).alias("target"))
+    asked = checkpointed(imports.select(*keys).distinct().filter(F.col("name").startswith(".")).withColumn(
+        "resolved", normal_path(F.concat_ws("/", folder, "name"))
+    ))
+    owners = _longest_folder(asked, "resolved", modules).withColumnRenamed("module", "target")
+    return asked.join(owners.hint(BY_SORT), ["repo_id", "resolved"]).select(*keys, "target")
 
 
 def import_edges(resolved: DataFrame, owners: DataFrame) -> DataFrame:

@@ -82,3 +82,25 @@ def test_names_are_classified_once_and_counted_without_a_sort(spark):
     first = next(i for i, x in reversed(list(enumerate(lines))) if "Aggregate" in x)
     assert "HashAggregate" in lines[first] and "SortAggregate" not in lines[first]
     assert [tuple(r) for r in stats.collect()] == [("r", "f", 4, 2, "camelCase", 0.5)]
+
+
+def test_symbols_of_a_script_are_read_from_their_json_once(spark):
+    files = spark.range(3).select(F.lit("r").alias("repo_id"), F.lit("p.js").alias("path"), F.lit("import 'a';").alias("content")).repartition(2)
+    lines = planned(extract_code.js_symbols(files)).split("\n")
+    assert sum("from_json" in x for x in lines) == 1 and not any("Filter" in x and "from_json" in x for x in lines)
+    assert extract_code.js_symbols(files).count() == 3
+
+
+def test_scripts_are_parsed_before_their_imports_are_looked_up(spark, folder):
+    assert "ArrowEvalPython" not in planned(runner(QUERIES["resolve_js_imports"])(spark, folder))
+
+
+def test_owners_are_looked_up_per_folder(spark):
+    from attesta.operators import graph
+
+    modules = [("r", "a", "m.a"), ("r", "a/b", "m.b"), ("r", "a/b", "m.c"), ("r", "a/own", "m.own"), ("r", "", "root"), ("q", "a", "q.a")]
+    paths = [("r", p) for p in ("a/x.py", "a/b/x.py", "a/b/c/y.py", "a/own", "ab/x.py", "x.py", "/a/x.py", "a/b")] + [("q", "a/b/x.py")]
+    rows = graph.path_to_module(spark.createDataFrame(paths, "repo_id string, path string"), spark.createDataFrame(modules, "repo_id string, module_path string, module string"))
+    assert {(r["repo_id"], r["path"]): r["module"] for r in rows.collect()} == {
+        ("r", "a/x.py"): "m.a", ("r", "a/b/x.py"): "m.c", ("r", "a/b/c/y.py"): "m.c", ("r", "a/own"): "m.own", ("r", "a/b"): "m.c", ("r", "/a/x.py"): "root", ("q", "a/b/x.py"): "q.a",
+    }
