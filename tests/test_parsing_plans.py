@@ -104,3 +104,8 @@ def test_owners_are_looked_up_per_folder(spark):
     assert {(r["repo_id"], r["path"]): r["module"] for r in rows.collect()} == {
         ("r", "a/x.py"): "m.a", ("r", "a/b/x.py"): "m.c", ("r", "a/b/c/y.py"): "m.c", ("r", "a/own"): "m.own", ("r", "a/b"): "m.c", ("r", "/a/x.py"): "root", ("q", "a/b/x.py"): "q.a",
     }
+
+
+def test_the_files_of_a_graph_are_routed_once(spark, folder):
+    """What is left to the plan of the edges reads kept rows only, no table of files."""
+    assert "FileScan" not in planned(runner(QUERIES["run_graph"])(spark, folder))
