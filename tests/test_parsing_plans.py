@@ -109,3 +109,12 @@ def test_owners_are_looked_up_per_folder(spark):
 def test_the_files_of_a_graph_are_routed_once(spark, folder):
     """What is left to the plan of the edges reads kept rows only, no table of files."""
     assert "FileScan" not in planned(runner(QUERIES["run_graph"])(spark, folder))
+
+
+def test_items_of_instruction_files_are_found_once(spark):
+    from attesta.operators import extract_docs
+
+    files = spark.createDataFrame([("r", "CLAUDE.md", "# Misc\n- Never push\nAlways test first\n")], "repo_id string, path string, content string")
+    claims = extract_docs.instruction_claims(files.repartition(2))
+    assert planned(claims).count("[-*+]") == 0
+    assert "Never push" in [r["claim_text"] for r in claims.collect()]
