@@ -118,3 +118,35 @@ def test_items_of_instruction_files_are_found_once(spark):
     claims = extract_docs.instruction_claims(files.repartition(2))
     assert planned(claims).count("[-*+]") == 0
     assert "Never push" in [r["claim_text"] for r in claims.collect()]
+
+
+YAML_TEXTS = (
+    "on: push\nyes: 1\n1.0: b\n1: c", "a: [1, 0x1F, 014, 1_000, 1:30, .inf, 1e3, 08, ~, 'x', \"y\\n\"]\nb: |\n  t\n  u\nc: 2024-01-02", "a:\n? b", "[a, b]", "", "a: {",
+    "a: &x {k: 1}\nb:\n  <<: *x\n  l: 2\nc: *x", "? [1]\n: 2", "a: !!str 1", "a: 2024-13-45", "=: a", "a: =", "---\na: 1\n---\nb: 2", "*x", "a: 1\na: 2", "x: [a: 1, b: 2]", "a: ! 1", "2024-01-02: a",
+)
+
+
+def test_yaml_texts_give_what_the_loader_gives():
+    import json
+
+    import pandas as pd
+    import yaml
+
+    def loaded(text):
+        try:
+            value = yaml.load(text, Loader=yaml.CSafeLoader)
+            return json.dumps(value, default=str) if isinstance(value, dict) else None
+        except (yaml.YAMLError, ValueError, TypeError):
+            return None
+
+    assert codecs._yaml_udf.func(pd.Series([*YAML_TEXTS, "a: !!int ", None], dtype=object)).tolist() == [*map(loaded, YAML_TEXTS), None, None]
+
+
+def test_a_plain_yaml_text_is_read_without_a_tree_of_nodes(monkeypatch):
+    import pandas as pd
+
+    def load(text, Loader):
+        raise AssertionError(text)
+
+    monkeypatch.setattr(codecs.yaml, "load", load)
+    assert codecs._yaml_udf.func(pd.Series(["jobs:\n  a: {steps: [{run: x}], n: 3}"])).tolist() == ['{"jobs": {"a": {"steps": [{"run": "x"}], "n": 3}}}']
