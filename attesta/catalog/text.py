@@ -267,7 +267,7 @@ SELECT d.doc_id, CASE WHEN p.n > 0 THEN 'local-only' ELSE 'public' END AS sensit
 FROM {CONFIG_TEXT} d LEFT JOIN p ON p.doc_id = d.doc_id""")
 def _(t):
     claims = _config_texts(t).select("doc_id", F.col("text").alias("content"), F.lit("public").alias("sensitivity"), F.lit("unreviewed").alias("review_state"))
-    out = security.security_scan_claims(claims, ["doc_id"])
+    out = security.security_scan_claims(claims)
     return out.select("doc_id", "sensitivity", "review_state", F.sha2("content", 256).alias("content_hash"))
 
 

@@ -180,7 +180,7 @@ def import_instructions(files: DataFrame, known: DataFrame | None = None, as_of:
     if known is not None:
         imported = checkpointed(imported.join(known.select(*CLAIM_KEY), CLAIM_KEY, "left_anti"))
     together = imported if known is None else imported.unionByName(known.select(*imported.columns))
-    against = runs.conflicts_among(together.withColumn("ordinal", F.col("claim_id")), as_of)
+    against = checkpointed(runs.conflicts_among(together.withColumn("ordinal", F.col("claim_id")), as_of))
     held = imported if known is None else imported.select(*CLAIM_KEY).unionByName(known.select(*CLAIM_KEY))
     new = against.join(held.select(*CLAIM_KEY), CLAIM_KEY, "left_anti")
     return imported.unionByName(new.select(*imported.columns)), runs.imported_artifacts(files)
