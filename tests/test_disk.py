@@ -13,7 +13,7 @@ def plan(df):
 def test_the_security_scan_moves_no_claim(spark):
     token = "ghp_" + "a1B2" * 9
     texts = [
-        f"use {token} or {token}", "<|im_start|> hi", "```\n<|im_start|> hi\n```", 'secret = "aaaaaaaaaaaaaaaaaaaaaaaa"', 'secret = "q8Zt-4vLx_0pKd7mWs2hYf9b"', "make test", "", None,
+        f"use {token} or {token}", "<|im_start|> hi", "```\n<|im_start|> hi\n```", 'auth = "123e4567-e89b-12d3-a456-426614174000"', 'auth = "q8Zt-4vLx_0pKd7mWs2hYf9b"', "make test", "", None,
     ]
     rows = spark.createDataFrame([(i, t, "public", "unreviewed") for i, t in enumerate(texts)], "id int, content string, sensitivity string, review_state string")
     out = security.security_scan_claims(rows)
@@ -21,7 +21,7 @@ def test_the_security_scan_moves_no_claim(spark):
     got = {r["id"]: (r["content"], r["sensitivity"], r["review_state"]) for r in out.collect()}
     assert got[0] == ("use ghp_...REDACTED or ghp_...REDACTED", "local-only", "unreviewed")
     assert got[1][1:] == ("public", "needs-declaration")
-    assert got[4] == ('secret = "q8Zt...REDACTED"', "local-only", "unreviewed")
+    assert got[4] == ('auth = "q8Zt...REDACTED"', "local-only", "unreviewed")
     assert all(got[i] == (texts[i], "public", "unreviewed") for i in (2, 3, 5, 6, 7))
 
 
