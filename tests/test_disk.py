@@ -44,3 +44,16 @@ def test_ci_lines_become_keys_that_commands_can_own(spark):
     )
     assert out.count() == len(lines)
     assert {r["ordinal"] for r in out.collect()} >= {0, 1, 2, 4}
+
+
+def test_evidence_alone_is_that_of_the_whole_run(spark, monkeypatch):
+    ci = "on: [push]\njobs:\n  t:\n    runs-on: ubuntu-latest\n    steps:\n      - run: make test\n"
+    rows = [
+        ("a", "Makefile", "test:\n\tpytest\ndeploy-clean:\n\trm -rf x\n"), ("a", "package.json", '{"scripts": {"build": "tsc"}}'), ("a", ".github/workflows/ci.yml", ci),
+        ("a", "README.md", "```bash\nnpm test\n```\n"), ("b", "Makefile", "test:\n\tpytest\n"), ("b", "docker-compose.yml", "services:\n  db:\n    image: postgres:16\n"),
+    ]
+    files = spark.createDataFrame([(*r, len(r[2])) for r in rows], FILES)
+    want = sorted(tuple(r) for r in runs.run_extraction_with_evidence(files)[1].collect())
+    monkeypatch.setattr(runs, "_whole", None)  # claims are not made for it
+    got = runs.run_evidence(files)
+    assert sorted(tuple(r) for r in got.collect()) == want and {r[1] for r in want} >= {"Makefile", "package.json", "README.md"}
