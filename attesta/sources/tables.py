@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.operators.maintenance import CLAIM_KEY
+from attesta.operators.maintenance import CLAIM_KEY, first_by
 from attesta.session import checkpointed
 
 BUCKETS = 64
+#: Parts into which the evidence of one bucket can be dealt.
+SHARES = 64
 # fixed values: fields of the interchange files
 DECISION_SCHEMA = (
     "repo_id string, claim_id string, action string, ts timestamp, actor string, original_content string, "
@@ -32,8 +34,12 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists", order: tu
     A bucket is spread over several files when it is large (rebalance), so one hot
     repository does not become one task.
     """
-    bucketed = with_bucket(df).hint("rebalance", "repo_bucket")
-    bucketed.sortWithinPartitions("repo_bucket", *order).write.mode(mode).partitionBy("repo_bucket").parquet(path)
+    _write_sorted(with_bucket(df).hint("rebalance", "repo_bucket"), path, mode, order)
+
+
+def _write_sorted(bucketed: DataFrame, path: str, mode: str, order: tuple[str, ...]) -> None:
+    rows = bucketed.sortWithinPartitions("repo_bucket", *order)
+    rows.write.mode(mode).option("compression", "zstd").partitionBy("repo_bucket").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, repo_id: str | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -57,16 +63,43 @@ def write_claims(claims: DataFrame, path: str) -> None:
     write_table(claims, path, order=("repo_id", "claim_type"))
 
 
+EVIDENCE_KEY = [*CLAIM_KEY, "file_path", "extraction_version"]
+
+
 def unique_evidence(evidence: DataFrame) -> DataFrame:
     """One row per (claim, file, extraction version)."""
-    return evidence.groupBy(*CLAIM_KEY, "file_path", "extraction_version").agg(
-        F.min_by(F.struct("file_hash", "line_start", "line_end", "evidence_level"), F.struct("line_start", "line_end", "file_hash", "evidence_level")).alias("r")
-    ).select(*CLAIM_KEY, "file_path", "extraction_version", "r.*")
+    # the smallest row itself: beside an order of its own, each row would be moved twice over
+    first = F.min(F.struct("line_start", "line_end", "file_hash", "evidence_level")).alias("r")
+    return evidence.groupBy(*EVIDENCE_KEY).agg(first).select(
+        *EVIDENCE_KEY, "r.file_hash", "r.line_start", "r.line_end", "r.evidence_level"
+    )
+
 
+def _packed(rows: DataFrame, name: str, prefix: str = "") -> DataFrame:
+    """The column as the bytes that it spells behind the prefix, in ``_bytes_<name>``; a text that spells none stays as it is."""
+    spells = F.col(name).rlike(f"^{prefix}[0-9a-f]*\\z") & ((F.length(name) - len(prefix)) % 2 == 0)
+    held = F.when(spells, F.unhex(F.substr(name, F.lit(len(prefix) + 1))))
+    return rows.withColumn(f"_bytes_{name}", held).withColumn(name, F.when(F.coalesce(spells, F.lit(False)), F.lit(None)).otherwise(F.col(name)))
 
-def write_evidence(evidence: DataFrame, path: str) -> None:
-    """Evidence rows, one per claim, file and version, by repository bucket and sorted for reads by claim."""
-    write_table(unique_evidence(evidence), path, order=("repo_id", "claim_id", "file_path"))
+
+def _unpacked(rows: DataFrame, name: str, prefix: str = "") -> DataFrame:
+    held = F.col(f"_bytes_{name}")
+    text = F.when(held.isNotNull(), F.concat(F.lit(prefix), F.lower(F.hex(held)))).otherwise(F.col(name))
+    return rows.withColumn(name, text).drop(f"_bytes_{name}")
+
+
+def write_evidence(evidence: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Evidence rows, one per claim, file and version, by repository bucket and sorted for reads by claim.
+
+    Rows move once: they are dealt by bucket and share of it, so that a hot repository or claim is many tasks and files, and the
+    first of each key is taken where they land, in the order in which they are written. Ids and hashes move as bytes.
+    """
+    share = F.pmod(F.xxhash64("claim_id", "file_path"), F.lit(SHARES)).cast("int")
+    small = _packed(_packed(with_bucket(evidence).withColumn("_share", share), "claim_id", "claim-"), "file_hash")
+    dealt = _unpacked(_unpacked(small.repartition("repo_bucket", "_share"), "claim_id", "claim-"), "file_hash")
+    place = [F.col(c) for c in ("line_start", "line_end", "file_hash", "evidence_level")]
+    rows = first_by(dealt, ["repo_bucket", *CLAIM_KEY, "file_path", "extraction_version", "_share"], place).drop("_share")
+    _write_sorted(rows, path, mode, ("repo_id", "claim_id", "file_path"))
 
 
 def read_evidence(

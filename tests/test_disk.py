@@ -2,6 +2,7 @@
 
 from attesta.operators import extract_config, security
 from attesta.plans import runs
+from attesta.sources import tables
 
 FILES = "repo_id string, path string, content string, size bigint"
 
@@ -57,3 +58,22 @@ def test_evidence_alone_is_that_of_the_whole_run(spark, monkeypatch):
     monkeypatch.setattr(runs, "_whole", None)  # claims are not made for it
     got = runs.run_evidence(files)
     assert sorted(tuple(r) for r in got.collect()) == want and {r[1] for r in want} >= {"Makefile", "package.json", "README.md"}
+
+
+def test_evidence_moves_once_and_keeps_any_text(spark, tmp_path, monkeypatch):
+    plans = []
+    write = tables._write_sorted
+    monkeypatch.setattr(tables, "_write_sorted", lambda rows, *more: (plans.append(rows), write(rows, *more)))
+    texts = ["", None, "ab", "AB", "abc", "0f" * 32, "xyz", "ab\n", "\n", "claim-"]
+    ids = [*(f"claim-{t}" for t in ("", "00ff", "00FF", "00f", "zz", "00ff\n")), "00ff", "Claim-00ff", ""]
+    rows = [("r", c, f"f{i}.py", h, 5, 6, "discovered", "v1") for c in ids for i, h in enumerate(texts)]
+    rows += [("r", ids[1], "f2.py", "aa", 4, 9, "discovered", "v1"), ("r", ids[1], "f2.py", "aa", 4, 8, "discovered", "v1"), ("r", ids[1], "f2.py", "ab", 5, 6, "discovered", "v2")]
+    evidence = spark.createDataFrame(rows, "repo_id string, claim_id string, file_path string, file_hash string, line_start int, line_end int, evidence_level string, extraction_version string")
+    tables.write_evidence(evidence, f"{tmp_path}/evidence")
+    assert plan(plans[0]).split("== Physical Plan ==")[1].count("Exchange") == 1
+    first = {}
+    for r in sorted(rows, key=lambda r: (r[4], r[5])):
+        first.setdefault((*r[:3], r[7]), r)
+    got = tables.read_evidence(spark, f"{tmp_path}/evidence").select(*evidence.columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, first.values()))
+    assert sorted(map(repr, map(tuple, tables.unique_evidence(evidence).select(*evidence.columns).collect()))) == sorted(map(repr, first.values()))
